@@ -139,14 +139,14 @@ CRITICAL_BUSINESS_WORDS = ["revenue", "business"]  # x1.15, lower-cased text
 
 TEXT_SLA_HOURS = {"P1": 2, "P2": 8, "P3": 24, "P4": 72}
 TEXT_BASE_PROBABILITY = {"P1": 0.85, "P2": 0.65, "P3": 0.45, "P4": 0.25}
-TEXT_SERVICE_MULTIPLIER = {"aadhaar": 1.3, "payment": 1.2, "portal": 1.1, "mobile": 1.0,
-                           "certificate": 1.1, "other": 1.0}
+TEXT_SERVICE_MULTIPLIER = {"aadhaar-auth": 1.3, "payment-gateway": 1.2, "citizen-portal": 1.1,
+                           "mobile-app": 1.0, "certificate-services": 1.1, "other": 1.0}
 TEXT_CITY_MULTIPLIER = 1.2
 TEXT_HIGH_RISK_CITIES = ["Mumbai", "Delhi", "Bangalore", "Hyderabad", "Chennai", "Indore", "Bhopal"]
 TEXT_PROBABILITY_CAP = 0.95
 TEXT_BASE_REVENUE = {"P1": 200000, "P2": 100000, "P3": 50000, "P4": 20000}
-EMAIL_REVENUE_MULTIPLIER = {"aadhaar": 2.0, "payment": 1.8, "portal": 1.2, "mobile": 1.1,
-                            "certificate": 1.3, "other": 1.0}
+EMAIL_REVENUE_MULTIPLIER = {"aadhaar-auth": 2.0, "payment-gateway": 1.8, "citizen-portal": 1.2,
+                            "mobile-app": 1.1, "certificate-services": 1.3, "other": 1.0}
 CUSTOMER_TIER = {"P1": "Enterprise", "P2": "Platinum", "P3": "Gold", "P4": "Silver"}
 BUSINESS_IMPACT_BANDS = [(100000, "high"), (50000, "medium")]  # else low
 
@@ -243,6 +243,24 @@ CATEGORY_CORE = [
 ]
 CATEGORY_DEFAULT = "Other"
 
+PRIORITY_REASON_ANALYSIS = {"P1": "Critical/Urgent keywords detected", "P2": "High importance indicators",
+                            "P4": "Low priority indicators"}
+PRIORITY_REASON_ANALYSIS_DEFAULT = "Standard issue"
+
+RESPONSE_TEMPLATES = {
+    "P1": "Thank you for reporting this critical issue. We have escalated this to our emergency response team "
+          "and will provide updates every hour.",
+    "P2": "Thank you for your report. This has been assigned high priority and our technical team is "
+          "investigating. We'll update you within 4 hours.",
+    "P3": "Thank you for contacting us. Your ticket has been received and assigned to our support team. "
+          "We'll respond within 24 hours.",
+    "P4": "Thank you for your inquiry. We've received your request and will respond within 72 hours.",
+}
+RESPONSE_HOURS = {"P1": 4, "P2": 12, "P3": 24, "P4": 72}
+
+FLOW_STEPS = ["dynamodb_stored", "eventbridge_triggered", "sagemaker_analyzed", "stepfunctions_started",
+              "alerts_sent", "quicksight_updated", "s3_archived", "retraining_triggered"]
+
 SERVICE_CHAT = [
     ("aadhaar-auth", ["aadhaar", "authentication", "biometric", "verification"]),
     ("payment-gateway", ["payment", "gateway", "transaction", "money"]),
@@ -251,11 +269,11 @@ SERVICE_CHAT = [
     ("certificate-services", ["certificate", "document", "download"]),
 ]
 SERVICE_SHORT = [
-    ("aadhaar", ["aadhaar", "authentication"]),
-    ("payment", ["payment", "gateway"]),
-    ("portal", ["portal", "website"]),
-    ("mobile", ["mobile", "app"]),
-    ("certificate", ["certificate", "document"]),
+    ("aadhaar-auth", ["aadhaar", "authentication"]),
+    ("payment-gateway", ["payment", "gateway"]),
+    ("citizen-portal", ["portal", "website"]),
+    ("mobile-app", ["mobile", "app"]),
+    ("certificate-services", ["certificate", "document"]),
 ]
 SERVICE_DEFAULT = "other"
 
@@ -269,6 +287,7 @@ URGENCY_BASE = 5
 URGENCY_MAX = 10
 
 SENTIMENT_NEGATIVE = ["angry", "frustrated", "disappointed", "terrible", "awful", "horrible"]
+SENTIMENT_NEGATIVE_NLAPI = ["angry", "frustrated", "terrible", "awful", "horrible"]
 SENTIMENT_POSITIVE = ["please", "help", "thank", "appreciate", "grateful"]
 URGENCY_LEVEL_WORDS = ["urgent", "asap", "immediately", "now", "quickly"]
 
@@ -291,6 +310,20 @@ GAZETTEER = [
     "telangana", "bihar",
 ]
 LOCATION_NONE = "Not specified"
+# first-hit list of the natural-language API
+LOCATIONS_NLAPI = [
+    "mumbai", "delhi", "bangalore", "hyderabad", "chennai", "kolkata", "pune",
+    "ahmedabad", "jaipur", "lucknow", "kanpur", "nagpur", "indore", "bhopal",
+    "visakhapatnam", "patna", "vadodara", "gwalior",
+]
+# all-hits list of the e-mail path
+LOCATIONS_EMAIL = [
+    "mumbai", "delhi", "bangalore", "hyderabad", "chennai", "kolkata", "pune",
+    "ahmedabad", "jaipur", "lucknow", "kanpur", "nagpur", "indore", "bhopal",
+    "visakhapatnam", "patna", "vadodara", "maharashtra", "karnataka", "tamil nadu",
+    "uttar pradesh", "gujarat", "rajasthan", "west bengal", "madhya pradesh",
+    "telangana", "bihar",
+]
 
 # multi-select cleaning orders
 CATEGORY_ORDER = ["Authentication", "Payment", "Portal", "Certificate", "Network", "Integration", "Other"]

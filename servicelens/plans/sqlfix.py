@@ -48,7 +48,7 @@ t_thr AS (
       AS response_threshold,
     CASE priority WHEN 1 THEN 240.0 WHEN 2 THEN 480.0 WHEN 3 THEN 1440.0 WHEN 4 THEN 2880.0 ELSE 1440.0 END::DOUBLE
       AS resolution_threshold,
-    (epoch_us({AS_OF}) - epoch_us(created_at)) / 60000000.0 AS elapsed_minutes
+    CAST(epoch_us({AS_OF}) - epoch_us(created_at) AS DOUBLE) / 60000000.0::DOUBLE AS elapsed_minutes
   FROM tickets
 ),
 t_risk AS (
@@ -134,3 +134,49 @@ def lookup(key: str, mapping: dict, default) -> str:
         return _sql_str(v) if isinstance(v, str) else repr(float(v)) + "::DOUBLE" if isinstance(v, float) else str(v)
     return "CASE " + " ".join(f"WHEN {key} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) + \
         f" ELSE {lit(default) if default is not None else 'NULL'} END"
+
+
+def scored_match(text: str, rule_set, default: str) -> str:
+    scores = ["(" + " + ".join(f"CAST(contains({text}, {_sql_str(w)}) AS INTEGER)" for w in dict.fromkeys(words)) + ")"
+              for _, words in rule_set]
+    mx = "greatest(" + ", ".join(scores) + ")"
+    return (f"CASE WHEN {mx} = 0 THEN {_sql_str(default)} "
+            + " ".join(f"WHEN {s} = {mx} THEN {_sql_str(label)}" for s, (label, _) in zip(scores, rule_set))
+            + " END")
+
+
+def locations_all(text: str, gazetteer, none: str = "Not specified") -> str:
+    parts = ", ".join(f"CASE WHEN contains({text}, {_sql_str(g)}) THEN {_sql_str(g.title())} END" for g in gazetteer)
+    joined = f"concat_ws(', ', {parts})"
+    return f"CASE WHEN {joined} = '' THEN {_sql_str(none)} ELSE {joined} END"
+
+
+def location_first(text: str, gazetteer, none: str = "Not specified") -> str:
+    return ("CASE " + " ".join(f"WHEN contains({text}, {_sql_str(g)}) THEN {_sql_str(g.title())}" for g in gazetteer)
+            + f" ELSE {_sql_str(none)} END")
+
+
+TEXT_TICKETS = f"""
+tt AS (SELECT doc_id AS id, {phrase('doc_id')} || ' ' || text AS text, lang, source FROM documents),
+tl AS (SELECT *, lower(text) AS lt FROM tt)"""
+
+EMAILS = f"""
+em0 AS (
+  SELECT doc_id AS message_id,
+         CASE WHEN doc_id % 2 = 0 THEN '"User ' || CAST(doc_id AS VARCHAR) || '" <user.' || CAST(doc_id AS VARCHAR)
+              || '@example.org>' ELSE 'user.' || CAST(doc_id AS VARCHAR) || '@example.org' END AS sender,
+         {phrase('doc_id')} AS subject, text AS body
+  FROM documents
+),
+emails AS (SELECT * FROM em0 UNION ALL SELECT * FROM em0 WHERE message_id % 10 = 0)"""
+
+
+def title_case(s: str) -> str:
+    """Python str.title() in DuckDB: upper a letter at the start or after a non-letter."""
+    return (f"array_to_string(list_transform(range(1, length({s}) + 1), lambda i: "
+            f"CASE WHEN i = 1 OR NOT regexp_matches(substr({s}, i - 1, 1), '\\p{{L}}') "
+            f"THEN upper(substr({s}, i, 1)) ELSE substr({s}, i, 1) END), '')")
+
+
+def strip_ws(s: str) -> str:
+    return f"regexp_replace({s}, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
