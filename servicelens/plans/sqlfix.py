@@ -180,3 +180,57 @@ def title_case(s: str) -> str:
 
 def strip_ws(s: str) -> str:
     return f"regexp_replace({s}, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
+
+LICENSES = f"""
+lusage AS (
+  SELECT l_partkey, sum(l_quantity) AS t,
+         sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0.0 END) AS u
+  FROM lineitem GROUP BY l_partkey
+),
+lic AS (
+  SELECT p_partkey AS asset_id,
+    CASE WHEN p_partkey % 40 = 0 THEN p_name || ' zoom' WHEN p_partkey % 40 = 1 THEN p_name || ' slack'
+         ELSE p_name END AS name,
+    p_brand AS vendor, 'subscription' AS license_type,
+    CAST(trunc(coalesce(t, 0.0)) AS BIGINT) AS total_licenses,
+    CAST(trunc(coalesce(u, 0.0)) AS BIGINT) AS used_licenses,
+    p_retailprice AS cost_per_license,
+    CASE WHEN p_partkey % 97 = 0 THEN 'bad-date'
+         ELSE strftime(CAST({AS_OF} AS DATE) + CAST((p_partkey % 200) - 50 AS INTEGER), '%Y-%m-%d') END
+      AS renewal_date,
+    p_type AS department
+  FROM part LEFT JOIN lusage ON p_partkey = l_partkey
+),
+licx AS (
+  SELECT *,
+    CASE WHEN total_licenses > 0 THEN used_licenses / total_licenses ELSE 0.0 END AS util,
+    cost_per_license * total_licenses AS monthly_cost,
+    CAST(floor((epoch_us(try_strptime(renewal_date, '%Y-%m-%d')) - epoch_us({AS_OF})) / 86400000000.0::DOUBLE)
+      AS BIGINT) AS days,
+    greatest(CAST(trunc(used_licenses * 1.2::DOUBLE) AS BIGINT), 1) AS reduce_to,
+    {contains_any('lower(name)', ['zoom', 'teams', 'slack', 'meet', 'webex'])} AS comm
+  FROM lic
+)"""
+
+QUOTES = """
+quotes AS (
+  SELECT l_orderkey AS bid_request_id,
+         CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS quote_id,
+         l_linenumber AS quote_seq,
+         'Supplier#' || CAST(l_suppkey AS VARCHAR) AS vendor_name,
+         l_extendedprice AS total_price,
+         (l_partkey & 1) <> 0 AS iso_certified, (l_partkey & 2) <> 0 AS soc2_compliant,
+         (l_partkey & 4) <> 0 AS api_support, (l_partkey & 8) <> 0 AS sso_integration,
+         (l_partkey & 16) <> 0 AS audit_logging
+  FROM lineitem
+),
+qs AS (
+  SELECT *, least((CAST(iso_certified AS INTEGER) + CAST(soc2_compliant AS INTEGER) + CAST(api_support AS INTEGER)
+                   + CAST(sso_integration AS INTEGER) + CAST(audit_logging AS INTEGER)) / 5.0::DOUBLE * 100.0::DOUBLE,
+                  100.0::DOUBLE) AS technical_score,
+    CASE WHEN total_price <= total_price * 1.2::DOUBLE * 0.8::DOUBLE THEN 100.0
+         WHEN total_price <= total_price * 1.2::DOUBLE THEN 80.0
+         WHEN total_price <= total_price * 1.2::DOUBLE * 1.1::DOUBLE THEN 60.0 ELSE 40.0 END::DOUBLE AS commercial_score
+  FROM quotes
+),
+qo AS (SELECT *, technical_score * 0.7::DOUBLE + commercial_score * 0.3::DOUBLE AS overall_score FROM qs)"""

@@ -207,6 +207,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("bid_request_id"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("quote_id"),
+        F.col("l_linenumber").alias("quote_seq"),
         F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string")).alias("vendor_name"),
         F.col("l_extendedprice").alias("total_price"),
         bit(0).alias("iso_certified"),
