@@ -234,3 +234,34 @@ qs AS (
   FROM quotes
 ),
 qo AS (SELECT *, technical_score * 0.7::DOUBLE + commercial_score * 0.3::DOUBLE AS overall_score FROM qs)"""
+
+STATUS_FOLD = """
+sev AS (
+  SELECT user_id AS service_id, event_id, ts AS event_ts,
+    CASE event_type WHEN 'purchase' THEN 'L1 Task Completion' WHEN 'click' THEN 'L1 Task Completion'
+         WHEN 'view' THEN 'L1 Task Completion' WHEN 'error' THEN 'L1 Task Failed'
+         WHEN 'signup' THEN 'License Change Completed' END AS detail_type,
+    CASE event_type WHEN 'purchase' THEN -0.2 WHEN 'click' THEN -0.1 WHEN 'view' THEN -0.05 WHEN 'error' THEN 0.1
+         WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN -0.05 ELSE 0.15 END END::DOUBLE AS dp,
+    CASE event_type WHEN 'purchase' THEN greatest(15, CAST(floor(value) AS BIGINT) * 3)
+         WHEN 'click' THEN CAST(floor(value) AS BIGINT)
+         WHEN 'view' THEN CAST(floor(CAST(floor(value) AS BIGINT) / 2) AS BIGINT) ELSE 0 END AS tsaved
+  FROM events WHERE event_type IN ('purchase', 'click', 'view', 'error', 'signup')
+),
+sst AS (
+  SELECT user_id AS service_id, CAST(user_id % 10 AS DOUBLE) / 10.0::DOUBLE AS p0,
+         60.0::DOUBLE AS r0, 240.0::DOUBLE AS q0
+  FROM events GROUP BY user_id HAVING user_id % 11 <> 0
+),
+sw AS (
+  SELECT e.*, s.p0, s.r0, s.q0,
+    list(dp) OVER w AS dps, sum(tsaved) OVER w AS tcum, row_number() OVER w AS update_seq
+  FROM sev e JOIN sst s USING (service_id)
+  WINDOW w AS (PARTITION BY service_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+sv AS (
+  SELECT service_id, event_id, detail_type, event_ts AS version_ts, update_seq,
+    round(list_reduce(dps, lambda a, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, a + x)), p0), 9) AS breach_probability,
+    r0 + tcum AS response_remaining, q0 + tcum AS resolution_remaining
+  FROM sw
+)"""

@@ -254,3 +254,18 @@ def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     return c.select("conv_id", "turn", F.col("role").alias("sender"), F.col("text").alias("message"))
+
+
+LICENSE_CHANGE_TYPES = ["license_downgrade", "license_removal", "license_upgrade"]
+
+
+def license_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence change requests: every signup event changes the licence of its service
+    and the next one; the change type follows the event value."""
+    e = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
+    types = F.array(*[F.lit(t) for t in LICENSE_CHANGE_TYPES])
+    return e.filter(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("change_id"),
+        F.element_at(types, (F.pmod(F.floor("value"), F.lit(3)) + 1).cast("int")).alias("change_type"),
+        F.array(F.col("user_id"), F.col("user_id") + 1).alias("affected_services"),
+    )
