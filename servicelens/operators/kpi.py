@@ -79,3 +79,78 @@ def state_by_bucket(state: DataFrame, bucket: str = "breach_bucket", ts: str = "
     return (ranked.join(F.broadcast(starts), bucket)
             .withColumn("bucket_position", F.col("_g") - F.col("_start"))
             .drop("_g", "_start"))
+
+
+def daily_report(scored: DataFrame, ts: str = "created_at", p: str = "breach_probability",
+                 revenue: str = "revenue_impact") -> DataFrame:
+    """Per day: tickets, compliance % (share below .7), breaches prevented (tickets
+    whose actions were triggered) and the revenue those tickets carry."""
+    trig = F.col(p) >= R.ACTION_THRESHOLD
+    n = F.count(F.lit(1))
+    return (scored.groupBy(F.to_date(F.col(ts)).alias("day"))
+            .agg(n.alias("tickets"),
+                 (F.sum((~trig).cast("long")) * 100.0 / n).alias("compliance_pct"),
+                 F.sum(trig.cast("long")).alias("breaches_prevented"),
+                 F.sum(F.when(trig, F.col(revenue)).otherwise(F.lit(0.0))).alias("revenue_protected")))
+
+
+def latency_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean, median, min, max and *sample* standard deviation (0 for one sample).
+    The exact median keeps a value -> count map per group (memory ~ distinct values)."""
+    n = F.count(F.col(value))
+    return df.groupBy(group).agg(
+        n.alias("samples"), F.avg(value).alias("avg_response_time"), F.median(value).alias("median_response_time"),
+        F.min(value).alias("min_response_time"), F.max(value).alias("max_response_time"),
+        F.when(n > 1, F.stddev_samp(value)).otherwise(F.lit(0.0)).alias("std_dev"))
+
+
+def throughput(df: DataFrame, ts: str, ok: Column) -> DataFrame:
+    """Per day: requests, success rate, requests per second over the active span,
+    and a health score = mean of the non-zero factors (here the success rate x 100)."""
+    n = F.count(F.lit(1))
+    span = F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)).cast("double") / 1e6
+    rate = F.sum(ok.cast("long")) / n
+    return (df.groupBy(F.to_date(F.col(ts)).alias("day"))
+            .agg(n.alias("requests"), rate.alias("success_rate"), span.alias("_span"))
+            .withColumn("requests_per_second", F.when(F.col("_span") > 0, F.col("requests") / F.col("_span"))
+                        .otherwise(F.lit(0.0)))
+            .withColumn("health_score", F.when(F.col("success_rate") > 0, F.col("success_rate") * 100.0)
+                        .otherwise(F.lit(None).cast("double")))
+            .drop("_span"))
+
+
+def historical_stats(history: DataFrame, groups: DataFrame, key: str = "category") -> DataFrame:
+    """Average resolution hours (24 per row when missing, 24.0 for an empty group)
+    and SLA success rate (sla_met defaults true; .85 for an empty group), per group.
+    ``groups`` lists every group so empty ones get the defaults (left join)."""
+    s = history.groupBy(key).agg(
+        F.avg(F.coalesce(F.col("resolution_hours"), F.lit(24.0))).alias("avg_resolution_hours"),
+        F.avg(F.coalesce(F.col("sla_met"), F.lit(True)).cast("double")).alias("sla_success_rate"))
+    return (groups.select(key).distinct().join(s, key, "left")
+            .withColumn("avg_resolution_hours", F.coalesce("avg_resolution_hours", F.lit(24.0)))
+            .withColumn("sla_success_rate", F.coalesce("sla_success_rate", F.lit(0.85))))
+
+
+def classification_accuracy(pred: DataFrame, expected: DataFrame, key: str, fields: list[str],
+                            group: str | None = None) -> DataFrame:
+    """Per-field accuracy and all-correct rate of predictions against labels
+    (equi-join on the key; successes only = rows present on both sides)."""
+    j = pred.join(expected, key, "inner")
+    correct = [(F.col(f) == F.col(f"expected_{f}")) for f in fields]
+    aggs = [F.avg(c.cast("double")).alias(f"{f}_accuracy") for f, c in zip(fields, correct)]
+    allc = correct[0]
+    for c in correct[1:]:
+        allc = allc & c
+    aggs.append(F.avg(allc.cast("double")).alias("overall_accuracy"))
+    aggs.append(F.count(F.lit(1)).alias("evaluated"))
+    return j.groupBy(group).agg(*aggs) if group else j.agg(*aggs)
+
+
+def service_health_scan(tickets: DataFrame) -> DataFrame:
+    """Open tickets split into high risk (P1) and the rest; one alert per high."""
+    open_ = tickets.filter(F.lower(F.col("status")) == "open")
+    high = F.col("priority") == 1
+    return open_.agg(F.count(F.lit(1)).alias("open_tickets"),
+                     F.sum(high.cast("long")).alias("high_risk"),
+                     F.sum((~high).cast("long")).alias("medium_risk"),
+                     F.sum(high.cast("long")).alias("alerts"))

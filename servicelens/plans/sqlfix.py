@@ -265,3 +265,14 @@ sv AS (
     r0 + tcum AS response_remaining, q0 + tcum AS resolution_remaining
   FROM sw
 )"""
+
+METRIC_POINTS = """
+mp AS (
+  SELECT CASE event_type WHEN 'error' THEN 'HighRiskTickets' WHEN 'click' THEN 'ResponseTimeMs'
+              WHEN 'purchase' THEN 'SLACompliance' WHEN 'view' THEN 'ActionsTriggered' ELSE 'TicketsCreated' END
+           AS metric,
+         CASE event_type WHEN 'click' THEN value * 150.0::DOUBLE WHEN 'purchase' THEN value / 400.0::DOUBLE
+              ELSE 1.0::DOUBLE END AS value,
+         ts
+  FROM events
+)"""

@@ -269,3 +269,44 @@ def license_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(types, (F.pmod(F.floor("value"), F.lit(3)) + 1).cast("int")).alias("change_type"),
         F.array(F.col("user_id"), F.col("user_id") + 1).alias("affected_services"),
     )
+
+
+# FIXED VALUES — intended (department, priority) of each phrase, used as labels
+EXPECTED_LABELS = [
+    ("UIDAI", "P1"), ("MeiTY", "P2"), ("DigitalMP", "P3"), ("eDistrict", "P4"),
+    ("DigitalMP", "P4"), ("MPOnline", "P1"), ("MPOnline", "P1"), ("MPOnline", "P2"),
+    ("eDistrict", "P4"), ("DigitalMP", "P2"), ("MeiTY", "P1"), ("UIDAI", "P4"),
+    ("UIDAI", "P3"), ("MPOnline", "P3"), ("MPOnline", "P3"), ("MPOnline", "P1"),
+]
+
+
+def expected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for text tickets: the intended department / priority of the phrase."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id"])
+    deps = F.array(*[F.lit(a) for a, _ in EXPECTED_LABELS])
+    pris = F.array(*[F.lit(b) for _, b in EXPECTED_LABELS])
+    idx = (F.pmod(F.col("doc_id"), F.lit(len(EXPECTED_LABELS))) + 1).cast("int")
+    return d.select(F.col("doc_id").alias("id"), F.element_at(deps, idx).alias("expected_department"),
+                    F.element_at(pris, idx).alias("expected_priority"))
+
+
+def bus_events(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """Bus events: a metric update per scored ticket, a breach prediction per ticket
+    at p > .4, automation / optimizer events from status events, ticket-created
+    events from text tickets.  (source, detail_type, detail JSON)"""
+    from ..operators import scoring, text
+    s = scoring.sla_metrics(tickets(spark, sf_dir, as_of))
+    detail = F.to_json(F.struct("ticket_id", "breach_probability", F.concat(F.lit("P"), F.col("priority").cast("string"))
+                                .alias("priority")))
+    metric = s.select(F.lit("sla-monitor").alias("source"), F.lit("Metric Update").alias("detail_type"),
+                      detail.alias("detail"))
+    pred = s.filter(F.col("breach_probability") > 0.4).select(
+        F.lit("sla-monitor").alias("source"), F.lit("SLA Breach Prediction").alias("detail_type"), detail.alias("detail"))
+    st = status_events(spark, sf_dir)
+    auto = st.select(F.when(F.col("detail_type").startswith("L1"), F.lit("l1-automation"))
+                     .otherwise(F.lit("asset-optimizer")).alias("source"), "detail_type",
+                     F.to_json(F.struct("service_id", "event_id")).alias("detail"))
+    chat = text.analyze_chat(text_tickets(spark, sf_dir)).select(
+        F.lit("chatbot").alias("source"), F.lit("Ticket Created").alias("detail_type"),
+        F.to_json(F.struct("id", "priority")).alias("detail"))
+    return metric.unionByName(pred).unionByName(auto).unionByName(chat)
