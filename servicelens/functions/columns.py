@@ -102,6 +102,14 @@ def scored_match(text_lower, rule_set: Sequence[tuple], default) -> Column:
     return F.when(best["s"] > 0, best["l"]).otherwise(F.lit(default))
 
 
+def present(pairs) -> Column:
+    """Array of the values whose condition holds, in order, without a lambda
+    (``array_compact`` is a lambda ``filter`` and slows down a following ``explode``)."""
+    empty = F.array().cast("array<string>")
+    parts = [F.when(F.coalesce(cond, F.lit(False)), F.array(val)).otherwise(empty) for cond, val in pairs]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
 def actions_for(rule_rows: Sequence[tuple], p, category, priority, text_lower=None) -> Column:
     """Array of recommended actions in rule order, duplicates removed (first kept)."""
     pc, cc, prc = as_col(p), as_col(category), as_col(priority)
@@ -116,8 +124,8 @@ def actions_for(rule_rows: Sequence[tuple], p, category, priority, text_lower=No
             cond = cond & (prc <= F.lit(max_prio))
         if word is not None:
             cond = cond & as_col(text_lower).contains(F.lit(word))
-        parts.append(F.when(F.coalesce(cond, F.lit(False)), F.lit(action)))
-    return F.array_distinct(F.array_compact(F.array(*parts)))
+        parts.append((cond, F.lit(action)))
+    return F.array_distinct(present(parts))
 
 
 def fmt_ts(c) -> Column:

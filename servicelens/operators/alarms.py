@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
-from ..functions.columns import minutes_between, ts_literal
+from ..functions.columns import minutes_between, present, ts_literal
 
 # FIXED VALUES — alarm definitions: (name, metric, period seconds, statistic,
 # evaluation periods, threshold, comparison)
@@ -104,7 +104,7 @@ def _rule_predicate(rule) -> Column:
 def route_events(events: DataFrame, rules=EVENT_RULES) -> DataFrame:
     """B26 + S10: one row per (event, matching rule); the rules compile to native
     predicates (no join), so filters stay inside whole-stage codegen."""
-    matched = F.array_compact(F.array(*[F.when(_rule_predicate(r), F.lit(r[0])) for r in rules]))
+    matched = present([(_rule_predicate(r), F.lit(r[0])) for r in rules])
     return events.withColumn("rule", F.explode(matched))
 
 

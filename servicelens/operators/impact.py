@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.columns import present
 
 ASSET_TOKEN = r"AST-[0-9]+"
 
@@ -62,7 +63,7 @@ def change_risk(change: Column, at_risk: Column) -> Column:
               .when((typ == "license_consolidation") & (depts > 5),
                     F.concat(F.lit("Multiple departments affected ("), depts.cast("string"), F.lit(")")))
               .when(typ == "vendor_change", F.lit("Vendor change introduces operational risk")))
-    factors = F.array_compact(F.array(factor, F.when(at_risk, F.lit("Current SLA status is at risk"))))
+    factors = present([(factor.isNotNull(), factor), (at_risk, F.lit("Current SLA status is at risk"))])
     return F.struct(F.when(at_risk, _raise(level)).otherwise(level).alias("risk_level"), factors.alias("factors"))
 
 
@@ -133,9 +134,9 @@ def service_change_risk(change_type: Column, p: Column) -> Column:
     f0 = (F.when(change_type == "license_downgrade", F.lit("License downgrade may affect functionality"))
           .when(change_type == "license_removal", F.lit("License removal will affect service availability")))
     at_risk = p >= 0.7
-    f1 = F.when(at_risk, F.format_string("Service already at risk (breach probability: %.1f%%)", p * 100.0))
+    f1 = F.when(at_risk, F.format_string("Service already at risk (breach probability: %.1f%%)", F.round(p * 100.0, 1)))
     return F.struct(F.when(at_risk, _raise(level)).otherwise(level).alias("risk_level"),
-                    F.array_compact(F.array(f0, f1)).alias("factors"))
+                    present([(f0.isNotNull(), f0), (f1.isNotNull(), f1)]).alias("factors"))
 
 
 def license_change_decisions(changes: DataFrame, service_state: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def portfolio_export(lic: DataFrame) -> DataFrame:
     sentence = F.format_string(
         "The %s license from %s used by %s department is %s with %s utilization rate and costs ₹%s annually.",
         F.col("name"), F.col("vendor"), F.col("department"), eff,
-        F.format_string("%.1f%%", u * 100.0), F.format_number(annual, 0))
+        F.format_string("%.1f%%", F.round(u * 100.0, 1)), F.format_number(annual, 0))
     return lic.select("asset_id", "name", "vendor", "department", F.round(u, 3).alias("utilization_rate"),
                       annual.alias("annual_cost"),
                       F.initcap(F.regexp_replace(F.col("license_type"), "_", " ")).alias("license_type_label"),

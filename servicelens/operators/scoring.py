@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
 from ..functions import rules as R
-from ..functions.columns import (actions_for, breach_bucket, clamp, ladder, lookup, minutes_between,
+from ..functions.columns import (actions_for, breach_bucket, clamp, ladder, lookup, minutes_between, present,
                                  sla_status, time_to_breach, ts_literal)
 from .util import broadcast_if_small
 
@@ -254,16 +254,14 @@ def priority_routes(df: DataFrame, priority_text: str = "priority") -> DataFrame
 def alert_select(df: DataFrame, threshold: float = R.ACTION_THRESHOLD,
                  p: str = "breach_probability", revenue: str = "revenue_impact") -> DataFrame:
     """One alert row per reason; a ticket can raise both (explode of a compacted array)."""
-    reasons = F.array_compact(F.array(
-        F.when(F.col(p) > threshold, F.lit("critical_breach")),
-        F.when(F.col(revenue) > 100000, F.lit("high_revenue")),
-    ))
+    reasons = present([(F.col(p) > threshold, F.lit("critical_breach")),
+                       (F.col(revenue) > 100000, F.lit("high_revenue"))])
     return df.withColumn("alert_type", F.explode(reasons))
 
 
 def alert_message(alerts: DataFrame, text: str = "description", p: str = "breach_probability") -> DataFrame:
     """Alert text clipped to 200 chars + '...', percent format, severity from the name."""
-    pct = F.format_string("%.1f%%", F.col(p) * 100.0)
+    pct = F.format_string("%.1f%%", F.round(F.col(p) * 100.0, 1))
     return (alerts
             .withColumn("alert_text", F.concat(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 200), F.lit("...")))
             .withColumn("subject", F.concat(F.lit("SLA alert: "), F.col("ticket_id"), F.lit(" at "), pct))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
 from ..functions import rules as R
-from ..functions.columns import (as_col, contains_any, first_match, lookup, scored_match, title_case,
+from ..functions.columns import (as_col, contains_any, first_match, lookup, present, scored_match, title_case,
                                  ts_literal)
 
 LT = "_lt"  # lower-cased text column used by the classifiers
@@ -25,7 +25,7 @@ def with_lower(df: DataFrame, text: str | Column) -> DataFrame:
 
 def locations_all(text_lower: Column, gazetteer=R.GAZETTEER) -> Column:
     """H4: every gazetteer hit in list order, title case, ', '-joined, or 'Not specified'."""
-    hits = F.array_compact(F.array(*[F.when(text_lower.contains(loc), F.lit(loc.title())) for loc in gazetteer]))
+    hits = present([(text_lower.contains(loc), F.lit(loc.title())) for loc in gazetteer])
     return F.when(F.size(hits) > 0, F.array_join(hits, ", ")).otherwise(F.lit(R.LOCATION_NONE))
 
 

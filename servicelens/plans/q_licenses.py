@@ -280,7 +280,7 @@ SELECT asset_id, round(util, 3) AS utilization_rate, cost_per_license * total_li
     name, vendor, department,
     CASE WHEN util < 0.5 THEN 'underutilized and wasteful' WHEN util < 0.8 THEN 'moderately efficient'
          ELSE 'well-utilized and efficient' END,
-    printf('%.1f%%', util * 100.0), format('{{:,.0f}}', cost_per_license * total_licenses * 12)) AS summary
+    printf('%.1f%%', round(util * 100.0, 1)), format('{{:,.0f}}', cost_per_license * total_licenses * 12)) AS summary
 FROM licx
 """)
 def q_portfolio_export(spark, sf_dir):

@@ -391,7 +391,7 @@ a AS (
 )
 SELECT ticket_id, alert_type,
   substr(description, 1, 200) || '...' AS alert_text,
-  'SLA alert: ' || ticket_id || ' at ' || printf('%.1f%%', breach_probability * 100.0) AS subject,
+  'SLA alert: ' || ticket_id || ' at ' || printf('%.1f%%', round(breach_probability * 100.0, 1)) AS subject,
   CASE WHEN contains(lower(alert_type), 'critical') THEN 'CRITICAL' ELSE 'WARNING' END AS severity
 FROM a
 """)

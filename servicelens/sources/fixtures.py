@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
 from ..functions.columns import ts_literal
-from .tables import read_table
+from .tables import read_table, spread
 
 # FIXED VALUES — sixteen ticket phrases; the text of key k starts with PHRASES[k % 16]
 PHRASES = [
@@ -96,7 +96,7 @@ def tickets(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) -> Dat
 
 def text_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text requests: each document prefixed with one phrase (whole text kept)."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]))
     return d.select(
         F.col("doc_id").alias("id"),
         F.concat(phrase_for(F.col("doc_id")), F.lit(" "), F.col("text")).alias("text"),
@@ -107,7 +107,7 @@ def text_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mails built from documents; every 10th message arrives twice (re-delivery)."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     sid = F.col("doc_id").cast("string")
     base = d.select(
         F.col("doc_id").alias("message_id"),
@@ -252,7 +252,7 @@ def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    c = spread(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
     return c.select("conv_id", "turn", F.col("role").alias("sender"), F.col("text").alias("message"))
 
 

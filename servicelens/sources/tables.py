@@ -14,3 +14,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     """Parquet scan; selecting ``columns`` right away keeps the ReadSchema narrow."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin spread of a scan that yields fewer partitions than there are cores.
+
+    Small tables stored as one parquet row group scan as one task; CPU-heavy text work
+    on them would then use one core.  On large inputs the scan already has many
+    splits and this is a no-op (no extra shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
