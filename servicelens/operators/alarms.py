@@ -42,7 +42,19 @@ def windowed_metrics(points: DataFrame, period_s: int, ts: str = "ts") -> DataFr
 
 
 def evaluate_alarms(points: DataFrame, alarms=ALARMS, ts: str = "ts") -> DataFrame:
-    """E5: per alarm and window: statistic, breaching flag and state.
+    """E5 over raw metric points: tumbling windows per alarm period, then
+    ``evaluate_windows``."""
+    periods = sorted({a[2] for a in alarms})
+    windows = None
+    for period_s in periods:
+        w = windowed_metrics(points, period_s, ts).withColumn("period_s", F.lit(period_s))
+        windows = w if windows is None else windows.unionByName(w)
+    return evaluate_windows(windows, alarms)
+
+
+def evaluate_windows(windows: DataFrame, alarms=ALARMS) -> DataFrame:
+    """E5/S7 over window statistics (metric, period_s, window_start, sum, average):
+    per alarm and window the statistic, the breaching flag and the state.
 
     ALARM when this period and the ``evaluation_periods - 1`` periods before it all
     breach.  Instead of an ordered frame (one task per alarm), every breaching window
@@ -51,7 +63,7 @@ def evaluate_alarms(points: DataFrame, alarms=ALARMS, ts: str = "ts") -> DataFra
     plain equi-aggregation, fully distributed."""
     out = None
     for name, metric, period_s, stat, n_eval, threshold, cmp in alarms:
-        stats = windowed_metrics(points.filter(F.col("metric") == metric), period_s, ts)
+        stats = windows.filter((F.col("metric") == metric) & (F.col("period_s") == period_s))
         value = F.col("sum" if stat == "Sum" else "average")
         breach = (value > threshold) if cmp == ">" else (value < threshold)
         g = stats.select("window_start", value.alias("value"), breach.alias("breaching"))

@@ -143,7 +143,14 @@ def apply_status_events(state: DataFrame, events: DataFrame, num_partitions: int
     latest = latest_state(state).select(
         "service_id", F.col("breach_probability").alias("_p0"),
         F.col("response_remaining").alias("_r0"), F.col("resolution_remaining").alias("_q0"))
-    ev = event_deltas(events).filter(F.col("handled")).select(
+    # events may come with their deltas already computed (delta_p, time_saved)
+    if {"delta_p", "time_saved"} <= set(events.columns):
+        with_d = events.withColumn("handled", F.col("delta_p").isNotNull())
+        if "detail_type" not in events.columns:
+            with_d = with_d.withColumn("detail_type", F.lit("adjustment"))
+    else:
+        with_d = event_deltas(events)
+    ev = with_d.filter(F.col("handled")).select(
         "service_id", "event_id", "event_ts", "detail_type", "delta_p", F.col("time_saved").cast("double"))
     order = [F.col("service_id"), F.col("event_ts"), F.col("event_id")]
     ranged = (ev.repartitionByRange(n, *order).sortWithinPartitions(*order)
