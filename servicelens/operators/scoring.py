@@ -305,3 +305,35 @@ def ladder_col(value: Column, steps, default) -> Column:
 
 def clamp01(c: Column) -> Column:
     return clamp(c, 0.0, 1.0)
+
+
+def breach_features_text(tickets: DataFrame, text_col: str = "text", as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """Numeric features of text-born tickets.  Department and service codes are
+    stable hashes (first 32 bits of MD5) mod 100 / 50; the source used Python's salted
+    ``hash``, so only the shape of those two columns is comparable."""
+    now = ts_literal(as_of)
+    code = lambda c, m: F.pmod(F.conv(F.substring(F.md5(F.col(c)), 1, 8), 16, 10).cast("bigint"), F.lit(m))  # noqa
+    return (tickets
+            .withColumn("priority_numeric", lookup(F.col("priority"), R.PRIORITY_SCORE, R.PRIORITY_SCORE_DEFAULT))
+            .withColumn("department_encoded", code("department", 100))
+            .withColumn("service_type_encoded", code("service_type", 50))
+            .withColumn("hour_created", F.hour(now))
+            .withColumn("day_of_week", F.weekday(now))
+            .withColumn("message_length", F.length(F.col(text_col)))
+            .withColumn("location_specified", (F.col("location") != R.LOCATION_NONE).cast("int")))
+
+
+def breach_features_8(scored: DataFrame, revenue: str = "revenue_impact",
+                      customers: str | None = None) -> DataFrame:
+    """The 8-value vector of the business-weighted scorer (revenue / 100000,
+    customers / 10000; absent customer counts are 0)."""
+    cust = F.col(customers).cast("double") if customers else F.lit(0.0)
+    return scored.withColumn("features_8", F.array(
+        F.coalesce(F.col("priority"), F.lit(R.DEFAULT_PRIORITY)).cast("double"),
+        (F.col("status") == "open").cast("double"),
+        (F.col("category") == "infrastructure").cast("double"),
+        F.col("elapsed_minutes").cast("double"),
+        F.col("breach_probability").cast("double"),
+        F.coalesce(F.col(revenue), F.lit(0.0)) / 100000.0,
+        cust / 10000.0,
+        (F.col("customer_impact") == "critical").cast("double")))
