@@ -217,3 +217,24 @@ def portfolio_export(lic: DataFrame) -> DataFrame:
                       F.when(u < 0.5, F.lit("low")).when(u < 0.8, F.lit("medium")).otherwise(F.lit("high"))
                       .alias("utilization_class"),
                       sentence.alias("summary"))
+
+
+# FIXED VALUES — market alternatives by lower-cased vendor
+MARKET_ALTERNATIVES = {
+    "zoom": ["Microsoft Teams", "Google Meet", "Webex"],
+    "adobe": ["Canva Pro", "Figma", "Sketch"],
+    "microsoft": ["Google Workspace", "Slack", "Zoom"],
+    "symantec": ["McAfee", "Trend Micro", "Kaspersky"],
+    "slack": ["Microsoft Teams", "Discord", "Mattermost"],
+}
+MARKET_ALTERNATIVES_DEFAULT = ["Generic alternatives available"]
+
+
+def market_alternatives(vendor: Column) -> Column:
+    """C11: alternatives for a vendor (literal map on the lower-cased name, default list)."""
+    v = F.lower(vendor)
+    expr = None
+    for k, alts in MARKET_ALTERNATIVES.items():
+        arr = F.array(*[F.lit(a) for a in alts])
+        expr = F.when(v == k, arr) if expr is None else expr.when(v == k, arr)
+    return expr.otherwise(F.array(*[F.lit(a) for a in MARKET_ALTERNATIVES_DEFAULT]))

@@ -36,3 +36,10 @@ def patch_tickets(df: DataFrame, patches: DataFrame, key: str = "ticket_id") ->
         else:
             out = out.withColumn(c, F.col(f"_patch_{c}"))
     return out.drop(*[f"_patch_{c}" for c in fields])
+
+
+def join_events_to_tickets(events: DataFrame, tickets: DataFrame, key: str = "ticket_id") -> tuple[DataFrame, DataFrame]:
+    """Events joined to their ticket (inner; a shuffle join, both sides grow with the
+    data) and the events whose ticket is missing (left anti join) as rejects."""
+    t = tickets.select(key, *[c for c in tickets.columns if c != key])
+    return events.join(t, key, "inner"), events.join(t.select(key), key, "left_anti")

@@ -48,12 +48,15 @@ def q_top_waste(spark, sf_dir):
 @query("renewal_alerts", oracle=f"""
 WITH {S.LICENSES}
 SELECT asset_id, renewal_date, days AS days_to_renewal, monthly_cost AS current_cost,
-  monthly_cost * 0.15::DOUBLE AS optimization_opportunity
+  monthly_cost * 0.15::DOUBLE AS optimization_opportunity,
+  CASE lower(vendor) {' '.join(f"WHEN '{k}' THEN '{', '.join(v)}'" for k, v in L.MARKET_ALTERNATIVES.items())}
+       ELSE '{', '.join(L.MARKET_ALTERNATIVES_DEFAULT)}' END AS market_alternatives
 FROM licx WHERE days BETWEEN 0 AND 90
 """)
 def q_renewals(spark, sf_dir):
     r = L.renewal_alerts(_lic(spark, sf_dir))
-    return r.select("asset_id", "renewal_date", "days_to_renewal", "current_cost", "optimization_opportunity")
+    return r.select("asset_id", "renewal_date", "days_to_renewal", "current_cost", "optimization_opportunity",
+                    F.array_join(L.market_alternatives(F.col("vendor")), ", ").alias("market_alternatives"))
 
 
 @query("portfolio_summary", oracle=f"""

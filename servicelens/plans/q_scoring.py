@@ -477,3 +477,33 @@ def q_state_by_bucket(spark, sf_dir):
         "ticket_id", "breach_bucket", F.col("created_at").alias("version_ts"), F.col("order_key").alias("service_id"))
     r = kpi.state_by_bucket(s)
     return r.select("ticket_id", "breach_bucket", F.col("bucket_position").cast("bigint").alias("bucket_position"))
+
+
+# ---------------------------------------------------------------------------
+# C6 — prediction events joined to their tickets (inner) with rejects
+# ---------------------------------------------------------------------------
+
+@query("prediction_event_tickets", oracle=f"""
+WITH {S.TICKETS}, {S.SCORED},
+ev AS (
+  SELECT 'T-' || CAST(o_orderkey AS VARCHAR) AS ticket_id, o_orderkey % 2 = 0 AS known FROM orders
+  UNION ALL SELECT 'T-X' || CAST(o_orderkey AS VARCHAR), false FROM orders WHERE o_orderkey % 2 = 1
+)
+SELECT s.category, count(*) AS events, round(avg(s.breach_probability), 6) AS avg_breach_probability,
+  (SELECT count(*) FROM ev WHERE ticket_id NOT IN (SELECT ticket_id FROM tickets)) AS rejected
+FROM ev JOIN scored s USING (ticket_id) GROUP BY s.category
+""")
+def q_prediction_event_tickets(spark, sf_dir):
+    """Events for every order plus events for unknown tickets (odd orders under a
+    wrong id): the inner join keeps known tickets, the anti join counts the rest."""
+    from ..operators import tickets as T
+    from ..sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
+    ev = o.select(F.concat(F.lit("T-"), F.col("o_orderkey").cast("string")).alias("ticket_id")).unionByName(
+        o.filter(F.pmod("o_orderkey", F.lit(2)) == 1)
+        .select(F.concat(F.lit("T-X"), F.col("o_orderkey").cast("string")).alias("ticket_id")))
+    s = scoring.sla_metrics(fx.tickets(spark, sf_dir)).select("ticket_id", "category", "breach_probability")
+    ok, rej = T.join_events_to_tickets(ev, s)
+    g = ok.groupBy("category").agg(F.count(F.lit(1)).alias("events"),
+                                   r6(F.avg("breach_probability")).alias("avg_breach_probability"))
+    return g.crossJoin(rej.agg(F.count(F.lit(1)).alias("rejected")))
