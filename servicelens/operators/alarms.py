@@ -34,21 +34,42 @@ def alarm_table(spark) -> DataFrame:
 
 
 def windowed_metrics(points: DataFrame, period_s: int, ts: str = "ts") -> DataFrame:
-    """Tumbling-window Sum / Average / count per metric."""
+    """Tumbling-window Sum / Average / count per metric (``window()``; also used by
+    the streaming job, where it is evaluated with a watermark)."""
     w = F.window(F.col(ts), f"{period_s} seconds")
     return (points.groupBy("namespace", "metric", w.alias("w"))
             .agg(F.sum("value").alias("sum"), F.avg("value").alias("average"), F.count(F.lit(1)).alias("samples"))
             .select("namespace", "metric", F.col("w.start").alias("window_start"), "sum", "average", "samples"))
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
+def window_start(ts: Column, period_s: int) -> Column:
+    """Start of the epoch-aligned tumbling window of ``period_s`` seconds (same
+    boundaries as ``window()``), as plain arithmetic so it can sit inside arrays."""
+    epoch = F.lit(EPOCH).cast("timestamp_ntz")
+    secs = F.floor(F.timestamp_diff("MICROSECOND", epoch, ts) / F.lit(period_s * 1_000_000)) * period_s
+    return epoch + F.make_dt_interval(secs=secs.cast("decimal(18,6)"))
+
+
+def multi_period_windows(points: DataFrame, periods: list[int], metrics: list[str] | None = None,
+                         ts: str = "ts") -> DataFrame:
+    """All tumbling windows of several periods in ONE aggregation: each point is
+    assigned to one window per period (explode of a tiny array), then a single
+    partial+final aggregate over (metric, period, window start)."""
+    pts = points.filter(F.col("metric").isin(*metrics)) if metrics else points
+    slots = F.array(*[F.struct(F.lit(p).alias("period_s"), window_start(F.col(ts), p).alias("window_start"))
+                      for p in periods])
+    return (pts.select("metric", "value", F.explode(slots).alias("_w"))
+            .groupBy("metric", "_w.period_s", "_w.window_start")
+            .agg(F.sum("value").alias("sum"), F.avg("value").alias("average"), F.count(F.lit(1)).alias("samples")))
+
+
 def evaluate_alarms(points: DataFrame, alarms=ALARMS, ts: str = "ts") -> DataFrame:
-    """E5 over raw metric points: tumbling windows per alarm period, then
-    ``evaluate_windows``."""
-    periods = sorted({a[2] for a in alarms})
-    windows = None
-    for period_s in periods:
-        w = windowed_metrics(points, period_s, ts).withColumn("period_s", F.lit(period_s))
-        windows = w if windows is None else windows.unionByName(w)
+    """E5 over raw metric points: one windowing pass for every period the alarms use,
+    then ``evaluate_windows``.  The points are scanned once whatever the number of alarms."""
+    windows = multi_period_windows(points, sorted({a[2] for a in alarms}), sorted({a[1] for a in alarms}), ts)
     return evaluate_windows(windows, alarms)
 
 
@@ -56,29 +77,40 @@ def evaluate_windows(windows: DataFrame, alarms=ALARMS) -> DataFrame:
     """E5/S7 over window statistics (metric, period_s, window_start, sum, average):
     per alarm and window the statistic, the breaching flag and the state.
 
-    ALARM when this period and the ``evaluation_periods - 1`` periods before it all
-    breach.  Instead of an ordered frame (one task per alarm), every breaching window
-    "votes" for itself and the next N-1 periods; a window is in ALARM when it collects
-    N votes.  Periods without data cast no vote, so a gap is never a breach.  This is a
-    plain equi-aggregation, fully distributed."""
-    out = None
-    for name, metric, period_s, stat, n_eval, threshold, cmp in alarms:
-        stats = windows.filter((F.col("metric") == metric) & (F.col("period_s") == period_s))
-        value = F.col("sum" if stat == "Sum" else "average")
-        breach = (value > threshold) if cmp == ">" else (value < threshold)
-        g = stats.select("window_start", value.alias("value"), breach.alias("breaching"))
-        votes = (g.filter("breaching")
-                 .select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_eval - 1)),
-                                               lambda j: F.col("window_start")
-                                               + F.make_dt_interval(secs=(j * period_s).cast("decimal(18,6)"))))
-                         .alias("window_start"))
-                 .groupBy("window_start").agg(F.count(F.lit(1)).alias("_votes")))
-        g = (g.join(votes, "window_start", "left")
-             .withColumn("alarm_state", F.when(F.coalesce(F.col("_votes"), F.lit(0)) == n_eval, F.lit("ALARM"))
-                         .otherwise(F.lit("OK")))
-             .select(F.lit(name).alias("alarm_name"), "window_start", "value", "breaching", "alarm_state"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    The alarm definitions (a few rows, bounded by construction) are broadcast-joined
+    to the windows on (metric, period).  ALARM when this period and the
+    ``evaluation_periods - 1`` periods before it all breach: instead of an ordered
+    frame (one task per alarm), every window sends its breach flag to itself and the
+    next N-1 periods, and a window is in ALARM when N breaching flags arrive.  Periods
+    without data send nothing, so a gap is never a breach.  One equi-aggregation, one
+    pass over the windows."""
+    spark = windows.sparkSession
+    defs = F.broadcast(spark.createDataFrame(
+        list(alarms), "alarm_name string, metric string, period_s int, statistic string, "
+                      "evaluation_periods int, threshold double, comparison string"))
+    value = F.when(F.col("statistic") == "Sum", F.col("sum")).otherwise(F.col("average"))
+    breach = F.when(F.col("comparison") == ">", F.col("value") > F.col("threshold")) \
+        .otherwise(F.col("value") < F.col("threshold"))
+    g = (windows.join(defs, ["metric", "period_s"])
+         .withColumn("value", value)
+         .withColumn("breaching", F.coalesce(breach, F.lit(False)))
+         .select("alarm_name", "window_start", "period_s", "evaluation_periods", "value", "breaching"))
+    # every window sends its breach flag to itself (j = 0) and the next N-1 periods;
+    # one aggregation per (alarm, target window) then sees the N windows ending there
+    sent = g.select("alarm_name", "value", "breaching", "evaluation_periods", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("evaluation_periods") - 1),
+        lambda j: F.struct(j.alias("j"), (F.col("window_start")
+                                          + F.make_dt_interval(secs=(j * F.col("period_s")).cast("decimal(18,6)")))
+                           .alias("target")))).alias("_v"))
+    agg = (sent.groupBy("alarm_name", F.col("_v.target").alias("window_start"))
+           .agg(F.sum(F.col("breaching").cast("int")).alias("_votes"),
+                F.max((F.col("_v.j") == 0).cast("int")).alias("_self"),
+                F.max(F.when(F.col("_v.j") == 0, F.col("value"))).alias("value"),
+                F.max(F.when(F.col("_v.j") == 0, F.col("breaching").cast("int"))).alias("_b"),
+                F.max("evaluation_periods").alias("_n")))
+    return (agg.filter(F.col("_self") == 1)
+            .select("alarm_name", "window_start", "value", (F.col("_b") == 1).alias("breaching"),
+                    F.when(F.col("_votes") == F.col("_n"), F.lit("ALARM")).otherwise(F.lit("OK")).alias("alarm_state")))
 
 
 # ---------------------------------------------------------------------------

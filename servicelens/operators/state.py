@@ -79,6 +79,8 @@ def event_deltas(events: DataFrame) -> DataFrame:
 _SCAN_SCHEMA = T.StructType([
     T.StructField("service_id", T.LongType()),
     T.StructField("event_id", T.LongType()),
+    T.StructField("event_ts", T.TimestampNTZType()),
+    T.StructField("detail_type", T.StringType()),
     T.StructField("_part", T.IntegerType()),
     T.StructField("_s", T.DoubleType()),
     T.StructField("_lo", T.DoubleType()),
@@ -121,6 +123,7 @@ def _segment_scan(batches):
             out_n[a:b] = n + np.arange(1, b - a + 1)
             lo, hi, s, t, n = lo_run[-1], hi_run[-1], out_s[b - 1], out_t[b - 1], int(out_n[b - 1])
         yield pd.DataFrame({"service_id": svc.astype(np.int64), "event_id": pdf["event_id"].to_numpy(np.int64),
+                            "event_ts": pdf["event_ts"], "detail_type": pdf["detail_type"],
                             "_part": pdf["_part"].to_numpy(np.int32), "_s": out_s, "_lo": out_lo, "_hi": out_hi,
                             "_t": out_t, "_n": out_n})
 
@@ -155,7 +158,7 @@ def apply_status_events(state: DataFrame, events: DataFrame, num_partitions: int
     order = [F.col("service_id"), F.col("event_ts"), F.col("event_id")]
     ranged = (ev.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_part", F.spark_partition_id()))
-    scanned = ranged.select("service_id", "event_id", "_part", "delta_p", "time_saved") \
+    scanned = ranged.select("service_id", "event_id", "event_ts", "detail_type", "_part", "delta_p", "time_saved") \
         .mapInPandas(_segment_scan, _SCAN_SCHEMA)
     # Freeze partition ids (AQE may re-plan a recomputation) and cut the lineage.
     scanned = cut_lineage(scanned)
@@ -183,13 +186,12 @@ def apply_status_events(state: DataFrame, events: DataFrame, num_partitions: int
     applied = scanned.join(seg_in, ["service_id", "_part"], "inner")
     p = F.round(_clamp(F.col("p_in") + F.col("_s"), F.col("_lo"), F.col("_hi")), PROB_DECIMALS)
     versions = applied.select(
-        "service_id", "event_id",
+        "service_id", "event_id", "detail_type", F.col("event_ts").alias("version_ts"),
         (F.col("k_in") + F.col("_n")).alias("update_seq"),
         p.alias("breach_probability"),
         (F.col("_r0") + F.col("t_in") + F.col("_t")).alias("response_remaining"),
         (F.col("_q0") + F.col("t_in") + F.col("_t")).alias("resolution_remaining"))
-    meta = ev.select("service_id", "event_id", "detail_type", F.col("event_ts").alias("version_ts"))
-    return (versions.join(meta, ["service_id", "event_id"], "inner")
+    return (versions
             .withColumn("breach_bucket", breach_bucket(F.col("breach_probability")))
             .withColumn("sla_status", sla_status(F.col("breach_probability"))))
 

@@ -9,12 +9,21 @@ from ..operators import procurement as P
 from ..sources import fixtures as fx
 from . import sqlfix as S
 from .registry import query
+from ..session import cut_lineage
 
 
 def _lic(spark, sf_dir):
     return fx.licenses(spark, sf_dir)
 
 
+def _lic_shared(spark, sf_dir):
+    """Licences for queries with several branches (reductions, consolidation,
+    renewals; totals and vendor shares).  The branches prune different columns, so
+    Spark would re-aggregate lineitem once per branch; the part-sized result is
+    aggregated once and checkpointed to the shared checkpoint folder instead."""
+    return cut_lineage(fx.licenses(spark, sf_dir))
+
+
 @query("underutilized_licenses", oracle=f"""
 WITH {S.LICENSES}
 SELECT asset_id, util AS utilization_rate, total_licenses - used_licenses AS unused_licenses,
@@ -96,7 +105,7 @@ SELECT total_assets, round(total_cost, 2) AS total_cost, CAST(total_licenses AS
 FROM a CROSS JOIN c
 """)
 def q_portfolio_summary(spark, sf_dir):
-    lic = _lic(spark, sf_dir)
+    lic = _lic_shared(spark, sf_dir)
     m = L.portfolio_metrics(lic).crossJoin(L.vendor_concentration(lic))
     r2 = lambda c: F.round(c, 2).alias(c)
     return m.select("total_assets", r2("total_cost"), "total_licenses", "total_used", r2("optimization_potential"),
@@ -192,12 +201,12 @@ def _recs_out(r):
 
 @query("license_recommendations", oracle=_recs_sql("LIMIT 3", "LIMIT 2"))
 def q_recommendations(spark, sf_dir):
-    return _recs_out(L.recommendations(_lic(spark, sf_dir)))
+    return _recs_out(L.recommendations(_lic_shared(spark, sf_dir)))
 
 
 @query("license_recommendations_all", oracle=_recs_sql("", ""))
 def q_recommendations_all(spark, sf_dir):
-    return _recs_out(L.recommendations(_lic(spark, sf_dir), top_reduction=None, top_renewal=None))
+    return _recs_out(L.recommendations(_lic_shared(spark, sf_dir), top_reduction=None, top_renewal=None))
 
 
 @query("procurement_approvals", oracle=_recs_cte("", "") + """,
@@ -227,7 +236,7 @@ SELECT 'GEM-' || recommendation_id AS gem_request_id, recommendation_type,
 FROM c
 """)
 def q_procurement(spark, sf_dir):
-    recs = L.recommendations(_lic(spark, sf_dir), top_reduction=None, top_renewal=None)
+    recs = L.recommendations(_lic_shared(spark, sf_dir), top_reduction=None, top_renewal=None)
     a = P.finance_approval(P.procurement_request(recs))
     return a.select("gem_request_id", "recommendation_type", "subcategory", "gem_code", "delivery_timeline",
                     "implementation_cost", "net_benefit", "payback_period_months", "roi_percentage", "approval_level",

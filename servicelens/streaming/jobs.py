@@ -180,7 +180,7 @@ def windowed_metrics_stream(spark: SparkSession, source: str, sink: str, period_
 def alarms_from_windows(spark: SparkSession, windows_path: str, period_s: int = 300) -> DataFrame:
     """Alarm evaluation over the windows a ``windowed_metrics_stream`` emitted (a
     batch job over its sink, run after each trigger)."""
-    w = spark.read.parquet(windows_path).withColumn("period_s", F.lit(period_s))
+    w = spark.read.parquet(windows_path).withColumn("period_s", F.lit(period_s)).drop("namespace")
     return alarms.evaluate_windows(w, [a for a in alarms.ALARMS if a[2] == period_s])
 
 
