@@ -16,8 +16,11 @@ def action_events(pred: DataFrame, actions_col: str = "recommended_actions",
     urgency (HIGH if p >= .8), incident severity (CRITICAL if p >= .9) and the
     follow-up delay max(5, time_to_breach // 2); unknown actions go to ``rejects``.
     The known-action list is a literal ``isin`` (no join)."""
+    # explode_outer + null filter: a plain explode makes Spark infer size(array) > 0
+    # and push that down through the whole scoring projection (re-evaluating it)
     exploded = (pred.filter(F.col(p) >= R.ACTION_THRESHOLD)
-                .select("*", F.explode(F.col(actions_col)).alias("action")))
+                .select("*", F.explode_outer(F.col(actions_col)).alias("action"))
+                .filter(F.col("action").isNotNull()))
     known = F.col("action").isin(*R.KNOWN_ACTIONS)
     events = (exploded.filter(known)
               .withColumn("urgency", F.when(F.col(p) >= 0.8, F.lit("HIGH")).otherwise(F.lit("MEDIUM")))

@@ -149,7 +149,7 @@ def route_events(events: DataFrame, rules=EVENT_RULES) -> DataFrame:
     """B26 + S10: one row per (event, matching rule); the rules compile to native
     predicates (no join), so filters stay inside whole-stage codegen."""
     matched = present([(_rule_predicate(r), F.lit(r[0])) for r in rules])
-    return events.withColumn("rule", F.explode(matched))
+    return events.withColumn("rule", F.explode_outer(matched)).filter(F.col("rule").isNotNull())
 
 
 # ---------------------------------------------------------------------------

@@ -256,7 +256,7 @@ def alert_select(df: DataFrame, threshold: float = R.ACTION_THRESHOLD,
     """One alert row per reason; a ticket can raise both (explode of a compacted array)."""
     reasons = present([(F.col(p) > threshold, F.lit("critical_breach")),
                        (F.col(revenue) > 100000, F.lit("high_revenue"))])
-    return df.withColumn("alert_type", F.explode(reasons))
+    return df.withColumn("alert_type", F.explode_outer(reasons)).filter(F.col("alert_type").isNotNull())
 
 
 def alert_message(alerts: DataFrame, text: str = "description", p: str = "breach_probability") -> DataFrame:

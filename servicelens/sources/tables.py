@@ -10,12 +10,27 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+_SCANS: dict[str, tuple[SparkSession, DataFrame]] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan; selecting ``columns`` right away keeps the ReadSchema narrow."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Parquet scan; selecting ``columns`` right away keeps the ReadSchema narrow.
+
+    The relation (file listing + footer schema) is built once per session and path and
+    reused by later queries; call ``refresh_tables()`` after the files change."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    hit = _SCANS.get(path)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, spark.read.parquet(path))
+        _SCANS[path] = hit
+    df = hit[1]
     return df.select(*columns) if columns else df
 
 
+def refresh_tables() -> None:
+    _SCANS.clear()
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin spread of a scan that yields fewer partitions than there are cores.
 
