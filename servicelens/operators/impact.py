@@ -41,6 +41,30 @@ def asset_sla_status(scored_tickets: DataFrame, pattern: str = ASSET_TOKEN,
                         .otherwise(F.lit("healthy"))))
 
 
+def asset_sla_status_contains(scored_tickets: DataFrame, assets: DataFrame, max_assets: int = 10_000,
+                              pattern: str = ASSET_TOKEN, p: str = "breach_probability") -> DataFrame:
+    """C4 with the source's *substring* semantics ('AST-1' also matches 'AST-10').
+
+    Only possible as a broadcast nested-loop join on ``contains``, so it is used only
+    when a bounded count proves the asset list has at most ``max_assets`` rows;
+    otherwise it falls back to the token join of ``asset_sla_status`` (exact ids)."""
+    from .util import broadcast_if_small
+    a = assets.select("asset_id").distinct()
+    small = broadcast_if_small(a, max_assets)
+    if small is a:  # not proven small: no cartesian-shaped plan on a large side
+        return asset_sla_status(scored_tickets, pattern, p)
+    text = F.concat_ws(" ", F.col("title"), F.col("description"))
+    t = scored_tickets.select(text.alias("_text"), F.col(p).alias("_p"))
+    m = t.join(small, F.col("_text").contains(F.col("asset_id")), "inner")
+    return (m.groupBy("asset_id")
+            .agg(F.avg("_p").alias("avg_breach_probability"),
+                 F.sum((F.col("_p") >= 0.7).cast("long")).alias("at_risk_services"),
+                 F.sum((F.col("_p") < 0.7).cast("long")).alias("healthy_services"),
+                 F.count(F.lit(1)).alias("total_services"))
+            .withColumn("overall_status", F.when(F.col("avg_breach_probability") >= 0.5, F.lit("at_risk"))
+                        .otherwise(F.lit("healthy"))))
+
+
 def _raise(level: Column) -> Column:
     return F.when(level == "low", F.lit("medium")).when(level == "medium", F.lit("high")).otherwise(level)
 
@@ -100,7 +124,9 @@ def optimization_decisions(requests: DataFrame, asset_status: DataFrame) -> Data
         F.sum((lv == "medium").cast("long")).alias("medium_risk_assets"),
         # factors of high-risk assets only, in asset order (bounded by the request's asset list)
         F.array_sort(F.collect_list(F.when(lv == "high", F.struct("asset_pos", F.col("impact.factors").alias("f")))))
-        .alias("_hf"))
+        .alias("_hf"),
+        F.array_sort(F.collect_list(F.when(lv == "high", F.struct("asset_pos", "asset_id")))).alias("_ha"),
+        F.array_sort(F.collect_list(F.when(lv == "medium", F.struct("asset_pos", "asset_id")))).alias("_ma"))
     overall = (F.when(F.col("high_risk_assets") > 0, F.lit("high"))
                .when(F.col("medium_risk_assets") > 3, F.lit("medium")).otherwise(F.lit("low")))
     savings = F.col("potential_savings")
@@ -120,11 +146,14 @@ def optimization_decisions(requests: DataFrame, asset_status: DataFrame) -> Data
             .withColumn("overall_risk_level", overall)
             .withColumn("approval_recommended", overall != "high")
             .withColumn("risk_factors", F.flatten(F.transform("_hf", lambda x: x["f"])))
+            # Affected services = high-risk list followed by the medium-risk list
+            .withColumn("affected_services", F.concat(F.transform("_ha", lambda x: x["asset_id"]),
+                                                      F.transform("_ma", lambda x: x["asset_id"])))
             .withColumn("approved", approved)
             .withColumn("approval_level", level)
             .withColumn("conditions", conditions)
             .withColumn("reasoning", reasoning)
-            .drop("_hf"))
+            .drop("_hf", "_ha", "_ma"))
 
 
 def service_change_risk(change_type: Column, p: Column) -> Column:

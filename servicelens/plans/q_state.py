@@ -155,7 +155,7 @@ crh AS (
   FROM crl
 ),
 per_asset AS (
-  SELECT optimization_id, asset_pos, any_value(potential_savings) AS potential_savings,
+  SELECT optimization_id, asset_pos, any_value(asset_id) AS asset_id, any_value(potential_savings) AS potential_savings,
     CASE WHEN bool_or(level = 'high') THEN 'high' WHEN bool_or(level = 'medium') THEN 'medium' ELSE 'low' END AS alevel,
     flatten(list(CASE WHEN level = 'high' OR (level = 'medium' AND NOT high_before) THEN factors END
                  ORDER BY change_idx) FILTER (WHERE level = 'high' OR (level = 'medium' AND NOT high_before)))
@@ -170,7 +170,9 @@ g AS (
   SELECT optimization_id, any_value(potential_savings) AS potential_savings,
     count(*) FILTER (WHERE alevel = 'high') AS high_risk_assets,
     count(*) FILTER (WHERE alevel = 'medium') AS medium_risk_assets,
-    coalesce(flatten(list(afactors ORDER BY asset_pos) FILTER (WHERE alevel = 'high')), []) AS risk_factors
+    coalesce(flatten(list(afactors ORDER BY asset_pos) FILTER (WHERE alevel = 'high')), []) AS risk_factors,
+    coalesce(list(asset_id ORDER BY asset_pos) FILTER (WHERE alevel = 'high'), [])
+      || coalesce(list(asset_id ORDER BY asset_pos) FILTER (WHERE alevel = 'medium'), []) AS affected
   FROM per_asset GROUP BY optimization_id
 ),
 h AS (
@@ -180,7 +182,7 @@ h AS (
 SELECT optimization_id, high_risk_assets, medium_risk_assets, o AS overall_risk_level,
   CASE WHEN o = 'high' THEN false WHEN o = 'medium' THEN potential_savings > 100000 ELSE true END AS approved,
   CASE WHEN o = 'medium' AND potential_savings > 100000 THEN 'conditional' ELSE 'automatic' END AS approval_level,
-  array_to_string(risk_factors, '; ') AS risk_factors,
+  array_to_string(risk_factors, '; ') AS risk_factors, array_to_string(affected, ',') AS affected_services,
   CASE WHEN o = 'high' THEN 'High SLA risk identified'
        WHEN o = 'medium' AND potential_savings > 100000 THEN 'Medium risk acceptable due to high savings'
        WHEN o = 'medium' THEN 'Medium risk not justified by savings amount' ELSE 'Low SLA risk identified' END
@@ -191,7 +193,8 @@ def q_optimization_decisions(spark, sf_dir):
     a = I.asset_sla_status(scoring.sla_metrics(fx.tickets(spark, sf_dir)))
     d = I.optimization_decisions(fx.change_requests(spark, sf_dir), a)
     return d.select("optimization_id", "high_risk_assets", "medium_risk_assets", "overall_risk_level", "approved",
-                    "approval_level", F.array_join("risk_factors", "; ").alias("risk_factors"), "reasoning")
+                    "approval_level", F.array_join("risk_factors", "; ").alias("risk_factors"),
+                    F.array_join("affected_services", ",").alias("affected_services"), "reasoning")
 
 
 @query("license_change_decisions", oracle=f"""
