@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
-from .util import global_rank
+from .util import global_rank, with_scalars
 
 
 def what_next_queue(scored: DataFrame, actions_col: str = "recommended_actions", k: int | None = 20,
@@ -44,7 +44,7 @@ def ops_kpis(scored: DataFrame, p: str = "breach_probability", actions: DataFram
     if actions is not None:
         a = actions.agg(F.count(F.lit(1)).alias("_na"),
                         F.sum(F.coalesce(F.col("success"), F.lit(True)).cast("long")).alias("_ok"))
-        out = out.crossJoin(a).withColumn(
+        out = with_scalars(out, a).withColumn(
             "automation_success_rate",
             F.when(F.col("_na") > 0, F.col("_ok").cast("double") / F.col("_na") * 100.0).otherwise(F.lit(0.0))
         ).drop("_na", "_ok")

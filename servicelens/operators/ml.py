@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import DEFAULT_AS_OF
 from ..functions import rules as R
 from ..functions.columns import lookup, minutes_between, ts_literal
+from .util import with_scalars
 
 FEATURES = ["priority_f", "category_code", "elapsed_minutes", "response_remaining", "resolution_remaining",
             "hour_of_day", "day_of_week", "technician_load", "historical_breach_rate", "category_avg_resolution"]
@@ -25,10 +26,10 @@ CATEGORY_CODES = {"hardware": 0, "software": 1, "infrastructure": 2, "access": 3
 
 def model_features(scored: DataFrame, load: DataFrame) -> DataFrame:
     """The ten training features of the retraining stub, from scored tickets plus the
-    one-row system load (broadcast; one row by construction)."""
+    one-row system load (a scalar subquery)."""
     cat = F.col("category")
     d = R.CATEGORY_STATS[R.DEFAULT_CATEGORY_STATS]
-    return (scored.crossJoin(F.broadcast(load.select(F.col("technician_utilization").alias("technician_load"))))
+    return (with_scalars(scored, load.select(F.col("technician_utilization").alias("technician_load")))
             .withColumn("priority_f", F.coalesce(F.col("priority"), F.lit(R.DEFAULT_PRIORITY)).cast("double"))
             .withColumn("category_code", lookup(cat, CATEGORY_CODES, 5).cast("double"))
             .withColumn("hour_of_day", F.hour("created_at").cast("double"))

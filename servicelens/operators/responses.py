@@ -98,7 +98,8 @@ def _parse_batches(key: str, raw: str):
     def fn(batches):
         for pdf in batches:
             res = [parse_one(r) for r in pdf[raw].tolist()]
-            yield pd.DataFrame({key: pdf[key], "parse_stage": [r[0] for r in res], "json_text": [r[1] for r in res]})
+            yield pd.DataFrame({key: pdf[key], raw: pdf[raw], "parse_stage": [r[0] for r in res],
+                                "json_text": [r[1] for r in res]})
     return fn
 
 
@@ -118,10 +119,11 @@ ANALYSIS_SCHEMA = T.StructType([
 
 def parse_responses(df: DataFrame, key: str = "id", raw: str = "raw") -> DataFrame:
     """H14 + H15: parse stage per response, then the nested struct via ``from_json``."""
-    schema = T.StructType([df.schema[key], T.StructField("parse_stage", T.StringType()),
+    schema = T.StructType([df.schema[key], df.schema[raw], T.StructField("parse_stage", T.StringType()),
                            T.StructField("json_text", T.StringType())])
     parsed = df.select(key, raw).mapInPandas(_parse_batches(key, raw), schema)
-    return parsed.withColumn("analysis", F.from_json("json_text", ANALYSIS_SCHEMA)).join(df, key)
+    # the raw text is passed through the batch function (no join back to the input)
+    return parsed.withColumn("analysis", F.from_json("json_text", ANALYSIS_SCHEMA))
 
 
 # FIXED VALUES — scrape fallback (department names in mention order, keyword lists,

@@ -15,7 +15,7 @@ from .. import DEFAULT_AS_OF
 from ..functions import rules as R
 from ..functions.columns import (actions_for, breach_bucket, clamp, ladder, lookup, minutes_between, present,
                                  sla_status, time_to_breach, ts_literal)
-from .util import broadcast_if_small
+from .util import broadcast_if_small, with_scalars
 
 _RESP = {p: v[0] for p, v in R.SLA_THRESHOLDS.items()}
 _RESOL = {p: v[1] for p, v in R.SLA_THRESHOLDS.items()}
@@ -155,14 +155,12 @@ def breach_features_15(scored: DataFrame) -> DataFrame:
     """B6 with C2 (category stats, default hardware) and C3 (one-row system load).
 
     Category stats are four literal rows: a CASE chain, no join.  The system load
-    is a one-row global aggregate, attached with a broadcast cross join (its size
-    is one row by construction, so the broadcast is bounded).
+    is a one-row global aggregate, attached as scalar subqueries (no join).
     """
     d = R.CATEGORY_STATS[R.DEFAULT_CATEGORY_STATS]
     cat = F.col("category")
     stats = [lookup(cat, {k: v[i] for k, v in R.CATEGORY_STATS.items()}, d[i]) for i in range(3)]
-    load = F.broadcast(system_load(scored))
-    df = scored.crossJoin(load)
+    df = with_scalars(scored, system_load(scored))
     flag = lambda c: c.cast("double")
     feats = F.array(
         F.coalesce(F.col("priority"), F.lit(R.DEFAULT_PRIORITY)).cast("double"),

@@ -16,6 +16,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row as scalar subqueries:
+    computed once (Spark merges subqueries over the same plan), no join."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+
+
 def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
     """Dense 1..N position over a total order without a single-partition window.

@@ -11,6 +11,7 @@ from ..operators import impact as I
 from ..operators import kpi as K
 from ..operators import scoring
 from ..operators import text as T
+from ..operators.util import with_scalars
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import sqlfix as S
@@ -231,4 +232,4 @@ def q_dashboard_kpis(spark, sf_dir):
     sav = dec.agg(F.round(F.sum(F.when(F.col("approved"), F.col("potential_savings"))), 2).alias("total_actual_savings"))
     comp = scored.agg(F.round(F.avg((~F.col("sla_status").isin("AT_RISK", "BREACH_IMMINENT")).cast("double")), 6)
                       .alias("sla_compliance"))
-    return l1.crossJoin(sav).crossJoin(comp)
+    return with_scalars(with_scalars(l1, sav), comp)

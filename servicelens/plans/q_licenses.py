@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import licenses as L
 from ..operators import procurement as P
+from ..operators.util import with_scalars
 from ..sources import fixtures as fx
 from . import sqlfix as S
 from .registry import query
@@ -106,7 +107,7 @@ FROM a CROSS JOIN c
 """)
 def q_portfolio_summary(spark, sf_dir):
     lic = _lic_shared(spark, sf_dir)
-    m = L.portfolio_metrics(lic).crossJoin(L.vendor_concentration(lic))
+    m = with_scalars(L.portfolio_metrics(lic), L.vendor_concentration(lic))
     r2 = lambda c: F.round(c, 2).alias(c)
     return m.select("total_assets", r2("total_cost"), "total_licenses", "total_used", r2("optimization_potential"),
                     r2("optimization_potential_agent"), "unique_vendors", "renewals_due", "underutilized_count",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.columns import fmt_ts, r6
 from ..operators import kpi, scoring
+from ..operators.util import with_scalars
 from ..sources import fixtures as fx
 from . import sqlfix as S
 from .registry import query
@@ -336,7 +337,7 @@ def q_ops_kpis(spark, sf_dir):
     s = scoring.sla_metrics_category_adjusted(fx.tickets(spark, sf_dir))
     k = kpi.ops_kpis(s)
     avg = s.agg(r6(F.avg("breach_probability")).alias("avg_breach_probability"))
-    return k.crossJoin(avg).select("total_tickets", "at_risk_tickets", "healthy_tickets",
+    return with_scalars(k, avg).select("total_tickets", "at_risk_tickets", "healthy_tickets",
                                    r6("sla_compliance").alias("sla_compliance"), "avg_breach_probability")
 
 
@@ -506,4 +507,4 @@ def q_prediction_event_tickets(spark, sf_dir):
     ok, rej = T.join_events_to_tickets(ev, s)
     g = ok.groupBy("category").agg(F.count(F.lit(1)).alias("events"),
                                    r6(F.avg("breach_probability")).alias("avg_breach_probability"))
-    return g.crossJoin(rej.agg(F.count(F.lit(1)).alias("rejected")))
+    return with_scalars(g, rej.agg(F.count(F.lit(1)).alias("rejected")))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions.columns import fmt_ts
 from ..operators import text as T
+from ..operators.util import with_scalars
 from ..sources import fixtures as fx
 from . import sqlfix as S
 from .registry import query
@@ -290,7 +291,7 @@ def q_email_intake_stats(spark, sf_dir):
                   cnt(_EMAIL_KW).alias("tickets_created"),
                   cnt(R.SUPPORT_KEYWORDS_BASE).alias("base_support"),
                   cnt(R.SUPPORT_KEYWORDS_BASE + R.SUPPORT_KEYWORDS_LIVE_EXTRA).alias("live_support"))
-    return received.crossJoin(stats)
+    return with_scalars(stats, received)
 
 
 # ---------------------------------------------------------------------------
