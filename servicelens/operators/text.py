@@ -325,15 +325,19 @@ REPLY_DEFAULT_EN = "I'd be happy to help you! Please provide more details about
 REPLY_DEFAULT_HI = "मुझे खुशी होगी आपकी सहायता करने में। कृपया अपना प्रश्न और विस्तार से बताएं।"
 
 
+_REPLY_PREFIX_RE = "^" + "".join(f"(?:\\Q{p}\\E{_WS}*)?" for p in REPLY_PREFIXES)
+
+
 def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
 
 
 def clean_reply(text: Column, language: Column) -> Column:
     """Strip, remove known prefixes in order, cut at 1000 + '...', default by language."""
-    r = strip_ws(text)
-    for pre in REPLY_PREFIXES:
-        r = F.when(r.startswith(pre), strip_ws(F.substring(r, len(pre) + 1, 1 << 30))).otherwise(r)
+    # The prefixes are stripped in list order, each at most once, each followed by a
+    # strip: one anchored pattern of optional groups does the same in a single pass
+    # (a nested CASE per prefix would repeat the whole chain three times per level).
+    r = F.regexp_replace(strip_ws(text), _REPLY_PREFIX_RE, "")
     r = F.when(F.length(r) > 1000, F.concat(F.substring(r, 1, 1000), F.lit("..."))).otherwise(r)
     return F.when(F.length(r) == 0, F.when(language == "hi", F.lit(REPLY_DEFAULT_HI))
                   .otherwise(F.lit(REPLY_DEFAULT_EN))).otherwise(r)

@@ -56,10 +56,20 @@ def _ticket_defaults(priority: Column, status: Column, category: Column) -> list
             F.coalesce(category, F.lit("general")).alias("category")]
 
 
+def parsed_once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add expensive per-row expressions (JSON parses) as columns computed exactly once.
+
+    A filter on a projected column is pushed below the projection with the expression
+    inlined, so a parse used by both a filter and a select would run twice per record.
+    Generator output cannot be inlined, so the expressions are emitted through
+    ``inline_outer`` of a one-element array (one output row per input row)."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def decode_change_feed(raw: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """A1: keep INSERT / MODIFY, unwrap the typed NewImage attributes, apply defaults.
     Returns (tickets, rejects) — rejects are REMOVE events and records that do not parse."""
-    rec = raw.withColumn("_r", F.from_json(F.col(col), CHANGE_RECORD_SCHEMA))
+    rec = parsed_once(raw, _r=F.from_json(F.col(col), CHANGE_RECORD_SCHEMA))
     img = F.col("_r.dynamodb.NewImage")
     a = lambda k: F.coalesce(img[k]["S"], img[k]["N"])
     ok = F.col("_r.eventName").isin("INSERT", "MODIFY") & img.isNotNull()
@@ -78,12 +88,13 @@ def decode_queue_json(raw: DataFrame, col: str = "body") -> tuple[DataFrame, Dat
     inner = F.from_json(body, wrapped)["ticket"]
     bare = F.from_json(body, TICKET_JSON_SCHEMA)
     valid = F.get_json_object(body, "$").isNotNull() & body.startswith("{")
-    t = F.when(inner.isNotNull(), inner).otherwise(bare)
-    decoded = raw.filter(valid).withColumn("_t", t).select(
+    p = parsed_once(raw, _valid=valid, _inner=inner, _bare=bare)
+    t = F.when(F.col("_inner").isNotNull(), F.col("_inner")).otherwise(F.col("_bare"))
+    decoded = p.filter(F.col("_valid")).withColumn("_t", t).select(
         "_t.ticket_id", "_t.title", "_t.description",
         *_ticket_defaults(F.col("_t.priority"), F.col("_t.status"), F.col("_t.category")),
         _iso_ts(F.col("_t.created_at")).alias("created_at"))
-    return decoded, raw.filter(~F.coalesce(valid, F.lit(False)))
+    return decoded, p.filter(~F.coalesce(F.col("_valid"), F.lit(False))).drop("_valid", "_inner", "_bare")
 
 
 BUS_DETAIL_SCHEMAS = {
@@ -122,18 +133,21 @@ def decode_bus_event(raw: DataFrame, detail_type: str, col: str = "value") -> Da
 def unify_shapes(raw: DataFrame, col: str = "value") -> DataFrame:
     """A4: three envelope shapes — queue batch ({"Records": [{"body": ...}]}), bus
     event ({"detail": {...}}) and a bare ticket — as one ticket table.  Each shape is
-    its own projection; ``unionByName`` keeps one schema."""
+    one pass over the input: every envelope becomes a list of ticket texts (the record
+    bodies, the detail, or the value itself), exploded and parsed once."""
     v = F.col(col)
-    records = F.from_json(F.get_json_object(v, "$.Records"), T.ArrayType(T.StructType([
-        T.StructField("body", T.StringType())])))
-    is_rec = F.get_json_object(v, "$.Records").isNotNull()
-    is_bus = F.get_json_object(v, "$.detail").isNotNull()
-    from_records = raw.filter(is_rec).select(F.explode(records).alias("_r")).select(
-        F.from_json(F.col("_r.body"), TICKET_JSON_SCHEMA).alias("_t"))
-    from_bus = raw.filter(~is_rec & is_bus).select(
-        F.from_json(F.get_json_object(v, "$.detail"), TICKET_JSON_SCHEMA).alias("_t"))
-    bare = raw.filter(~is_rec & ~is_bus).select(F.from_json(v, TICKET_JSON_SCHEMA).alias("_t"))
-    u = from_records.unionByName(from_bus).unionByName(bare)
+    _v = F.col("_v")
+    g = parsed_once(raw.select(v.alias("_v")), _recs=F.get_json_object(_v, "$.Records"),
+                    _detail=F.get_json_object(_v, "$.detail"))
+    bodies = (F.when(F.col("_recs").isNotNull(),
+                     F.from_json("_recs", T.ArrayType(T.StructType([T.StructField("body", T.StringType())])))
+                     .getField("body"))
+              .when(F.col("_detail").isNotNull(), F.array(F.col("_detail")))
+              .otherwise(F.array(F.col("_v"))))
+    # posexplode_outer + pos filter: keeps null elements, drops only empty / unparsed
+    # record lists, and (unlike explode) adds no inferred size filter below the parse
+    u = (g.select(F.posexplode_outer(bodies).alias("_pos", "_body")).filter(F.col("_pos").isNotNull())
+         .select(F.from_json("_body", TICKET_JSON_SCHEMA).alias("_t")))
     return u.select("_t.ticket_id", *_ticket_defaults(F.col("_t.priority"), F.col("_t.status"),
                                                       F.col("_t.category")),
                     _iso_ts(F.col("_t.created_at")).alias("created_at"))
