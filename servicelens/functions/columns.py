@@ -1,7 +1,16 @@
-"""Column builders: every rule becomes a native Catalyst expression (no UDFs)."""
+"""Column builders: every rule becomes a native Catalyst expression (no UDFs).
+
+A rule table with hundreds of keywords would cost one Py4J round trip per literal and
+per ``when`` when built through the Column API.  When the inputs are plain column
+references and every literal has a safe SQL spelling, the same CASE / ``contains``
+expression is written as SQL text and handed to ``F.expr`` in one call; otherwise
+the Column API builds it.  Both routes give the same Catalyst expression.
+"""
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -10,10 +19,61 @@ from pyspark.sql import functions as F
 from . import rules as R
 
 
+class SqlText(str):
+    """A trusted SQL expression fragment, usable wherever a column is expected."""
+
+
 def as_col(c) -> Column:
+    if isinstance(c, SqlText):
+        return F.expr(c)
     return F.col(c) if isinstance(c, str) else c
 
 
+_IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
+
+
+def sql_ref(c) -> str | None:
+    """Back-quoted name of a plain column reference (a name or ``F.col(name)``), the text
+    of a ``SqlText`` in parentheses, else None."""
+    if isinstance(c, SqlText):
+        return f"({c})"
+    if isinstance(c, str):
+        name = c
+    else:
+        node = c._jc.node()
+        if node.getClass().getSimpleName() != "UnresolvedAttribute":
+            return None
+        name = node.sql()
+    return f"`{name}`" if _IDENT.match(name) else None
+
+
+def sql_lit(v) -> str | None:
+    """SQL spelling with the same type as ``F.lit(v)``; None when there is no safe one."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return str(v) if -(1 << 31) <= v < (1 << 31) else f"{v}L"
+    if isinstance(v, float):
+        return f"{v!r}D" if math.isfinite(v) else None
+    if isinstance(v, str) and "'" not in v and "\\" not in v and "\n" not in v:
+        return f"'{v}'"
+    return None
+
+
+def _lits(*values) -> list[str] | None:
+    out = [sql_lit(v) for v in values]
+    return None if any(x is None for x in out) else out
+
+
+def _sql_contains_any(t: str, words: Sequence[str]) -> str | None:
+    ws = _lits(*words)
+    if ws is None:
+        return None
+    return "(" + " OR ".join(f"contains({t}, {w})" for w in ws) + ")" if ws else "FALSE"
+
+
 def ts_literal(as_of: str) -> Column:
     """``as_of`` as a TIMESTAMP_NTZ literal (wall-clock, independent of session zone)."""
     return F.lit(as_of).cast("timestamp_ntz")
@@ -26,6 +86,10 @@ def minutes_between(start, end) -> Column:
 
 def ladder(value, steps: Sequence[tuple], default) -> Column:
     """``value >= threshold`` ladder, highest threshold first."""
+    ref, ls = sql_ref(value), _lits(*[x for st in steps for x in st], default)
+    if ref is not None and ls is not None:
+        whens = " ".join(f"WHEN {ref} >= {ls[2 * i]} THEN {ls[2 * i + 1]}" for i in range(len(steps)))
+        return F.expr(f"CASE {whens} ELSE {ls[-1]} END")
     v = as_col(value)
     expr = None
     for threshold, label in steps:
@@ -40,6 +104,10 @@ def clamp(value, lo: float, hi: float) -> Column:
 
 def lookup(key, mapping: dict, default=None) -> Column:
     """Literal map lookup ``mapping.get(key, default)`` compiled to a CASE chain."""
+    ref, ls = sql_ref(key), _lits(*[x for kv in mapping.items() for x in kv], default)
+    if ref is not None and ls is not None:
+        whens = " ".join(f"WHEN {ref} = {ls[2 * i]} THEN {ls[2 * i + 1]}" for i in range(len(mapping)))
+        return F.expr(f"CASE {whens} ELSE {ls[-1]} END")
     k = as_col(key)
     expr = None
     for mk, mv in mapping.items():
@@ -68,6 +136,11 @@ def time_to_breach(p, response_remaining, resolution_remaining) -> Column:
 
 
 def contains_any(text_lower, words: Iterable[str]) -> Column:
+    words = list(words)
+    ref = sql_ref(text_lower)
+    sql = _sql_contains_any(ref, words) if ref is not None else None
+    if sql is not None:
+        return F.expr(sql)
     t = as_col(text_lower)
     expr = None
     for w in words:
@@ -78,6 +151,13 @@ def contains_any(text_lower, words: Iterable[str]) -> Column:
 
 def first_match(text_lower, rule_set: Sequence[tuple], default) -> Column:
     """Ordered classes; the first class with any keyword present wins."""
+    ref = sql_ref(text_lower)
+    if ref is not None:
+        conds = [_sql_contains_any(ref, list(words)) for _, words in rule_set]
+        ls = _lits(*[label for label, _ in rule_set], default)
+        if ls is not None and all(c is not None for c in conds):
+            whens = " ".join(f"WHEN {c} THEN {lab}" for c, lab in zip(conds, ls))
+            return F.expr(f"CASE {whens} ELSE {ls[-1]} END")
     expr = None
     for label, words in rule_set:
         cond = contains_any(text_lower, words)
@@ -87,13 +167,30 @@ def first_match(text_lower, rule_set: Sequence[tuple], default) -> Column:
 
 def keyword_score(text_lower, words: Iterable[str]) -> Column:
     """Number of distinct keywords present."""
+    sql = _sql_keyword_score(sql_ref(text_lower), words)
+    if sql is not None:
+        return F.expr(sql)
     t = as_col(text_lower)
     return sum((t.contains(F.lit(w)).cast("int") for w in dict.fromkeys(words)), F.lit(0))
 
 
+def _sql_keyword_score(ref: str | None, words: Iterable[str]) -> str | None:
+    ws = _lits(*dict.fromkeys(words))
+    if ref is None or ws is None:
+        return None
+    return "(" + " + ".join(["0"] + [f"CAST(contains({ref}, {w}) AS INT)" for w in ws]) + ")"
+
+
 def scored_match(text_lower, rule_set: Sequence[tuple], default) -> Column:
     """Argmax of distinct keyword hits; ties go to the first listed class; all zero -> default."""
     n = len(rule_set)
+    ref = sql_ref(text_lower)
+    scores = [_sql_keyword_score(ref, words) for _, words in rule_set]
+    ls = _lits(*[label for label, _ in rule_set], default)
+    if ls is not None and all(x is not None for x in scores):
+        cands = [f"named_struct('s', {sc}, 'o', {n - i}, 'l', {ls[i]})" for i, sc in enumerate(scores)]
+        best = f"greatest({', '.join(cands)})" if len(cands) > 1 else cands[0]
+        return F.expr(f"CASE WHEN {best}.s > 0 THEN {best}.l ELSE {ls[-1]} END")
     candidates = [
         F.struct(keyword_score(text_lower, words).alias("s"), F.lit(n - i).alias("o"), F.lit(label).alias("l"))
         for i, (label, words) in enumerate(rule_set)
@@ -112,6 +209,9 @@ def present(pairs) -> Column:
 
 def actions_for(rule_rows: Sequence[tuple], p, category, priority, text_lower=None) -> Column:
     """Array of recommended actions in rule order, duplicates removed (first kept)."""
+    sql = _sql_actions(rule_rows, p, category, priority, text_lower)
+    if sql is not None:
+        return F.expr(sql)
     pc, cc, prc = as_col(p), as_col(category), as_col(priority)
     parts = []
     for min_p, cat, max_prio, word, action in rule_rows:
@@ -128,6 +228,38 @@ def actions_for(rule_rows: Sequence[tuple], p, category, priority, text_lower=No
     return F.array_distinct(present(parts))
 
 
+def sql_present(pairs: Sequence[tuple[str, str]]) -> str:
+    """SQL form of ``present``: (condition SQL, value SQL) pairs -> array of the values
+    whose condition holds, in order."""
+    parts = [f"CASE WHEN coalesce({c}, FALSE) THEN array({v}) ELSE CAST(array() AS ARRAY<STRING>) END"
+             for c, v in pairs]
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+
+def _sql_actions(rule_rows, p, category, priority, text_lower) -> str | None:
+    refs = {"p": sql_ref(p), "c": sql_ref(category), "pr": sql_ref(priority),
+            "t": sql_ref(text_lower) if text_lower is not None else None}
+    pairs = []
+    for min_p, cat, max_prio, word, action in rule_rows:
+        conds = ["TRUE"]
+        for ref, op, v in (("p", ">=", min_p), ("c", "=", cat), ("pr", "<=", max_prio)):
+            if v is not None:
+                lv = sql_lit(v)
+                if refs[ref] is None or lv is None:
+                    return None
+                conds.append(f"({refs[ref]} {op} {lv})")
+        if word is not None:
+            lw = sql_lit(word)
+            if refs["t"] is None or lw is None:
+                return None
+            conds.append(f"contains({refs['t']}, {lw})")
+        la = sql_lit(action)
+        if la is None:
+            return None
+        pairs.append((" AND ".join(conds), la))
+    return f"array_distinct({sql_present(pairs)})"
+
+
 def fmt_ts(c) -> Column:
     return F.date_format(as_col(c), "yyyy-MM-dd HH:mm:ss")
 

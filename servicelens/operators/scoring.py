@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
 from ..functions import rules as R
-from ..functions.columns import (actions_for, breach_bucket, clamp, ladder, lookup, minutes_between, present,
-                                 sla_status, time_to_breach, ts_literal)
+from ..functions.columns import (SqlText, actions_for, as_col, breach_bucket, clamp, ladder, lookup,
+                                 minutes_between, present, sla_status, time_to_breach, ts_literal)
 from .util import broadcast_if_small, with_scalars
 
 _RESP = {p: v[0] for p, v in R.SLA_THRESHOLDS.items()}
@@ -32,7 +32,7 @@ def with_thresholds(tickets: DataFrame, thresholds: DataFrame | None = None) ->
     ``thresholds`` (priority int, response_min double, resolution_min double) is a
     configuration table; it is broadcast only when its row count is under the bound.
     """
-    prio = F.coalesce(F.col("priority"), F.lit(R.DEFAULT_PRIORITY))
+    prio = SqlText(f"coalesce(`priority`, {R.DEFAULT_PRIORITY})")
     if thresholds is None:
         resp, resol = _threshold_cols(prio)
         return tickets.withColumn("response_threshold", resp).withColumn("resolution_threshold", resol)
@@ -41,7 +41,7 @@ def with_thresholds(tickets: DataFrame, thresholds: DataFrame | None = None) ->
         F.col("priority").alias("_th_priority"),
         F.col("response_min").alias("_th_resp"),
         F.col("resolution_min").alias("_th_resol")), max_rows=10_000)
-    joined = tickets.join(th, prio == F.col("_th_priority"), "left")
+    joined = tickets.join(th, as_col(prio) == F.col("_th_priority"), "left")
     return (joined
             .withColumn("response_threshold", F.coalesce("_th_resp", F.lit(d_resp)))
             .withColumn("resolution_threshold", F.coalesce("_th_resol", F.lit(d_resol)))
@@ -200,8 +200,8 @@ def combine_predictions(df: DataFrame, rule_col: str = "breach_probability") ->
             .withColumn("time_to_breach", time_to_breach(F.col("final_breach_probability"),
                                                          F.col("response_remaining"), F.col("resolution_remaining")))
             .withColumn("recommended_actions",
-                        actions_for(R.ACTIONS_BASE, F.col("final_breach_probability"), F.col("category"),
-                                    F.coalesce(F.col("priority"), F.lit(R.DEFAULT_PRIORITY))))
+                        actions_for(R.ACTIONS_BASE, "final_breach_probability", "category",
+                                    SqlText(f"coalesce(`priority`, {R.DEFAULT_PRIORITY})")))
             .withColumn("trigger_action", F.col("final_breach_probability") >= R.ACTION_THRESHOLD))
 
 
@@ -288,8 +288,8 @@ def quicksight_flags(df: DataFrame, revenue: str = "revenue_impact", p: str = "b
 def actions_for_rules(rule_rows, p: str, category: str = "category", priority: str = "priority",
                       text_lower: Column | None = None) -> Column:
     """Recommended-action array for one of the rule tables in ``rules``."""
-    return actions_for(rule_rows, F.col(p), F.col(category),
-                       F.coalesce(F.col(priority), F.lit(R.DEFAULT_PRIORITY)), text_lower)
+    return actions_for(rule_rows, p, category, SqlText(f"coalesce(`{priority}`, {R.DEFAULT_PRIORITY})"),
+                       text_lower)
 
 
 def time_to_breach_col(df: DataFrame, p: str = "breach_probability") -> DataFrame:

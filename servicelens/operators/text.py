@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
 from ..functions import rules as R
-from ..functions.columns import (as_col, contains_any, first_match, lookup, present, scored_match, title_case,
-                                 ts_literal)
+from ..functions.columns import (as_col, contains_any, first_match, lookup, present, scored_match, sql_lit,
+                                 sql_present, sql_ref, title_case, ts_literal)
 
 LT = "_lt"  # lower-cased text column used by the classifiers
 
@@ -25,12 +25,22 @@ def with_lower(df: DataFrame, text: str | Column) -> DataFrame:
 
 def locations_all(text_lower: Column, gazetteer=R.GAZETTEER) -> Column:
     """H4: every gazetteer hit in list order, title case, ', '-joined, or 'Not specified'."""
+    ref, ls = sql_ref(text_lower), [(sql_lit(g), sql_lit(g.title())) for g in gazetteer]
+    none = sql_lit(R.LOCATION_NONE)
+    if ref is not None and none is not None and all(a and b for a, b in ls):
+        hits = sql_present([(f"contains({ref}, {a})", b) for a, b in ls])
+        return F.expr(f"CASE WHEN size({hits}) > 0 THEN array_join({hits}, ', ') ELSE {none} END")
     hits = present([(text_lower.contains(loc), F.lit(loc.title())) for loc in gazetteer])
     return F.when(F.size(hits) > 0, F.array_join(hits, ", ")).otherwise(F.lit(R.LOCATION_NONE))
 
 
 def location_first(text_lower: Column, gazetteer=R.LOCATIONS_NLAPI) -> Column:
     """H4 first-hit variant."""
+    ref, ls = sql_ref(text_lower), [(sql_lit(g), sql_lit(g.title())) for g in gazetteer]
+    none = sql_lit(R.LOCATION_NONE)
+    if ref is not None and none is not None and all(a and b for a, b in ls):
+        whens = " ".join(f"WHEN contains({ref}, {a}) THEN {b}" for a, b in ls)
+        return F.expr(f"CASE {whens} ELSE {none} END")
     expr = None
     for loc in gazetteer:
         c = text_lower.contains(loc)
@@ -58,6 +68,12 @@ def urgency_level_from_words(text_lower: Column) -> Column:
 
 def urgency_score(text_lower: Column) -> Column:
     """H3: max(base 5, weight of every present word), at most 10."""
+    ref = sql_ref(text_lower)
+    ls = [(sql_lit(w), sql_lit(v)) for w, v in R.URGENCY_WORDS]
+    base, top = sql_lit(R.URGENCY_BASE), sql_lit(R.URGENCY_MAX)
+    if ref is not None and base and top and all(a and b for a, b in ls):
+        ws = ", ".join(f"CASE WHEN contains({ref}, {a}) THEN {b} ELSE {base} END" for a, b in ls)
+        return F.expr(f"least(greatest({base}, {ws}), {top})")
     weights = [F.when(text_lower.contains(w), F.lit(v)).otherwise(F.lit(R.URGENCY_BASE)) for w, v in R.URGENCY_WORDS]
     return F.least(F.greatest(F.lit(R.URGENCY_BASE), *weights), F.lit(R.URGENCY_MAX))
 
