@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .util import filter_computed
 
 
 def action_events(pred: DataFrame, actions_col: str = "recommended_actions",
@@ -18,7 +19,9 @@ def action_events(pred: DataFrame, actions_col: str = "recommended_actions",
     The known-action list is a literal ``isin`` (no join)."""
     # explode_outer + null filter: a plain explode makes Spark infer size(array) > 0
     # and push that down through the whole scoring projection (re-evaluating it)
-    exploded = (pred.filter(F.col(p) >= R.ACTION_THRESHOLD)
+    # filter_computed: the threshold reads the computed probability instead of
+    # re-evaluating the scoring chain below the projection
+    exploded = (filter_computed(pred, p, F.col(p) >= R.ACTION_THRESHOLD)
                 .select("*", F.explode_outer(F.col(actions_col)).alias("action"))
                 .filter(F.col("action").isNotNull()))
     known = F.col("action").isin(*R.KNOWN_ACTIONS)

@@ -16,6 +16,25 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def computed_once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add expensive per-row expressions (JSON parses, scores) as columns computed once.
+
+    Catalyst pushes a filter on a projected column below the projection with the
+    expression inlined, so a value used by both a filter and the output would be
+    computed twice per row.  Generator output cannot be inlined, so the expressions are
+    emitted through ``inline_outer`` of a one-element array (one output row per row)."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
+def filter_computed(df: DataFrame, col: str, cond: Column) -> DataFrame:
+    """``df.filter(cond)`` where ``cond`` reads the computed column ``col``: the column
+    is re-emitted through ``computed_once`` so the filter reads the value instead of
+    re-evaluating the expression tree behind it below the projection."""
+    tmp = f"__{col}"
+    out = computed_once(df, **{tmp: F.col(col)}).drop(col).withColumnRenamed(tmp, col)
+    return out.filter(cond).select(*df.columns)
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row as scalar subqueries:
     computed once (Spark merges subqueries over the same plan), no join."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ts_literal
+from ..operators.util import computed_once as parsed_once
 
 # typed attribute of a key-value change record: {"S": "..."} or {"N": "..."}
 _ATTR = T.StructType([T.StructField("S", T.StringType()), T.StructField("N", T.StringType())])
@@ -56,16 +57,6 @@ def _ticket_defaults(priority: Column, status: Column, category: Column) -> list
             F.coalesce(category, F.lit("general")).alias("category")]
 
 
-def parsed_once(df: DataFrame, **exprs: Column) -> DataFrame:
-    """Add expensive per-row expressions (JSON parses) as columns computed exactly once.
-
-    A filter on a projected column is pushed below the projection with the expression
-    inlined, so a parse used by both a filter and a select would run twice per record.
-    Generator output cannot be inlined, so the expressions are emitted through
-    ``inline_outer`` of a one-element array (one output row per input row)."""
-    return df.select("*", F.inline_outer(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
-
-
 def decode_change_feed(raw: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """A1: keep INSERT / MODIFY, unwrap the typed NewImage attributes, apply defaults.
     Returns (tickets, rejects) — rejects are REMOVE events and records that do not parse."""
