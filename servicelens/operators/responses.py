@@ -243,7 +243,10 @@ REC_SCHEMA = T.ArrayType(T.StructType([
 def parse_recommendations(df: DataFrame, text: str = "recommendations_json") -> DataFrame:
     """JSON array text -> one row per recommendation with defaults (.8 confidence,
     MEDIUM, 3 months); title falls back to description[:50] + '...'."""
-    recs = df.select("*", F.posexplode(F.from_json(F.col(text), REC_SCHEMA)).alias("rec_pos", "rec"))
+    # posexplode_outer + position filter: a plain posexplode would push an inferred
+    # size(from_json(...)) > 0 filter below and parse every text twice
+    recs = (df.select("*", F.posexplode_outer(F.from_json(F.col(text), REC_SCHEMA)).alias("rec_pos", "rec"))
+            .filter(F.col("rec_pos").isNotNull()))
     d = F.col("rec.description")
     return (recs.withColumn("title", F.coalesce(F.col("rec.title"),
                                                 F.concat(F.substring(F.coalesce(d, F.lit("")), 1, 50), F.lit("..."))))
