@@ -16,6 +16,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import keywords as K
 from . import rules as R
 
 
@@ -67,11 +68,25 @@ def _lits(*values) -> list[str] | None:
     return None if any(x is None for x in out) else out
 
 
+# back-quoted text column -> back-quoted column holding its keyword hits (see
+# ``keywords``); registered by the operator that adds both columns
+KEYWORD_INDEX: dict[str, str] = {}
+
+
+def sql_contains(ref: str, word: str) -> str | None:
+    """``contains(ref, word)`` as SQL; a keyword-index lookup when ``ref`` is indexed."""
+    idx = KEYWORD_INDEX.get(ref)
+    if idx is not None and word in K.WORD_ID:
+        return f"array_contains({idx}, {K.WORD_ID[word]})"
+    lw = sql_lit(word)
+    return None if lw is None else f"contains({ref}, {lw})"
+
+
 def _sql_contains_any(t: str, words: Sequence[str]) -> str | None:
-    ws = _lits(*words)
-    if ws is None:
+    parts = [sql_contains(t, w) for w in words]
+    if any(p is None for p in parts):
         return None
-    return "(" + " OR ".join(f"contains({t}, {w})" for w in ws) + ")" if ws else "FALSE"
+    return "(" + " OR ".join(parts) + ")" if parts else "FALSE"
 
 
 def ts_literal(as_of: str) -> Column:
@@ -175,10 +190,12 @@ def keyword_score(text_lower, words: Iterable[str]) -> Column:
 
 
 def _sql_keyword_score(ref: str | None, words: Iterable[str]) -> str | None:
-    ws = _lits(*dict.fromkeys(words))
-    if ref is None or ws is None:
+    if ref is None:
+        return None
+    parts = [sql_contains(ref, w) for w in dict.fromkeys(words)]
+    if any(p is None for p in parts):
         return None
-    return "(" + " + ".join(["0"] + [f"CAST(contains({ref}, {w}) AS INT)" for w in ws]) + ")"
+    return "(" + " + ".join(["0"] + [f"CAST({p} AS INT)" for p in parts]) + ")"
 
 
 def scored_match(text_lower, rule_set: Sequence[tuple], default) -> Column:
@@ -249,10 +266,10 @@ def _sql_actions(rule_rows, p, category, priority, text_lower) -> str | None:
                     return None
                 conds.append(f"({refs[ref]} {op} {lv})")
         if word is not None:
-            lw = sql_lit(word)
-            if refs["t"] is None or lw is None:
+            c = sql_contains(refs["t"], word) if refs["t"] is not None else None
+            if c is None:
                 return None
-            conds.append(f"contains({refs['t']}, {lw})")
+            conds.append(c)
         la = sql_lit(action)
         if la is None:
             return None

@@ -13,14 +13,25 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
 from ..functions import rules as R
-from ..functions.columns import (as_col, contains_any, first_match, lookup, present, scored_match, sql_lit,
-                                 sql_present, sql_ref, title_case, ts_literal)
+from ..functions import keywords as K
+from ..functions.columns import (KEYWORD_INDEX, as_col, contains_any, first_match, lookup, present, scored_match,
+                                 sql_contains, sql_lit, sql_present, sql_ref, title_case, ts_literal)
+from .util import computed_once
 
 LT = "_lt"  # lower-cased text column used by the classifiers
+LT_HITS = "_lt_hits"  # keyword ids present in it (``functions.keywords``)
+if K.AVAILABLE:
+    KEYWORD_INDEX[f"`{LT}`"] = f"`{LT_HITS}`"
 
 
 def with_lower(df: DataFrame, text: str | Column) -> DataFrame:
-    return df.withColumn(LT, F.lower(as_col(text)))
+    """Lower-case the text once and, when available, index every rule keyword in it in
+    one pass (emitted through ``computed_once``: a filter on a classifier result must
+    not re-run the index below the projection)."""
+    d = df.withColumn(LT, F.lower(as_col(text)))
+    if K.AVAILABLE:
+        d = computed_once(d, **{LT_HITS: K.keyword_hits(F.col(LT))})
+    return d
 
 
 def locations_all(text_lower: Column, gazetteer=R.GAZETTEER) -> Column:
@@ -28,7 +39,7 @@ def locations_all(text_lower: Column, gazetteer=R.GAZETTEER) -> Column:
     ref, ls = sql_ref(text_lower), [(sql_lit(g), sql_lit(g.title())) for g in gazetteer]
     none = sql_lit(R.LOCATION_NONE)
     if ref is not None and none is not None and all(a and b for a, b in ls):
-        hits = sql_present([(f"contains({ref}, {a})", b) for a, b in ls])
+        hits = sql_present([(sql_contains(ref, g), b) for g, (a, b) in zip(gazetteer, ls)])
         return F.expr(f"CASE WHEN size({hits}) > 0 THEN array_join({hits}, ', ') ELSE {none} END")
     hits = present([(text_lower.contains(loc), F.lit(loc.title())) for loc in gazetteer])
     return F.when(F.size(hits) > 0, F.array_join(hits, ", ")).otherwise(F.lit(R.LOCATION_NONE))
@@ -39,7 +50,7 @@ def location_first(text_lower: Column, gazetteer=R.LOCATIONS_NLAPI) -> Column:
     ref, ls = sql_ref(text_lower), [(sql_lit(g), sql_lit(g.title())) for g in gazetteer]
     none = sql_lit(R.LOCATION_NONE)
     if ref is not None and none is not None and all(a and b for a, b in ls):
-        whens = " ".join(f"WHEN contains({ref}, {a}) THEN {b}" for a, b in ls)
+        whens = " ".join(f"WHEN {sql_contains(ref, g)} THEN {b}" for g, (a, b) in zip(gazetteer, ls))
         return F.expr(f"CASE {whens} ELSE {none} END")
     expr = None
     for loc in gazetteer:
@@ -72,7 +83,8 @@ def urgency_score(text_lower: Column) -> Column:
     ls = [(sql_lit(w), sql_lit(v)) for w, v in R.URGENCY_WORDS]
     base, top = sql_lit(R.URGENCY_BASE), sql_lit(R.URGENCY_MAX)
     if ref is not None and base and top and all(a and b for a, b in ls):
-        ws = ", ".join(f"CASE WHEN contains({ref}, {a}) THEN {b} ELSE {base} END" for a, b in ls)
+        ws = ", ".join(f"CASE WHEN {sql_contains(ref, w)} THEN {b} ELSE {base} END"
+                       for (w, _), (a, b) in zip(R.URGENCY_WORDS, ls))
         return F.expr(f"least(greatest({base}, {ws}), {top})")
     weights = [F.when(text_lower.contains(w), F.lit(v)).otherwise(F.lit(R.URGENCY_BASE)) for w, v in R.URGENCY_WORDS]
     return F.least(F.greatest(F.lit(R.URGENCY_BASE), *weights), F.lit(R.URGENCY_MAX))
@@ -90,9 +102,9 @@ def affected_users(text_lower: Column) -> Column:
 
 def priority_reason(priority: Column, text_lower: Column) -> Column:
     """Reason text by priority and words."""
-    p1 = (F.when(text_lower.contains("critical"), F.lit("Critical keyword detected"))
-          .when(text_lower.contains("urgent"), F.lit("Urgent keyword detected"))
-          .when(text_lower.contains("failing") | text_lower.contains("down"), F.lit("Service failure indicators"))
+    p1 = (F.when(contains_any(text_lower, ["critical"]), F.lit("Critical keyword detected"))
+          .when(contains_any(text_lower, ["urgent"]), F.lit("Urgent keyword detected"))
+          .when(contains_any(text_lower, ["failing", "down"]), F.lit("Service failure indicators"))
           .otherwise(F.lit("High severity indicators")))
     return (F.when(priority == "P1", p1).when(priority == "P2", F.lit("High importance indicators"))
             .when(priority == "P4", F.lit("Low priority indicators"))
@@ -295,8 +307,8 @@ def sender_address(sender: Column) -> Column:
 
 def analyze_email(emails: DataFrame) -> DataFrame:
     """E-mail classification on subject + ' ' + body (lower-cased once)."""
-    d = (emails.withColumn("_subj", F.lower(F.col("subject")))
-         .withColumn(LT, F.lower(F.concat_ws(" ", F.col("subject"), F.col("body")))))
+    d = with_lower(emails.withColumn("_subj", F.lower(F.col("subject"))),
+                   F.concat_ws(" ", F.col("subject"), F.col("body")))
     lt = F.col(LT)
     keywords = R.SUPPORT_KEYWORDS_BASE + R.SUPPORT_KEYWORDS_EMAIL_EXTRA
     return (d.withColumn("is_support", contains_any(F.col("_subj"), keywords) | contains_any(lt, keywords))

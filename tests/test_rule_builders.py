@@ -59,3 +59,31 @@ def test_text_rule_routes_agree(spark, texts, prios, ps):
         d = r.asDict()
         for k in [k[:-4] for k in d if k.endswith("_sql")]:
             assert d[f"{k}_sql"] == d[f"{k}_api"], (k, rows[r.i], d[f"{k}_sql"], d[f"{k}_api"])
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(WORDS + ["AADHAAR", "Mumbai", "dow", "n", "aadhaar-auth"]), max_size=10)
+                .map(" ".join), min_size=1, max_size=12))
+def test_keyword_index_route_equals_contains(spark, texts):
+    """Rules over the indexed lower-cased column (array_contains on the one-pass keyword
+    hits) agree with the same rules evaluated by ``contains`` on the text."""
+    from servicelens.functions import keywords as K
+    if not K.AVAILABLE:
+        return
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [None])], "i int, t string")
+    d = T.with_lower(df, "t")
+    assert T.LT_HITS in d.columns
+    lt, forced = F.col(T.LT), F.lower(F.col(T.LT))  # lower() of lowered text: Column route, contains
+    pairs = {
+        "first": (C.first_match(lt, R.PRIORITY_CHAT, "x"), C.first_match(forced, R.PRIORITY_CHAT, "x")),
+        "scored": (C.scored_match(lt, R.DEPARTMENT_SCORED_CHAT, "x"),
+                   C.scored_match(forced, R.DEPARTMENT_SCORED_CHAT, "x")),
+        "locs": (T.locations_all(lt), T.locations_all(forced)),
+        "urg": (T.urgency_score(lt), T.urgency_score(forced)),
+        "sent": (T.sentiment(lt), T.sentiment(forced)),
+        "reason": (T.priority_reason(F.lit("P1"), lt), T.priority_reason(F.lit("P1"), forced)),
+    }
+    cols = [c for k, (a, b) in pairs.items() for c in (a.alias(f"{k}_ix"), b.alias(f"{k}_ct"))]
+    for r in d.select("i", *cols).collect():
+        for k in pairs:
+            assert r[f"{k}_ix"] == r[f"{k}_ct"], (k, r.i)
