@@ -283,9 +283,10 @@ def q_email_intake_stats(spark, sf_dir):
     """D19 + H7 variants: received, unique (C12), and support counts for three keyword lists."""
     em = fx.emails(spark, sf_dir)
     received = em.agg(F.count(F.lit(1)).alias("received"))
-    u = em.dropDuplicates(["message_id"]).withColumn("_s", F.lower("subject")) \
-        .withColumn("_b", F.lower(F.concat_ws(" ", "subject", "body")))
-    s, b = F.col("_s"), F.col("_b")
+    # subject + body lower-cased and keyword-indexed once (T.with_lower)
+    u = T.with_lower(em.dropDuplicates(["message_id"]).withColumn("_s", F.lower("subject")),
+                     F.concat_ws(" ", "subject", "body"))
+    s, b = F.col("_s"), F.col(T.LT)
     cnt = lambda kw: F.sum(T.is_support_request(s, b, kw).cast("long"))
     stats = u.agg(F.count(F.lit(1)).alias("unique_messages"),
                   cnt(_EMAIL_KW).alias("tickets_created"),
