@@ -60,22 +60,36 @@ _AUTOMATA: dict[tuple[str, ...], object] = {}
 
 
 def _automaton(vocab: tuple[str, ...]):
-    a = _AUTOMATA.get(vocab)
-    if a is None:
-        import ahocorasick as ac
+    """The automaton for ``vocab``, built once per Python worker; None when the module
+    is missing on this worker (executors need not mirror the driver's image)."""
+    if vocab not in _AUTOMATA:
+        try:
+            import ahocorasick as ac
+        except ImportError:
+            _AUTOMATA[vocab] = None
+            return None
         a = ac.Automaton()
         for i, w in enumerate(vocab):
             a.add_word(w, i)
         a.make_automaton()
         _AUTOMATA[vocab] = a
-    return a
+    return _AUTOMATA[vocab]
+
+
+def hits_of(text: str | None, vocab: tuple[str, ...], automaton=None) -> list[int] | None:
+    """Sorted ids of the words of ``vocab`` occurring in ``text`` (substring test)."""
+    if text is None:
+        return None
+    if automaton is None:  # same result, one substring search per word
+        return [i for i, w in enumerate(vocab) if w in text]
+    return sorted({i for _, i in automaton.iter(text)})
 
 
 def _hits_udf(vocab: tuple[str, ...]):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def keyword_hits(texts: pd.Series) -> pd.Series:
         a = _automaton(vocab)
-        return pd.Series([None if t is None else sorted({i for _, i in a.iter(t)}) for t in texts])
+        return pd.Series([hits_of(t, vocab, a) for t in texts])
     return keyword_hits
 
 

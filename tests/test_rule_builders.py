@@ -87,3 +87,17 @@ def test_keyword_index_route_equals_contains(spark, texts):
     for r in d.select("i", *cols).collect():
         for k in pairs:
             assert r[f"{k}_ix"] == r[f"{k}_ct"], (k, r.i)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(WORDS + ["ab", "b", "a"]), max_size=12).map(" ".join))
+def test_keyword_hits_automaton_equals_substring_search(text):
+    """The worker-side fallback (plain substring search) and the automaton agree, also
+    for overlapping and nested keywords."""
+    from servicelens.functions import keywords as K
+    vocab = K.VOCAB + ("ab", "b", "a b", "aadhaar-auth", "dh")
+    a = K._automaton(vocab)
+    if a is None:
+        return
+    assert K.hits_of(text, vocab, a) == K.hits_of(text, vocab, None)
+    assert K.hits_of(None, vocab, a) is None
