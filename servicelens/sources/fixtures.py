@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
-from ..functions.columns import ts_literal
+from ..functions.columns import present, ts_literal
 from .tables import read_table, spread
 
 # FIXED VALUES — sixteen ticket phrases; the text of key k starts with PHRASES[k % 16]
@@ -298,10 +298,12 @@ def bus_events(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) ->
     s = scoring.sla_metrics(tickets(spark, sf_dir, as_of))
     detail = F.to_json(F.struct("ticket_id", "breach_probability", F.concat(F.lit("P"), F.col("priority").cast("string"))
                                 .alias("priority")))
-    metric = s.select(F.lit("sla-monitor").alias("source"), F.lit("Metric Update").alias("detail_type"),
+    # both event kinds from one scoring pass: every ticket yields a metric update, and
+    # a prediction too at p > .4 (explode_outer: no inferred filter re-running the score)
+    kinds = present([(F.lit(True), F.lit("Metric Update")),
+                     (F.col("breach_probability") > 0.4, F.lit("SLA Breach Prediction"))])
+    scored = s.select(F.lit("sla-monitor").alias("source"), F.explode_outer(kinds).alias("detail_type"),
                       detail.alias("detail"))
-    pred = s.filter(F.col("breach_probability") > 0.4).select(
-        F.lit("sla-monitor").alias("source"), F.lit("SLA Breach Prediction").alias("detail_type"), detail.alias("detail"))
     st = status_events(spark, sf_dir)
     auto = st.select(F.when(F.col("detail_type").startswith("L1"), F.lit("l1-automation"))
                      .otherwise(F.lit("asset-optimizer")).alias("source"), "detail_type",
@@ -309,4 +311,4 @@ def bus_events(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) ->
     chat = text.analyze_chat(text_tickets(spark, sf_dir)).select(
         F.lit("chatbot").alias("source"), F.lit("Ticket Created").alias("detail_type"),
         F.to_json(F.struct("id", "priority")).alias("detail"))
-    return metric.unionByName(pred).unionByName(auto).unionByName(chat)
+    return scored.unionByName(auto).unionByName(chat)

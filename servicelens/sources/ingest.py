@@ -110,7 +110,7 @@ def decode_bus_event(raw: DataFrame, detail_type: str, col: str = "value") -> Da
     The detail is kept as raw JSON text by the envelope schema, then typed."""
     env = F.from_json(F.col(col), ENVELOPE_SCHEMA)
     detail_text = F.get_json_object(F.col(col), "$.detail")
-    d = raw.withColumn("_e", env).filter(F.col("_e.detail-type") == detail_type) \
+    d = parsed_once(raw, _e=env).filter(F.col("_e.detail-type") == detail_type) \
         .withColumn("_d", F.from_json(detail_text, BUS_DETAIL_SCHEMAS[detail_type]))
     cols = []
     for f in BUS_DETAIL_SCHEMAS[detail_type].fields:
