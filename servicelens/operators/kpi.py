@@ -94,14 +94,43 @@ def daily_report(scored: DataFrame, ts: str = "created_at", p: str = "breach_pro
                  F.sum(F.when(trig, F.col(revenue)).otherwise(F.lit(0.0))).alias("revenue_protected")))
 
 
-def latency_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+def exact_median(df: DataFrame, group: str, value: str, tiebreak: str | None = None) -> DataFrame:
+    """Exact median of ``value`` per ``group`` (NULL values ignored), with Spark's
+    ``percentile`` interpolation: .5 x lower middle + .5 x upper middle.
+
+    The built-in exact ``median`` buffers a value -> count map per group and merges it
+    in one task, so a group holding a third of the rows with distinct values would
+    hold them all in memory.  Here the rows are ranked over (group, value, tiebreak)
+    with the range-partitioned ``global_rank`` (sampled bounds split a hot group, and
+    ``tiebreak`` splits a hot value), a group's first rank is a min aggregate, and only
+    the (at most two) middle rows per group are kept and aggregated."""
+    cols = [group, value] + ([tiebreak] if tiebreak else [])
+    v = df.select(*cols).filter(F.col(value).isNotNull())
+    order = [F.col(group).asc_nulls_first(), F.col(value).asc()] + ([F.col(tiebreak).asc()] if tiebreak else [])
+    ranked = global_rank(v, order, "_g")
+    bounds = ranked.groupBy(F.col(group).alias("_bg")).agg((F.min("_g") - 1).alias("_start"),
+                                                          F.count(F.lit(1)).alias("_n"))
+    pos = F.col("_g") - F.col("_start")
+    mid = ranked.join(bounds, F.col(group).eqNullSafe(F.col("_bg"))).select(
+        F.col(group), F.col(value),
+        ((pos == F.floor((F.col("_n") + 1) / 2)) | (pos == F.floor(F.col("_n") / 2) + 1)).alias("_mid"))
+    return (mid.filter(F.col("_mid")).groupBy(group)
+            .agg((F.lit(0.5) * F.min(value) + F.lit(0.5) * F.max(value)).alias("median")))
+
+
+def latency_stats(df: DataFrame, group: str, value: str, tiebreak: str | None = None) -> DataFrame:
     """Mean, median, min, max and *sample* standard deviation (0 for one sample).
-    The exact median keeps a value -> count map per group (memory ~ distinct values)."""
+    Everything but the median is a partial + final aggregate; the median is the
+    distributed ``exact_median`` (no per-group value buffer), joined per group."""
     n = F.count(F.col(value))
-    return df.groupBy(group).agg(
-        n.alias("samples"), F.avg(value).alias("avg_response_time"), F.median(value).alias("median_response_time"),
+    stats = df.groupBy(group).agg(
+        n.alias("samples"), F.avg(value).alias("avg_response_time"),
         F.min(value).alias("min_response_time"), F.max(value).alias("max_response_time"),
         F.when(n > 1, F.stddev_samp(value)).otherwise(F.lit(0.0)).alias("std_dev"))
+    med = exact_median(df, group, value, tiebreak).withColumnRenamed(group, "_grp")
+    return (stats.join(med, F.col(group).eqNullSafe(F.col("_grp")), "left")
+            .select(group, "samples", "avg_response_time", F.col("median").alias("median_response_time"),
+                    "min_response_time", "max_response_time", "std_dev"))
 
 
 def throughput(df: DataFrame, ts: str, ok: Column) -> DataFrame:

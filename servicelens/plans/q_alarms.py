@@ -124,8 +124,8 @@ SELECT event_type, count(value) AS samples, round(avg(value), 6) AS avg_response
 FROM events GROUP BY event_type
 """)
 def q_latency_stats(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events", ["event_type", "value"])
-    s = K.latency_stats(e, "event_type", "value")
+    e = read_table(spark, sf_dir, "events", ["event_id", "event_type", "value"])
+    s = K.latency_stats(e, "event_type", "value", tiebreak="event_id")
     return s.select("event_type", "samples", *[F.round(c, 6).alias(c) for c in
                                                ["avg_response_time", "median_response_time"]],
                     "min_response_time", "max_response_time", F.round("std_dev", 6).alias("std_dev"))

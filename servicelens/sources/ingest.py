@@ -170,8 +170,10 @@ def with_ingest_partitions(df: DataFrame, ts: str, as_of: str | None = None) ->
 
 def write_lake_partitioned(df: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:
     """Partitioned write (json+gzip like the analytics tables, or parquet).  Rows are
-    clustered by partition first so each task writes few files."""
-    w = df.repartition("year", "month", "day").write.mode(mode).partitionBy("year", "month", "day")
+    clustered by partition first so each task writes few files; ``rebalance`` (not a
+    plain repartition) lets AQE split a hot day over several tasks and files instead of
+    writing a third of the data from one task."""
+    w = df.hint("rebalance", "year", "month", "day").write.mode(mode).partitionBy("year", "month", "day")
     if fmt == "json":
         w.option("compression", "gzip").json(path)
     else:

@@ -79,3 +79,30 @@ def test_alarm_votes_match_brute_force(spark):
     for k in counts:
         expect = "ALARM" if breach[k] and breach.get(k - 1, False) else "OK"
         assert got[k] == expect, (k, got[k])
+
+
+def test_exact_median_matches_brute_force_on_skewed_groups(spark):
+    """Distributed exact median (global rank, no per-group value buffer) equals the
+    sorted-list definition; one group holds most rows and one value most of those."""
+    import random
+
+    from servicelens.operators import kpi
+
+    rnd = random.Random(7)
+    rows = []
+    for i in range(3000):
+        g = "hot" if i % 10 < 7 else ("odd" if i % 10 < 9 else None)
+        v = 5.0 if (g == "hot" and i % 3 == 0) else round(rnd.uniform(0, 100), 3)
+        rows.append((i, g, None if i % 97 == 0 else v))
+    rows += [(10_000, "single", 42.0), (10_001, "even", 1.0), (10_002, "even", 4.0), (10_003, "allnull", None)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = {r.g: r.median for r in kpi.exact_median(df, "g", "v", tiebreak="id").collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        vals = sorted(r[2] for r in rows if r[1] == g and r[2] is not None)
+        if vals:
+            n = len(vals)
+            want[g] = 0.5 * vals[(n + 1) // 2 - 1] + 0.5 * vals[n // 2]
+    assert got == want
+    builtin = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect() if r.m is not None}
+    assert got == builtin
