@@ -41,10 +41,13 @@ def sql_ref(c) -> str | None:
     if isinstance(c, str):
         name = c
     else:
-        node = c._jc.node()
-        if node.getClass().getSimpleName() != "UnresolvedAttribute":
+        try:  # classic PySpark: inspect the JVM column node
+            node = c._jc.node()
+            if node.getClass().getSimpleName() != "UnresolvedAttribute":
+                return None
+            name = node.sql()
+        except Exception:  # e.g. a Spark Connect column: use the Column API route
             return None
-        name = node.sql()
     return f"`{name}`" if _IDENT.match(name) else None
 
 

@@ -37,5 +37,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Small tables stored as one parquet row group scan as one task; CPU-heavy text work
     on them would then use one core.  On large inputs the scan already has many
     splits and this is a no-op (no extra shuffle)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(target) if n < target else df
