@@ -134,6 +134,20 @@ def lookup(key, mapping: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default))
 
 
+def recode(key, mapping: dict, default=None) -> Column:
+    """``mapping.get(key, default)``, keeping ``key`` itself when ``default`` is None."""
+    ref, ls = sql_ref(key), _lits(*[x for kv in mapping.items() for x in kv])
+    dflt = ref if default is None else sql_lit(default)
+    if ref is not None and ls is not None and dflt is not None:
+        whens = " ".join(f"WHEN {ref} = {ls[2 * i]} THEN {ls[2 * i + 1]}" for i in range(len(mapping)))
+        return F.expr(f"CASE {whens} ELSE {dflt} END")
+    k = as_col(key)
+    expr = None
+    for mk, mv in mapping.items():
+        expr = F.when(k == mk, F.lit(mv)) if expr is None else expr.when(k == mk, F.lit(mv))
+    return expr.otherwise(F.lit(default) if default is not None else k)
+
+
 def breach_bucket(p) -> Column:
     return ladder(p, R.BREACH_BUCKETS, R.BREACH_BUCKET_DEFAULT)
 

@@ -155,20 +155,16 @@ URGENCY_PATTERN = r"(?i)(?:urgency|score).*?(\d+)"
 
 def scrape_values(text: Column) -> Column:
     """Department / priority / category / urgency from free text (native)."""
-    from ..functions.columns import first_match
-    lt = F.lower(text)
-    dept = None
-    for d in SCRAPE_DEPARTMENTS:
-        c = lt.contains(d.lower())
-        dept = F.when(c, F.lit(d)) if dept is None else dept.when(c, F.lit(d))
-    dept = F.coalesce(dept, first_match(lt, SCRAPE_DEPT_KEYWORDS, "MPOnline"))
+    from ..functions.columns import SqlText, first_match, sql_ref
+    ref = sql_ref(text)
+    lt = SqlText(f"lower({ref})") if ref is not None else F.lower(text)
+    # names first (first listed name present), then the keyword classes
+    dept = F.coalesce(first_match(lt, [(d, [d.lower()]) for d in SCRAPE_DEPARTMENTS], None),
+                      first_match(lt, SCRAPE_DEPT_KEYWORDS, "MPOnline"))
     p_hit = F.upper(F.regexp_extract(text, r"(?i)(P[1-4])", 1))
     prio = F.when(p_hit != "", p_hit).otherwise(first_match(lt, SCRAPE_PRIORITY_KEYWORDS, "P3"))
-    cat = None
-    for c_name in SCRAPE_CATEGORIES:
-        c = lt.contains(c_name.lower())
-        cat = F.when(c, F.lit(c_name)) if cat is None else cat.when(c, F.lit(c_name))
-    cat = F.coalesce(cat, first_match(lt, SCRAPE_CATEGORY_KEYWORDS, "Other"))
+    cat = F.coalesce(first_match(lt, [(c, [c.lower()]) for c in SCRAPE_CATEGORIES], None),
+                     first_match(lt, SCRAPE_CATEGORY_KEYWORDS, "Other"))
     u_txt = F.regexp_extract(text, URGENCY_PATTERN, 1)
     u_num = F.when(u_txt != "", u_txt.try_cast("int"))
     urg = F.when(u_txt != "", F.when(u_num.between(1, 10), u_num).otherwise(F.lit(5)))\

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
-from ..functions.columns import present, ts_literal
-from .tables import read_table, spread
+from ..functions.columns import SqlText, as_col, present, recode, ts_literal
+from .tables import read_spread, read_table, spread
 
 # FIXED VALUES — sixteen ticket phrases; the text of key k starts with PHRASES[k % 16]
 PHRASES = [
@@ -58,10 +58,7 @@ def phrase_for(key) -> F.Column:
 
 
 def _map_case(col, mapping: dict, default=None):
-    expr = None
-    for k, v in mapping.items():
-        expr = F.when(col == k, F.lit(v)) if expr is None else expr.when(col == k, F.lit(v))
-    return expr.otherwise(F.lit(default) if default is not None else col)
+    return recode(col, mapping, default)
 
 
 def tickets(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) -> DataFrame:
@@ -70,7 +67,7 @@ def tickets(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) -> Dat
     o = read_table(spark, sf_dir, "orders",
                    ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
-    prio = F.substring("o_orderpriority", 1, 1).cast("int")
+    prio = SqlText("CAST(substring(`o_orderpriority`, 1, 1) AS INT)")
     span = _map_case(prio, AGE_SPAN_MINUTES, 1800)
     age = F.pmod(F.col("o_orderkey") * 37, span.cast("bigint"))
     created = ts_literal(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), age.cast("int"))
@@ -80,7 +77,7 @@ def tickets(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) -> Dat
             F.concat(F.lit("T-"), F.col("o_orderkey").cast("string")).alias("ticket_id"),
             F.col("o_orderkey").alias("order_key"),
             F.col("o_custkey").alias("cust_key"),
-            prio.alias("priority"),
+            as_col(prio).alias("priority"),
             _map_case(F.col("o_orderstatus"), ORDER_STATUS).alias("status"),
             _map_case(F.col("c_mktsegment"), SEGMENT_CATEGORY, "general").alias("category"),
             created.alias("created_at"),
@@ -96,7 +93,7 @@ def tickets(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) -> Dat
 
 def text_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text requests: each document prefixed with one phrase (whole text kept)."""
-    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]))
+    d = read_spread(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
     return d.select(
         F.col("doc_id").alias("id"),
         F.concat(phrase_for(F.col("doc_id")), F.lit(" "), F.col("text")).alias("text"),
@@ -107,7 +104,7 @@ def text_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mails built from documents; every 10th message arrives twice (re-delivery)."""
-    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    d = read_spread(spark, sf_dir, "documents", ["doc_id", "text"])
     sid = F.col("doc_id").cast("string")
     base = d.select(
         F.col("doc_id").alias("message_id"),
@@ -252,7 +249,7 @@ def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spread(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+    c = read_spread(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     return c.select("conv_id", "turn", F.col("role").alias("sender"), F.col("text").alias("message"))
 
 

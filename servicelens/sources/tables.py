@@ -11,6 +11,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 _SCANS: dict[str, tuple[SparkSession, DataFrame]] = {}
+_SPLITS: dict[str, tuple[SparkSession, int]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -27,8 +28,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+def scan_splits(spark: SparkSession, sf_dir: str, name: str) -> int | None:
+    """Number of input splits of a table scan (a projection of it has the same),
+    computed once per session and path; None without an RDD view."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    hit = _SPLITS.get(path)
+    if hit is None or hit[0] is not spark:
+        try:
+            hit = (spark, read_table(spark, sf_dir, name).rdd.getNumPartitions())
+        except Exception:  # e.g. Spark Connect
+            return None
+        _SPLITS[path] = hit
+    return hit[1]
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """``read_table`` followed by ``spread`` (split count taken from the cached scan)."""
+    df = read_table(spark, sf_dir, name, columns)
+    n = scan_splits(spark, sf_dir, name)
+    target = spark.sparkContext.defaultParallelism if n is not None else None
+    return df.repartition(target) if n is not None and n < target else df
+
+
 def refresh_tables() -> None:
     _SCANS.clear()
+    _SPLITS.clear()
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
