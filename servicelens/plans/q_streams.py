@@ -1,4 +1,4 @@
-"""Structured Streaming jobs as registered queries.
+"""Structured Streaming jobs as registered queries.
 
 Each query writes its input, derived from the driver tables, as files under the
 shared checkpoint folder, runs the streaming job with ``availableNow`` over it (the
@@ -96,3 +96,28 @@ def q_route_stream(spark, sf_dir):
     fx.bus_events(spark, sf_dir).write.json(src)
     _finish(jobs.route_stream(spark, src, sink, checkpoint=IN.scratch_path(spark, "bus-ckpt")))
     return spark.read.parquet(sink).groupBy("rule").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _pred_sql() -> str:
+    from .q_scoring import _PRED_SQL
+    return _PRED_SQL
+
+
+@query("predict_stream_sink", oracle=f"""
+WITH {S.TICKETS}, {_DECODED}, {S.SCORED.replace("FROM tickets", "FROM dec")}, {_pred_sql()}
+SELECT ticket_id, final_p AS final_breach_probability, final_p >= 0.7 AS priority_boost,
+  CASE WHEN final_p >= 0.7 THEN greatest(1, coalesce(priority, 3) - 1) ELSE coalesce(priority, 3) END AS new_priority,
+  CAST(CASE WHEN final_p >= 0.9 THEN greatest(5, trunc(min_rem * 0.1))
+       WHEN final_p >= 0.7 THEN greatest(15, trunc(min_rem * 0.3))
+       WHEN final_p >= 0.5 THEN greatest(30, trunc(min_rem * 0.5))
+       ELSE trunc(min_rem) END AS BIGINT) AS time_to_breach
+FROM pred2
+""")
+def q_predict_stream(spark, sf_dir):
+    """S3: change records -> decode -> score -> heuristic model -> combine, with the
+    triggered actions written as typed events in the same micro-batch (foreachBatch);
+    the prediction table equals the batch prediction of the decoded tickets."""
+    src, sink = IN.scratch_path(spark, "pred-src"), IN.scratch_path(spark, "pred-sink")
+    RF.change_records(spark, sf_dir).select("value").write.text(src)
+    _finish(jobs.predict_stream(spark, src, sink, checkpoint=IN.scratch_path(spark, "pred-ckpt")))
+    return spark.read.parquet(f"{sink}/predictions").drop("batch_id")
