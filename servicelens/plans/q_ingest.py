@@ -12,6 +12,7 @@ from ..sources import fixtures as fx
 from ..sources import ingest as IN
 from ..sources import rawfeeds as RF
 from . import sqlfix as S
+from .q_scoring import _PRED_SQL
 from .q_text import _CORE_SQL
 from .registry import query
 
@@ -138,3 +139,27 @@ def q_parsed_recommendations(spark, sf_dir):
     p = RS.parse_recommendations(RF.recommendation_texts(spark, sf_dir))
     return p.select("asset_id", "rec_pos", "title", "potential_savings", "confidence", "priority",
                     "implementation_months")
+
+
+@query("prediction_responses", oracle=f"""
+WITH {S.TICKETS}, {S.SCORED}, {_PRED_SQL},
+x AS (SELECT order_key AS id, final_p, CAST(floor(min_rem / 60) + 1 AS BIGINT) AS hours, order_key % 3 AS k,
+             floor(final_p * 100) AS pct FROM pred2)
+SELECT id, CASE WHEN k = 2 THEN 'scraped' ELSE 'strict' END AS parse_stage,
+  CASE WHEN k < 2 THEN final_p
+       ELSE least(greatest(CASE WHEN pct > 1 THEN pct / 100.0 ELSE pct END, 0.0), 1.0) END AS breach_probability,
+  CASE WHEN k = 1 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence,
+  CASE WHEN k = 1 THEN 24.0 ELSE greatest(CAST(hours AS DOUBLE), 1.0) END AS estimated_hours
+FROM x
+""")
+def q_prediction_responses(spark, sf_dir):
+    """H14 + H18 + H19: stored prediction replies -> parse stage -> nested fields with
+    defaults (JSON) or the regex scrape (free text)."""
+    p = RS.flatten_prediction(RS.parse_responses(RF.prediction_texts(spark, sf_dir)))
+    s = RS.scrape_prediction(F.col("raw"))
+    js = F.col("parse_stage") != "scraped"
+    return p.select("id", "parse_stage",
+                    F.when(js, F.col("breach_probability")).otherwise(s["breach_probability"])
+                    .alias("breach_probability"),
+                    F.when(js, F.col("prediction_confidence")).otherwise(s["confidence"]).alias("confidence"),
+                    F.when(js, F.col("estimated_hours")).otherwise(s["estimated_hours"]).alias("estimated_hours"))

@@ -124,3 +124,21 @@ def recommendation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                   none_d.alias("potential_savings"), none_d.alias("confidence"), F.lit("LOW").alias("priority"),
                   none_i.alias("implementation_months"))
     return u.select("asset_id", F.to_json(F.array(r1, r2)).alias("recommendations_json"))
+
+
+def prediction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored breach-prediction replies, one per ticket, from the batch prediction:
+    nested JSON with every field, nested JSON with the probability only (defaults
+    apply), or free text read by the regex fallback (whole percents and hours)."""
+    from ..operators import scoring
+    p = scoring.predict(fx.tickets(spark, sf_dir))
+    fp = F.col("final_breach_probability")
+    hours = (F.floor(F.least("response_remaining", "resolution_remaining") / 60) + 1).cast("bigint")
+    full = F.to_json(F.struct(F.struct(fp.alias("probability"), F.lit(0.6).alias("confidence"),
+                                       hours.cast("double").alias("estimated_hours")).alias("breach_prediction")))
+    part = F.to_json(F.struct(F.struct(fp.alias("probability")).alias("breach_prediction")))
+    text = F.format_string("Estimated breach risk %d%% with confidence 60, about %d hours",
+                           F.floor(fp * 100).cast("bigint"), hours)
+    k = F.pmod(F.col("order_key"), F.lit(3))
+    return p.select(F.col("order_key").alias("id"),
+                    F.when(k == 0, full).when(k == 1, part).otherwise(text).alias("raw"))
