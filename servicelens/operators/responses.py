@@ -201,7 +201,7 @@ def clean_multiselect(df: DataFrame) -> DataFrame:
                                                            x.alias("v")))
         return F.coalesce(F.array_min(ranked)["v"], F.lit(default))
 
-    return (df.withColumn("department", F.coalesce(F.element_at(parts("department"), 1), F.lit(R.DEPARTMENT_DEFAULT)))
+    return (df.withColumn("department", F.coalesce(F.try_element_at(parts("department"), F.lit(1)), F.lit(R.DEPARTMENT_DEFAULT)))
             .withColumn("category", by_order("category", R.CATEGORY_ORDER, R.CATEGORY_DEFAULT))
             .withColumn("priority", by_order("priority", R.PRIORITY_ORDER, R.PRIORITY_DEFAULT))
             .withColumn("impact_scope", by_order("impact_scope", R.SCOPE_ORDER, "department")))

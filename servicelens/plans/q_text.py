@@ -336,3 +336,51 @@ FROM r WHERE rn <= 3 GROUP BY conv_id
 def q_recent_turns(spark, sf_dir):
     from ..operators import history
     return history.recent_turns(fx.chat_turns(spark, sf_dir), k=3)
+
+
+def _dlist(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _ms_split(c: str) -> str:
+    return (f"list_filter(list_transform(string_split_regex(coalesce({c}, ''), '[|,/]'), lambda s: trim(s)), "
+            f"lambda s: s <> '')")
+
+
+def _ms_pick(parts: str, order, default: str) -> str:
+    o = _dlist(order)
+    return (f"coalesce(list_min(list_transform({parts}, lambda s: {{'r': CASE WHEN list_contains({o}, s) "
+            f"THEN list_position({o}, s) - 1 ELSE {len(order)} END, 'v': s}})).v, '{default}')")
+
+
+_MS_DEPTS = [label for label, _ in R.DEPARTMENT_SCORED_CORE]
+
+
+@query("multiselect_forms", oracle=f"""
+WITH {S.TEXT_TICKETS}, {_CORE_SQL},
+f AS (
+  SELECT id,
+    CASE WHEN id % 11 = 0 THEN '|' || department
+         WHEN id % 2 = 0 THEN {_dlist(_MS_DEPTS)}[id % {len(_MS_DEPTS)} + 1] || ' | ' || department
+         ELSE department END AS d,
+    category || ', ' || {_dlist(R.CATEGORY_ORDER)}[id % {len(R.CATEGORY_ORDER)} + 1] AS c,
+    {_dlist(R.PRIORITY_ORDER)}[id % {len(R.PRIORITY_ORDER)} + 1] || '|' || priority AS p,
+    {_dlist(R.SCOPE_ORDER)}[id % {len(R.SCOPE_ORDER)} + 1] || '/'
+      || {_dlist(R.SCOPE_ORDER)}[(id // 5) % {len(R.SCOPE_ORDER)} + 1] AS s
+  FROM co
+),
+parts AS (SELECT id, {_ms_split('d')} AS dp, {_ms_split('c')} AS cp, {_ms_split('p')} AS pp, {_ms_split('s')} AS sp
+          FROM f)
+SELECT id, coalesce(dp[1], '{R.DEPARTMENT_DEFAULT}') AS department,
+  {_ms_pick('cp', R.CATEGORY_ORDER, R.CATEGORY_DEFAULT)} AS category,
+  {_ms_pick('pp', R.PRIORITY_ORDER, R.PRIORITY_DEFAULT)} AS priority,
+  {_ms_pick('sp', R.SCOPE_ORDER, 'department')} AS impact_scope
+FROM parts
+""")
+def q_multiselect_forms(spark, sf_dir):
+    """Multi-select form fields reduced to one value each (first department, the
+    earliest category in the fixed order, the most urgent priority, the widest scope)."""
+    from ..operators import responses as RS
+    from ..sources import rawfeeds as RF
+    return RS.clean_multiselect(RF.multiselect_forms(spark, sf_dir)).select(
+        "id", "department", "category", "priority", "impact_scope")

@@ -142,3 +142,25 @@ def prediction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.pmod(F.col("order_key"), F.lit(3))
     return p.select(F.col("order_key").alias("id"),
                     F.when(k == 0, full).when(k == 1, part).otherwise(text).alias("raw"))
+
+
+def multiselect_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form submissions with multi-select fields ('A|B', 'A, B', 'A/B'): the classified
+    department, category and priority of each text ticket plus a second selection
+    rotated from the fixed value lists (sometimes an empty piece first)."""
+    from ..functions import rules as R
+    from ..operators import text
+    a = text.analyze_core(fx.text_tickets(spark, sf_dir))
+    i = F.col("id")
+
+    def pick(values, k):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+
+    depts = [label for label, _ in R.DEPARTMENT_SCORED_CORE]
+    dept = (F.when(F.pmod(i, F.lit(11)) == 0, F.concat(F.lit("|"), F.col("department")))
+            .when(F.pmod(i, F.lit(2)) == 0, F.concat(pick(depts, i), F.lit(" | "), F.col("department")))
+            .otherwise(F.col("department")))
+    return a.select("id", dept.alias("department"),
+                    F.concat(F.col("category"), F.lit(", "), pick(R.CATEGORY_ORDER, i)).alias("category"),
+                    F.concat(pick(R.PRIORITY_ORDER, i), F.lit("|"), F.col("priority")).alias("priority"),
+                    F.concat(pick(R.SCOPE_ORDER, i), F.lit("/"), pick(R.SCOPE_ORDER, F.floor(i / 5))).alias("impact_scope"))
