@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .tables import spread
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
+def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets for a raw feed, spread over the cores: a feed is JSON generation and
+    parsing per row, and a stored feed has one split per file (``spread`` is a no-op
+    once the scan already has at least as many splits as cores)."""
+    return spread(fx.tickets(spark, sf_dir))
+
+
 def _ticket_json(t: DataFrame):
     return F.to_json(F.struct(
         "ticket_id", "title", "description", "status", F.col("priority").cast("string").alias("priority"),
@@ -21,7 +29,7 @@ def _ticket_json(t: DataFrame):
 def change_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-value change records: INSERT / MODIFY / REMOVE by key; every 7th ticket
     lacks priority and category (defaults apply)."""
-    t = fx.tickets(spark, sf_dir)
+    t = _tickets(spark, sf_dir)
     k = F.col("order_key")
     attr_s = lambda c: F.struct(c.cast("string").alias("S"), F.lit(None).cast("string").alias("N"))
     attr_n = lambda c: F.struct(F.lit(None).cast("string").alias("S"), c.cast("string").alias("N"))
@@ -39,7 +47,7 @@ def change_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queue_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue messages: wrapped in {"ticket": ...}, bare, or not JSON at all."""
-    t = fx.tickets(spark, sf_dir)
+    t = _tickets(spark, sf_dir)
     k = F.pmod(F.col("order_key"), F.lit(3))
     js = _ticket_json(t)
     body = (F.when(k == 0, F.concat(F.lit('{"ticket": '), js, F.lit("}")))
@@ -49,7 +57,7 @@ def queue_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three envelope shapes: queue batch, bus event, bare ticket."""
-    t = fx.tickets(spark, sf_dir)
+    t = _tickets(spark, sf_dir)
     k = F.pmod(F.col("order_key"), F.lit(3))
     js = _ticket_json(t)
     value = (F.when(k == 0, F.to_json(F.struct(F.array(F.struct(js.alias("body"))).alias("Records"))))
@@ -80,7 +88,7 @@ def bus_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV-like text columns: revenue as text ('n/a' for every 13th), created as
     'yyyy-MM-dd HH:mm:ss' ('N/A' for every 17th)."""
-    t = fx.tickets(spark, sf_dir)
+    t = _tickets(spark, sf_dir)
     k = F.col("order_key")
     return t.select("ticket_id",
                     F.when(F.pmod(k, F.lit(13)) == 0, F.lit("n/a")).otherwise(F.col("revenue_impact").cast("string"))
@@ -131,7 +139,7 @@ def prediction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested JSON with every field, nested JSON with the probability only (defaults
     apply), or free text read by the regex fallback (whole percents and hours)."""
     from ..operators import scoring
-    p = scoring.predict(fx.tickets(spark, sf_dir))
+    p = scoring.predict(_tickets(spark, sf_dir))
     fp = F.col("final_breach_probability")
     hours = (F.floor(F.least("response_remaining", "resolution_remaining") / 60) + 1).cast("bigint")
     full = F.to_json(F.struct(F.struct(fp.alias("probability"), F.lit(0.6).alias("confidence"),
