@@ -145,18 +145,19 @@ def optimization_decisions(requests: DataFrame, asset_status: DataFrame) -> Data
                        F.lit("Medium risk acceptable due to high savings"))
                  .when(overall == "medium", F.lit("Medium risk not justified by savings amount"))
                  .otherwise(F.lit("Low SLA risk identified")))
-    return (grouped
-            .withColumn("overall_risk_level", overall)
-            .withColumn("approval_recommended", overall != "high")
-            .withColumn("risk_factors", F.flatten(F.transform("_hf", lambda x: x["f"])))
-            # Affected services = high-risk list followed by the medium-risk list
-            .withColumn("affected_services", F.concat(F.transform("_ha", lambda x: x["asset_id"]),
-                                                      F.transform("_ma", lambda x: x["asset_id"])))
-            .withColumn("approved", approved)
-            .withColumn("approval_level", level)
-            .withColumn("conditions", conditions)
-            .withColumn("reasoning", reasoning)
-            .drop("_hf", "_ha", "_ma"))
+    # one projection (one analysis pass) for all decision columns
+    return grouped.withColumns({
+        "overall_risk_level": overall,
+        "approval_recommended": overall != "high",
+        "risk_factors": F.flatten(F.transform("_hf", lambda x: x["f"])),
+        # Affected services = high-risk list followed by the medium-risk list
+        "affected_services": F.concat(F.transform("_ha", lambda x: x["asset_id"]),
+                                      F.transform("_ma", lambda x: x["asset_id"])),
+        "approved": approved,
+        "approval_level": level,
+        "conditions": conditions,
+        "reasoning": reasoning,
+    }).drop("_hf", "_ha", "_ma")
 
 
 def service_change_risk(change_type: Column, p: Column) -> Column:

@@ -144,22 +144,24 @@ def build_chat_ticket(analysed: DataFrame, key: str = "id", as_of: str = DEFAULT
     now = ts_literal(as_of)
     deadline = now + F.make_dt_interval(F.lit(0), hours.cast("int"))
     revenue = (base_rev * svc_mult * loc_mult).cast("bigint")
-    return (analysed
-            .withColumn("ticket_id", F.concat_ws("-", F.col("department"), prio, F.date_format(now, "yyMMdd"),
-                                                 F.date_format(now, "HHmm"), ticket_suffix(F.col(key))))
-            .withColumn("sla_hours", hours)
-            .withColumn("sla_deadline", deadline)
-            .withColumn("sla_due_time", F.date_format(deadline, "hh:mm a"))
-            .withColumn("breach_probability", F.least(F.lit(R.TEXT_PROBABILITY_CAP), base_p * svc_mult * loc_mult))
-            .withColumn("revenue_impact", revenue)
-            .withColumn("business_impact", F.when(revenue > 100000, F.lit("high"))
-                        .when(revenue > 50000, F.lit("medium")).otherwise(F.lit("low")))
-            .withColumn("customer_tier", lookup(prio, R.CUSTOMER_TIER, "Silver"))
-            .withColumn("issue_category", F.regexp_replace(svc, "-", "_"))
-            .withColumn("affected_region", F.when(loc.contains(","), F.split(loc, ",").getItem(0)).otherwise(loc))
-            .withColumn("geographic_scope", F.when(loc != R.LOCATION_NONE, F.lit("city")).otherwise(F.lit("unknown")))
-            .withColumn("business_hours_created", F.hour(now).between(9, 17))
-            .withColumn("production_flow", production_flow(prio)))
+    # every column reads only input columns: one projection, one analysis pass
+    return analysed.withColumns({
+        "ticket_id": F.concat_ws("-", F.col("department"), prio, F.date_format(now, "yyMMdd"),
+                                 F.date_format(now, "HHmm"), ticket_suffix(F.col(key))),
+        "sla_hours": hours,
+        "sla_deadline": deadline,
+        "sla_due_time": F.date_format(deadline, "hh:mm a"),
+        "breach_probability": F.least(F.lit(R.TEXT_PROBABILITY_CAP), base_p * svc_mult * loc_mult),
+        "revenue_impact": revenue,
+        "business_impact": F.when(revenue > 100000, F.lit("high"))
+        .when(revenue > 50000, F.lit("medium")).otherwise(F.lit("low")),
+        "customer_tier": lookup(prio, R.CUSTOMER_TIER, "Silver"),
+        "issue_category": F.regexp_replace(svc, "-", "_"),
+        "affected_region": F.when(loc.contains(","), F.split(loc, ",").getItem(0)).otherwise(loc),
+        "geographic_scope": F.when(loc != R.LOCATION_NONE, F.lit("city")).otherwise(F.lit("unknown")),
+        "business_hours_created": F.hour(now).between(9, 17),
+        "production_flow": production_flow(prio),
+    })
 
 
 def production_flow(priority: Column) -> Column:
@@ -324,18 +326,20 @@ def build_email_ticket(analysed: DataFrame, key: str = "message_id", as_of: str
     now = ts_literal(as_of)
     hours = lookup(prio, R.TEXT_SLA_HOURS, 24)
     deadline = now + F.make_dt_interval(F.lit(0), hours.cast("int"))
-    return (analysed
-            .withColumn("ticket_id", F.concat_ws("-", F.col("department"), prio, F.date_format(now, "yyMMdd"),
-                                                 ticket_suffix(F.col(key))))
-            .withColumn("sla_deadline", deadline)
-            .withColumn("breach_probability", F.least(F.lit(R.TEXT_PROBABILITY_CAP),
-                                                      lookup(prio, R.TEXT_BASE_PROBABILITY, 0.45)
-                                                      * lookup(svc, R.TEXT_SERVICE_MULTIPLIER, 1.0)))
-            .withColumn("revenue_impact", (lookup(prio, R.TEXT_BASE_REVENUE, 50000)
-                                           * lookup(svc, R.EMAIL_REVENUE_MULTIPLIER, 1.0)).cast("bigint"))
-            .withColumn("customer_tier", lookup(prio, R.CUSTOMER_TIER, "Silver"))
-            .withColumn("reporter_name", sender_name(F.col("sender")))
-            .withColumn("contact", sender_address(F.col("sender"))))
+    # every column reads only input columns: one projection, one analysis pass
+    return analysed.withColumns({
+        "ticket_id": F.concat_ws("-", F.col("department"), prio, F.date_format(now, "yyMMdd"),
+                                 ticket_suffix(F.col(key))),
+        "sla_deadline": deadline,
+        "breach_probability": F.least(F.lit(R.TEXT_PROBABILITY_CAP),
+                                      lookup(prio, R.TEXT_BASE_PROBABILITY, 0.45)
+                                      * lookup(svc, R.TEXT_SERVICE_MULTIPLIER, 1.0)),
+        "revenue_impact": (lookup(prio, R.TEXT_BASE_REVENUE, 50000)
+                           * lookup(svc, R.EMAIL_REVENUE_MULTIPLIER, 1.0)).cast("bigint"),
+        "customer_tier": lookup(prio, R.CUSTOMER_TIER, "Silver"),
+        "reporter_name": sender_name(F.col("sender")),
+        "contact": sender_address(F.col("sender")),
+    })
 
 
 def unseen(messages: DataFrame, processed: DataFrame, key: str = "message_id") -> DataFrame:
