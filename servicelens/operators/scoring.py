@@ -35,7 +35,7 @@ def with_thresholds(tickets: DataFrame, thresholds: DataFrame | None = None) ->
     prio = SqlText(f"coalesce(`priority`, {R.DEFAULT_PRIORITY})")
     if thresholds is None:
         resp, resol = _threshold_cols(prio)
-        return tickets.withColumn("response_threshold", resp).withColumn("resolution_threshold", resol)
+        return tickets.withColumns({"response_threshold": resp, "resolution_threshold": resol})
     d_resp, d_resol = R.SLA_THRESHOLDS[R.DEFAULT_PRIORITY]
     th = broadcast_if_small(thresholds.select(
         F.col("priority").alias("_th_priority"),
@@ -50,15 +50,14 @@ def with_thresholds(tickets: DataFrame, thresholds: DataFrame | None = None) ->
 
 def _elapsed_and_risks(df: DataFrame, as_of: str) -> DataFrame:
     elapsed = minutes_between(F.col("created_at"), ts_literal(as_of))
-    return (df.withColumn("elapsed_minutes", elapsed)
-            .withColumn("response_remaining",
-                        F.greatest(F.lit(0.0), F.col("response_threshold") - F.col("elapsed_minutes")))
-            .withColumn("resolution_remaining",
-                        F.greatest(F.lit(0.0), F.col("resolution_threshold") - F.col("elapsed_minutes")))
-            .withColumn("response_risk",
-                        F.least(F.lit(1.0), F.col("elapsed_minutes") / F.col("response_threshold")))
-            .withColumn("resolution_risk",
-                        F.least(F.lit(1.0), F.col("elapsed_minutes") / F.col("resolution_threshold"))))
+    e = F.col("elapsed_minutes")
+    # two dependency levels -> two projections (one analysis pass each)
+    return df.withColumn("elapsed_minutes", elapsed).withColumns({
+        "response_remaining": F.greatest(F.lit(0.0), F.col("response_threshold") - e),
+        "resolution_remaining": F.greatest(F.lit(0.0), F.col("resolution_threshold") - e),
+        "response_risk": F.least(F.lit(1.0), e / F.col("response_threshold")),
+        "resolution_risk": F.least(F.lit(1.0), e / F.col("resolution_threshold")),
+    })
 
 
 def _is_closed() -> Column:
@@ -71,9 +70,9 @@ def sla_metrics(tickets: DataFrame, as_of: str = DEFAULT_AS_OF, thresholds: Data
     w_resp = F.when(F.col("status") == "open", F.lit(0.7)).otherwise(F.lit(0.3))
     p = F.when(_is_closed(), F.lit(0.0)).otherwise(
         F.col("response_risk") * w_resp + F.col("resolution_risk") * (F.lit(1.0) - w_resp))
-    return (df.withColumn("breach_probability", p)
-            .withColumn("breach_bucket", breach_bucket(F.col("breach_probability")))
-            .withColumn("sla_status", sla_status(F.col("breach_probability"))))
+    bp = F.col("breach_probability")
+    return df.withColumn("breach_probability", p).withColumns({"breach_bucket": breach_bucket(bp),
+                                                               "sla_status": sla_status(bp)})
 
 
 def sla_metrics_category_adjusted(tickets: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
