@@ -181,27 +181,26 @@ def heuristic_breach(df: DataFrame) -> DataFrame:
          .when(resp <= R.HEURISTIC_RESPONSE[1][0], F.lit(R.HEURISTIC_RESPONSE[1][1]))
          .when(resol <= R.HEURISTIC_RESOLUTION[0], F.lit(R.HEURISTIC_RESOLUTION[1]))
          .otherwise(F.lit(R.HEURISTIC_DEFAULT)))
-    return (df.withColumn("ml_probability", p)
-            .withColumn("ml_confidence", F.lit(R.HEURISTIC_CONFIDENCE))
-            .withColumn("model_source", F.lit("fallback")))
+    return df.withColumns({"ml_probability": p, "ml_confidence": F.lit(R.HEURISTIC_CONFIDENCE),
+                           "model_source": F.lit("fallback")})
 
 
 def combine_predictions(df: DataFrame, rule_col: str = "breach_probability") -> DataFrame:
     """final = rule x (1 - conf) + ml x conf; boost, time to breach, actions."""
     conf = F.col("ml_confidence")
     final = F.col(rule_col) * (F.lit(1.0) - conf) + F.col("ml_probability") * conf
-    return (df.withColumn("final_breach_probability", final)
-            .withColumn("priority_boost", F.col("final_breach_probability") >= R.ACTION_THRESHOLD)
-            .withColumn("new_priority", F.when(
-                F.col("priority_boost"),
-                F.greatest(F.lit(1), F.coalesce(F.col("priority"), F.lit(R.DEFAULT_PRIORITY)) - 1))
-                .otherwise(F.coalesce(F.col("priority"), F.lit(R.DEFAULT_PRIORITY))))
-            .withColumn("time_to_breach", time_to_breach(F.col("final_breach_probability"),
-                                                         F.col("response_remaining"), F.col("resolution_remaining")))
-            .withColumn("recommended_actions",
-                        actions_for(R.ACTIONS_BASE, "final_breach_probability", "category",
-                                    SqlText(f"coalesce(`priority`, {R.DEFAULT_PRIORITY})")))
-            .withColumn("trigger_action", F.col("final_breach_probability") >= R.ACTION_THRESHOLD))
+    fp = F.col("final_breach_probability")
+    boost = fp >= R.ACTION_THRESHOLD
+    prio = F.coalesce(F.col("priority"), F.lit(R.DEFAULT_PRIORITY))
+    # two dependency levels -> two projections
+    return df.withColumn("final_breach_probability", final).withColumns({
+        "priority_boost": boost,
+        "new_priority": F.when(boost, F.greatest(F.lit(1), prio - 1)).otherwise(prio),
+        "time_to_breach": time_to_breach(fp, F.col("response_remaining"), F.col("resolution_remaining")),
+        "recommended_actions": actions_for(R.ACTIONS_BASE, "final_breach_probability", "category",
+                                           SqlText(f"coalesce(`priority`, {R.DEFAULT_PRIORITY})")),
+        "trigger_action": fp >= R.ACTION_THRESHOLD,
+    })
 
 
 def predict(tickets: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:

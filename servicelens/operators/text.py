@@ -123,13 +123,16 @@ def ticket_suffix(key: Column) -> Column:
 def analyze_chat(df: DataFrame, text: str = "text") -> DataFrame:
     d = with_lower(df, text)
     lt = F.col(LT)
-    return (d.withColumn("department", scored_match(lt, R.DEPARTMENT_SCORED_CHAT, R.DEPARTMENT_DEFAULT))
-            .withColumn("priority", first_match(lt, R.PRIORITY_CHAT, R.PRIORITY_DEFAULT))
-            .withColumn("service_type", first_match(lt, R.SERVICE_CHAT, R.SERVICE_DEFAULT))
-            .withColumn("location", locations_all(lt))
-            .withColumn("sentiment", sentiment(lt))
-            .withColumn("urgency_level", urgency_level_from_priority(F.col("priority")))
-            .withColumn("confidence_score", F.lit(0.92)))
+    return (d.withColumns({
+        "department": scored_match(lt, R.DEPARTMENT_SCORED_CHAT, R.DEPARTMENT_DEFAULT),
+        "priority": first_match(lt, R.PRIORITY_CHAT, R.PRIORITY_DEFAULT),
+        "service_type": first_match(lt, R.SERVICE_CHAT, R.SERVICE_DEFAULT),
+        "location": locations_all(lt),
+        "sentiment": sentiment(lt),
+    }).withColumns({  # reads the priority just classified
+        "urgency_level": urgency_level_from_priority(F.col("priority")),
+        "confidence_score": F.lit(0.92),
+    }))
 
 
 def build_chat_ticket(analysed: DataFrame, key: str = "id", as_of: str = DEFAULT_AS_OF) -> DataFrame:
@@ -214,18 +217,19 @@ def analyze_core(df: DataFrame, text: str = "text") -> DataFrame:
     d = with_lower(df, text)
     lt = F.col(LT)
     prio = F.col("priority")
-    return (d.withColumn("department", scored_match(lt, R.DEPARTMENT_SCORED_CORE, R.DEPARTMENT_DEFAULT))
-            .withColumn("priority", first_match(lt, R.PRIORITY_CORE, R.PRIORITY_DEFAULT))
-            .withColumn("category", first_match(lt, R.CATEGORY_CORE, R.CATEGORY_DEFAULT))
-            .withColumn("urgency_score", urgency_score(lt))
-            .withColumn("breach_probability", F.least(
-                lookup(prio, R.ADDITIVE_BASE_RISK, 0.3) + F.col("urgency_score") / 10.0 * 0.3, F.lit(1.0)))
-            .withColumn("estimated_resolution_hours", lookup(prio, R.ADDITIVE_RESOLUTION_HOURS, 24))
-            .withColumn("acknowledgment", lookup(prio, R.RESPONSE_TEMPLATES, R.RESPONSE_TEMPLATES["P3"]))
-            .withColumn("expected_timeline", F.format_string(
-                "Resolution expected within %d hours", lookup(prio, R.RESPONSE_HOURS, 24)))
-            .withColumn("status_update", F.format_string(
-                "Your ticket has been routed to the %s support team.", F.col("department"))))
+    return (d.withColumns({
+        "department": scored_match(lt, R.DEPARTMENT_SCORED_CORE, R.DEPARTMENT_DEFAULT),
+        "priority": first_match(lt, R.PRIORITY_CORE, R.PRIORITY_DEFAULT),
+        "category": first_match(lt, R.CATEGORY_CORE, R.CATEGORY_DEFAULT),
+        "urgency_score": urgency_score(lt),
+    }).withColumns({  # read the classes just computed
+        "breach_probability": F.least(lookup(prio, R.ADDITIVE_BASE_RISK, 0.3) + F.col("urgency_score") / 10.0 * 0.3,
+                                      F.lit(1.0)),
+        "estimated_resolution_hours": lookup(prio, R.ADDITIVE_RESOLUTION_HOURS, 24),
+        "acknowledgment": lookup(prio, R.RESPONSE_TEMPLATES, R.RESPONSE_TEMPLATES["P3"]),
+        "expected_timeline": F.format_string("Resolution expected within %d hours", lookup(prio, R.RESPONSE_HOURS, 24)),
+        "status_update": F.format_string("Your ticket has been routed to the %s support team.", F.col("department")),
+    }))
 
 
 def fallback_risk_variants(df: DataFrame, priority: str = "priority", urgency: str = "urgency_score") -> DataFrame:
@@ -313,12 +317,13 @@ def analyze_email(emails: DataFrame) -> DataFrame:
                    F.concat_ws(" ", F.col("subject"), F.col("body")))
     lt = F.col(LT)
     keywords = R.SUPPORT_KEYWORDS_BASE + R.SUPPORT_KEYWORDS_EMAIL_EXTRA
-    return (d.withColumn("is_support", contains_any(F.col("_subj"), keywords) | contains_any(lt, keywords))
-            .withColumn("priority", first_match(lt, R.PRIORITY_EMAIL, R.PRIORITY_EMAIL_DEFAULT))
-            .withColumn("department", first_match(lt, R.DEPARTMENT_EMAIL, R.DEPARTMENT_DEFAULT))
-            .withColumn("service_type", first_match(lt, R.SERVICE_SHORT, R.SERVICE_DEFAULT))
-            .withColumn("location", locations_all(lt, R.LOCATIONS_EMAIL))
-            .drop("_subj"))
+    return d.withColumns({
+        "is_support": contains_any(F.col("_subj"), keywords) | contains_any(lt, keywords),
+        "priority": first_match(lt, R.PRIORITY_EMAIL, R.PRIORITY_EMAIL_DEFAULT),
+        "department": first_match(lt, R.DEPARTMENT_EMAIL, R.DEPARTMENT_DEFAULT),
+        "service_type": first_match(lt, R.SERVICE_SHORT, R.SERVICE_DEFAULT),
+        "location": locations_all(lt, R.LOCATIONS_EMAIL),
+    }).drop("_subj")
 
 
 def build_email_ticket(analysed: DataFrame, key: str = "message_id", as_of: str = DEFAULT_AS_OF) -> DataFrame:
