@@ -48,17 +48,21 @@ def asset_sla_status_contains(scored_tickets: DataFrame, assets: DataFrame, max_
                               pattern: str = ASSET_TOKEN, p: str = "breach_probability") -> DataFrame:
     """C4 with the source's *substring* semantics ('AST-1' also matches 'AST-10').
 
-    Only possible as a broadcast nested-loop join on ``contains``, so it is used only
-    when a bounded count proves the asset list has at most ``max_assets`` rows;
-    otherwise it falls back to the token join of ``asset_sla_status`` (exact ids)."""
-    from .util import broadcast_if_small
-    a = assets.select("asset_id").distinct()
-    small = broadcast_if_small(a, max_assets)
-    if small is a:  # not proven small: no cartesian-shaped plan on a large side
+    A limited read first proves the asset list has at most ``max_assets`` ids; that
+    bounded list (a dimension, like a broadcast) becomes one Aho-Corasick automaton, and
+    every ticket text is scanned once for all ids (``keywords.matches_udf``).  The cost
+    grows with the text, not with tickets x assets, and there is no join.  An unproven
+    list falls back to the token join of ``asset_sla_status`` (exact ids)."""
+    from ..functions import keywords as K
+    ids = [r[0] for r in assets.select("asset_id").distinct().limit(max_assets + 1).collect()]
+    ids = [i for i in ids if i is not None]
+    if len(ids) > max_assets:  # not proven small: keep the token join
         return asset_sla_status(scored_tickets, pattern, p)
     text = F.concat_ws(" ", F.col("title"), F.col("description"))
-    t = scored_tickets.select(text.alias("_text"), F.col(p).alias("_p"))
-    m = t.join(small, F.col("_text").contains(F.col("asset_id")), "inner")
+    found = K.matches_udf(tuple(sorted(ids)))(text)
+    # explode_outer + null filter: no inferred size filter re-running the scan below
+    m = (scored_tickets.select(F.explode_outer(found).alias("asset_id"), F.col(p).alias("_p"))
+         .filter(F.col("asset_id").isNotNull()))
     return (m.groupBy("asset_id")
             .agg(F.avg("_p").alias("avg_breach_probability"),
                  F.sum((F.col("_p") >= 0.7).cast("long")).alias("at_risk_services"),

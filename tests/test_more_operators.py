@@ -85,3 +85,28 @@ def test_event_rules(spark):
     assert ('{"breach_probability": 0.9}', "high-risk-forward") in got
     assert ('{"priority": "P2"}', "priority-tickets") in got and ('{"priority": "P4"}', "priority-tickets") not in got
     assert not any(d == "{}" for d, _ in got)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["AST-1", "AST-10", "AST-101", "AST-2", "x", "AST-"]), max_size=4)
+                          .map(" ".join),
+                          st.sampled_from([0.1, 0.6, 0.9])), min_size=1, max_size=15),
+       st.lists(st.sampled_from(["AST-1", "AST-10", "AST-2", "AST-3", "", "AST-"]), min_size=1, max_size=5))
+def test_substring_asset_lookup_equals_contains(spark, tickets, asset_ids):
+    """One automaton pass per text gives exactly the rows of the theta join on
+    ``contains`` (nested ids, the empty id, empty texts)."""
+    tk = spark.createDataFrame([(t, "", p) for t, p in tickets], "title string, description string, "
+                                                                  "breach_probability double")
+    assets = spark.createDataFrame([(a,) for a in asset_ids], "asset_id string")
+    got = {r.asset_id: (r.total_services, r.at_risk_services)
+           for r in impact.asset_sla_status_contains(tk, assets).collect()}
+    want = {}
+    for a in set(asset_ids):
+        hits = [p for t, p in tickets if a in (t + " ")]
+        if hits:
+            want[a] = (len(hits), sum(p >= 0.7 for p in hits))
+    assert got == want
