@@ -60,7 +60,7 @@ def test_change_feed_insert_modify_remove(spark):
     assert sorted(r.k for r in bad.collect()) == [3, 4]
 
 
-def _reply_reference(text: str, lang: str = "en") -> str:
+def _reply_by_definition(text: str, lang: str = "en") -> str:
     """Sequential definition: strip, then for each prefix in order strip it (and the
     following whitespace) when the current text starts with it."""
     r = text.strip(WS)
@@ -83,7 +83,7 @@ _PIECES = st.lists(st.sampled_from(T.REPLY_PREFIXES + [" ", "\n", "ok", "Respons
 def test_clean_reply_equals_sequential_definition(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.r for r in df.select("i", T.clean_reply(F.col("t"), F.lit("en")).alias("r")).collect()}
-    assert got == {i: _reply_reference(t) for i, t in enumerate(texts)}
+    assert got == {i: _reply_by_definition(t) for i, t in enumerate(texts)}
 
 
 def test_clean_reply_hand_cases(spark):
@@ -99,4 +99,4 @@ def test_clean_reply_hand_cases(spark):
     assert got[4] == "नमस्ते"
     assert got[5] == "a" * 1000 + "..."
     assert got[6] == "ok"                    # only the last prefix, "Response in Hindi:", applies
-    assert got == {i: _reply_reference(t, "hi" if i == 3 else "en") for i, t in enumerate(cases)}
+    assert got == {i: _reply_by_definition(t, "hi" if i == 3 else "en") for i, t in enumerate(cases)}
