@@ -11,16 +11,21 @@ from .util import global_rank, with_scalars
 
 
 def what_next_queue(scored: DataFrame, actions_col: str = "recommended_actions", k: int | None = 20,
-                    key: str = "ticket_id", p: str = "breach_probability") -> DataFrame:
+                    key: str = "ticket_id", p: str = "breach_probability",
+                    columns: list[str] | None = None) -> DataFrame:
     """Tickets by breach probability (desc, ticket id as tie-break) with the first
     recommended action, or 'monitor'.
 
     ``k`` set: a top-k report (TakeOrderedAndProject: per-partition top-k then merge).
     ``k=None``: the full ranked queue via ``global_rank`` (range partitioning; never a
-    single-partition window).
+    single-partition window).  ``columns`` keeps only those columns (plus the key, the
+    probability and the action) before ranking, so the rank's checkpoint writes only
+    what the queue needs.
     """
     first = F.coalesce(F.try_element_at(F.col(actions_col), F.lit(1)), F.lit("monitor"))
     base = scored.withColumn("recommended_action", first)
+    if columns is not None:
+        base = base.select(*dict.fromkeys([*columns, key, p, "recommended_action"]))
     order = [F.col(p).desc(), F.col(key).asc()]
     if k is not None:
         top = base.orderBy(*order).limit(k)

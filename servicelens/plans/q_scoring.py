@@ -117,10 +117,13 @@ WITH {S.TICKETS}, {S.TICKET_RISKS}, {_ADJ_SQL}
 {_QUEUE_SELECT}
 """)
 def q_what_next_queue_full(spark, sf_dir):
-    q = kpi.what_next_queue(_adjusted(spark, sf_dir), k=None)
+    q = kpi.what_next_queue(_adjusted(spark, sf_dir), k=None, columns=_QUEUE_COLUMNS)
     return _queue_out(q)
 
 
+_QUEUE_COLUMNS = ["ticket_id", "priority", "category", "breach_probability", "sla_status", "time_to_breach_minutes"]
+
+
 def _queue_out(q):
     return q.select(F.col("queue_position").cast("bigint").alias("queue_position"), "ticket_id", "priority",
                     "category", F.col("breach_probability").alias("breach_probability"), "sla_status",
