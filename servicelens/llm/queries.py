@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import bpe, decontaminate, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,13 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Every (document, benchmark item) with a window of similarity 0.8 or more (5-word shingles)."""
     return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                          shingle=5, min_similarity=0.8)
+
+
+def public_bpe(spark: SparkSession):
+    return bpe.broadcast_bpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded bytes of every document."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_bpe(spark))
