@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,9 @@ def public_bpe(spark: SparkSession):
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_bpe(spark))
+
+
+@query
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document through a ledger that starts empty."""
+    return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.scratch_ledger(spark)))
