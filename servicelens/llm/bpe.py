@@ -195,15 +195,24 @@ def decode(tokens: DataFrame, bpe, out: str = "decoded", ids: str = "ids") -> Da
     return tokens.mapInArrow(run, _typed(tokens, out, T.BinaryType()))
 
 
-def token_digests(docs: DataFrame, bpe) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row of ``docs``."""
-    both = decode(encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), bpe).drop("text"), bpe)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+def _digests(ids: str, decoded: str) -> list:
+    return [F.size(ids).cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256).alias("ids_sha256"),
+            F.sha2(decoded, 256).alias("decoded_sha256")]
 
 
-def with_tokens(docs: DataFrame, bpe, out: str = "token_ids") -> DataFrame:
-    """``docs`` with the token ids beside all its columns."""
-    return encode(docs, bpe, out).select(*own(docs), out)
+def token_digests(docs: DataFrame, bpe) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row of ``docs``."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return decode(encode(texts, bpe).drop("text"), bpe).select("doc_id", *_digests("ids", "decoded"))
+
+
+def tokenize(docs: DataFrame, bpe) -> DataFrame:
+    """``docs`` with ``token_ids`` and the digests in place of ``text``; a column of ``docs`` that has one of
+    these names is left out."""
+    made = {"token_ids", "n_tokens", "ids_sha256", "decoded_sha256", "text"}
+    rest = docs.select(*[c for c, name in zip(own(docs), docs.columns) if name.lower() not in made - {"text"}])
+    decoded = fresh(rest, "__decoded")
+    both = decode(encode(rest, bpe, "token_ids").drop("text"), bpe, decoded, "token_ids")
+    return both.select(*[c for c, name in zip(own(rest), rest.columns) if name.lower() != "text"],
+                       "token_ids", *_digests("token_ids", decoded))

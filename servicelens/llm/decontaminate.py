@@ -221,6 +221,15 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5,
     return out
 
 
+def _leaks(shared):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        index = shared.value
+        return pd.Series([bool(index.search(t)) for t in texts], dtype=bool)
+
+    return leaks
+
+
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """``docs`` without the rows that leak an item.  The text is searched in place and the rows
     are filtered by the answer, so nothing is shuffled."""
@@ -228,11 +237,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, min_si
     out = docs
     for index in _index_blocks_of(benchmark, shingle, min_similarity):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
-            index = shared.value
-            return pd.Series([bool(index.search(t)) for t in texts], dtype=bool)
-
-        out = out.withColumn(flag, leaks(F.col("text").cast("string"))).filter(~F.col(flag)).select(*own(docs))
+        out = out.withColumn(flag, _leaks(shared)(F.col("text").cast("string"))).filter(~F.col(flag)).select(*own(docs))
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, secrets, simhash
+from . import bpe, chat, decontaminate, html, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, log-likelihood ratio against the documents labelled good, and verdict."""
@@ -32,6 +38,36 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, replayed as logs, folded, rendered and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    log = chat.as_events(rows.unionByName(chat.probe_conversation(spark)))
+    return chat.read_back(chat.render(chat.fold_messages(log)))
+
+
+ORACLE["op5_chat_formatting"] = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), shown AS (
+  SELECT *, replace(replace(replace(text, '\\', '\\\\'), '</turn>', '\\l/turn>'), '### ', '\\h## ') AS body,
+         replace(replace(replace(replace(role, '\\', '\\\\'), '</turn>', '\\l/turn>'), '### ', '\\h## '), ':', '\\c') AS who
+  FROM rows
+), chats AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         sum(length('### ' || who || ': ' || body || '</turn>' || chr(10))) AS formatted_chars
+  FROM shown GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM chats
+"""
+
+
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) with a window of similarity 0.8 or more (5-word shingles)."""
