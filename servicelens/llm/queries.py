@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, quality, secrets, simhash
+from . import bpe, chat, decontaminate, html, lm, quality, secrets, simhash, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,18 @@ FROM chats
 """
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear scores of every document, learnt from those that are not held out."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that another document has word for word."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+
+
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) with a window of similarity 0.8 or more (5-word shingles)."""
