@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, lm, quality, secrets, simhash, suffixes
+from . import bpe, chat, compact, decontaminate, html, lm, quality, secrets, simhash, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more of which another document has a near copy (5-word shingles, 0.8)."""
+    return compact.near_duplicate_passages(table(spark, sf_dir, "documents"), min_words=50, min_similarity=0.8)
+
+
 @query
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
