@@ -97,6 +97,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     """From the written table of ``token_counts``; at most FREQUENT rows reach the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     rows = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
+    rows += counts.filter(F.col("token") == F.lit(bytearray(END))).collect()
     known = {bytes(r["token"]): r["c"] for r in rows}
     words = [w for w in known if w != END][: VOCABULARY - 1]
     classes = {w: i for i, w in enumerate([END, *words])}
