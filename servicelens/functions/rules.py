@@ -296,8 +296,19 @@ SUPPORT_KEYWORDS_BASE = [
     "authentication", "aadhaar", "service", "unable", "cannot", "help", "support",
     "urgent", "critical", "broken", "bug", "complaint",
 ]
-SUPPORT_KEYWORDS_EMAIL_EXTRA = ["payment", "portal", "mobile", "app", "certificate", "digital"]
-SUPPORT_KEYWORDS_LIVE_EXTRA = ["timeout", "slow", "crash", "login", "access"]
+SUPPORT_KEYWORDS_EMAIL = [
+    "problem", "issue", "error", "fail", "not working", "down", "outage",
+    "authentication", "aadhaar", "service", "unable", "cannot", "help", "support",
+    "urgent", "critical", "broken", "bug", "complaint",
+    "payment", "portal", "mobile", "app", "certificate", "digital",
+]
+SUPPORT_KEYWORDS_LIVE = [
+    "problem", "issue", "error", "fail", "not working", "down", "outage",
+    "authentication", "aadhaar", "service", "unable", "cannot", "help",
+    "support", "urgent", "critical", "broken", "bug", "complaint",
+    "payment", "portal", "mobile", "app", "certificate", "digital",
+    "timeout", "slow", "crash", "login", "access",
+]
 
 AFFECTED_USERS_WORDS = ["many", "multiple", "all"]
 

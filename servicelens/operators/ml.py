@@ -58,7 +58,7 @@ def score_breach_model(feats: DataFrame, model: PipelineModel | None) -> DataFra
         return heuristic_breach(feats).withColumnRenamed("ml_probability", "model_probability")
     out = model.transform(feats)
     return (out.withColumn("model_probability", vector_to_array("probability")[1])
-            .withColumn("ml_confidence", F.lit(0.8))
+            .withColumn("ml_confidence", F.lit(0.85))
             .withColumn("model_source", F.lit("logistic_regression"))
             .drop("features", "rawPrediction", "probability"))
 

@@ -23,45 +23,67 @@ from ..functions import rules as R
 
 STAGES = ["strict", "extracted", "repaired", "scraped"]
 
-_FENCE = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
-_VALUE_END = r'(?:"|\d|true|false|null|\}|\])'
-_MISSING_COMMA = re.compile(_VALUE_END + r'(\s+)(?=")')
-_TRAILING_COMMA = re.compile(r",(\s*[}\]])")
+# FIXED VALUES - where a JSON object is looked for when braces do not balance, in this order
+_PATTERNS = [re.compile(x, re.S) for x in (
+    r"```json\s*(\{.*?\})\s*```",
+    r"(?:JSON|json|Response):\s*(\{.*?\})",
+    r'\{[^{}]*"analysis_summary"[^{}]*\{.*?\}.*?\}',
+    r"\{.*?\}",
+)]
+# FIXED VALUES - sections that every analysis has, empty where the reply leaves them out
+REQUIRED_SECTIONS = ["analysis_summary", "technical_assessment", "business_impact", "sentiment_analysis",
+                     "intelligent_routing", "confidence_metrics"]
+_BRACE = re.compile(r"[{}]")
+_MISSING_COMMA = re.compile(r'(?<=["\dlse}\]])\s+(?=")')
+_STRICT_GAP = re.compile(r'"\s+"|(?<=[\d}\]le])\s+(?=")')
+_TRAILING_COMMA = re.compile(r",(?=\s*[}\]])")
+_COMMAS = re.compile(r",(?:\s*,)+")
 _BARE_KEY = re.compile(r'([{,]\s*)([A-Za-z_]\w*)(\s*:)')
+_COMMENT = re.compile(r"//[^\n]*\n|/\*.*?\*/", re.S)
 _PY_LITERALS = {"True": "true", "False": "false", "None": "null"}
 
 
 def _balanced(text: str) -> str | None:
     """First '{' up to the brace that closes it (braces counted without regard to
     strings, as the source application does)."""
-    start = text.find("{")
-    if start < 0:
-        return None
-    depth = 0
-    for i in range(start, len(text)):
-        ch = text[i]
-        if ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                return text[start:i + 1]
+    start = depth = None
+    for m in _BRACE.finditer(text):
+        if start is None:
+            if m[0] == "{":
+                start, depth = m.start(), 1
+            continue
+        depth += 1 if m[0] == "{" else -1
+        if depth == 0:
+            return text[start:m.end()]
     return None
 
 
+def _candidate(text: str) -> str | None:
+    """The JSON-like part of a reply: balanced braces, else the first pattern that matches."""
+    found = _balanced(text)
+    for pattern in _PATTERNS if found is None else ():
+        if m := pattern.search(text):
+            return m[1] if pattern.groups else m[0]
+    return found
+
+
 def _repair(candidate: str) -> str:
-    """Conservative repairs: Python literals, bare keys, single quotes (only when there
-    are no double quotes), missing commas between a value and the next key, trailing
-    commas."""
-    s = candidate
-    if '"' not in s:
-        s = s.replace("'", '"')
+    """First repair: double quotes, quoted keys, commas between a value and the next key, no
+    comments, JSON literals, no trailing or doubled commas."""
+    s = candidate.replace("'", '"')
+    s = _BARE_KEY.sub(r'\1"\2"\3', s)
+    s = _COMMENT.sub("\n", s)
+    s = _MISSING_COMMA.sub(", ", s)
     for py, js in _PY_LITERALS.items():
         s = re.sub(rf"\b{py}\b", js, s)
-    s = _BARE_KEY.sub(r'\1"\2"\3', s)
-    s = _MISSING_COMMA.sub(lambda m: m.group(0)[: -len(m.group(1))] + "," + m.group(1), s)
-    s = _TRAILING_COMMA.sub(r"\1", s)
-    return s
+    s = _COMMAS.sub(",", _TRAILING_COMMA.sub("", s))
+    return s if s.rstrip().endswith("}") else s + "}"
+
+
+def _repair_commas(candidate: str) -> str:
+    """Second repair, on the text as it came: commas alone, quotes and comments untouched."""
+    s = _STRICT_GAP.sub(lambda m: '", "' if m[0].startswith('"') else ", ", candidate)
+    return _TRAILING_COMMA.sub("", _COMMAS.sub(",", s))
 
 
 def _loads_obj(s: str):
@@ -79,18 +101,13 @@ def parse_one(raw) -> tuple[str, str | None]:
     obj = _loads_obj(raw)
     if obj is not None:
         return "strict", json.dumps(obj)
-    candidate = _balanced(raw)
-    if candidate is None:
-        m = _FENCE.search(raw)
-        candidate = m.group(1) if m else None
+    candidate = _candidate(raw)
     if candidate is None:
         return "scraped", None
-    obj = _loads_obj(candidate)
-    if obj is not None:
-        return "extracted", json.dumps(obj)
-    obj = _loads_obj(_repair(candidate))
-    if obj is not None:
-        return "repaired", json.dumps(obj)
+    for stage, repair in (("extracted", str), ("repaired", _repair), ("repaired", _repair_commas)):
+        obj = _loads_obj(repair(candidate))
+        if obj is not None:
+            return stage, json.dumps(obj)
     return "scraped", None
 
 
@@ -110,9 +127,9 @@ ANALYSIS_SCHEMA = T.StructType([
         T.StructField("impact_scope", T.StringType())])),
     T.StructField("technical_assessment", T.StructType([
         T.StructField("estimated_resolution_time_hours", T.IntegerType())])),
-    T.StructField("breach_prediction", T.StructType([
-        T.StructField("probability", T.DoubleType()), T.StructField("confidence", T.DoubleType()),
-        T.StructField("estimated_hours", T.DoubleType())])),
+    T.StructField("breach_risk_assessment", T.StructType([
+        T.StructField("breach_probability", T.DoubleType()), T.StructField("confidence_level", T.DoubleType())])),
+    T.StructField("timeline_prediction", T.StructType([T.StructField("estimated_resolution_hours", T.DoubleType())])),
     T.StructField("confidence_metrics", T.StructType([T.StructField("overall_confidence", T.DoubleType())])),
 ])
 
@@ -188,67 +205,84 @@ def analysis_fields(parsed: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def clean_multiselect(df: DataFrame) -> DataFrame:
-    """H17: 'A|B,C' style multi-selects reduced to one value: department = first listed,
-    category = earliest in the fixed category order, priority = most urgent, scope = most
-    severe.  Pure array functions (split, transform, array_min over (rank, value))."""
+    """Fields that list several values ('A|B', 'A, B'; a '/' is no separator) reduced to one:
+    department = the first part (it may be empty), category = earliest in the fixed order, priority =
+    most urgent of P1-P4 found inside the parts, scope = most severe.  Unknown values give 'Other',
+    'P3' and 'single_user'; a field with one value (or none) stays as it is."""
     def parts(c: str) -> Column:
-        return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"[|,/]"), lambda x: F.trim(x)),
-                        lambda x: x != "")
+        return F.transform(F.split(F.col(c), r"[|,]", -1), lambda x: F.trim(x))
+
+    def several(c: str) -> Column:
+        return F.col(c).rlike(r"[|,]")
 
-    def by_order(c: str, order: list[str], default: str) -> Column:
-        ranks = F.create_map(*[v for i, o in enumerate(order) for v in (F.lit(o), F.lit(i))])
-        ranked = F.transform(parts(c), lambda x: F.struct(F.coalesce(ranks[x], F.lit(len(order))).alias("r"),
-                                                           x.alias("v")))
-        return F.coalesce(F.array_min(ranked)["v"], F.lit(default))
+    def best(c: str, order: list[str], default: str) -> Column:
+        present_ = [F.when(F.array_contains(parts(c), v), F.lit(v)) for v in order]
+        return F.when(several(c), F.coalesce(*present_, F.lit(default))).otherwise(F.col(c))
 
-    return (df.withColumn("department", F.coalesce(F.try_element_at(parts("department"), F.lit(1)), F.lit(R.DEPARTMENT_DEFAULT)))
-            .withColumn("category", by_order("category", R.CATEGORY_ORDER, R.CATEGORY_DEFAULT))
-            .withColumn("priority", by_order("priority", R.PRIORITY_ORDER, R.PRIORITY_DEFAULT))
-            .withColumn("impact_scope", by_order("impact_scope", R.SCOPE_ORDER, "department")))
+    def inside(x: Column) -> Column:
+        """The first of P1-P4 (in this order) that a part contains."""
+        return F.coalesce(*[F.when(x.contains(v), F.lit(v)) for v in R.PRIORITY_ORDER])
+
+    priority = F.coalesce(F.array_min(F.transform(parts("priority"), inside)), F.lit(R.PRIORITY_DEFAULT))
+    return df.withColumns({
+        "department": F.when(several("department"), F.get(parts("department"), F.lit(0))).otherwise(F.col("department")),
+        "category": best("category", R.CATEGORY_ORDER, R.CATEGORY_DEFAULT),
+        "priority": F.when(several("priority"), priority).otherwise(F.col("priority")),
+        "impact_scope": best("impact_scope", R.SCOPE_ORDER, "single_user")})
 
 
 def flatten_prediction(parsed: DataFrame) -> DataFrame:
-    """Probability (.5), confidence (.8), hours (24) lifted from the nested JSON."""
-    bp = F.col("analysis.breach_prediction")
-    return (parsed.withColumn("breach_probability", F.coalesce(bp["probability"], F.lit(0.5)))
-            .withColumn("prediction_confidence", F.coalesce(bp["confidence"], F.lit(0.8)))
-            .withColumn("estimated_hours", F.coalesce(bp["estimated_hours"], F.lit(24.0))))
+    """Probability (.5) and confidence (.8) of the risk assessment and hours (24) of the
+    timeline, lifted from the nested JSON."""
+    risk, timeline = F.col("analysis.breach_risk_assessment"), F.col("analysis.timeline_prediction")
+    return (parsed.withColumn("breach_probability", F.coalesce(risk["breach_probability"], F.lit(0.5)))
+            .withColumn("prediction_confidence", F.coalesce(risk["confidence_level"], F.lit(0.8)))
+            .withColumn("estimated_hours", F.coalesce(timeline["estimated_resolution_hours"], F.lit(24.0))))
+
+
+# FIXED VALUES - the number before probability / risk / chance, the number after confidence, whole hours
+PROBABILITY_PATTERN = r"(?i)(\d+(?:\.\d+)?)\s*%?\s*(?:probability|risk|chance)"
+CONFIDENCE_PATTERN = r"(?i)confidence[:\s]*(\d+(?:\.\d+)?)\s*%?"
+HOURS_PATTERN = r"(?i)(\d+)\s*hours?"
 
 
 def scrape_prediction(text: Column) -> Column:
-    """Percent / confidence / hours by regex; values > 1 are percents; clamped;
-    hours at least 1."""
-    def num(pattern):
-        t = F.regexp_extract(text, pattern, 1)
-        return F.when(t != "", t.try_cast("double"))
-    p = num(r"(?i)(?:probability|risk)[^0-9]*([0-9]+(?:\.[0-9]+)?)")
-    c = num(r"(?i)confidence[^0-9]*([0-9]+(?:\.[0-9]+)?)")
-    h = num(r"(?i)([0-9]+(?:\.[0-9]+)?)\s*hours?")
-    norm = lambda x, d: F.least(F.greatest(F.coalesce(F.when(x > 1, x / 100.0).otherwise(x), F.lit(d)),
-                                           F.lit(0.0)), F.lit(1.0))
-    return F.struct(norm(p, 0.5).alias("breach_probability"), norm(c, 0.8).alias("confidence"),
-                    F.greatest(F.coalesce(h, F.lit(24.0)), F.lit(1.0)).alias("estimated_hours"))
-
-
-REC_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("title", T.StringType()), T.StructField("description", T.StringType()),
-    T.StructField("potential_savings", T.DoubleType()), T.StructField("confidence", T.DoubleType()),
-    T.StructField("priority", T.StringType()), T.StructField("implementation_months", T.IntegerType())]))
-
-
-def parse_recommendations(df: DataFrame, text: str = "recommendations_json") -> DataFrame:
-    """JSON array text -> one row per recommendation with defaults (.8 confidence,
-    MEDIUM, 3 months); title falls back to description[:50] + '...'."""
+    """Probability (.5), confidence (.7) and hours (24, at least 1) by regex; values over 1 are
+    percents; clamped to 0..1."""
+    def share(pattern: str, default: float) -> Column:
+        x = F.regexp_extract(text, pattern, 1).try_cast("double")
+        return F.least(F.coalesce(F.when(x > 1, x / 100.0).otherwise(x), F.lit(default)), F.lit(1.0))
+
+    hours = F.regexp_extract(text, HOURS_PATTERN, 1).try_cast("double")
+    return F.struct(share(PROBABILITY_PATTERN, 0.5).alias("breach_probability"),
+                    share(CONFIDENCE_PATTERN, 0.7).alias("confidence"),
+                    F.greatest(F.coalesce(hours, F.lit(24.0)), F.lit(1.0)).alias("estimated_hours"))
+
+
+REC_SCHEMA = T.StructType([T.StructField("recommendations", T.ArrayType(T.StructType([
+    T.StructField("type", T.StringType()), T.StructField("title", T.StringType()),
+    T.StructField("description", T.StringType()), T.StructField("potential_savings", T.DoubleType()),
+    T.StructField("implementation_effort", T.StringType()), T.StructField("priority", T.StringType()),
+    T.StructField("confidence", T.DoubleType()), T.StructField("gem_integration_required", T.BooleanType()),
+    T.StructField("compliance_impact", T.StringType()), T.StructField("timeline_months", T.DoubleType()),
+    T.StructField("risk_level", T.StringType())])))])
+# FIXED VALUES - what a recommendation has where the reply leaves it out
+REC_DEFAULTS = {"type": "LICENSE_REDUCTION", "description": "", "potential_savings": 0.0, "confidence": 0.8,
+                "priority": "MEDIUM", "implementation_effort": "MEDIUM", "timeline_months": 3.0, "risk_level": "LOW",
+                "compliance_impact": "Positive", "gem_integration_required": True}
+
+
+def parse_recommendations(df: DataFrame, text: str = "reply") -> DataFrame:
+    """The object in a reply (first '{' to last '}'), one row per entry of its ``recommendations``
+    with defaults; a title left out is description[:50] + '...'; months are whole.  A reply without an
+    object, or whose object does not parse, gives no rows."""
+    found = F.nullif(F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0), F.lit(""))
     # posexplode_outer + position filter: a plain posexplode would push an inferred
     # size(from_json(...)) > 0 filter below and parse every text twice
-    recs = (df.select("*", F.posexplode_outer(F.from_json(F.col(text), REC_SCHEMA)).alias("rec_pos", "rec"))
+    recs = (df.select("*", F.posexplode_outer(F.from_json(found, REC_SCHEMA)["recommendations"]).alias("rec_pos", "rec"))
             .filter(F.col("rec_pos").isNotNull()))
-    d = F.col("rec.description")
-    return (recs.withColumn("title", F.coalesce(F.col("rec.title"),
-                                                F.concat(F.substring(F.coalesce(d, F.lit("")), 1, 50), F.lit("..."))))
-            .withColumn("description", F.coalesce(d, F.lit("")))
-            .withColumn("potential_savings", F.coalesce(F.col("rec.potential_savings"), F.lit(0.0)))
-            .withColumn("confidence", F.coalesce(F.col("rec.confidence"), F.lit(0.8)))
-            .withColumn("priority", F.coalesce(F.col("rec.priority"), F.lit("MEDIUM")))
-            .withColumn("implementation_months", F.coalesce(F.col("rec.implementation_months"), F.lit(3)))
-            .drop("rec"))
+    value = lambda k: F.coalesce(F.col(f"rec.{k}"), F.lit(REC_DEFAULTS[k]))
+    title = F.coalesce(F.col("rec.title"), F.concat(F.substring(value("description"), 1, 50), F.lit("...")))
+    return (recs.withColumns({k: value(k) for k in REC_DEFAULTS if k != "timeline_months"})
+            .withColumns({"title": title, "timeline_months": F.floor(value("timeline_months")).cast("int"),
+                          "approval_needed": F.lit(True)}).drop("rec"))

@@ -134,7 +134,7 @@ def sla_metrics_business(tickets: DataFrame, as_of: str = DEFAULT_AS_OF) -> Data
 
 def system_load(scored: DataFrame) -> DataFrame:
     """One-row load summary from the active ticket count (partial + final agg)."""
-    n = F.sum(F.col("status").isin("open", "in_progress").cast("long"))
+    n = F.count_if(F.col("status").isin("open", "in_progress"))
     util = F.least(F.lit(1.0), n.cast("double") / F.lit(R.SYSTEM_LOAD_FULL_AT))
     return scored.agg(
         n.cast("double").alias("active_tickets"),

@@ -316,7 +316,7 @@ def analyze_email(emails: DataFrame) -> DataFrame:
     d = with_lower(emails.withColumn("_subj", F.lower(F.col("subject"))),
                    F.concat_ws(" ", F.col("subject"), F.col("body")))
     lt = F.col(LT)
-    keywords = R.SUPPORT_KEYWORDS_BASE + R.SUPPORT_KEYWORDS_EMAIL_EXTRA
+    keywords = R.SUPPORT_KEYWORDS_EMAIL
     return d.withColumns({
         "is_support": contains_any(F.col("_subj"), keywords) | contains_any(lt, keywords),
         "priority": first_match(lt, R.PRIORITY_EMAIL, R.PRIORITY_EMAIL_DEFAULT),

@@ -26,15 +26,18 @@ def newest(df: DataFrame, k: int = 50, ts: str = "created_at", key: str = "ticke
 
 def patch_tickets(df: DataFrame, patches: DataFrame, key: str = "ticket_id") -> DataFrame:
     """Set the patched fields; the key never changes.  Patches are joined on the
-    key (a shuffle join at scale: patch tables are not assumed small)."""
-    fields = [c for c in patches.columns if c != key]
-    p = patches.select(key, *[F.col(c).alias(f"_patch_{c}") for c in fields])
+    key (a shuffle join at scale: patch tables are not assumed small).
+
+    A patch row sets the fields listed in its array column ``set_fields``, also to NULL; without
+    that column it sets the fields that are not NULL."""
+    fields = [c for c in patches.columns if c not in (key, "set_fields")]
+    listed = "set_fields" in patches.columns
+    sets = {c: F.array_contains("set_fields", c) if listed else F.col(c).isNotNull() for c in fields}
+    p = patches.select(key, *[F.struct(sets[c].alias("set"), F.col(c).alias("value")).alias(f"_patch_{c}") for c in fields])
     out = df.join(p, key, "left")
     for c in fields:
-        if c in df.columns:
-            out = out.withColumn(c, F.coalesce(F.col(f"_patch_{c}"), F.col(c)))
-        else:
-            out = out.withColumn(c, F.col(f"_patch_{c}"))
+        old = F.col(c) if c in df.columns else F.lit(None)
+        out = out.withColumn(c, F.when(F.col(f"_patch_{c}.set"), F.col(f"_patch_{c}.value")).otherwise(old))
     return out.drop(*[f"_patch_{c}" for c in fields])
 
 

@@ -121,35 +121,39 @@ def q_ai_response_parse(spark, sf_dir):
 
 @query("parsed_recommendations", oracle=f"""
 WITH {S.LICENSES},
-u AS (SELECT * FROM licx WHERE total_licenses > 0 AND util < 0.7),
+u AS (SELECT * FROM licx WHERE total_licenses > 0 AND util < 0.7 AND asset_id % 5 <> 0 AND asset_id % 7 <> 0),
 r AS (
-  SELECT asset_id, 0 AS rec_pos,
+  SELECT asset_id, 0 AS rec_pos, 'LICENSE_REDUCTION' AS type,
     substr(printf('Reduce %s licenses by %d unused licenses', name, total_licenses - used_licenses), 1, 50) || '...'
-      AS title,
-    (total_licenses - used_licenses) * cost_per_license * 12 AS potential_savings, 0.85 AS confidence,
-    'MEDIUM' AS priority, 3 AS implementation_months
+      AS title, (total_licenses - used_licenses) * cost_per_license * 12 AS potential_savings, 0.85 AS confidence,
+    'MEDIUM' AS priority, 'LOW' AS implementation_effort, 4 AS timeline_months, 'MEDIUM' AS risk_level,
+    false AS gem_integration_required
   FROM u
   UNION ALL
-  SELECT asset_id, 1, 'Renewal review', 0.0, 0.8, 'LOW', 3 FROM u
+  SELECT asset_id, 1, 'RENEWAL_OPTIMIZATION', 'Renewal review', 0.0, 0.8, 'LOW', 'MEDIUM', 3, 'LOW', true FROM u
 )
-SELECT asset_id, rec_pos, title, potential_savings, CAST(confidence AS DOUBLE) AS confidence, priority,
-  implementation_months FROM r
+SELECT asset_id, rec_pos, type, title, potential_savings, CAST(confidence AS DOUBLE) AS confidence, priority,
+  implementation_effort, timeline_months, risk_level, 'Positive' AS compliance_impact, gem_integration_required,
+  true AS approval_needed
+FROM r
 """)
 def q_parsed_recommendations(spark, sf_dir):
     p = RS.parse_recommendations(RF.recommendation_texts(spark, sf_dir))
-    return p.select("asset_id", "rec_pos", "title", "potential_savings", "confidence", "priority",
-                    "implementation_months")
+    return p.select("asset_id", "rec_pos", "type", "title", "potential_savings", "confidence", "priority",
+                    "implementation_effort", "timeline_months", "risk_level", "compliance_impact",
+                    "gem_integration_required", "approval_needed")
 
 
 @query("prediction_responses", oracle=f"""
 WITH {S.TICKETS}, {S.SCORED}, {_PRED_SQL},
-x AS (SELECT order_key AS id, final_p, CAST(floor(min_rem / 60) + 1 AS BIGINT) AS hours, order_key % 3 AS k,
+x AS (SELECT order_key AS id, final_p, CAST(floor(min_rem / 60) + 1 AS BIGINT) AS hours, order_key % 6 AS k,
              floor(final_p * 100) AS pct FROM pred2)
-SELECT id, CASE WHEN k = 2 THEN 'scraped' ELSE 'strict' END AS parse_stage,
-  CASE WHEN k < 2 THEN final_p
-       ELSE least(greatest(CASE WHEN pct > 1 THEN pct / 100.0 ELSE pct END, 0.0), 1.0) END AS breach_probability,
-  CASE WHEN k = 1 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence,
-  CASE WHEN k = 1 THEN 24.0 ELSE greatest(CAST(hours AS DOUBLE), 1.0) END AS estimated_hours
+SELECT id, CASE WHEN k < 2 THEN 'strict' WHEN k = 2 THEN 'extracted' ELSE 'scraped' END AS parse_stage,
+  CASE WHEN k <= 2 THEN final_p WHEN k = 3 THEN CASE WHEN pct > 1 THEN least(pct / 100.0, 1.0) ELSE pct END
+       WHEN k = 4 THEN 0.35 ELSE 0.5 END::DOUBLE AS breach_probability,
+  CASE k WHEN 0 THEN 0.6 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 WHEN 3 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence,
+  CASE k WHEN 0 THEN hours WHEN 1 THEN 24 WHEN 2 THEN hours WHEN 3 THEN greatest(abs(hours), 1) WHEN 4 THEN 24 ELSE 1 END::DOUBLE
+    AS estimated_hours
 FROM x
 """)
 def q_prediction_responses(spark, sf_dir):

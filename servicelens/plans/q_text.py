@@ -10,6 +10,7 @@ from ..functions.columns import fmt_ts
 from ..operators import text as T
 from ..operators.util import with_scalars
 from ..sources import fixtures as fx
+from ..sources import rawfeeds as RF
 from . import sqlfix as S
 from .registry import query
 
@@ -227,7 +228,7 @@ def q_fallback_predictions(spark, sf_dir):
 # E-mail intake (H7, H9, C12, e-mail classifiers and ticket)
 # ---------------------------------------------------------------------------
 
-_EMAIL_KW = R.SUPPORT_KEYWORDS_BASE + R.SUPPORT_KEYWORDS_EMAIL_EXTRA
+_EMAIL_KW = R.SUPPORT_KEYWORDS_EMAIL
 
 
 @query("email_tickets", oracle=f"""
@@ -274,8 +275,8 @@ SELECT (SELECT count(*) FROM emails) AS received,
        count(*) FILTER (WHERE {S.contains_any('ls', _EMAIL_KW)} OR {S.contains_any('lt', _EMAIL_KW)}) AS tickets_created,
        count(*) FILTER (WHERE {S.contains_any('ls', R.SUPPORT_KEYWORDS_BASE)}
                          OR {S.contains_any('lt', R.SUPPORT_KEYWORDS_BASE)}) AS base_support,
-       count(*) FILTER (WHERE {S.contains_any('ls', R.SUPPORT_KEYWORDS_BASE + R.SUPPORT_KEYWORDS_LIVE_EXTRA)}
-                         OR {S.contains_any('lt', R.SUPPORT_KEYWORDS_BASE + R.SUPPORT_KEYWORDS_LIVE_EXTRA)})
+       count(*) FILTER (WHERE {S.contains_any('ls', R.SUPPORT_KEYWORDS_LIVE)}
+                         OR {S.contains_any('lt', R.SUPPORT_KEYWORDS_LIVE)})
          AS live_support
 FROM el
 """)
@@ -291,7 +292,7 @@ def q_email_intake_stats(spark, sf_dir):
     stats = u.agg(F.count(F.lit(1)).alias("unique_messages"),
                   cnt(_EMAIL_KW).alias("tickets_created"),
                   cnt(R.SUPPORT_KEYWORDS_BASE).alias("base_support"),
-                  cnt(R.SUPPORT_KEYWORDS_BASE + R.SUPPORT_KEYWORDS_LIVE_EXTRA).alias("live_support"))
+                  cnt(R.SUPPORT_KEYWORDS_LIVE).alias("live_support"))
     return with_scalars(stats, received)
 
 
@@ -338,49 +339,19 @@ def q_recent_turns(spark, sf_dir):
     return history.recent_turns(fx.chat_turns(spark, sf_dir), k=3)
 
 
-def _dlist(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def _ms_split(c: str) -> str:
-    return (f"list_filter(list_transform(string_split_regex(coalesce({c}, ''), '[|,/]'), lambda s: trim(s)), "
-            f"lambda s: s <> '')")
-
-
-def _ms_pick(parts: str, order, default: str) -> str:
-    o = _dlist(order)
-    return (f"coalesce(list_min(list_transform({parts}, lambda s: {{'r': CASE WHEN list_contains({o}, s) "
-            f"THEN list_position({o}, s) - 1 ELSE {len(order)} END, 'v': s}})).v, '{default}')")
-
-
-_MS_DEPTS = [label for label, _ in R.DEPARTMENT_SCORED_CORE]
+def _form_sql(values: list[tuple]) -> str:
+    cases = " ".join(f"WHEN {n} THEN {'NULL' if want is None else S._sql_str(want)}" for n, (_, want) in enumerate(values))
+    return f"CASE id % {len(values)} {cases} END"
 
 
 @query("multiselect_forms", oracle=f"""
-WITH {S.TEXT_TICKETS}, {_CORE_SQL},
-f AS (
-  SELECT id,
-    CASE WHEN id % 11 = 0 THEN '|' || department
-         WHEN id % 2 = 0 THEN {_dlist(_MS_DEPTS)}[id % {len(_MS_DEPTS)} + 1] || ' | ' || department
-         ELSE department END AS d,
-    category || ', ' || {_dlist(R.CATEGORY_ORDER)}[id % {len(R.CATEGORY_ORDER)} + 1] AS c,
-    {_dlist(R.PRIORITY_ORDER)}[id % {len(R.PRIORITY_ORDER)} + 1] || '|' || priority AS p,
-    {_dlist(R.SCOPE_ORDER)}[id % {len(R.SCOPE_ORDER)} + 1] || '/'
-      || {_dlist(R.SCOPE_ORDER)}[(id // 5) % {len(R.SCOPE_ORDER)} + 1] AS s
-  FROM co
-),
-parts AS (SELECT id, {_ms_split('d')} AS dp, {_ms_split('c')} AS cp, {_ms_split('p')} AS pp, {_ms_split('s')} AS sp
-          FROM f)
-SELECT id, coalesce(dp[1], '{R.DEPARTMENT_DEFAULT}') AS department,
-  {_ms_pick('cp', R.CATEGORY_ORDER, R.CATEGORY_DEFAULT)} AS category,
-  {_ms_pick('pp', R.PRIORITY_ORDER, R.PRIORITY_DEFAULT)} AS priority,
-  {_ms_pick('sp', R.SCOPE_ORDER, 'department')} AS impact_scope
-FROM parts
+WITH {S.TEXT_TICKETS}
+SELECT id, {_form_sql(RF.FORM_DEPARTMENTS)} AS department, {_form_sql(RF.FORM_CATEGORIES)} AS category,
+  {_form_sql(RF.FORM_PRIORITIES)} AS priority, {_form_sql(RF.FORM_SCOPES)} AS impact_scope
+FROM tt
 """)
 def q_multiselect_forms(spark, sf_dir):
-    """Multi-select form fields reduced to one value each (first department, the
-    earliest category in the fixed order, the most urgent priority, the widest scope)."""
+    """Multi-select form fields reduced to one value each; the oracle lists the values by hand."""
     from ..operators import responses as RS
-    from ..sources import rawfeeds as RF
     return RS.clean_multiselect(RF.multiselect_forms(spark, sf_dir)).select(
         "id", "department", "category", "priority", "impact_scope")

@@ -78,7 +78,7 @@ def decode_queue_json(raw: DataFrame, col: str = "body") -> tuple[DataFrame, Dat
     body = F.col(col)
     inner = F.from_json(body, wrapped)["ticket"]
     bare = F.from_json(body, TICKET_JSON_SCHEMA)
-    valid = F.get_json_object(body, "$").isNotNull() & body.startswith("{")
+    valid = F.get_json_object(body, "$").isNotNull() & F.ltrim(F.translate(body, "\t\n\r", "   ")).startswith("{")
     p = parsed_once(raw, _valid=valid, _inner=inner, _bare=bare)
     t = F.when(F.col("_inner").isNotNull(), F.col("_inner")).otherwise(F.col("_bare"))
     decoded = p.filter(F.col("_valid")).withColumn("_t", t).select(

@@ -4,7 +4,7 @@ stored AI responses).  All are narrow projections of the derived tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
@@ -118,57 +118,69 @@ def ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recommendation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AI recommendation payloads: per under-used asset, a JSON array with a reduction
-    (no title, no priority) and a renewal review (no savings, no months)."""
+    """AI recommendation replies, one per under-used asset: free text around an object with
+    ``recommendations`` - a reduction (no title, no priority, months 4) and a renewal review (only title,
+    description, type and priority).  Every 5th reply has no object, every 7th one that does not parse."""
     from ..operators import licenses
     u = licenses.underutilized(fx.licenses(spark, sf_dir))
-    none_s, none_d, none_i = (F.lit(None).cast(t) for t in ("string", "double", "int"))
-    r1 = F.struct(none_s.alias("title"),
-                  F.format_string("Reduce %s licenses by %d unused licenses", "name", "unused_licenses")
-                  .alias("description"), F.col("waste_cost_annual").alias("potential_savings"),
-                  F.lit(0.85).alias("confidence"), none_s.alias("priority"), none_i.alias("implementation_months"))
-    r2 = F.struct(F.lit("Renewal review").alias("title"),
-                  F.format_string("Review the renewal terms of %s", "name").alias("description"),
-                  none_d.alias("potential_savings"), none_d.alias("confidence"), F.lit("LOW").alias("priority"),
-                  none_i.alias("implementation_months"))
-    return u.select("asset_id", F.to_json(F.array(r1, r2)).alias("recommendations_json"))
+    first = F.to_json(F.struct(
+        F.format_string("Reduce %s licenses by %d unused licenses", "name", "unused_licenses").alias("description"),
+        F.col("waste_cost_annual").alias("potential_savings"), F.lit("LOW").alias("implementation_effort"),
+        F.lit(0.85).alias("confidence"), F.lit(False).alias("gem_integration_required"),
+        F.lit(4).alias("timeline_months"), F.lit("MEDIUM").alias("risk_level")))
+    second = F.to_json(F.struct(F.lit("RENEWAL_OPTIMIZATION").alias("type"), F.lit("Renewal review").alias("title"),
+                                F.format_string("Review the renewal terms of %s", "name").alias("description"),
+                                F.lit("LOW").alias("priority")))
+    whole = F.concat(F.lit('Here are my recommendations:\n{"recommendations": ['), first, F.lit(", "), second, F.lit("]}\nRegards"))
+    i = F.col("asset_id")
+    reply = (F.when(F.pmod(i, F.lit(5)) == 0, F.concat(F.lit("No savings found for "), F.col("name")))
+             .when(F.pmod(i, F.lit(7)) == 0, F.concat(F.lit('{"recommendations": ['), first, F.lit(" oops }")))
+             .otherwise(whole))
+    return u.select("asset_id", reply.alias("reply"))
 
 
 def prediction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored breach-prediction replies, one per ticket, from the batch prediction:
-    nested JSON with every field, nested JSON with the probability only (defaults
-    apply), or free text read by the regex fallback (whole percents and hours)."""
+    """Stored breach-prediction replies, one per ticket, from the batch prediction: the nested
+    object with every field, with the probability only (defaults apply), or inside text; and three free texts
+    ('72% probability of breach, confidence: 80%', a chance as a fraction, no number at all)."""
     from ..operators import scoring
     p = scoring.predict(_tickets(spark, sf_dir))
     fp = F.col("final_breach_probability")
     hours = (F.floor(F.least("response_remaining", "resolution_remaining") / 60) + 1).cast("bigint")
-    full = F.to_json(F.struct(F.struct(fp.alias("probability"), F.lit(0.6).alias("confidence"),
-                                       hours.cast("double").alias("estimated_hours")).alias("breach_prediction")))
-    part = F.to_json(F.struct(F.struct(fp.alias("probability")).alias("breach_prediction")))
-    text = F.format_string("Estimated breach risk %d%% with confidence 60, about %d hours",
-                           F.floor(fp * 100).cast("bigint"), hours)
-    k = F.pmod(F.col("order_key"), F.lit(3))
-    return p.select(F.col("order_key").alias("id"),
-                    F.when(k == 0, full).when(k == 1, part).otherwise(text).alias("raw"))
+    risk = F.struct(fp.alias("breach_probability"), F.lit(0.6).alias("confidence_level"), F.lit("HIGH").alias("risk_level"))
+    full = F.to_json(F.struct(risk.alias("breach_risk_assessment"),
+                              F.struct(hours.alias("estimated_resolution_hours")).alias("timeline_prediction")))
+    part = F.to_json(F.struct(F.struct(fp.alias("breach_probability")).alias("breach_risk_assessment")))
+    percent = F.format_string("There is a %d%% probability of breach, confidence: 80%%. Expect %d hours of work.",
+                              F.floor(fp * 100).cast("bigint"), F.abs(hours))
+    k = F.pmod(F.col("order_key"), F.lit(6))
+    raw = (F.when(k == 0, full).when(k == 1, part).when(k == 2, F.concat(F.lit("Sure. "), full, F.lit(" Done.")))
+           .when(k == 3, percent).when(k == 4, F.lit("I see a 0.35 chance that it slips; risk 90 is too high a guess."))
+           .otherwise(F.lit("Hard to say. 0 hours were logged.")))
+    return p.select(F.col("order_key").alias("id"), raw.alias("raw"))
+
+
+# Submitted value and the value it is reduced to, written by hand from the rules of the form
+FORM_DEPARTMENTS = [("UIDAI|MeitY", "UIDAI"), ("|UIDAI", ""), (" eDistrict , UIDAI", "eDistrict"), ("MeitY/UIDAI", "MeitY/UIDAI"),
+                    ("DigitalMP", "DigitalMP"), ("Unknown dept|UIDAI", "Unknown dept"), (None, None)]
+FORM_CATEGORIES = [("Network, Payment", "Payment"), ("Foo|Bar", "Other"), ("Foo|Integration", "Integration"), ("Portal/Payment", "Portal/Payment"),
+                   ("Foo", "Foo"), ("Other | Certificate|Network", "Certificate"), ("payment|x", "Other"), ("", ""), (None, None),
+                   ("Authentication|Other", "Authentication"), ("Portal,", "Portal")]
+FORM_PRIORITIES = [("P3|P1", "P1"), ("P1 - critical, P3", "P1"), ("x|y", "P3"), ("P4, P2 (high)", "P2"), ("P2/P1", "P2/P1"), ("urgent", "urgent"),
+                   ("P4|P4", "P4"), ("P2P1|P3", "P1"), (None, None), ("|", "P3"), ("P3 or P4|none", "P3"), ("P4|low", "P4"), ("p1|p2", "P3")]
+FORM_SCOPES = [("regional|statewide", "statewide"), ("galaxy|planet", "single_user"), ("department, single_user", "department"),
+               ("regional/statewide", "regional/statewide"), ("critical_infrastructure|x", "critical_infrastructure"), ("planet", "planet"),
+               (None, None), ("single_user|department", "department")]
 
 
 def multiselect_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Form submissions with multi-select fields ('A|B', 'A, B', 'A/B'): the classified
-    department, category and priority of each text ticket plus a second selection
-    rotated from the fixed value lists (sometimes an empty piece first)."""
-    from ..functions import rules as R
-    from ..operators import text
-    a = text.analyze_core(fx.text_tickets(spark, sf_dir))
+    """Form submissions, one per text ticket: each field takes the submitted value at its id's place in
+    the lists above (of coprime lengths, so that the combinations vary)."""
     i = F.col("id")
 
-    def pick(values, k):
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
-
-    depts = [label for label, _ in R.DEPARTMENT_SCORED_CORE]
-    dept = (F.when(F.pmod(i, F.lit(11)) == 0, F.concat(F.lit("|"), F.col("department")))
-            .when(F.pmod(i, F.lit(2)) == 0, F.concat(pick(depts, i), F.lit(" | "), F.col("department")))
-            .otherwise(F.col("department")))
-    return a.select("id", dept.alias("department"),
-                    F.concat(F.col("category"), F.lit(", "), pick(R.CATEGORY_ORDER, i)).alias("category"),
-                    F.concat(pick(R.PRIORITY_ORDER, i), F.lit("|"), F.col("priority")).alias("priority"),
-                    F.concat(pick(R.SCOPE_ORDER, i), F.lit("/"), pick(R.SCOPE_ORDER, F.floor(i / 5))).alias("impact_scope"))
+    def pick(values: list[tuple]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v, _ in values]), (F.pmod(i, F.lit(len(values))) + 1).cast("int"))
+
+    return fx.text_tickets(spark, sf_dir).select(
+        "id", pick(FORM_DEPARTMENTS).alias("department"), pick(FORM_CATEGORIES).alias("category"),
+        pick(FORM_PRIORITIES).alias("priority"), pick(FORM_SCOPES).alias("impact_scope"))

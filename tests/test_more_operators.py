@@ -51,11 +51,14 @@ def test_priority_index_layout_prunes(spark, tmp_dir):
     assert q.count() == t.filter(F.col("priority") == 1).count()
 
 
-def test_flatten_prediction_defaults(spark):
-    df = spark.createDataFrame([(1, '{"breach_prediction": {"probability": 0.7}}'), (2, "not json")], "id long, raw string")
+def test_flatten_prediction_shapes(spark):
+    whole = ('{"breach_risk_assessment": {"breach_probability": 0.91, "confidence_level": 0.95, "risk_level": "HIGH"}, '
+             '"timeline_prediction": {"estimated_resolution_hours": 5}}')
+    df = spark.createDataFrame([(1, whole), (2, '{"breach_risk_assessment": {"breach_probability": 0.7}}'), (3, "not json")],
+                               "id long, raw string")
     p = responses.flatten_prediction(responses.parse_responses(df)).orderBy("id").collect()
-    assert (p[0].breach_probability, p[0].prediction_confidence, p[0].estimated_hours) == (0.7, 0.8, 24.0)
-    assert (p[1].breach_probability, p[1].prediction_confidence, p[1].estimated_hours) == (0.5, 0.8, 24.0)
+    assert [(r.breach_probability, r.prediction_confidence, r.estimated_hours) for r in p] == [
+        (0.91, 0.95, 5.0), (0.7, 0.8, 24.0), (0.5, 0.8, 24.0)]
 
 
 def test_asset_lookup_substring_mode(spark):
