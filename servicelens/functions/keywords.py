@@ -102,26 +102,3 @@ def keyword_hits(text_lower: Column) -> Column:
     if _UDF is None:
         raise RuntimeError("keyword index unavailable (module ahocorasick missing)")
     return _UDF(text_lower)
-
-
-def words_in(text: str | None, vocab: tuple[str, ...], automaton=None) -> list[str] | None:
-    """The words of ``vocab`` occurring in ``text`` (``contains`` semantics, so the
-    empty word occurs in every text), in ``vocab`` order."""
-    ids = hits_of(text, tuple(w for w in vocab if w), automaton)
-    if ids is None:
-        return None
-    nonempty = [w for w in vocab if w]
-    return ([""] if "" in vocab else []) + [nonempty[i] for i in ids]
-
-
-def matches_udf(vocab: tuple[str, ...]):
-    """Arrow-batched UDF: text -> the words of ``vocab`` it contains (one pass per text
-    over an automaton built once per Python worker).  ``vocab`` travels with the UDF,
-    so it must be a bounded list."""
-    nonempty = tuple(w for w in vocab if w)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def contained_words(texts: pd.Series) -> pd.Series:
-        a = _automaton(nonempty) if nonempty else None
-        return pd.Series([words_in(t, vocab, a) for t in texts])
-    return contained_words

@@ -14,55 +14,32 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.columns import present
-
-ASSET_TOKEN = r"AST-[0-9]+"
-
-
-def asset_sla_status(scored_tickets: DataFrame, pattern: str = ASSET_TOKEN,
-                     p: str = "breach_probability") -> DataFrame:
-    """C4 + D2: SLA roll-up of the tickets that mention each asset.
-
-    The application scans tickets whose title or description *contains* the asset id.
-    At table scale that is a theta join; here asset ids are extracted as whole tokens
-    (``pattern``) from title and description, exploded and aggregated per asset — an
-    equi-grouping with partial aggregation, so a very popular asset is combined map-side.
-    (Substring semantics would also let 'AST-1' match 'AST-10'; tokens do not.)
-    The application's 10-row scan limit is not reproduced: all tickets count."""
-    text = F.concat_ws(" ", F.col("title"), F.col("description"))
-    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1))
-    # explode_outer + null filter: a plain explode would push an inferred
-    # size(tokens) > 0 filter below the scan and run the regex twice per ticket
-    t = (scored_tickets.select(F.explode_outer(tokens).alias("asset_id"), F.col(p).alias("_p"))
-         .filter(F.col("asset_id").isNotNull()))
-    n = F.count(F.lit(1))
-    return (t.groupBy("asset_id")
-            .agg(F.avg("_p").alias("avg_breach_probability"),
-                 F.sum((F.col("_p") >= 0.7).cast("long")).alias("at_risk_services"),
-                 F.sum((F.col("_p") < 0.7).cast("long")).alias("healthy_services"),
-                 n.alias("total_services"))
-            .withColumn("overall_status", F.when(F.col("avg_breach_probability") >= 0.5, F.lit("at_risk"))
-                        .otherwise(F.lit("healthy"))))
-
-
-def asset_sla_status_contains(scored_tickets: DataFrame, assets: DataFrame, max_assets: int = 10_000,
-                              pattern: str = ASSET_TOKEN, p: str = "breach_probability") -> DataFrame:
-    """C4 with the source's *substring* semantics ('AST-1' also matches 'AST-10').
-
-    A limited read first proves the asset list has at most ``max_assets`` ids; that
-    bounded list (a dimension, like a broadcast) becomes one Aho-Corasick automaton, and
-    every ticket text is scanned once for all ids (``keywords.matches_udf``).  The cost
-    grows with the text, not with tickets x assets, and there is no join.  An unproven
-    list falls back to the token join of ``asset_sla_status`` (exact ids)."""
-    from ..functions import keywords as K
-    ids = [r[0] for r in assets.select("asset_id").distinct().limit(max_assets + 1).collect()]
-    ids = [i for i in ids if i is not None]
-    if len(ids) > max_assets:  # not proven small: keep the token join
-        return asset_sla_status(scored_tickets, pattern, p)
-    text = F.concat_ws(" ", F.col("title"), F.col("description"))
-    found = K.matches_udf(tuple(sorted(ids)))(text)
-    # explode_outer + null filter: no inferred size filter re-running the scan below
-    m = (scored_tickets.select(F.explode_outer(found).alias("asset_id"), F.col(p).alias("_p"))
-         .filter(F.col("asset_id").isNotNull()))
+from .util import computed_once, with_scalars
+
+def asset_sla_status(scored_tickets: DataFrame, assets: DataFrame, p: str = "breach_probability") -> DataFrame:
+    """C4 + D2: SLA roll-up of the tickets whose title or description *contains* each asset id.
+
+    ``assets`` names the ids (``asset_id``, any shape, any number).  A contains-join would compare every
+    ticket with every asset; here a ticket yields the substrings of its words that are as long as
+    some id (lengths come from the ids), and those meet the distinct ids in an equi-join, grouped by id
+    with partial aggregation.  Where an id has white space the whole fields take the place of the words, so the
+    meaning is the same for any ids (the empty id is in every text).  A ticket counts once per asset."""
+    ids = assets.select("asset_id").dropna().distinct()
+    shape = ids.agg(F.coalesce(F.collect_set(F.length("asset_id")), F.array().cast("array<int>")).alias("_lengths"),
+                    F.coalesce(F.bool_or(F.col("asset_id").rlike(r"\s")), F.lit(False)).alias("_spaced"))
+    fields = F.array(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+    t = with_scalars(scored_tickets.select(fields.alias("_fields"), F.col(p).alias("_p")), shape)
+    words = F.flatten(F.transform("_fields", lambda x: F.split(x, r"\s+")))
+
+    def cuts(x: Column, n: Column) -> Column:
+        return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, n))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    pieces = F.array_distinct(F.when(F.col("_spaced"), F.col("_fields")).otherwise(words))
+    found = F.array_distinct(F.flatten(F.transform(pieces, lambda x: F.flatten(F.transform("_lengths", lambda n: cuts(x, n))))))
+    # explode_outer + null filter: a plain explode would push an inferred size filter
+    # below the scan and cut the texts twice
+    m = (t.select(F.explode_outer(found).alias("asset_id"), "_p").filter(F.col("asset_id").isNotNull()).join(ids, "asset_id"))
     return (m.groupBy("asset_id")
             .agg(F.avg("_p").alias("avg_breach_probability"),
                  F.sum((F.col("_p") >= 0.7).cast("long")).alias("at_risk_services"),
@@ -72,6 +49,11 @@ def asset_sla_status_contains(scored_tickets: DataFrame, assets: DataFrame, max_
                         .otherwise(F.lit("healthy"))))
 
 
+def requested_assets(requests: DataFrame) -> DataFrame:
+    """The distinct assets that optimisation requests name."""
+    return requests.select(F.explode("affected_assets").alias("asset_id")).distinct()
+
+
 def _raise(level: Column) -> Column:
     return F.when(level == "low", F.lit("medium")).when(level == "medium", F.lit("high")).otherwise(level)
 
@@ -116,24 +98,25 @@ def asset_impact(changes: Column, at_risk: Column) -> Column:
 
 
 def optimization_decisions(requests: DataFrame, asset_status: DataFrame) -> DataFrame:
-    """C8 + D15 + V3: explode assets, look up their status (default healthy row when no
-    ticket mentions the asset), fold the changes, regroup per request and decide."""
-    d = R.ASSET_DEFAULT_STATUS
-    per_asset = (requests.select("optimization_id", "potential_savings", "proposed_changes",
-                                 F.posexplode("affected_assets").alias("asset_pos", "asset_id"))
-                 .join(asset_status.select("asset_id", "overall_status"), "asset_id", "left")
-                 .withColumn("overall_status", F.coalesce(F.col("overall_status"), F.lit(d[4])))
-                 .withColumn("impact", asset_impact(F.col("proposed_changes"), F.col("overall_status") == "at_risk")))
-    lv = F.col("impact.risk_level")
-    grouped = per_asset.groupBy("optimization_id").agg(
-        F.first("potential_savings").alias("potential_savings"),
-        F.sum((lv == "high").cast("long")).alias("high_risk_assets"),
-        F.sum((lv == "medium").cast("long")).alias("medium_risk_assets"),
-        # factors of high-risk assets only, in asset order (bounded by the request's asset list)
-        F.array_sort(F.collect_list(F.when(lv == "high", F.struct("asset_pos", F.col("impact.factors").alias("f")))))
-        .alias("_hf"),
-        F.array_sort(F.collect_list(F.when(lv == "high", F.struct("asset_pos", "asset_id")))).alias("_ha"),
-        F.array_sort(F.collect_list(F.when(lv == "medium", F.struct("asset_pos", "asset_id")))).alias("_ma"))
+    """C8 + D15 + V3: the impact of a request's changes is folded once for an asset at risk and once for
+    a healthy one; only (request, position, asset) is exploded and looked up (healthy when no
+    ticket mentions the asset), and every asset then takes one of the two."""
+    looked_up = (requests.select("optimization_id", F.posexplode("affected_assets").alias("asset_pos", "asset_id"))
+                 .join(asset_status.select("asset_id", (F.col("overall_status") == "at_risk").alias("at_risk")), "asset_id", "left")
+                 .groupBy("optimization_id").agg(F.array_sort(F.collect_list(F.struct(
+                     "asset_pos", "asset_id", F.coalesce("at_risk", F.lit(R.ASSET_DEFAULT_STATUS[4] == "at_risk")).alias("at_risk")
+                 ))).alias("_assets")))
+    folded = computed_once(requests, _calm=asset_impact(F.col("proposed_changes"), F.lit(False)),
+                           _tense=asset_impact(F.col("proposed_changes"), F.lit(True)))
+    joined = (folded.select("optimization_id", "potential_savings", "_calm", "_tense")
+              .join(looked_up, "optimization_id", "left")
+              .withColumn("_assets", F.coalesce("_assets", F.array().cast(looked_up.schema["_assets"].dataType))))
+
+    def at(level: str) -> Column:
+        return F.filter("_assets", lambda a: F.when(a["at_risk"], F.col("_tense.risk_level")).otherwise(F.col("_calm.risk_level")) == level)
+
+    grouped = joined.withColumns({"_ha": at("high"), "_ma": at("medium")}).withColumns({
+        "high_risk_assets": F.size("_ha").cast("long"), "medium_risk_assets": F.size("_ma").cast("long")})
     overall = (F.when(F.col("high_risk_assets") > 0, F.lit("high"))
                .when(F.col("medium_risk_assets") > 3, F.lit("medium")).otherwise(F.lit("low")))
     savings = F.col("potential_savings")
@@ -153,7 +136,8 @@ def optimization_decisions(requests: DataFrame, asset_status: DataFrame) -> Data
     return grouped.withColumns({
         "overall_risk_level": overall,
         "approval_recommended": overall != "high",
-        "risk_factors": F.flatten(F.transform("_hf", lambda x: x["f"])),
+        # factors of high-risk assets only, in asset order
+        "risk_factors": F.flatten(F.transform("_ha", lambda a: F.when(a["at_risk"], F.col("_tense.factors")).otherwise(F.col("_calm.factors")))),
         # Affected services = high-risk list followed by the medium-risk list
         "affected_services": F.concat(F.transform("_ha", lambda x: x["asset_id"]),
                                       F.transform("_ma", lambda x: x["asset_id"])),
@@ -161,7 +145,7 @@ def optimization_decisions(requests: DataFrame, asset_status: DataFrame) -> Data
         "approval_level": level,
         "conditions": conditions,
         "reasoning": reasoning,
-    }).drop("_hf", "_ha", "_ma")
+    }).drop("_assets", "_calm", "_tense", "_ha", "_ma")
 
 
 def service_change_risk(change_type: Column, p: Column) -> Column:

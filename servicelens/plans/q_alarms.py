@@ -228,7 +228,8 @@ def q_dashboard_kpis(spark, sf_dir):
     st = fx.status_events(spark, sf_dir).filter(F.col("detail_type") == "L1 Task Completion")
     l1 = st.agg(F.round(F.avg((F.col("task_status") == "completed").cast("double")), 6).alias("l1_success_rate"))
     scored = scoring.sla_metrics(fx.tickets(spark, sf_dir))
-    dec = I.optimization_decisions(fx.change_requests(spark, sf_dir), I.asset_sla_status(scored))
+    requests = fx.change_requests(spark, sf_dir)
+    dec = I.optimization_decisions(requests, I.asset_sla_status(scored, I.requested_assets(requests)))
     sav = dec.agg(F.round(F.sum(F.when(F.col("approved"), F.col("potential_savings"))), 2).alias("total_actual_savings"))
     comp = scored.agg(F.round(F.avg((~F.col("sla_status").isin("AT_RISK", "BREACH_IMMINENT")).cast("double")), 6)
                       .alias("sla_compliance"))

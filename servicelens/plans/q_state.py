@@ -77,10 +77,13 @@ def q_live_versions(spark, sf_dir):
 
 
 _ASSET_SQL = f"""
+wanted AS (
+  SELECT DISTINCT unnest(list_transform(range(0, o_orderkey % 6 + 1), lambda i: CASE WHEN i % 2 = 0 THEN 'AST-' ELSE 'LIC-' END
+                  || CAST(o_custkey + i AS VARCHAR))) AS asset_id
+  FROM orders
+),
 atok AS (
-  SELECT unnest(list_distinct(regexp_extract_all(title || ' ' || description, 'AST-[0-9]+'))) AS asset_id,
-         breach_probability AS p
-  FROM scored
+  SELECT asset_id, breach_probability AS p FROM wanted JOIN scored ON contains(title, asset_id) OR contains(description, asset_id)
 ),
 ast AS (
   SELECT asset_id, avg(p) AS avg_breach_probability, count(*) FILTER (WHERE p >= 0.7) AS at_risk_services,
@@ -96,7 +99,7 @@ SELECT asset_id, round(avg_breach_probability, 6) AS avg_breach_probability, at_
   total_services, overall_status FROM ast
 """)
 def q_asset_sla_status(spark, sf_dir):
-    a = I.asset_sla_status(scoring.sla_metrics(fx.tickets(spark, sf_dir)))
+    a = I.asset_sla_status(scoring.sla_metrics(fx.tickets(spark, sf_dir)), I.requested_assets(fx.change_requests(spark, sf_dir)))
     return a.select("asset_id", F.round("avg_breach_probability", 6).alias("avg_breach_probability"),
                     "at_risk_services", "healthy_services", "total_services", "overall_status")
 
@@ -104,7 +107,8 @@ def q_asset_sla_status(spark, sf_dir):
 _CR_SQL = """
 cr AS (
   SELECT o_orderkey AS optimization_id, o_totalprice AS potential_savings,
-         ['AST-' || CAST(o_custkey AS VARCHAR), 'AST-' || CAST(o_custkey + 1 AS VARCHAR)] AS affected_assets,
+         list_transform(range(0, o_orderkey % 6 + 1), lambda i: CASE WHEN i % 2 = 0 THEN 'AST-' ELSE 'LIC-' END
+                        || CAST(o_custkey + i AS VARCHAR)) AS affected_assets,
          CAST(o_orderkey % 3 + 1 AS INTEGER) AS n_changes
   FROM orders
 ),
@@ -190,8 +194,9 @@ SELECT optimization_id, high_risk_assets, medium_risk_assets, o AS overall_risk_
 FROM h
 """)
 def q_optimization_decisions(spark, sf_dir):
-    a = I.asset_sla_status(scoring.sla_metrics(fx.tickets(spark, sf_dir)))
-    d = I.optimization_decisions(fx.change_requests(spark, sf_dir), a)
+    requests = fx.change_requests(spark, sf_dir)
+    a = I.asset_sla_status(scoring.sla_metrics(fx.tickets(spark, sf_dir)), I.requested_assets(requests))
+    d = I.optimization_decisions(requests, a)
     return d.select("optimization_id", "high_risk_assets", "medium_risk_assets", "overall_risk_level", "approved",
                     "approval_level", F.array_join("risk_factors", "; ").alias("risk_factors"),
                     F.array_join("affected_services", ",").alias("affected_services"), "reasoning")
@@ -207,7 +212,7 @@ latest AS (SELECT service_id, arg_max(breach_probability, (version_ts, update_se
 lc AS (
   SELECT event_id AS change_id,
     (['license_downgrade', 'license_removal', 'license_upgrade'])[CAST(floor(value) AS BIGINT) % 3 + 1] AS change_type,
-    unnest([user_id, user_id + 1]) AS service_id
+    unnest(list_transform(range(0, event_id % 5 + 1), lambda i: user_id + i)) AS service_id
   FROM events WHERE event_type = 'signup'
 ),
 r AS (

@@ -35,9 +35,9 @@ tickets AS (
            AS created_at,
          o.o_totalprice AS revenue_impact,
          CASE WHEN o.o_totalprice >= 300000 THEN 'critical' ELSE 'standard' END AS customer_impact,
-         'Issue on asset AST-' || CAST(o.o_custkey AS VARCHAR) AS title,
+         CASE WHEN o.o_orderkey % 5 = 0 THEN 'Issue on LIC-' ELSE 'Issue on asset AST-' END || CAST(o.o_custkey AS VARCHAR) AS title,
          {phrase('o.o_orderkey')} AS description
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 )"""
 
 # elapsed minutes, thresholds (unknown priority -> P3), remaining and risks

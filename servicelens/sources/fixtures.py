@@ -72,7 +72,7 @@ def tickets(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) -> Dat
     age = F.pmod(F.col("o_orderkey") * 37, span.cast("bigint"))
     created = ts_literal(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), age.cast("int"))
     return (
-        o.join(c, o.o_custkey == c.c_custkey, "inner")
+        o.join(c, o.o_custkey == c.c_custkey, "left")
         .select(
             F.concat(F.lit("T-"), F.col("o_orderkey").cast("string")).alias("ticket_id"),
             F.col("o_orderkey").alias("order_key"),
@@ -85,7 +85,8 @@ def tickets(spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF) -> Dat
             F.col("o_totalprice").alias("revenue_impact"),
             F.when(F.col("o_totalprice") >= CRITICAL_CUSTOMER_PRICE, F.lit("critical"))
             .otherwise(F.lit("standard")).alias("customer_impact"),
-            F.concat(F.lit("Issue on asset AST-"), F.col("o_custkey").cast("string")).alias("title"),
+            F.concat(F.when(F.pmod("o_orderkey", F.lit(5)) == 0, "Issue on LIC-").otherwise("Issue on asset AST-"),
+                     F.col("o_custkey").cast("string")).alias("title"),
             phrase_for(F.col("o_orderkey")).alias("description"),
         )
     )
@@ -227,7 +228,7 @@ CHANGE_SHAPES = [
 
 
 def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One optimisation request per order: two affected assets, 1-3 proposed changes."""
+    """One optimisation request per order: 1-6 affected assets (ids of two shapes), 1-3 proposed changes."""
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
     k = F.col("o_orderkey")
     n_changes = (F.pmod(k, F.lit(3)) + 1).cast("int")
@@ -241,8 +242,8 @@ def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return o.select(
         k.alias("optimization_id"),
-        F.array(F.concat(F.lit("AST-"), F.col("o_custkey").cast("string")),
-                F.concat(F.lit("AST-"), (F.col("o_custkey") + 1).cast("string"))).alias("affected_assets"),
+        F.transform(F.sequence(F.lit(0), F.pmod(k, F.lit(6)).cast("int")), lambda i: F.concat(
+            F.when(i % 2 == 0, "AST-").otherwise("LIC-"), (F.col("o_custkey") + i).cast("string"))).alias("affected_assets"),
         changes.alias("proposed_changes"),
         F.col("o_totalprice").alias("potential_savings"),
     )
@@ -257,14 +258,15 @@ LICENSE_CHANGE_TYPES = ["license_downgrade", "license_removal", "license_upgrade
 
 
 def license_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence change requests: every signup event changes the licence of its service
-    and the next one; the change type follows the event value."""
+    """Licence change requests: every signup event changes the licences of its service
+    and of up to four that follow; the change type follows the event value."""
     e = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
     types = F.array(*[F.lit(t) for t in LICENSE_CHANGE_TYPES])
     return e.filter(F.col("event_type") == "signup").select(
         F.col("event_id").alias("change_id"),
         F.element_at(types, (F.pmod(F.floor("value"), F.lit(3)) + 1).cast("int")).alias("change_type"),
-        F.array(F.col("user_id"), F.col("user_id") + 1).alias("affected_services"),
+        F.transform(F.sequence(F.lit(0), F.pmod("event_id", F.lit(5)).cast("int")), lambda i: F.col("user_id") + i)
+        .alias("affected_services"),
     )
 
 

@@ -61,17 +61,15 @@ def test_flatten_prediction_shapes(spark):
         (0.91, 0.95, 5.0), (0.7, 0.8, 24.0), (0.5, 0.8, 24.0)]
 
 
-def test_asset_lookup_substring_mode(spark):
-    tk = spark.createDataFrame([("Issue on asset AST-1", "", 0.9), ("Issue on asset AST-10", "", 0.1),
-                                ("nothing", "", 0.5)], "title string, description string, breach_probability double")
-    assets = spark.createDataFrame([("AST-1",), ("AST-10",)], "asset_id string")
-    sub = {r.asset_id: r.total_services for r in impact.asset_sla_status_contains(tk, assets).collect()}
-    tok = {r.asset_id: r.total_services for r in impact.asset_sla_status(tk).collect()}
-    assert sub == {"AST-1": 2, "AST-10": 1}  # substring: AST-1 also inside AST-10
-    assert tok == {"AST-1": 1, "AST-10": 1}  # whole tokens
-    # an unproven (too large) asset list falls back to the token join
-    big = impact.asset_sla_status_contains(tk, assets, max_assets=1)
-    assert {r.asset_id: r.total_services for r in big.collect()} == tok
+def test_asset_lookup_is_contains(spark):
+    tk = spark.createDataFrame([("AST-10 broke", None, 0.9), ("Issue on asset AST-1", "LIC-7 too", 0.1), ("x(LIC-7),AST-1;AST-1", "", 0.5),
+                                ("my asset 9", "", 0.7), ("nothing", "", 0.5)], "title string, description string, breach_probability double")
+    for ids in (["AST-1", "AST-10", "LIC-7", "gone", "", None], ["asset 9", "AST-1", "LIC-7"], []):
+        assets = spark.createDataFrame([(i,) for i in ids * 2], "asset_id string")
+        got = {r.asset_id: r.total_services for r in impact.asset_sla_status(tk, assets).collect()}
+        rows = [(r.title, r.description or "") for r in tk.collect()]
+        want = {i: sum(i in t or i in d for t, d in rows) for i in ids if i is not None}
+        assert got == {i: n for i, n in want.items() if n}
 
 
 def test_event_rules(spark):
@@ -100,13 +98,12 @@ from hypothesis import strategies as st  # noqa: E402
                           st.sampled_from([0.1, 0.6, 0.9])), min_size=1, max_size=15),
        st.lists(st.sampled_from(["AST-1", "AST-10", "AST-2", "AST-3", "", "AST-"]), min_size=1, max_size=5))
 def test_substring_asset_lookup_equals_contains(spark, tickets, asset_ids):
-    """One automaton pass per text gives exactly the rows of the theta join on
-    ``contains`` (nested ids, the empty id, empty texts)."""
+    """Exactly the rows of the theta join on ``contains`` (nested ids, the empty id, empty texts)."""
     tk = spark.createDataFrame([(t, "", p) for t, p in tickets], "title string, description string, "
                                                                   "breach_probability double")
     assets = spark.createDataFrame([(a,) for a in asset_ids], "asset_id string")
     got = {r.asset_id: (r.total_services, r.at_risk_services)
-           for r in impact.asset_sla_status_contains(tk, assets).collect()}
+           for r in impact.asset_sla_status(tk, assets).collect()}
     want = {}
     for a in set(asset_ids):
         hits = [p for t, p in tickets if a in (t + " ")]
