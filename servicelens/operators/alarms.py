@@ -22,12 +22,11 @@ ALARMS = [
     ("high-breach-rate", "HighRiskTickets", 300, "Sum", 1, 10.0, ">"),
     ("slow-responses", "ResponseTimeMs", 300, "Average", 2, 45000.0, ">"),
     ("prediction-accuracy", "SLACompliance", 3600, "Average", 1, 0.8, "<"),
-    ("hourly-breaches", "HighRiskTickets", 3600, "Sum", 1, 1.0, ">"),
 ]
 
 
 def alarm_table(spark) -> DataFrame:
-    """The alarm definitions as a DataFrame (six rows; bounded by construction)."""
+    """The alarm definitions as a DataFrame (five rows; bounded by construction)."""
     return spark.createDataFrame(
         ALARMS, "alarm_name string, metric string, period_s int, statistic string, evaluation_periods int, "
                 "threshold double, comparison string")

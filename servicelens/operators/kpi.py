@@ -190,14 +190,6 @@ def service_health_scan(tickets: DataFrame) -> DataFrame:
                      F.sum(high.cast("long")).alias("alerts"))
 
 
-def latest_per_group(df: DataFrame, group: str, ts: str, key: str, k: int = 10) -> DataFrame:
-    """The k newest rows per group (the priority / created-at index).  ``row_number
-    <= k`` is planned with a partial WindowGroupLimit before the shuffle, so each input
-    partition forwards at most k rows per group even when a group is huge."""
-    w = Window.partitionBy(group).orderBy(F.col(ts).desc(), F.col(key).desc())
-    return df.withColumn("index_position", F.row_number().over(w)).filter(F.col("index_position") <= k)
-
-
 def write_priority_index(df: DataFrame, path: str, group: str = "priority", ts: str = "created_at") -> None:
     """E6 (layout): tickets range-partitioned and sorted by (priority, created_at), so a
     lookup by priority reads only matching files and row groups (min/max pruning)."""

@@ -215,6 +215,12 @@ def all_versions(state: DataFrame, versions: DataFrame) -> DataFrame:
             .withColumn("sla_status", sla_status(F.col("breach_probability"))))
 
 
+def versioned(scored: DataFrame, as_of: str = DEFAULT_AS_OF, days: int = 90) -> DataFrame:
+    """Scored rows as state versions: the time of the version and when it expires."""
+    now = ts_literal(as_of)
+    return scored.withColumns({"version_ts": now, "expire_at": now + F.make_interval(days=F.lit(days))})
+
+
 def expire_state(versions: DataFrame, as_of: str = DEFAULT_AS_OF, ts: str = "version_ts",
                  ttl_days: int = R.STATE_TTL_DAYS) -> DataFrame:
     """expiry = version time + 90 days; keep versions not yet expired."""

@@ -44,7 +44,6 @@ al AS (
   UNION ALL SELECT 'high-breach-rate', ws, s, s > 10.0, 1, 300 FROM w5 WHERE metric = 'HighRiskTickets'
   UNION ALL SELECT 'slow-responses', ws, a, a > 45000.0, 2, 300 FROM w5 WHERE metric = 'ResponseTimeMs'
   UNION ALL SELECT 'prediction-accuracy', ws, a, a < 0.8, 1, 3600 FROM w60 WHERE metric = 'SLACompliance'
-  UNION ALL SELECT 'hourly-breaches', ws, s, s > 1.0, 1, 3600 FROM w60 WHERE metric = 'HighRiskTickets'
 )
 SELECT alarm_name, {S.ts('ws')} AS window_start, round(value, 9) AS value, breaching,
   CASE WHEN (SELECT count(*) FROM al b WHERE b.alarm_name = a.alarm_name AND b.breaching

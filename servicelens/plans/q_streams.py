@@ -1,4 +1,4 @@
-"""Structured Streaming jobs as registered queries.
+"""Structured Streaming jobs as registered queries.
 
 Each query writes its input, derived from the driver tables, as files under the
 shared checkpoint folder, runs the streaming job with ``availableNow`` over it (the
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import fmt_ts
 from ..sources import fixtures as fx
 from ..sources import ingest as IN
 from ..sources import rawfeeds as RF
@@ -42,19 +43,76 @@ dec AS (
 )"""
 
 
+def _score_run(spark, sf_dir) -> str:
+    src, sink = IN.scratch_path(spark, "score-src"), IN.scratch_path(spark, "score-sink")
+    RF.change_records(spark, sf_dir).select("value").write.text(src)
+    _finish(jobs.score_stream(spark, src, sink, checkpoint=IN.scratch_path(spark, "score-ckpt")))
+    return sink
+
+
+_STREAM_SCORED = f"WITH {S.TICKETS}, {_DECODED}, {S.SCORED.replace('FROM tickets', 'FROM dec')}"
+
+
 @query("score_stream_sink", oracle=f"""
-WITH {S.TICKETS}, {_DECODED}, {S.SCORED.replace("FROM tickets", "FROM dec")}
+{_STREAM_SCORED}
 SELECT ticket_id, priority, status, category, breach_probability,
   {S.bucket('breach_probability')} AS breach_bucket, {S.status('breach_probability')} AS sla_status,
-  response_remaining, resolution_remaining
+  response_remaining, resolution_remaining, {S.ts(S.AS_OF)} AS version_ts,
+  {S.ts(S.AS_OF + " + INTERVAL 90 DAY")} AS expire_at
 FROM scored
 """)
 def q_score_stream(spark, sf_dir):
-    """S1 + S9: change records (text files) -> decode -> score -> state rows, streamed."""
-    src, sink = IN.scratch_path(spark, "score-src"), IN.scratch_path(spark, "score-sink")
-    RF.change_records(spark, sf_dir).select("value").write.text(src)
-    _finish(jobs.score_stream(spark, src, sink, checkpoint=IN.scratch_path(spark, "score-ckpt")))
-    return spark.read.parquet(sink).drop("batch_id")
+    """S1 + S9: change records (text files) -> decode -> score -> versioned state rows, streamed."""
+    out = spark.read.parquet(f"{_score_run(spark, sf_dir)}/states").drop("batch_id")
+    return out.withColumns({c: fmt_ts(c) for c in ("version_ts", "expire_at")})
+
+
+@query("score_stream_events", oracle=f"""
+{_STREAM_SCORED}
+SELECT 'sla-monitor' AS source, 'Metric Update' AS detail_type, ticket_id, {S.status('breach_probability')} AS sla_status
+FROM scored
+""")
+def q_score_stream_events(spark, sf_dir):
+    """S1 + A10: one metric event per state row, read back from the events sink."""
+    ev = spark.read.parquet(f"{_score_run(spark, sf_dir)}/events")
+    return ev.select("source", "detail_type", F.get_json_object("detail", "$.ticket_id").alias("ticket_id"),
+                     F.get_json_object("detail", "$.sla_status").alias("sla_status"))
+
+
+@query("score_stream_rejects", oracle=f"""
+WITH {S.TICKETS}
+SELECT ticket_id FROM tickets WHERE order_key % 3 = 2
+""")
+def q_score_stream_rejects(spark, sf_dir):
+    """The records that are no ticket changes land in the rejects sink."""
+    rej = spark.read.parquet(f"{_score_run(spark, sf_dir)}/rejects")
+    return rej.select(F.get_json_object("value", "$.dynamodb.NewImage.ticket_id.S").alias("ticket_id"))
+
+
+def _window_run(spark, sf_dir) -> str:
+    src, sink = IN.scratch_path(spark, "points-src"), IN.scratch_path(spark, "points-sink")
+    pts = fx.metric_points(spark, sf_dir)
+    pts.write.parquet(src)
+    _finish(jobs.windowed_metrics_stream(spark, src, sink, schema=pts.schema, checkpoint=IN.scratch_path(spark, "points-ckpt")))
+    return sink
+
+
+@query("windowed_metrics_stream_sink", oracle=_oracle("windowed_metrics_5m"))
+def q_windowed_metrics_stream(spark, sf_dir):
+    """Tumbling windows streamed in update mode; all windows, also the last ones, equal the batch."""
+    w = jobs.read_windows(spark, _window_run(spark, sf_dir))
+    return w.select("metric", fmt_ts("window_start").alias("window_start"), F.round("sum", 6).alias("sum_value"),
+                    F.round("average", 9).alias("avg_value"), "samples")
+
+
+@query("alarm_states_stream", oracle=f"""
+SELECT * FROM ({_oracle("alarm_states")}) WHERE alarm_name <> 'prediction-accuracy'
+""")
+def q_alarm_states_stream(spark, sf_dir):
+    """The five-minute alarms over the streamed windows equal the batch evaluation."""
+    a = jobs.alarms_from_windows(spark, _window_run(spark, sf_dir))
+    return a.select("alarm_name", fmt_ts("window_start").alias("window_start"), F.round("value", 9).alias("value"),
+                    "breaching", "alarm_state")
 
 
 @query("status_fold_stream_sink", oracle=f"""

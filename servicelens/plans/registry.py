@@ -30,10 +30,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_scoring  # noqa: F401
-    for mod in ("q_text", "q_licenses", "q_state", "q_alarms", "q_ingest", "q_ml", "q_streams"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from . import q_alarms, q_ingest, q_licenses, q_ml, q_scoring, q_state, q_streams, q_text  # noqa: F401

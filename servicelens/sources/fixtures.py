@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_AS_OF
 from ..functions.columns import SqlText, as_col, present, recode, ts_literal
-from .tables import read_spread, read_table, spread
+from .tables import read_spread, read_table
 
 # FIXED VALUES — sixteen ticket phrases; the text of key k starts with PHRASES[k % 16]
 PHRASES = [

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import email
 import email.policy
-import os
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -196,10 +194,8 @@ def read_csv_manifest(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 def append_sla_state(scored: DataFrame, path: str, as_of: str, key: str = "ticket_id") -> DataFrame:
     """New state version rows (bucket, version time, expiry +90 days), appended."""
-    from ..operators.state import expire_state  # noqa: F401  (expiry column semantics shared)
-    now = ts_literal(as_of)
-    rows = (scored.withColumn("service_id", F.col(key)).withColumn("version_ts", now)
-            .withColumn("expire_at", now + F.make_interval(days=F.lit(90))))
+    from ..operators.state import versioned
+    rows = versioned(scored.withColumn("service_id", F.col(key)), as_of)
     rows.write.mode("append").parquet(path)
     return rows
 
@@ -212,11 +208,8 @@ def emit_events(df: DataFrame, detail_type: str, source: str, detail_cols: list[
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local temp)."""
-    from ..session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    from ..session import scratch_folder
+    return scratch_folder(spark, name)
 
 
 # ---------------------------------------------------------------------------
@@ -248,23 +241,3 @@ def read_emails(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataF
     standard library in an Arrow batch function."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
     return raw.mapInPandas(_parse_mime, EMAIL_SCHEMA)
-
-
-def write_emails_as_mime(df: DataFrame, path: str) -> None:
-    """Test/fixture helper: one MIME file per row (message_id, sender, subject, body),
-    written by the tasks themselves (no driver round trip)."""
-    def write_part(batches):
-        from email.message import EmailMessage
-        os.makedirs(path, exist_ok=True)
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                m = EmailMessage()
-                m["Message-ID"] = f"<{r.message_id}@example.org>"
-                m["From"] = r.sender
-                m["To"] = "support@example.org"
-                m["Subject"] = r.subject
-                m.set_content(r.body)
-                with open(os.path.join(path, f"{r.message_id}.eml"), "wb") as fh:
-                    fh.write(m.as_bytes())
-            yield pd.DataFrame({"n": [len(pdf)]})
-    df.select("message_id", "sender", "subject", "body").mapInPandas(write_part, "n long").collect()

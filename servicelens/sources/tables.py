@@ -10,60 +10,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-_SCANS: dict[str, tuple[SparkSession, DataFrame]] = {}
-_SPLITS: dict[str, tuple[SparkSession, int]] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan; selecting ``columns`` right away keeps the ReadSchema narrow.
-
-    The relation (file listing + footer schema) is built once per session and path and
-    reused by later queries; call ``refresh_tables()`` after the files change."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    hit = _SCANS.get(path)
-    if hit is None or hit[0] is not spark:
-        hit = (spark, spark.read.parquet(path))
-        _SCANS[path] = hit
-    df = hit[1]
+    """Parquet scan of the files that are there now; selecting ``columns`` right away keeps the
+    ReadSchema narrow."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
 
 
-def scan_splits(spark: SparkSession, sf_dir: str, name: str) -> int | None:
-    """Number of input splits of a table scan (a projection of it has the same),
-    computed once per session and path; None without an RDD view."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    hit = _SPLITS.get(path)
-    if hit is None or hit[0] is not spark:
-        try:
-            hit = (spark, read_table(spark, sf_dir, name).rdd.getNumPartitions())
-        except Exception:  # e.g. Spark Connect
-            return None
-        _SPLITS[path] = hit
-    return hit[1]
-
-
 def read_spread(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """``read_table`` followed by ``spread`` (split count taken from the cached scan)."""
-    df = read_table(spark, sf_dir, name, columns)
-    n = scan_splits(spark, sf_dir, name)
-    target = spark.sparkContext.defaultParallelism if n is not None else None
-    return df.repartition(target) if n is not None and n < target else df
+    """``read_table``, dealt out over the cores where the scan has fewer splits than that.
 
-
-def refresh_tables() -> None:
-    _SCANS.clear()
-    _SPLITS.clear()
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin spread of a scan that yields fewer partitions than there are cores.
-
-    Small tables stored as one parquet row group scan as one task; CPU-heavy text work
-    on them would then use one core.  On large inputs the scan already has many
-    splits and this is a no-op (no extra shuffle)."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(target) if n < target else df
+    Small tables stored as one parquet row group scan as one task; CPU-heavy text work on them
+    would then use one core.  The splits are those of the bare scan (no job is run to
+    count them), so on large inputs nothing is shuffled; the rows are the same either way."""
+    df = read_table(spark, sf_dir, name, columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -50,21 +50,37 @@ def _append_batch(path: str):
 # S1 + S9: change feed -> SLA scores -> state versions (+ metric events)
 # ---------------------------------------------------------------------------
 
-def score_stream(spark: SparkSession, source: str, sink: str, as_of: str = DEFAULT_AS_OF,
-                 checkpoint: str | None = None, available_now: bool = True,
-                 interval: str = "5 seconds", max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """JSON change records (one per line, column ``value``) -> decode (A1) ->
-    B1/B2 -> state rows with expiry (A9 / S9)."""
+def _records(spark: SparkSession, source: str, max_files_per_trigger: int | None) -> DataFrame:
+    """Change records: text files, one JSON record per line."""
     reader = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())])).format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.load(source)
-    tickets, _ = ingest.decode_change_feed(raw)
-    scored = scoring.sla_metrics(tickets, as_of)
-    out = scored.select("ticket_id", "priority", "status", "category", "breach_probability", "breach_bucket",
-                        "sla_status", "response_remaining", "resolution_remaining")
-    w = out.writeStream.foreachBatch(_append_batch(sink)).option("checkpointLocation",
-                                                                 _checkpoint(spark, "score", checkpoint))
+    return reader.load(source)
+
+
+def score_stream(spark: SparkSession, source: str, sink: str, as_of: str = DEFAULT_AS_OF,
+                 checkpoint: str | None = None, available_now: bool = True,
+                 interval: str = "5 seconds", max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Change records -> decode (A1) -> B1/B2.  Per micro-batch: ``states`` (versioned state rows that
+    expire after 90 days, A9 / S9), ``events`` (one metric event per state, A10) and ``rejects`` (the records
+    that are no ticket changes)."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        def put(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(os.path.join(sink, name, f"batch_id={batch_id}"))
+
+        df = df.persist()
+        tickets, rejects = ingest.decode_change_feed(df)
+        states = state.versioned(scoring.sla_metrics(tickets, as_of), as_of).select(
+            "ticket_id", "priority", "status", "category", "breach_probability", "breach_bucket", "sla_status",
+            "response_remaining", "resolution_remaining", "version_ts", "expire_at")
+        put(states, "states")
+        put(ingest.emit_events(states, "Metric Update", "sla-monitor",
+                               ["ticket_id", "breach_probability", "breach_bucket", "sla_status"]), "events")
+        put(rejects, "rejects")
+        df.unpersist()
+
+    w = _records(spark, source, max_files_per_trigger).writeStream.foreachBatch(write).option(
+        "checkpointLocation", _checkpoint(spark, "score", checkpoint))
     return _trigger(w, available_now, interval).start()
 
 
@@ -74,26 +90,30 @@ def score_stream(spark: SparkSession, source: str, sink: str, as_of: str = DEFAU
 
 def predict_stream(spark: SparkSession, source: str, sink: str, as_of: str = DEFAULT_AS_OF,
                    checkpoint: str | None = None, available_now: bool = True,
-                   interval: str = "5 seconds") -> StreamingQuery:
+                   interval: str = "5 seconds", max_files_per_trigger: int | None = None) -> StreamingQuery:
     """S3: decoded tickets -> score -> heuristic model -> combine; triggered actions are
-    exploded into typed events in the same micro-batch (``foreachBatch``)."""
+    exploded into typed events in the same micro-batch.  Records that are no ticket changes go to
+    ``record_rejects``, actions without a rule to ``rejects``."""
     from ..operators import actions
-    raw = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())])).format("text").load(source)
-    tickets, _ = ingest.decode_change_feed(raw)
-    pred = scoring.predict(tickets, as_of)
 
     def write(df: DataFrame, batch_id: int) -> None:
+        def put(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(os.path.join(sink, name, f"batch_id={batch_id}"))
+
         df = df.persist()
-        df.select("ticket_id", "final_breach_probability", "priority_boost", "new_priority", "time_to_breach") \
-            .write.mode("overwrite").parquet(os.path.join(sink, "predictions", f"batch_id={batch_id}"))
-        ev, rej = actions.action_events(df)
-        ev.select("ticket_id", "action", "urgency", "followup_minutes", "detail") \
-            .write.mode("overwrite").parquet(os.path.join(sink, "actions", f"batch_id={batch_id}"))
-        rej.select("ticket_id", "action").write.mode("overwrite") \
-            .parquet(os.path.join(sink, "rejects", f"batch_id={batch_id}"))
+        tickets, unread = ingest.decode_change_feed(df)
+        pred = scoring.predict(tickets, as_of).persist()
+        put(pred.select("ticket_id", "final_breach_probability", "priority_boost", "new_priority", "time_to_breach"),
+            "predictions")
+        ev, rej = actions.action_events(pred)
+        put(ev.select("ticket_id", "action", "urgency", "followup_minutes", "detail"), "actions")
+        put(rej.select("ticket_id", "action"), "rejects")
+        put(unread, "record_rejects")
+        pred.unpersist()
         df.unpersist()
 
-    w = pred.writeStream.foreachBatch(write).option("checkpointLocation", _checkpoint(spark, "predict", checkpoint))
+    w = _records(spark, source, max_files_per_trigger).writeStream.foreachBatch(write).option(
+        "checkpointLocation", _checkpoint(spark, "predict", checkpoint))
     return _trigger(w, available_now, interval).start()
 
 
@@ -132,11 +152,19 @@ def _fold_group(key, pdfs, st):
 
 def status_fold_stream(spark: SparkSession, source: str, initial_state: DataFrame, sink: str,
                        checkpoint: str | None = None, available_now: bool = True,
-                       interval: str = "5 seconds", event_schema: T.StructType | None = None) -> StreamingQuery:
+                       interval: str = "5 seconds", event_schema: T.StructType | None = None,
+                       max_files_per_trigger: int | None = 16) -> StreamingQuery:
     """S4 streaming: parquet status events joined (stream-static) to the latest prior
     state (inner join = events without prior state are dropped), then folded per
-    service with ``applyInPandasWithState``."""
-    ev = spark.readStream.schema(event_schema).parquet(source)
+    service with ``applyInPandasWithState``.
+
+    Events apply in the order of their micro-batches, inside one by time and id; sources write files in
+    time order.  A service's events of one micro-batch are sorted in one task, so ``max_files_per_trigger``
+    bounds what a hot service needs."""
+    reader = spark.readStream.schema(event_schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    ev = reader.parquet(source)
     latest = state.latest_state(initial_state).select(
         "service_id", F.col("breach_probability").alias("_p0"), F.col("response_remaining").alias("_r0"),
         F.col("resolution_remaining").alias("_q0"))
@@ -160,8 +188,9 @@ def windowed_metrics_stream(spark: SparkSession, source: str, sink: str, period_
                             watermark: str = "10 minutes", schema: T.StructType | None = None,
                             checkpoint: str | None = None, available_now: bool = True,
                             interval: str = "5 seconds") -> StreamingQuery:
-    """Tumbling windows per metric; append mode emits a window once the watermark
-    has passed its end.  (The watermark is our addition: the source system stamps
+    """Tumbling windows per metric.  Update mode writes every window that a micro-batch
+    changed, also those that the watermark has not closed; ``read_windows`` takes the latest
+    version of each.  (The watermark bounds the state and is our addition: the source system stamps
     processing time and has no late-data policy.)"""
     # watermarks need TIMESTAMP; wall-clock NTZ input is converted and the window start
     # converted back, so window boundaries equal the batch ones
@@ -172,15 +201,22 @@ def windowed_metrics_stream(spark: SparkSession, source: str, sink: str, period_
            .agg(F.sum("value").alias("sum"), F.avg("value").alias("average"), F.count(F.lit(1)).alias("samples"))
            .select("namespace", "metric", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "sum",
                    "average", "samples"))
-    wr = agg.writeStream.outputMode("append").format("parquet").option("path", sink) \
+    wr = agg.writeStream.outputMode("update").foreachBatch(_append_batch(sink)) \
         .option("checkpointLocation", _checkpoint(spark, "windows", checkpoint))
     return _trigger(wr, available_now, interval).start()
 
 
+def read_windows(spark: SparkSession, windows_path: str) -> DataFrame:
+    """The windows of a ``windowed_metrics_stream`` sink: the version of the last micro-batch that changed each."""
+    value = F.struct("sum", "average", "samples")
+    return (spark.read.parquet(windows_path).groupBy("namespace", "metric", "window_start")
+            .agg(F.max_by(value, "batch_id").alias("v")).select("namespace", "metric", "window_start", "v.*"))
+
+
 def alarms_from_windows(spark: SparkSession, windows_path: str, period_s: int = 300) -> DataFrame:
     """Alarm evaluation over the windows a ``windowed_metrics_stream`` emitted (a
     batch job over its sink, run after each trigger)."""
-    w = spark.read.parquet(windows_path).withColumn("period_s", F.lit(period_s)).drop("namespace")
+    w = read_windows(spark, windows_path).withColumn("period_s", F.lit(period_s)).drop("namespace")
     return alarms.evaluate_windows(w, [a for a in alarms.ALARMS if a[2] == period_s])
 
 

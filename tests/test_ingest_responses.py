@@ -59,10 +59,22 @@ def test_recommendation_replies(spark):
         (1, "LICENSE_REDUCTION", "d" * 50 + "...", 6, 0.8, "LOW"), (1, "CONSOLIDATION", "T", 3, 0.8, "LOW")]
 
 
+def write_emails_as_mime(df, path):
+    """One MIME file per row."""
+    from email.message import EmailMessage
+    os.makedirs(path)
+    for r in df.select("message_id", "sender", "subject", "body").collect():
+        m = EmailMessage()
+        m["Message-ID"], m["From"], m["To"], m["Subject"] = f"<{r.message_id}@example.org>", r.sender, "support@example.org", r.subject
+        m.set_content(r.body)
+        with open(os.path.join(path, f"{r.message_id}.eml"), "wb") as f:
+            f.write(m.as_bytes())
+
+
 def test_mime_emails_roundtrip(spark, tmp_dir):
     path = os.path.join(tmp_dir, "eml")
     em = fx.emails(spark, SF_SMALL).dropDuplicates(["message_id"])
-    ingest.write_emails_as_mime(em, path)
+    write_emails_as_mime(em, path)
     back = ingest.read_emails(spark, path)
     assert back.count() == em.count()
     one = back.filter(F.col("message_id") == "<2@example.org>").first()
