@@ -10,11 +10,12 @@ of entries), so they are broadcast; documents never move.
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,10 @@ from pyspark.sql import types as T
 
 from .common import fresh, own
 
-#: Pre-tokens whose ids a worker remembers; it starts anew beyond.
+#: Pre-tokens of a generation of the memo; the one before is kept beside it.
 MEMO_LIMIT = 400_000
+#: Rows of an Arrow batch that are worked on at once, and ids whose bytes are gathered at once.
+_ROWS, _GATHER = 512, 1 << 18
 _ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -88,14 +91,17 @@ class Bpe:
         self.ids = [ranks[t] for t in tokens]
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.bytes_of = {ranks[t]: t for t in tokens}
-        self.base = max(self.ids) + 1
-        self.pairs: dict[int, int] = {}
+        #: for every id, the ids that may follow it in a merge and the rank of the result
+        none: dict[int, int] = {}
+        self.after_of: list[dict[int, int]] = [none] * (max(self.ids) + 1)
         for t in tokens:
             for i in range(1, len(t)):
                 a, b = ranks.get(t[:i]), ranks.get(t[i:])
                 if a is not None and b is not None:
-                    self.pairs[a * self.base + b] = ranks[t]
-        self.memo: dict[str, tuple] = {}
+                    if self.after_of[a] is none:
+                        self.after_of[a] = {}
+                    self.after_of[a][b] = ranks[t]
+        self.memo = Memo(self)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Bpe:
@@ -104,44 +110,87 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token by merging neighbours, lowest rank first, leftmost of ties."""
-        pairs, base = self.pairs, self.base
-        ids = [self.byte_ids[b] for b in piece]
+        after_of, byte_ids = self.after_of, self.byte_ids
+        ids = [byte_ids[b] for b in piece]
         n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1)
-                if (r := pairs.get(ids[i] * base + ids[i + 1])) is not None]
+        # rank of the pair that begins at a part now; an entry of the heap that says otherwise is stale
+        rank = [after_of[a].get(b) for a, b in zip(ids, ids[1:])]
+        rank.append(None)
+        heap = [r << 32 | i for i, r in enumerate(rank) if r is not None]
         heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            r, i, a, b = heappop(heap)
+            top = heappop(heap)
+            i, r = top & 0xFFFFFFFF, top >> 32
+            if rank[i] != r:
+                continue
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # one of the two was merged meanwhile
-            ids[i], ids[j] = r, -1
+            ids[i], rank[i], rank[j] = r, None, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (s := pairs.get(r * base + ids[k])) is not None:
-                    heappush(heap, (s, i, r, ids[k]))
+                s = after_of[r].get(ids[k])
+                if s is not None:
+                    rank[i] = s
+                    heappush(heap, s << 32 | i)
             k = before[i]
-            if k >= 0 and (s := pairs.get(ids[k] * base + r)) is not None:
-                heappush(heap, (s, k, ids[k], r))
-        return [x for x in ids if x >= 0]
-
-    def lookup(self, piece: str) -> tuple:
+            if k >= 0:
+                s = rank[k] = after_of[ids[k]].get(r)
+                if s is not None:
+                    heappush(heap, s << 32 | k)
+        i, out = 0, []
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
+    def lookup(self, piece: str) -> bytes:
+        """Ids of a pre-token, as 32-bit integers."""
         key = piece.encode()
         at = self.whole.get(key)
-        ids = (self.ids[at],) if at >= 0 else tuple(self.merge(key))
-        if len(self.memo) >= MEMO_LIMIT:
-            self.memo.clear()
-        self.memo[piece] = ids
+        return array("i", (self.ids[at],) if at >= 0 else self.merge(key)).tobytes()
+
+    def encode(self, text: str, pieces_of) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces_of(text))), "<i4")
+
+
+class Memo(dict):
+    """Ids of recent pre-tokens in two generations of at most MEMO_LIMIT each: what is used again moves to
+    the younger one, the older one is dropped when that is full."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe, self.older = bpe, {}
+
+    def __reduce__(self):
+        return Memo, (self.bpe,)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece) or self.bpe.lookup(piece)
+        if len(self) >= MEMO_LIMIT:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
-    def encode(self, text: str, pieces_of) -> list[int]:
-        memo, lookup = self.memo, self.lookup
-        return list(chain.from_iterable([memo.get(p) or lookup(p) for p in pieces_of(text)]))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+class Decoder:
+    """Bytes of ids: all tokens in one buffer, and where each begins."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        tokens = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        out = []
+        for i in range(0, len(ids), _GATHER):
+            part = ids[i:i + _GATHER]
+            size = self.size[part]
+            shift = self.start[part] - (np.cumsum(size) - size)
+            out.append(self.data[np.repeat(shift, size) + np.arange(size.sum())].tobytes())
+        return b"".join(out)
 
 
 def broadcast_bpe(spark: SparkSession, path: str, pattern: str):
@@ -165,16 +214,14 @@ def encode(docs: DataFrame, bpe, out: str = "ids", text: str = "text") -> DataFr
     def run(batches):
         model = bpe.value
         pieces_of = regex.compile(model.pattern).findall
-        for batch in batches:
-            ids, ends = [], [0]
-            for t in batch.column(at):
-                t = t.as_py()
-                if t:
-                    ids.append(np.array(model.encode(t, pieces_of), np.int32))
-                ends.append(ends[-1] + (len(ids[-1]) if t else 0))
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
+        none = np.zeros(0, np.int32)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(begin, _ROWS)
+                ids = [model.encode(t, pieces_of) if t else none for t in batch.column(at).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, _typed(docs, out, T.ArrayType(T.IntegerType())))
 
@@ -185,12 +232,20 @@ def decode(tokens: DataFrame, bpe, out: str = "decoded", ids: str = "ids") -> Da
         raise ValueError(f"column {out} exists")
     at = tokens.columns.index(ids)
 
+    decoder = tokens.sparkSession.sparkContext.broadcast(Decoder(bpe.value.bytes_of))
+
     def run(batches):
-        model = bpe.value
-        for batch in batches:
-            data = [model.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())],
-                                             names=[*batch.schema.names, out])
+        model = decoder.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(begin, _ROWS)
+                lists = batch.column(at)
+                ids = lists.flatten().to_numpy()
+                size = [n or 0 for n in pc.list_value_length(lists).to_pylist()]
+                ends = np.cumsum(size)
+                data = [model.decode(ids[e - n:e]) for e, n in zip(ends.tolist(), size)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())],
+                                                 names=[*batch.schema.names, out])
 
     return tokens.mapInArrow(run, _typed(tokens, out, T.BinaryType()))
 
