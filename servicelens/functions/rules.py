@@ -125,6 +125,34 @@ KNOWN_ACTIONS = [
     "auto-reset-password", "schedule-followup",
 ]
 
+# FIXED VALUES — action -> (channel, event type / workflow / topic, fields of its body; a pair renames a value)
+ACTION_BODIES = {
+    "escalate-immediately": ("workflow", "escalation", [
+        "ticket_id", "escalation_reason", "breach_probability", "time_to_breach", "original_priority", "new_priority"]),
+    "notify-manager": ("notification", "manager-alerts", [
+        ("alert_subject", "subject"), "ticket_id", "category", "current_priority", "breach_percent", "time_to_breach",
+        "recommended_actions"]),
+    "trigger-incident-response": ("workflow", "incident-response", [
+        "ticket_id", "incident_type", "category", "breach_probability", "time_to_breach", "severity", "triggered_by",
+        "timestamp"]),
+    "boost-priority": ("bus", "Priority Boost", [
+        "ticket_id", "old_priority", "new_priority", "reason", "breach_probability", "updated_by", "timestamp"]),
+    "assign-senior-tech": ("bus", "Senior Tech Assignment", [
+        "ticket_id", "assignment_type", "reason", "breach_probability", "category", ("assignment_urgency", "urgency"),
+        "timestamp"]),
+    "dispatch-onsite-tech": ("bus", "Onsite Tech Dispatch", [
+        "ticket_id", "dispatch_type", "category", "urgency", "breach_probability", "estimated_arrival", "timestamp"]),
+    "engage-vendor-support": ("bus", "Vendor Support Engagement", [
+        "ticket_id", "engagement_type", "category", "breach_probability", ("vendor_priority", "priority"), "timestamp"]),
+    "send-reminder": ("notification", "technician-reminders", [
+        ("reminder_subject", "subject"), "ticket_id", "category", "current_priority", "breach_percent", "time_to_breach"]),
+    "check-spare-parts": ("bus", "Spare Parts Check", ["ticket_id", "check_type", "category", "urgency", "timestamp"]),
+    "auto-reset-password": ("bus", "L1 Automation Trigger", [
+        "ticket_id", "automation_type", "category", ("automation_by", "triggered_by"), "timestamp"]),
+    "schedule-followup": ("bus", "Followup Scheduled", [
+        "ticket_id", "followup_type", "original_breach_probability", "scheduled_at", "followup_time"]),
+}
+
 # scoring multipliers of the demo variants
 CATEGORY_ADJUST_OPS = {"infrastructure": 1.2, "access": 0.8}
 CRITICAL_WEIGHTS = {1: (0.9, 0.1), 2: (0.7, 0.3)}  # else (0.4, 0.6)

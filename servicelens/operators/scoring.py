@@ -265,6 +265,26 @@ def alert_message(alerts: DataFrame, text: str = "description", p: str = "breach
                         .otherwise(F.lit("WARNING"))))
 
 
+def high_risk_alerts(pred: DataFrame, text: str = "text", p: str = "ml_breach_probability",
+                     confidence: str = "ml_confidence", key: str = "id", as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """The alert record of every prediction above .7: CRITICAL above .9, else HIGH; the text is clipped
+    to 200 characters and '...'; missing values read 'Unknown'."""
+    critical = F.col(p) > 0.9
+    level = F.when(critical, "\U0001F534 CRITICAL").otherwise("\U0001F7E1 HIGH")
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
+    # the values are computed once, before the filter that reads one of them
+    used = F.struct(*dict.fromkeys([key, "priority", "department", "sentiment", p, confidence, text, "adjusted_sla_deadline"]))
+    return pred.select(F.inline_outer(F.array(used))).filter(F.col(p) > 0.7).select(
+        F.lit("SLA_BREACH_RISK").alias("alert_type"), level.alias("risk_level"), F.col(key).alias("ticket_id"),
+        known("priority").alias("priority"), known("department").alias("department"), known("sentiment").alias("sentiment"),
+        F.col(p).alias("breach_probability"), F.col(confidence).alias("confidence"),
+        F.concat(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 200), F.lit("...")).alias("original_text"),
+        F.col("adjusted_sla_deadline").alias("adjusted_deadline"), ts_literal(as_of).alias("timestamp"),
+        F.lit(True).alias("action_required"), critical.alias("escalation_needed"),
+        F.concat(level, F.lit(" SLA Breach Risk - "), F.col(key).cast("string"), F.lit(" ("), known("priority"), F.lit(")")).alias("subject"),
+        F.when(critical, "YES - IMMEDIATE").otherwise("YES - URGENT").alias("action_text"))
+
+
 def quicksight_flags(df: DataFrame, revenue: str = "revenue_impact", p: str = "breach_probability",
                      numeric: bool = False) -> DataFrame:
     """Dashboard flags.  The dashboard compared numbers rendered as *strings*

@@ -306,6 +306,52 @@ def q_action_events(spark, sf_dir):
     return ev.select("ticket_id", "action", "urgency", "incident_severity", "followup_minutes")
 
 
+@query("action_bodies", oracle=f"""
+WITH {S.TICKETS}, {S.SCORED}, {_PRED_SQL},
+acts AS (
+  SELECT ticket_id, category, final_p AS p, coalesce(priority, 3) AS pr,
+         CAST(CASE WHEN final_p >= 0.9 THEN greatest(5, trunc(min_rem * 0.1)) ELSE greatest(15, trunc(min_rem * 0.3)) END AS BIGINT) AS ttb,
+         unnest(string_split({S.actions_sql(R.ACTIONS_BASE, 'final_p', 'category', 'coalesce(priority, 3)')}, ','))
+           AS action
+  FROM pred2 WHERE final_p >= 0.7
+),
+b AS (SELECT *, CAST(greatest(5, floor(ttb / 2)) AS BIGINT) AS fm FROM acts)
+SELECT ticket_id, action,
+  CASE action WHEN 'escalate-immediately' THEN 'workflow:escalation' WHEN 'notify-manager' THEN 'notification:manager-alerts'
+    WHEN 'trigger-incident-response' THEN 'workflow:incident-response' WHEN 'boost-priority' THEN 'bus:Priority Boost'
+    WHEN 'assign-senior-tech' THEN 'bus:Senior Tech Assignment' WHEN 'dispatch-onsite-tech' THEN 'bus:Onsite Tech Dispatch'
+    WHEN 'engage-vendor-support' THEN 'bus:Vendor Support Engagement' WHEN 'send-reminder' THEN 'notification:technician-reminders'
+    WHEN 'check-spare-parts' THEN 'bus:Spare Parts Check' WHEN 'auto-reset-password' THEN 'bus:L1 Automation Trigger'
+    WHEN 'schedule-followup' THEN 'bus:Followup Scheduled' END AS target,
+  CASE action WHEN 'escalate-immediately' THEN 'SLA_BREACH_RISK' WHEN 'boost-priority' THEN 'SLA_BREACH_RISK'
+    WHEN 'assign-senior-tech' THEN 'SENIOR_TECH' WHEN 'dispatch-onsite-tech' THEN 'ONSITE_HARDWARE'
+    WHEN 'engage-vendor-support' THEN 'VENDOR_ESCALATION' WHEN 'trigger-incident-response' THEN 'SLA_BREACH_IMMINENT'
+    WHEN 'check-spare-parts' THEN 'SPARE_PARTS_AVAILABILITY' WHEN 'auto-reset-password' THEN 'PASSWORD_RESET'
+    WHEN 'schedule-followup' THEN 'SLA_CHECK' WHEN 'notify-manager' THEN 'SLA Breach Risk Alert - Ticket ' || ticket_id
+    WHEN 'send-reminder' THEN 'SLA Reminder - Ticket ' || ticket_id END AS kind,
+  CASE WHEN action IN ('escalate-immediately', 'boost-priority') THEN CAST(greatest(1, pr - 1) AS VARCHAR) END AS new_priority,
+  CASE action WHEN 'boost-priority' THEN CAST(pr AS VARCHAR) WHEN 'escalate-immediately' THEN CAST(pr AS VARCHAR)
+    WHEN 'notify-manager' THEN 'P' || CAST(pr AS VARCHAR) WHEN 'send-reminder' THEN 'P' || CAST(pr AS VARCHAR) END AS old_priority,
+  CASE action WHEN 'assign-senior-tech' THEN CASE WHEN p >= 0.8 THEN 'HIGH' ELSE 'MEDIUM' END
+    WHEN 'trigger-incident-response' THEN CASE WHEN p >= 0.9 THEN 'CRITICAL' ELSE 'HIGH' END
+    WHEN 'dispatch-onsite-tech' THEN 'HIGH' WHEN 'engage-vendor-support' THEN 'HIGH' WHEN 'check-spare-parts' THEN 'HIGH' END AS level,
+  CASE action WHEN 'dispatch-onsite-tech' THEN strftime({S.AS_OF} + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%S')
+    WHEN 'schedule-followup' THEN strftime({S.AS_OF} + to_minutes(fm), '%Y-%m-%dT%H:%M:%S') END AS due
+FROM b WHERE action IN ({_KNOWN})
+""")
+def q_action_bodies(spark, sf_dir):
+    """The typed body of every action event, read back from its JSON."""
+    from ..operators import actions
+    ev, _ = actions.action_events(scoring.predict(fx.tickets(spark, sf_dir)))
+    j = lambda *names: F.coalesce(*[F.get_json_object("body", f"$.{n}") for n in names])
+    return actions.typed_action_events(ev).select(
+        "ticket_id", "action", F.concat_ws(":", "channel", "detail_type").alias("target"),
+        j("escalation_reason", "assignment_type", "dispatch_type", "engagement_type", "incident_type", "check_type",
+          "automation_type", "followup_type", "subject", "reason").alias("kind"),
+        j("new_priority").alias("new_priority"), j("old_priority", "original_priority", "current_priority").alias("old_priority"),
+        j("severity", "urgency", "priority").alias("level"), j("estimated_arrival", "followup_time").alias("due"))
+
+
 @query("action_rejects", oracle=f"""
 WITH {S.TICKETS}, {S.SCORED}, {_PRED_SQL},
 acts AS (

@@ -175,7 +175,7 @@ def q_core_text(spark, sf_dir):
 # 11-feature fallback predictor on chat-analysed tickets
 # ---------------------------------------------------------------------------
 
-@query("fallback_predictions", oracle=f"""
+_FALLBACK_SQL = f"""
 WITH {S.TEXT_TICKETS}, {_CHAT_SQL},
 f AS (
   SELECT id,
@@ -185,7 +185,7 @@ f AS (
     {_L('department', R.DEPARTMENT_RISK, R.DEPARTMENT_RISK_DEFAULT)} AS department_risk,
     hour({S.AS_OF}) AS hour_of_day, isodow({S.AS_OF}) - 1 AS day_of_week,
     {_L('priority', R.ADDITIVE_RESOLUTION_HOURS, 24)} AS estimated_hours
-  FROM cc
+  , priority, department, sentiment FROM cc
 ),
 g AS (
   SELECT *, (hour_of_day BETWEEN 9 AND 17) AND day_of_week < 5 AS bh FROM f
@@ -205,7 +205,18 @@ k AS (
                            * time_factor * sentiment_factor * time_pressure_factor, 0.0::DOUBLE), 1.0::DOUBLE) AS p
   FROM h
 )
-SELECT id, priority_score, urgency, sentiment_score, department_risk, hour_of_day, day_of_week,
+"""
+
+
+def _fallback(spark, sf_dir):
+    chat = T.analyze_chat(fx.text_tickets(spark, sf_dir))
+    chat = chat.withColumn("urgency_score", T.urgency_score(F.col(T.LT))) \
+        .withColumn("_est", T.lookup(F.col("priority"), R.ADDITIVE_RESOLUTION_HOURS, 24))
+    return T.fallback_prediction(T.ml_features_11(chat, est_hours="_est"))
+
+
+@query("fallback_predictions", oracle=f"""
+{_FALLBACK_SQL}SELECT id, priority_score, urgency, sentiment_score, department_risk, hour_of_day, day_of_week,
   CAST(bh AS INTEGER) AS is_business_hours, p AS ml_breach_probability,
   least(greatest((0.5::DOUBLE + 0.5::DOUBLE) / 200.0::DOUBLE, 0.6::DOUBLE), 0.9::DOUBLE) AS ml_confidence,
   time_pressure_factor,
@@ -214,16 +225,33 @@ SELECT id, priority_score, urgency, sentiment_score, department_risk, hour_of_da
 FROM k
 """)
 def q_fallback_predictions(spark, sf_dir):
-    chat = T.analyze_chat(fx.text_tickets(spark, sf_dir))
-    chat = chat.withColumn("urgency_score", T.urgency_score(F.col(T.LT))) \
-        .withColumn("_est", T.lookup(F.col("priority"), R.ADDITIVE_RESOLUTION_HOURS, 24))
-    p = T.fallback_prediction(T.ml_features_11(chat, est_hours="_est"))
+    p = _fallback(spark, sf_dir)
     return p.select("id", "priority_score", "urgency", "sentiment_score", "department_risk", "hour_of_day",
                     "day_of_week", "is_business_hours", "ml_breach_probability", "ml_confidence",
                     F.col("factors.time_pressure_factor").alias("time_pressure_factor"),
                     fmt_ts("adjusted_sla_deadline").alias("adjusted_sla_deadline"))
 
 
+@query("high_risk_alerts", oracle=f"""
+{_FALLBACK_SQL}
+SELECT k.id AS ticket_id, 'SLA_BREACH_RISK' AS alert_type,
+  CASE WHEN p > 0.9 THEN chr(128308) || ' CRITICAL' ELSE chr(128993) || ' HIGH' END AS risk_level,
+  k.priority, k.department, k.sentiment, p AS breach_probability, 0.6::DOUBLE AS confidence,
+  substr(t.text, 1, 200) || '...' AS original_text,
+  {S.ts(f"{S.AS_OF} + to_seconds(CAST(trunc(greatest(4.0::DOUBLE, 24.0::DOUBLE - p * 12.0) * 3600.0) AS BIGINT))")}
+    AS adjusted_deadline, true AS action_required, p > 0.9 AS escalation_needed,
+  CASE WHEN p > 0.9 THEN chr(128308) || ' CRITICAL' ELSE chr(128993) || ' HIGH' END || ' SLA Breach Risk - ' || CAST(k.id AS VARCHAR)
+    || ' (' || k.priority || ')' AS subject,
+  CASE WHEN p > 0.9 THEN 'YES - IMMEDIATE' ELSE 'YES - URGENT' END AS action_text
+FROM k JOIN tt t USING (id) WHERE p > 0.7
+""")
+def q_high_risk_alerts(spark, sf_dir):
+    """Alert records of the high-risk text tickets."""
+    from ..operators import scoring
+    a = scoring.high_risk_alerts(_fallback(spark, sf_dir))
+    return a.withColumn("adjusted_deadline", fmt_ts("adjusted_deadline")).drop("timestamp")
+
+
 # ---------------------------------------------------------------------------
 # E-mail intake (H7, H9, C12, e-mail classifiers and ticket)
 # ---------------------------------------------------------------------------
