@@ -275,6 +275,85 @@ PRIORITY_REASON_ANALYSIS = {"P1": "Critical/Urgent keywords detected", "P2": "Hi
                             "P4": "Low priority indicators"}
 PRIORITY_REASON_ANALYSIS_DEFAULT = "Standard issue"
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES — the classifiers of the other intakes: for each field the rules in order (first match wins)
+# and what stands where none matches
+# ---------------------------------------------------------------------------
+_SERVICE_FIVE = [
+    ("aadhaar-auth", ["aadhaar", "authentication"]),
+    ("payment-gateway", ["payment", "gateway"]),
+    ("citizen-portal", ["portal", "website"]),
+    ("mobile-app", ["mobile", "app"]),
+    ("certificate-services", ["certificate", "document"]),
+]
+INTAKE_CLASSIFIERS = {
+    "live_email": {
+        "priority": ([("P1", ["critical", "urgent", "emergency", "outage", "down", "failing"]),
+                      ("P2", ["important", "asap", "priority", "high", "serious"]),
+                      ("P4", ["question", "inquiry", "request", "minor"])], "P3"),
+        "department": ([("UIDAI", ["aadhaar", "aadhar", "authentication", "biometric", "uid"]),
+                        ("MeiTY", ["payment", "transaction", "money", "bank", "gateway"]),
+                        ("DigitalMP", ["portal", "website", "digital", "online"]),
+                        ("eDistrict", ["certificate", "document", "service", "district"])], "MPOnline"),
+        "service_type": ([("aadhaar-auth", ["aadhaar", "authentication", "biometric"]),
+                          ("payment-gateway", ["payment", "gateway", "transaction"]),
+                          ("citizen-portal", ["portal", "website"]),
+                          ("mobile-app", ["mobile", "app", "smartphone"]),
+                          ("certificate-services", ["certificate", "document"])], "other"),
+    },
+    "plain_email": {
+        "priority": ([("critical", ["critical", "urgent", "emergency", "outage", "down"]),
+                      ("high", ["important", "asap", "priority", "escalate"]),
+                      ("medium", ["issue", "problem", "help"]),
+                      ("low", ["question", "inquiry", "request"])], "medium"),
+        "department": ([], None),
+        "service_type": ([("aadhaar", ["aadhaar", "aadhar", "authentication", "biometric", "otp"]),
+                          ("payment", ["payment", "transaction", "money", "bank", "upi", "wallet"]),
+                          ("portal", ["portal", "website", "login", "access", "account"]),
+                          ("mobile", ["mobile", "app", "smartphone", "android", "ios"]),
+                          ("network", ["network", "internet", "connection", "wifi", "data"])], "general"),
+    },
+    "simple_reader": {
+        "priority": ([("P1", ["critical", "urgent", "emergency", "outage", "down"]),
+                      ("P2", ["important", "asap", "priority", "high"]),
+                      ("P4", ["question", "inquiry", "request"])], "P3"),
+        "department": (DEPARTMENT_EMAIL, "MPOnline"),
+        "service_type": (_SERVICE_FIVE, "other"),
+    },
+    "chatbot": {
+        "priority": ([("P1", ["critical", "urgent", "emergency", "down", "failing", "outage"]),
+                      ("P2", ["important", "high", "serious", "asap"]),
+                      ("P4", ["question", "minor", "small"])], "P3"),
+        "department": ([("UIDAI", ["aadhaar", "aadhar", "authentication", "biometric", "uid"]),
+                        ("MeiTY", ["payment", "transaction", "money", "bank", "gateway"]),
+                        ("DigitalMP", ["portal", "website", "digital", "online"]),
+                        ("eDistrict", ["certificate", "document", "service"])], "MPOnline"),
+        "service_type": (_SERVICE_FIVE, "other"),
+    },
+    "simple_chatbot": {
+        "priority": ([("P1", ["critical", "urgent", "failing"])], "P3"),
+        "department": ([("UIDAI", ["aadhaar"]), ("MeiTY", ["payment"])], "DigitalMP"),
+        "service_type": ([], None),
+    },
+    "genai": {
+        "priority": ([("P1", ["critical", "urgent", "down", "failed"]), ("P2", ["important", "high", "issue"])], "P3"),
+        "department": (DEPARTMENT_GENAI, "Other"),
+        "service_type": ([], None),
+    },
+    "genai_ui": {
+        "priority": ([("P1", ["critical", "urgent", "down"]), ("P2", ["issue", "problem"])], "P3"),
+        "department": ([("UIDAI", ["aadhaar", "authentication"]), ("MeiTY", ["payment", "gateway"]),
+                        ("DigitalMP", ["portal", "website"])], "Other"),
+        "service_type": ([], None),
+    },
+    "cloud": {
+        "priority": ([("P1", ["critical", "urgent", "failing", "down"]), ("P2", ["important", "high", "serious"]),
+                      ("P4", ["minor", "small", "question"])], "P3"),
+        "department": (DEPARTMENT_SHORT, "MPOnline"),
+        "service_type": ([], None),
+    },
+}
+
 RESPONSE_TEMPLATES = {
     "P1": "Thank you for reporting this critical issue. We have escalated this to our emergency response team "
           "and will provide updates every hour.",

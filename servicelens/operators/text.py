@@ -135,6 +135,21 @@ def analyze_chat(df: DataFrame, text: str = "text") -> DataFrame:
     }))
 
 
+def classify_intakes(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """H1: the classifiers of the other intakes (``rules.INTAKE_CLASSIFIERS``) over one keyword pass: a row per
+    text and intake with ``priority``, ``department``, ``service_type`` (null where an intake has no such rules)."""
+    d = with_lower(df.select(key, text), text)
+    lt = F.col(LT)
+
+    def value(field: tuple) -> Column:
+        rule_set, default = field
+        return first_match(lt, rule_set, default) if rule_set else F.lit(default).cast("string")
+
+    rows = F.array(*[F.struct(F.lit(name).alias("intake"), *[as_col(value(fields[c])).alias(c) for c in ("priority", "department", "service_type")])
+                     for name, fields in R.INTAKE_CLASSIFIERS.items()])
+    return d.select(key, F.inline(rows))
+
+
 def build_chat_ticket(analysed: DataFrame, key: str = "id", as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """H8: deadline, probability, revenue, tier, business impact, region, id."""
     prio, svc, loc = F.col("priority"), F.col("service_type"), F.col("location")

@@ -252,6 +252,21 @@ def q_high_risk_alerts(spark, sf_dir):
     return a.withColumn("adjusted_deadline", fmt_ts("adjusted_deadline")).drop("timestamp")
 
 
+def _intake_sql(name: str) -> str:
+    def value(field: tuple) -> str:
+        rule_set, default = field
+        return S.first_match("lt", rule_set, default) if rule_set else "NULL"
+
+    fields = R.INTAKE_CLASSIFIERS[name]
+    return f"SELECT id, '{name}' AS intake, " + ", ".join(f"{value(fields[c])} AS {c}" for c in ("priority", "department", "service_type")) + " FROM tl"
+
+
+@query("intake_classifications", oracle=f"WITH {S.TEXT_TICKETS}\n" + "\nUNION ALL ".join(_intake_sql(n) for n in R.INTAKE_CLASSIFIERS))
+def q_intake_classifications(spark, sf_dir):
+    """H1: every text ticket as each of the other eight intakes classifies it."""
+    return T.classify_intakes(fx.text_tickets(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # E-mail intake (H7, H9, C12, e-mail classifiers and ticket)
 # ---------------------------------------------------------------------------
