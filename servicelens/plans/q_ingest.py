@@ -69,6 +69,57 @@ def q_bus_event_decode(spark, sf_dir):
     return IN.decode_bus_event(RF.bus_envelopes(spark, sf_dir), "L1 Task Completion")
 
 
+@query("bus_event_details", oracle="""
+WITH e AS (
+  SELECT event_id, event_id % 10 AS k, (event_id // 10) % 4 = 0 AS bare, 'T-' || user_id AS who, CAST(event_id AS VARCHAR) AS s,
+    (['low', 'medium', 'high'])[event_id % 3 + 1] AS lvl, 'S' || event_id || ',S0' AS two, event_id % 2 = 0 AS flag,
+    CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE 0.5 END AS half
+  FROM events
+)
+SELECT event_id, CASE k WHEN 0 THEN 'L1 Task Completion' WHEN 1 THEN 'L1 Task Started' WHEN 2 THEN 'L1 Task Failed'
+    WHEN 3 THEN 'Optimization Impact Assessment' WHEN 4 THEN 'License Change Completed' WHEN 5 THEN 'Metric Update'
+    WHEN 6 THEN 'SLA Breach Prediction' WHEN 7 THEN 'Optimization Recommendation' ELSE 'License Change Request' END AS detail_type,
+  CASE WHEN bare THEN CASE k
+      WHEN 0 THEN '-|completed|0|positive' WHEN 1 THEN '-|unknown|5' WHEN 2 THEN '-|unknown|false' WHEN 3 THEN '||low'
+      WHEN 4 THEN '-|unknown|true' WHEN 5 THEN '|3|open|general|0.0|0.0|0.0' WHEN 6 THEN '|0.0|0.0|60||false|general|3'
+      WHEN 7 THEN '|||0.0|' WHEN 8 THEN '|||-' END
+    ELSE CASE k
+      WHEN 0 THEN who || '|partial|' || s || '|neutral' WHEN 1 THEN who || '|reset|' || (event_id % 50)
+      WHEN 2 THEN who || '|timeout|' || flag WHEN 3 THEN s || '|' || two || '|' || lvl
+      WHEN 4 THEN two || '|license_removal|' || flag
+      WHEN 5 THEN who || '|1|in_progress|network|' || half || '|' || (half + 7) || '|' || (half + 9)
+      WHEN 6 THEN who || '|' || half || '|0.5|12|send-reminder|' || flag || '|access|2'
+      WHEN 7 THEN s || '|license_reduction|' || two || '|' || (half + 100) || '|merge'
+      WHEN 8 THEN s || '|license_upgrade|' || two || '|10' END END AS fields
+FROM e WHERE k < 9
+""")
+def q_bus_event_details(spark, sf_dir):
+    """A3: the envelopes of all nine detail types, decoded with their defaults."""
+    raw = RF.bus_detail_envelopes(spark, sf_dir)
+
+    def shown(df, name):
+        if name == "license_details":
+            return F.coalesce(F.col(name)["seats"], F.lit("-"))
+        if isinstance(df.schema[name].dataType, T.ArrayType):
+            return F.coalesce(F.array_join(name, ","), F.lit("-"))
+        return F.coalesce(F.col(name).cast("string"), F.lit("-"))
+
+    out = None
+    for kind in IN.BUS_DETAILS:
+        d = IN.decode_bus_event(raw, kind, keep=["event_id"])
+        fields = F.concat_ws("|", *[shown(d, c) for c in d.columns if c not in ("event_id", "source")])
+        part = d.select("event_id", F.lit(kind).alias("detail_type"), fields.alias("fields"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("bus_event_rejects", oracle="""
+SELECT event_id, 'Heartbeat' AS detail_type FROM events WHERE event_id % 10 = 9
+""")
+def q_bus_event_rejects(spark, sf_dir):
+    return IN.bus_rejects(RF.bus_detail_envelopes(spark, sf_dir)).select("event_id", "detail_type")
+
+
 @query("typed_import", oracle=f"""
 WITH {S.TICKETS}
 SELECT ticket_id, CASE WHEN order_key % 13 = 0 THEN NULL ELSE revenue_impact END AS revenue_impact,

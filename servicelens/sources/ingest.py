@@ -86,37 +86,65 @@ def decode_queue_json(raw: DataFrame, col: str = "body") -> tuple[DataFrame, Dat
     return decoded, p.filter(~F.coalesce(F.col("_valid"), F.lit(False))).drop("_valid", "_inner", "_bare")
 
 
-BUS_DETAIL_SCHEMAS = {
-    "L1 Task Completion": T.StructType([
-        T.StructField("ticket_id", T.StringType()), T.StructField("status", T.StringType()),
-        T.StructField("execution_time", T.LongType()), T.StructField("sla_impact", T.StringType())]),
-    "License Change Completed": T.StructType([
-        T.StructField("affected_services", T.ArrayType(T.StringType())), T.StructField("change_type", T.StringType()),
-        T.StructField("success", T.BooleanType())]),
-}
-BUS_DETAIL_DEFAULTS = {
-    "L1 Task Completion": {"status": "completed", "execution_time": 0, "sla_impact": "positive"},
-    "License Change Completed": {"change_type": "unknown", "success": True},
+# FIXED VALUES — fields of every bus detail type, and what a field is where the detail leaves it out
+BUS_DETAILS = {
+    "L1 Task Completion": ("ticket_id string, status string, execution_time long, sla_impact string",
+                           {"status": "completed", "execution_time": 0, "sla_impact": "positive"}),
+    "L1 Task Started": ("ticket_id string, task_type string, estimated_duration int",
+                        {"task_type": "unknown", "estimated_duration": 5}),
+    "L1 Task Failed": ("ticket_id string, failure_reason string, retry_recommended boolean",
+                       {"failure_reason": "unknown", "retry_recommended": False}),
+    "Optimization Impact Assessment": ("optimization_id string, affected_services array<string>, impact_level string",
+                                       {"optimization_id": "", "affected_services": [], "impact_level": "low"}),
+    "License Change Completed": ("affected_services array<string>, change_type string, success boolean",
+                                 {"change_type": "unknown", "success": True}),
+    "Metric Update": ("ticket_id string, priority int, status string, category string, breach_probability double, "
+                      "response_remaining_minutes double, resolution_remaining_minutes double",
+                      {"ticket_id": "", "priority": 3, "status": "open", "category": "general", "breach_probability": 0.0,
+                       "response_remaining_minutes": 0.0, "resolution_remaining_minutes": 0.0}),
+    "SLA Breach Prediction": ("ticket_id string, breach_probability double, confidence double, time_to_breach int, "
+                              "recommended_actions array<string>, priority_boost boolean, category string, current_priority int",
+                              {"ticket_id": "", "breach_probability": 0.0, "confidence": 0.0, "time_to_breach": 60,
+                               "recommended_actions": [], "priority_boost": False, "category": "general", "current_priority": 3}),
+    "Optimization Recommendation": ("optimization_id string, optimization_type string, affected_assets array<string>, "
+                                    "potential_savings double, proposed_changes array<string>",
+                                    {"optimization_id": "", "optimization_type": "", "affected_assets": [],
+                                     "potential_savings": 0.0, "proposed_changes": []}),
+    "License Change Request": ("change_id string, change_type string, affected_services array<string>, license_details map<string,string>",
+                               {"change_id": "", "change_type": "", "affected_services": []}),
 }
 ENVELOPE_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("detail-type", T.StringType()),
     T.StructField("detail", T.StringType())])
 
 
-def decode_bus_event(raw: DataFrame, detail_type: str, col: str = "value") -> DataFrame:
-    """A3: take ``detail`` of envelopes of one detail type and apply its defaults.
+def _typed_detail(text: Column, detail_type: str) -> list[Column]:
+    """The fields of a detail's JSON text, with the defaults of its type."""
+    ddl, defaults = BUS_DETAILS[detail_type]
+    schema = T.StructType.fromDDL(ddl)
+    parsed = F.from_json(text, schema)
+
+    def default(field: T.StructField) -> Column:
+        value = defaults[field.name]
+        return (F.array() if value == [] else F.lit(value)).cast(field.dataType)
+
+    return [(F.coalesce(parsed[f.name], default(f)) if f.name in defaults else parsed[f.name]).alias(f.name) for f in schema]
+
+
+def decode_bus_event(raw: DataFrame, detail_type: str, col: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """A3: ``source`` and the fields of the envelopes of one detail type, with its defaults (and the columns ``keep``).
     The detail is kept as raw JSON text by the envelope schema, then typed."""
-    env = F.from_json(F.col(col), ENVELOPE_SCHEMA)
-    detail_text = F.get_json_object(F.col(col), "$.detail")
-    d = parsed_once(raw, _e=env).filter(F.col("_e.detail-type") == detail_type) \
-        .withColumn("_d", F.from_json(detail_text, BUS_DETAIL_SCHEMAS[detail_type]))
-    cols = []
-    for f in BUS_DETAIL_SCHEMAS[detail_type].fields:
-        c = F.col(f"_d.{f.name}")
-        if f.name in BUS_DETAIL_DEFAULTS[detail_type]:
-            c = F.coalesce(c, F.lit(BUS_DETAIL_DEFAULTS[detail_type][f.name]).cast(f.dataType))
-        cols.append(c.alias(f.name))
-    return d.select(F.col("_e.source").alias("source"), *cols)
+    if detail_type not in BUS_DETAILS:
+        raise ValueError(f"no handler for detail type {detail_type!r}")
+    env = parsed_once(raw, _e=F.from_json(F.col(col), ENVELOPE_SCHEMA), _text=F.get_json_object(F.col(col), "$.detail"))
+    d = env.filter(F.col("_e.detail-type") == detail_type)
+    return d.select(*(keep or []), F.col("_e.source").alias("source"), *_typed_detail(F.col("_text"), detail_type))
+
+
+def bus_rejects(raw: DataFrame, col: str = "value") -> DataFrame:
+    """A3: envelopes that do not parse, or whose detail type has no handler."""
+    env = parsed_once(raw, _type=F.from_json(F.col(col), ENVELOPE_SCHEMA)["detail-type"])
+    return env.filter(~F.coalesce(F.col("_type").isin(*BUS_DETAILS), F.lit(False))).withColumnRenamed("_type", "detail_type")
 
 
 def unify_shapes(raw: DataFrame, col: str = "value") -> DataFrame:

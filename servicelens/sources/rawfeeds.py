@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .tables import read_table
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
@@ -77,6 +78,44 @@ def bus_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", value.alias("value"))
 
 
+BUS_TYPES = ["L1 Task Completion", "L1 Task Started", "L1 Task Failed", "Optimization Impact Assessment", "License Change Completed",
+             "Metric Update", "SLA Breach Prediction", "Optimization Recommendation", "License Change Request", "Heartbeat"]
+
+
+def bus_detail_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bus envelopes of every detail type, one per driver event: the type goes by the event id, the last type has no
+    handler; every fourth envelope has an empty detail (defaults apply)."""
+    e = read_table(spark, sf_dir, "events", ["event_id", "user_id", "value"])
+    n, s = F.col("event_id"), F.col("event_id").cast("string")
+    who = F.concat(F.lit("T-"), F.col("user_id").cast("string"))
+    level = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.pmod(n, F.lit(3)) + 1).cast("int"))
+    two = F.array(F.concat(F.lit("S"), s), F.lit("S0"))
+    half = F.pmod(n, F.lit(2)) / F.lit(2.0)
+    flag = F.pmod(n, F.lit(2)) == 0
+    details = [
+        F.struct(who.alias("ticket_id"), F.lit("partial").alias("status"), n.alias("execution_time"), F.lit("neutral").alias("sla_impact")),
+        F.struct(who.alias("ticket_id"), F.lit("reset").alias("task_type"), F.pmod(n, F.lit(50)).alias("estimated_duration")),
+        F.struct(who.alias("ticket_id"), F.lit("timeout").alias("failure_reason"), flag.alias("retry_recommended")),
+        F.struct(s.alias("optimization_id"), two.alias("affected_services"), level.alias("impact_level")),
+        F.struct(two.alias("affected_services"), F.lit("license_removal").alias("change_type"), flag.alias("success")),
+        F.struct(who.alias("ticket_id"), F.lit(1).alias("priority"), F.lit("in_progress").alias("status"), F.lit("network").alias("category"),
+                 half.alias("breach_probability"), (half + 7).alias("response_remaining_minutes"), (half + 9).alias("resolution_remaining_minutes")),
+        F.struct(who.alias("ticket_id"), half.alias("breach_probability"), F.lit(0.5).alias("confidence"), F.lit(12).alias("time_to_breach"),
+                 F.array(F.lit("send-reminder")).alias("recommended_actions"), flag.alias("priority_boost"), F.lit("access").alias("category"),
+                 F.lit(2).alias("current_priority")),
+        F.struct(s.alias("optimization_id"), F.lit("license_reduction").alias("optimization_type"), two.alias("affected_assets"),
+                 (half + 100).alias("potential_savings"), F.array(F.lit("merge")).alias("proposed_changes")),
+        F.struct(s.alias("change_id"), F.lit("license_upgrade").alias("change_type"), two.alias("affected_services"),
+                 F.create_map(F.lit("seats"), F.lit("10")).alias("license_details")),
+        F.struct(who.alias("ticket_id")),
+    ]
+    kind = F.pmod(n, F.lit(len(BUS_TYPES)))
+    filled = F.coalesce(*[F.when(kind == i, F.to_json(d)) for i, d in enumerate(details)])
+    detail = F.when(F.pmod(F.floor(n / 10), F.lit(4)) == 0, F.lit("{}")).otherwise(filled)
+    name = F.element_at(F.array(*[F.lit(t) for t in BUS_TYPES]), (kind + 1).cast("int"))
+    return e.select("event_id", F.concat(F.lit('{"source": "bus", "detail-type": "'), name, F.lit('", "detail": '), detail, F.lit("}")).alias("value"))
+
+
 def typed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV-like text columns: revenue as text ('n/a' for every 13th), created as
     'yyyy-MM-dd HH:mm:ss' ('N/A' for every 17th)."""
