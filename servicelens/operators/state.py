@@ -128,10 +128,42 @@ def _segment_scan(batches):
                             "_t": out_t, "_n": out_n})
 
 
+def _segment_ends(batches):
+    """The last row of every (service, partition) segment of ``_segment_scan``."""
+    held = None
+    for pdf in _segment_scan(batches):
+        svc = pdf["service_id"].to_numpy()
+        if held is not None and held["service_id"].iloc[0] != svc[0]:
+            yield held
+        ends = pdf[np.r_[svc[1:] != svc[:-1], True]]
+        if len(ends) > 1:
+            yield ends.iloc[:-1]
+        held = ends.iloc[-1:]
+    if held is not None:
+        yield held
+
+
 def _clamp(x: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.greatest(x, lo), hi)
 
 
+def _ordered(events: DataFrame, n: int) -> DataFrame:
+    """Handled events with their deltas, range-partitioned and sorted by (service, time, id)."""
+    # events may come with their deltas already computed (delta_p, time_saved)
+    if {"delta_p", "time_saved"} <= set(events.columns):
+        with_d = events.withColumn("handled", F.col("delta_p").isNotNull())
+        if "detail_type" not in events.columns:
+            with_d = with_d.withColumn("detail_type", F.lit("adjustment"))
+    else:
+        with_d = event_deltas(events)
+    ev = with_d.filter(F.col("handled")).select(
+        "service_id", "event_id", "event_ts", "detail_type", "delta_p", F.col("time_saved").cast("double"))
+    order = [F.col("service_id"), F.col("event_ts"), F.col("event_id")]
+    ranged = (ev.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_part", F.spark_partition_id()))
+    return ranged
+
+
 def apply_status_events(state: DataFrame, events: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """S4 (batch): one new state version per handled event, applied in (event_ts,
     event_id) order on top of the latest prior version of its service.  Events of
@@ -146,18 +178,7 @@ def apply_status_events(state: DataFrame, events: DataFrame, num_partitions: int
     latest = latest_state(state).select(
         "service_id", F.col("breach_probability").alias("_p0"),
         F.col("response_remaining").alias("_r0"), F.col("resolution_remaining").alias("_q0"))
-    # events may come with their deltas already computed (delta_p, time_saved)
-    if {"delta_p", "time_saved"} <= set(events.columns):
-        with_d = events.withColumn("handled", F.col("delta_p").isNotNull())
-        if "detail_type" not in events.columns:
-            with_d = with_d.withColumn("detail_type", F.lit("adjustment"))
-    else:
-        with_d = event_deltas(events)
-    ev = with_d.filter(F.col("handled")).select(
-        "service_id", "event_id", "event_ts", "detail_type", "delta_p", F.col("time_saved").cast("double"))
-    order = [F.col("service_id"), F.col("event_ts"), F.col("event_id")]
-    ranged = (ev.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_part", F.spark_partition_id()))
+    ranged = _ordered(events, n)
     scanned = ranged.select("service_id", "event_id", "event_ts", "detail_type", "_part", "delta_p", "time_saved") \
         .mapInPandas(_segment_scan, _SCAN_SCHEMA)
     # Freeze partition ids (AQE may re-plan a recomputation) and cut the lineage.
@@ -196,6 +217,38 @@ def apply_status_events(state: DataFrame, events: DataFrame, num_partitions: int
             .withColumn("sla_status", sla_status(F.col("breach_probability"))))
 
 
+def latest_after_events(state: DataFrame, events: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """E2 + S4 without the versions in between: the latest state of every service of ``state`` after ``events``.
+
+    The composed step of each (service, partition) segment is all that leaves the ordered scan, so what
+    is grouped afterwards has a row per service, plus one per partition that a service spans; nothing is
+    written or joined per event."""
+    n = num_partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    latest = latest_state(state).select(
+        "service_id", F.col("breach_probability").alias("_p0"), F.col("response_remaining").alias("_r0"),
+        F.col("resolution_remaining").alias("_q0"), F.col("version_ts").alias("_v0"))
+    ends = _ordered(events, n).select("service_id", "event_id", "event_ts", "detail_type", "_part", "delta_p", "time_saved") \
+        .mapInPandas(_segment_ends, _SCAN_SCHEMA)
+    segments = ends.groupBy("service_id").agg(
+        F.array_sort(F.collect_list(F.struct("_part", "_s", "_lo", "_hi", "_t", "_n"))).alias("segs"),
+        F.max("event_ts").alias("_v"))
+    joined = latest.join(segments, "service_id", "left")
+    start = F.struct(F.col("_p0").alias("p"), F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("k"))
+    end = F.aggregate("segs", start, lambda a, x: F.struct(
+        _clamp(a["p"] + x["_s"], x["_lo"], x["_hi"]).alias("p"), (a["t"] + x["_t"]).alias("t"), (a["k"] + x["_n"]).alias("k")))
+    # events older than the prior state do not make a later version
+    moved = F.coalesce(F.col("_v") >= F.col("_v0"), F.lit(False))
+    out = joined.select("service_id", moved.alias("_m"), end.alias("_e"), "_p0", "_r0", "_q0", "_v0", "_v")
+    pick = lambda new, old: F.when(F.col("_m"), new).otherwise(old)
+    p = pick(F.round("_e.p", PROB_DECIMALS), F.col("_p0"))
+    return out.select(
+        "service_id", pick(F.col("_e.k"), F.lit(0).cast("bigint")).alias("update_seq"), p.alias("breach_probability"),
+        pick(F.col("_r0") + F.col("_e.t"), F.col("_r0")).alias("response_remaining"),
+        pick(F.col("_q0") + F.col("_e.t"), F.col("_q0")).alias("resolution_remaining"),
+        pick(F.col("_v"), F.col("_v0")).alias("version_ts"),
+        breach_bucket(p).alias("breach_bucket"), sla_status(p).alias("sla_status"))
+
+
 def missing_state(state: DataFrame, events: DataFrame) -> DataFrame:
     """C7 rejects: handled events whose service has no prior state."""
     return (event_deltas(events).filter(F.col("handled"))

@@ -47,9 +47,7 @@ SELECT service_id, arg_max(update_seq, (version_ts, update_seq)) AS update_seq,
 FROM allv GROUP BY service_id
 """)
 def q_latest_state(spark, sf_dir):
-    init = fx.initial_state(spark, sf_dir)
-    allv = ST.all_versions(init, _versions(spark, sf_dir))
-    latest = ST.latest_state(allv, tie="update_seq")
+    latest = ST.latest_after_events(fx.initial_state(spark, sf_dir), fx.status_events(spark, sf_dir))
     return latest.select("service_id", "update_seq", "breach_probability", "response_remaining", "breach_bucket")
 
 
@@ -236,8 +234,7 @@ SELECT *, CASE WHEN high_risk_services > 0 THEN 'high' WHEN medium_risk_services
 FROM g
 """)
 def q_license_change_decisions(spark, sf_dir):
-    init = fx.initial_state(spark, sf_dir)
-    latest = ST.latest_state(ST.all_versions(init, _versions(spark, sf_dir)), tie="update_seq")
+    latest = ST.latest_after_events(fx.initial_state(spark, sf_dir), fx.status_events(spark, sf_dir))
     d = I.license_change_decisions(fx.license_changes(spark, sf_dir), latest)
     return d.select("change_id", "high_risk_services", "medium_risk_services", "low_risk_services", "overall_risk",
                     "approved", "approval_level")

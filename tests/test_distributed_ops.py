@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from servicelens.operators import alarms, state
 from servicelens.operators.util import global_rank
 
+from .conftest import SF_SMALL
+
 
 def _brute_fold(p0, deltas):
     out, p = [], p0
@@ -106,3 +108,15 @@ def test_exact_median_matches_brute_force_on_skewed_groups(spark):
     assert got == want
     builtin = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect() if r.m is not None}
     assert got == builtin
+
+
+def test_latest_after_events_equals_the_last_version(spark):
+    from servicelens.operators import state
+    from servicelens.sources import fixtures as fx
+    init, events = fx.initial_state(spark, SF_SMALL), fx.status_events(spark, SF_SMALL)
+    hot = events.withColumn("service_id", F.when(F.pmod("event_id", F.lit(2)) == 0, F.lit(1)).otherwise(F.col("service_id")))
+    cols = ["service_id", "update_seq", "breach_probability", "response_remaining", "resolution_remaining", "version_ts", "breach_bucket"]
+    for ev in (events, hot, events.limit(0)):
+        want = state.latest_state(state.all_versions(init, state.apply_status_events(init, ev)), tie="update_seq")
+        got = state.latest_after_events(init, ev, num_partitions=7)
+        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
