@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix64
+from .common import mix64, scratch_table
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_MEMO_LIMIT = 300_000
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The bytes that part words.
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def row_key() -> Column:
@@ -28,19 +31,39 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(row_key().alias("row"), "doc_id", "text")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for the words of late."""
+class _Powers:
+    """Powers of the base and of its inverse, as far as the longest text so far needs them."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO_LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+    def __init__(self):
+        self.power = np.ones(1, np.uint64)
+        self.inverse = np.ones(1, np.uint64)
 
-    def of(self, text: str) -> np.ndarray:
-        """Hashes of the words of a text, A-Z lower-cased."""
-        words = text.encode().lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.power) < n:
+            for name, base in (("power", _BASE), ("inverse", _INVERSE)):
+                have = getattr(self, name)
+                setattr(self, name, np.concatenate([have, have * (have[-1:] * base)]))
+        return self.power[:n], self.inverse[:n]
+
+
+_POWERS = _Powers()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lower-cased.
+
+    A word's bytes are the digits of a number to an odd base, modulo 2**64: differences of running sums give
+    the numbers of all words at once, the inverse base shifts them to the same place, a finalizer mixes them."""
+    raw = np.frombuffer(text.encode().lower(), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    power, inverse = _POWERS.upto(len(raw))
+    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[::2], edges[1::2]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * power, out=total[1:])
+    return mix64((total[end] - total[begin]) * inverse[begin])
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -66,13 +89,117 @@ def long_runs(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def window_minima(h: np.ndarray, window: int, block: int = 65_536) -> np.ndarray:
-    """Sorted positions that are the leftmost minimum of some window."""
+def window_minima(h: np.ndarray, window: int) -> np.ndarray:
+    """Sorted positions that are the leftmost minimum of some window.
+
+    Positions take the low bits of the hashes, so equal hashes are told apart by place; minima of windows are
+    those of a block's end and of the next block's beginning."""
     n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, window)
-    return np.unique(np.concatenate([np.arange(i, min(i + block, n)) + view[i:i + block].argmin(axis=1) for i in range(0, n, block)]))
+    low = np.uint64((1 << max(24, len(h).bit_length())) - 1)
+    blocks = np.full(-(-len(h) // window) * window, np.uint64(0xFFFFFFFFFFFFFFFF))
+    blocks[:len(h)] = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    blocks = blocks.reshape(-1, window)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = (np.minimum(behind[:n], ahead[window - 1:window - 1 + n]) & low).astype(np.int64)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+
+
+def nearest_other(group: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For rows sorted by group: the last one before each that is of its group and of another document; else -1."""
+    i = np.arange(len(row))
+    other = np.maximum.accumulate(np.where(np.concatenate([[True], row[1:] != row[:-1]]), i, 0)) - 1
+    return np.where((other >= 0) & (group[other] == group), other, -1)
+
+
+def first_of_group(group: np.ndarray) -> np.ndarray:
+    """For rows sorted by group: the first one of each row's group."""
+    return np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(group)), 0))
+
+
+def _joined(batches: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(len(schema))], schema=schema)
+
+
+def _tail(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What later rows may have to be compared with: the last row, the last one before it of its group and another
+    document, and the first of its group."""
+    group, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    last = len(row) - 1
+    at = {last, int(first_of_group(group)[last])} | {int(nearest_other(group, row)[last])} - {-1}
+    return batch.take(pa.array(sorted(at)))
+
+
+def compare_sorted(rows: DataFrame, schema: pa.Schema, sql: str, order: list[str], compare: Callable,
+                   out_schema: pa.Schema, out_sql: str, name: str) -> DataFrame:
+    """``compare(batch, known)`` over all rows in one global order, whose first column is the group and whose second the
+    document; it returns a batch of ``out_schema`` (or None) for the rows after the first ``known`` ones.
+
+    Rows are sorted by ranges of the whole order, so a hot group is spread over partitions.  Partitions are compared
+    inside; then the last rows of each and the first ones of the next, a few per partition, in one small
+    task.  The result is written."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = pa.schema([*out_schema, ("edge", pa.int32()), *(pa.field(f"s_{f.name}", f.type) for f in schema)])
+
+    def widened(out: pa.RecordBatch | None, edges: pa.RecordBatch | None = None, edge: int = 0) -> pa.RecordBatch:
+        n = out.num_rows if out is not None else edges.num_rows
+        empty = lambda fields: [pa.nulls(n, f.type) for f in fields]
+        if out is not None:
+            return pa.RecordBatch.from_arrays([*out.columns, *empty(list(wide)[len(out_schema):])], schema=wide)
+        return pa.RecordBatch.from_arrays([*empty(out_schema), pa.array([edge] * n, pa.int32()), *edges.columns], schema=wide)
+
+    def run(batches):
+        tail = head = None
+        whole_head = True  # the first rows, as far as they are of one group and document
+        part = TaskContext.get().partitionId()
+        for given in batches:
+            if not given.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays(given.columns, schema=schema)
+            if whole_head:
+                first = batch if head is None else head
+                group, row = (batch.column(i).to_numpy() for i in (0, 1))
+                same = (group == first.column(0)[0].as_py()) & (row == first.column(1)[0].as_py())
+                n = batch.num_rows if same.all() else int(np.argmin(same))
+                whole_head = n == batch.num_rows
+                if n:
+                    head = batch.slice(0, n) if head is None else _joined([head, batch.slice(0, n)], schema)
+            known = tail.num_rows if tail is not None else 0
+            batch = batch if tail is None else _joined([tail, batch], schema)
+            out = compare(batch, known)
+            if out is not None:
+                yield widened(out)
+            tail = _tail(batch)
+        if head is not None:
+            yield widened(None, head, 2 * part)
+            yield widened(None, tail, 2 * part + 1)
+
+    names = schema.names
+    ordered = rows.select(*names).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    wide_sql = out_sql + ", edge int, " + ", ".join("s_" + c for c in sql.split(", "))
+    done = scratch_table(ordered.mapInArrow(run, wide_sql), name)
+
+    def join(batches):
+        given = pa.Table.from_batches(list(batches))
+        if not given.num_rows:
+            return
+        edges = given.sort_by("edge").combine_chunks().to_batches()[0]
+        number = edges.column(0).to_numpy()
+        rows = pa.RecordBatch.from_arrays(edges.columns[1:], schema=schema)
+        before = None
+        for e in np.unique(number).tolist():
+            some = rows.take(pa.array(np.flatnonzero(number == e)))
+            if e % 2:
+                before = some
+            elif before is not None:
+                out = compare(_joined([before, some], schema), before.num_rows)
+                if out is not None:
+                    yield out
+
+    edges = done.filter("edge IS NOT NULL").select("edge", *("s_" + c for c in names)).coalesce(1)
+    return done.filter("edge IS NULL").select(*out_schema.names).unionByName(edges.mapInArrow(join, out_sql))
 
 
 def at_rows(docs: DataFrame, requests: DataFrame, run: Callable, schema: str) -> DataFrame:

@@ -6,7 +6,8 @@ Only suffixes that begin at content-selected minimiser positions are kept: the s
 and from there the two agree for ``min_words - WINDOW + 1`` words at least (the seed).
 
 1. Seeds are hashed; seeds that one document alone has are dropped.
-2. Of the rest, the words around the seed are read once more, as far as the threshold needs.
+2. Of the rest, the words around the seed are read once more, as far as the threshold needs (as 32-bit hashes; the
+   seed itself is compared by a 64-bit one).
 3. These suffixes are sorted over all partitions, by seed, then by the words after and before it; every one is
    compared with its neighbours of other documents in that order, and matches are extended left and
    right.  A second order, by the words before and then after, finds the neighbours that agree longest to the left.
@@ -19,12 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_table
-from .passages import WordHashes, at_rows, keyed, long_runs, merge_spans, runs, window_minima
+from .passages import at_rows, compare_sorted, keyed, long_runs, merge_spans, nearest_other, runs, window_minima, word_hashes
 
 MIN_WORDS, WINDOW, GRAM = 50, 16, 5
 
@@ -36,13 +36,12 @@ def seeds(docs: DataFrame, min_words: int) -> DataFrame:
     length = min_words - WINDOW + 1
 
     def run(batches):
-        hashes = WordHashes()
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
                 out = []
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                    words = hashes.of(text)
+                    words = word_hashes(text)
                     if len(words) >= min_words:
                         pos = window_minima(runs(words, GRAM), WINDOW)
                         pos = pos[pos <= len(words) - length]
@@ -54,41 +53,59 @@ def seeds(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 _AROUND = pa.schema([("seed", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()),
-                     ("before", pa.binary()), ("after", pa.binary())])
+                     ("before", pa.binary()), ("n_before", pa.int32()), ("after", pa.binary()), ("n_after", pa.int32())])
+_AROUND_SQL = "seed long, row long, doc_id long, pos int, before binary, n_before int, after binary, n_after int"
+#: Words that are looked at on either side of a seed.
+_MORE = WINDOW - 1
+
+
+def _padded(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words at the positions ``at`` (a row of them per suffix), zero outside the text."""
+    inside = (at >= 0) & (at < len(words))
+    return np.where(inside, words[np.clip(at, 0, len(words) - 1)], 0).astype(">u4")
 
 
 def surroundings(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """The kept suffixes of ``wanted`` (``row``, ``seed``, ``pos``) with the words before the seed (nearest first)
-    and after it, as 8-byte hashes, WINDOW - 1 of them at most."""
-    length, more = min_words - WINDOW + 1, WINDOW - 1
+    and after it: 4-byte hashes of ``_MORE`` words, and how many of them are there."""
+    length = min_words - WINDOW + 1
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("pos", "seed")).alias("at"))
+    steps = np.arange(_MORE)
 
     def run(batches):
-        hashes = WordHashes()
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
-                out = []
-                for row, doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                    words = hashes.of(text)
-                    for x in at:
-                        p = x["pos"]
-                        left = words[max(0, p - more):p][::-1].astype(">u8").tobytes()
-                        right = words[p + length:p + length + more].astype(">u8").tobytes()
-                        out.append((x["seed"], row, doc, p, left, right))
+                out, docs_of = [], []
+                for row, doc, text, at in zip(*(batch.column(i) for i in range(4))):
+                    words = word_hashes(text.as_py()) >> np.uint64(32)
+                    at = at.values
+                    pos = at.field("pos").to_numpy()
+                    left, right = pos[:, None] - 1 - steps, pos[:, None] + length + steps
+                    out.append((at.field("seed").to_numpy(), np.full(len(pos), row.as_py()), pos,
+                                _padded(words, left).tobytes(), (left >= 0).sum(axis=1).astype(np.int32),
+                                _padded(words, right).tobytes(), (right < len(words)).sum(axis=1).astype(np.int32)))
+                    docs_of.append(pa.array([doc.as_py()], pa.int64()).take(pa.array(np.zeros(len(pos), np.int32))))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _AROUND)], schema=_AROUND)
+                    seed, rows, pos, before, n_before, after, n_after = zip(*out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(seed)), pa.array(np.concatenate(rows)), pa.concat_arrays(docs_of),
+                         pa.array(np.concatenate(pos)), _fixed(b"".join(before)), pa.array(np.concatenate(n_before)),
+                         _fixed(b"".join(after)), pa.array(np.concatenate(n_after))], schema=_AROUND)
 
-    return at_rows(docs, by_row, run, "seed long, row long, doc_id long, pos int, before binary, after binary")
+    return at_rows(docs, by_row, run, _AROUND_SQL)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Equal 8-byte words that two strings begin with."""
-    n = 0
-    for n in range(0, min(len(a), len(b)), 8):
-        if a[n:n + 8] != b[n:n + 8]:
-            return n // 8
-    return min(len(a), len(b)) // 8
+def _fixed(data: bytes) -> pa.Array:
+    """Binary values of ``_MORE`` words each."""
+    ends = np.arange(0, len(data) + 1, 4 * _MORE, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Inverse of ``_fixed``: a row of words per value."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].view("<u4").reshape(len(column), _MORE)
 
 
 _SPANS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()),
@@ -96,93 +113,38 @@ _SPANS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start_word",
 _SPAN_SQL = "row long, doc_id long, start_word int, end_word int, match_doc_id long, match_start int"
 
 
-def _compare(rows: list[tuple], length: int, min_words: int) -> list[tuple]:
-    """Spans from sorted suffixes (seed, row, doc_id, pos, before, after): each against the nearest ones before it
-    in order that are of another document."""
-    out = []
-    near = other = None  # the last suffix, and the last one of a document other than that one's
-    for x in rows:
-        if near is not None and near[0] != x[0]:
-            near = other = None
-        if near is not None and near[1] != x[1]:
-            other = near
-        if other is not None and other[1] != x[1]:
-            left, right = _common(x[4], other[4]), _common(x[5], other[5])
-            if left + length + right >= min_words:
-                for a, b in ((x, other), (other, x)):
-                    out.append((a[1], a[2], a[3] - left, a[3] + length + right, b[2], b[3] - left))
-        near = x
-    return out
+def _compare(batch: pa.RecordBatch, known: int, length: int, min_words: int) -> pa.RecordBatch | None:
+    """Spans of sorted suffixes, each against the nearest one before it of another document (the first ``known``
+    ones have been compared already); a span for either document."""
+    column = {n: batch.column(i) for i, n in enumerate(_AROUND.names)}
+    other = nearest_other(column["seed"].to_numpy(), column["row"].to_numpy())
+    x = np.flatnonzero(other >= 0)
+    x = x[x >= known]
+    y = other[x]
+
+    def agreed(words: str, number: str) -> np.ndarray:
+        w, n = _words(column[words]), column[number].to_numpy()
+        same = np.minimum.accumulate(w[x] == w[y], axis=1).sum(axis=1)
+        return np.minimum(same, np.minimum(n[x], n[y]))
+
+    left, right = agreed("before", "n_before"), agreed("after", "n_after")
+    hit = left + length + right >= min_words
+    if not hit.any():
+        return None
+    x, y, left, right = x[hit], y[hit], left[hit], right[hit]
+    a, b = np.concatenate([x, y]), np.concatenate([y, x])
+    pos, left, right = column["pos"].to_numpy(), np.concatenate([left, left]), np.concatenate([right, right])
+    return pa.RecordBatch.from_arrays(
+        [column["row"].take(pa.array(a)), column["doc_id"].take(pa.array(a)), pa.array((pos[a] - left).astype(np.int32)),
+         pa.array((pos[a] + length + right).astype(np.int32)), column["doc_id"].take(pa.array(b)),
+         pa.array((pos[b] - left).astype(np.int32))], schema=_SPANS)
 
 
 def neighbour_spans(around: DataFrame, order: list[str], min_words: int) -> DataFrame:
-    """Matches of neighbours of a global sort.  Partitions are compared inside; then the last suffixes of each and the
-    first one of the next, a few rows per partition, in one small task."""
-    spark = around.sparkSession
+    """Matches of neighbours of a global sort."""
     length = min_words - WINDOW + 1
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["seed", "row", "doc_id", "pos", "before", "after"]
-    schema = pa.schema([*_SPANS, ("edge", pa.int32()), *_AROUND.remove(2).remove(1)])
-
-    def run(batches):
-        tail: list[tuple] = []  # its last suffix, and the last one before of another document
-        head: list[tuple] = []  # its first suffixes, as far as they are of one seed and document
-        open_head = True
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in columns)))
-            if not rows:
-                continue
-            for x in rows if open_head else []:
-                open_head = not head or x[:2] == head[0][:2]
-                if not open_head:
-                    break
-                head.append(x)
-            spans = _compare(tail + rows, length, min_words)
-            tail = _tail(tail + rows)
-            if spans:
-                yield _padded(spans, [], schema)
-        if head:
-            yield _padded([], [(2 * part, x) for x in head] + [(2 * part + 1, x) for x in tail], schema)
-
-    ordered = around.select(*columns).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    done = scratch_table(ordered.mapInArrow(run, _SPAN_SQL + ", edge int, seed long, pos int, before binary, after binary"), "neighbours")
-    inside = done.filter("edge IS NULL").select(*_SPANS.names)
-
-    def join(batches):
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("edge", *columns)))]
-        # the last suffixes of a partition, then the first of the next one that has any
-        by_edge: dict[int, list[tuple]] = {}
-        for r in sorted(rows, key=lambda r: r[0]):
-            by_edge.setdefault(r[0], []).append(r[1:])
-        spans, before = [], []
-        for edge, some in by_edge.items():
-            if edge % 2:
-                before = some
-            else:
-                spans += _compare(before + some, length, min_words)
-        if spans:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*spans), _SPANS)], schema=_SPANS)
-
-    edges = done.filter("edge IS NOT NULL").select("edge", *columns).coalesce(1)
-    return inside.unionByName(edges.mapInArrow(join, _SPAN_SQL))
-
-
-def _tail(rows: list[tuple]) -> list[tuple]:
-    """The last suffix, and before it the last one with its seed that is of another document."""
-    last = rows[-1]
-    for x in reversed(rows):
-        if x[0] != last[0]:
-            break
-        if x[1] != last[1]:
-            return [x, last]
-    return [last]
-
-
-def _padded(spans: list[tuple], edges: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    rows = [(*s, None, None, None, None, None) for s in spans]
-    rows += [(x[1], x[2], None, None, None, None, e, x[0], x[3], x[4], x[5]) for e, x in edges]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    return compare_sorted(around, _AROUND, _AROUND_SQL, order, lambda batch, known: _compare(batch, known, length, min_words),
+                          _SPANS, _SPAN_SQL, "neighbours")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
