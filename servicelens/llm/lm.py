@@ -94,9 +94,19 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """From the written table of ``token_counts``; at most FREQUENT rows reach the driver."""
+    """From the written table of ``token_counts``; at most FREQUENT rows reach the driver.
+
+    The frequent tokens are those from a count on, the least step of a sixteenth octave that leaves no more
+    than FREQUENT of them: steps are counted first, so no task sends what the driver would throw away."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
+    step, least, room = F.floor(F.log2("c") * 16), None, FREQUENT
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    rows = counts.filter(step >= least).collect() if least is not None else []
+    rows.sort(key=lambda r: (-r["c"], bytes(r["token"])))
     rows += counts.filter(F.col("token") == F.lit(bytearray(END))).collect()
     known = {bytes(r["token"]): r["c"] for r in rows}
     words = [w for w in known if w != END][: VOCABULARY - 1]
