@@ -153,6 +153,10 @@ ACTION_BODIES = {
         "ticket_id", "followup_type", "original_breach_probability", "scheduled_at", "followup_time"]),
 }
 
+# FIXED VALUES — conditions of a licence change with medium-risk services
+LICENSE_CONDITIONS = ["Stagger implementation across services", "Monitor affected services for 24 hours",
+                      "Have rollback procedure ready"]
+
 # scoring multipliers of the demo variants
 CATEGORY_ADJUST_OPS = {"infrastructure": 1.2, "access": 0.8}
 CRITICAL_WEIGHTS = {1: (0.9, 0.1), 2: (0.7, 0.3)}  # else (0.4, 0.6)

@@ -135,6 +135,8 @@ def optimization_decisions(requests: DataFrame, asset_status: DataFrame) -> Data
     # one projection (one analysis pass) for all decision columns
     return grouped.withColumns({
         "overall_risk_level": overall,
+        "mitigation_recommendations": present([(overall == "high", F.lit("Defer optimization until SLA risk is reduced")),
+                                               (overall == "medium", F.lit("Implement changes in phases"))]),
         "approval_recommended": overall != "high",
         # factors of high-risk assets only, in asset order
         "risk_factors": F.flatten(F.transform("_ha", lambda a: F.when(a["at_risk"], F.col("_tense.factors")).otherwise(F.col("_calm.factors")))),
@@ -165,7 +167,7 @@ def license_change_decisions(changes: DataFrame, service_state: DataFrame) -> Da
     .2 / HEALTHY / 60 / 240 when none), per-service risk, per-change decision."""
     d = R.SERVICE_DEFAULT_STATE
     st = service_state.select("service_id", F.col("breach_probability").alias("_p"))
-    per = (changes.select("change_id", "change_type", F.explode("affected_services").alias("service_id"))
+    per = (changes.select("change_id", "change_type", F.posexplode("affected_services").alias("pos", "service_id"))
            .join(st, "service_id", "left")
            .withColumn("_p", F.coalesce(F.col("_p"), F.lit(d[0])))
            .withColumn("risk", service_change_risk(F.col("change_type"), F.col("_p"))))
@@ -173,10 +175,19 @@ def license_change_decisions(changes: DataFrame, service_state: DataFrame) -> Da
     g = per.groupBy("change_id").agg(
         F.sum((lv == "high").cast("long")).alias("high_risk_services"),
         F.sum((lv == "medium").cast("long")).alias("medium_risk_services"),
-        F.sum((lv == "low").cast("long")).alias("low_risk_services"))
+        F.sum((lv == "low").cast("long")).alias("low_risk_services"),
+        # as many as the change names services
+        F.array_sort(F.collect_list(F.struct("pos", F.col("risk.factors").alias("f")))).alias("_f"))
     overall = (F.when(F.col("high_risk_services") > 0, F.lit("high"))
                .when(F.col("medium_risk_services") > 2, F.lit("medium")).otherwise(F.lit("low")))
-    return (g.withColumn("overall_risk", overall)
-            .withColumn("approved", F.col("high_risk_services") == 0)
-            .withColumn("approval_level", F.when((F.col("high_risk_services") == 0) & (F.col("medium_risk_services") > 0),
-                                                 F.lit("conditional")).otherwise(F.lit("automatic"))))
+    high, medium = F.col("high_risk_services"), F.col("medium_risk_services")
+    conditional = (high == 0) & (medium > 0)
+    none = F.array().cast("array<string>")
+    return g.withColumns({
+        "overall_risk": overall, "approved": high == 0,
+        "approval_level": F.when(conditional, F.lit("conditional")).otherwise(F.lit("automatic")),
+        "conditions": F.when(conditional, F.array(*[F.lit(c) for c in R.LICENSE_CONDITIONS])).otherwise(none),
+        "reasoning": F.when(high > 0, F.concat(F.lit("High risk services identified: "), high.cast("string")))
+        .when(medium > 0, F.concat(F.lit("Medium risk services require careful monitoring: "), medium.cast("string"))),
+        "risk_factors": F.flatten(F.transform("_f", lambda x: x["f"])),
+    }).drop("_f")

@@ -188,7 +188,11 @@ SELECT optimization_id, high_risk_assets, medium_risk_assets, o AS overall_risk_
   CASE WHEN o = 'high' THEN 'High SLA risk identified'
        WHEN o = 'medium' AND potential_savings > 100000 THEN 'Medium risk acceptable due to high savings'
        WHEN o = 'medium' THEN 'Medium risk not justified by savings amount' ELSE 'Low SLA risk identified' END
-    AS reasoning
+    AS reasoning,
+  CASE o WHEN 'high' THEN 'Defer optimization until SLA risk is reduced' WHEN 'medium' THEN 'Implement changes in phases' ELSE '' END
+    AS mitigation,
+  CASE WHEN o = 'medium' AND potential_savings > 100000
+       THEN 'Implement in phases; Monitor SLA impact closely; Prepare rollback plan' ELSE '' END AS conditions
 FROM h
 """)
 def q_optimization_decisions(spark, sf_dir):
@@ -197,7 +201,9 @@ def q_optimization_decisions(spark, sf_dir):
     d = I.optimization_decisions(requests, a)
     return d.select("optimization_id", "high_risk_assets", "medium_risk_assets", "overall_risk_level", "approved",
                     "approval_level", F.array_join("risk_factors", "; ").alias("risk_factors"),
-                    F.array_join("affected_services", ",").alias("affected_services"), "reasoning")
+                    F.array_join("affected_services", ",").alias("affected_services"), "reasoning",
+                    F.array_join("mitigation_recommendations", "; ").alias("mitigation"),
+                    F.array_join("conditions", "; ").alias("conditions"))
 
 
 @query("license_change_decisions", oracle=f"""
@@ -210,11 +216,16 @@ latest AS (SELECT service_id, arg_max(breach_probability, (version_ts, update_se
 lc AS (
   SELECT event_id AS change_id,
     (['license_downgrade', 'license_removal', 'license_upgrade'])[CAST(floor(value) AS BIGINT) % 3 + 1] AS change_type,
-    unnest(list_transform(range(0, event_id % 5 + 1), lambda i: user_id + i)) AS service_id
+    unnest(list_transform(range(0, event_id % 5 + 1), lambda i: user_id + i)) AS service_id,
+    unnest(range(0, event_id % 5 + 1)) AS pos
   FROM events WHERE event_type = 'signup'
 ),
 r AS (
-  SELECT change_id, CASE WHEN coalesce(p, 0.2) >= 0.7 THEN
+  SELECT change_id, pos,
+         concat_ws('; ', CASE change_type WHEN 'license_downgrade' THEN 'License downgrade may affect functionality'
+           WHEN 'license_removal' THEN 'License removal will affect service availability' END,
+           CASE WHEN coalesce(p, 0.2) >= 0.7 THEN printf('Service already at risk (breach probability: %.1f%%)', round(p * 100.0, 1)) END) AS f,
+         CASE WHEN coalesce(p, 0.2) >= 0.7 THEN
            CASE change_type WHEN 'license_downgrade' THEN 'high' WHEN 'license_removal' THEN 'high' ELSE 'medium' END
          ELSE CASE change_type WHEN 'license_downgrade' THEN 'medium' WHEN 'license_removal' THEN 'high' ELSE 'low' END
          END AS lvl
@@ -223,18 +234,25 @@ r AS (
 g AS (
   SELECT change_id, count(*) FILTER (WHERE lvl = 'high') AS high_risk_services,
     count(*) FILTER (WHERE lvl = 'medium') AS medium_risk_services,
-    count(*) FILTER (WHERE lvl = 'low') AS low_risk_services
+    count(*) FILTER (WHERE lvl = 'low') AS low_risk_services,
+    coalesce(string_agg(f, '; ' ORDER BY pos) FILTER (f <> ''), '') AS risk_factors
   FROM r GROUP BY change_id
 )
 SELECT *, CASE WHEN high_risk_services > 0 THEN 'high' WHEN medium_risk_services > 2 THEN 'medium' ELSE 'low' END
     AS overall_risk,
   high_risk_services = 0 AS approved,
   CASE WHEN high_risk_services = 0 AND medium_risk_services > 0 THEN 'conditional' ELSE 'automatic' END
-    AS approval_level
+    AS approval_level,
+  CASE WHEN high_risk_services = 0 AND medium_risk_services > 0
+       THEN 'Stagger implementation across services; Monitor affected services for 24 hours; Have rollback procedure ready'
+       ELSE '' END AS conditions,
+  CASE WHEN high_risk_services > 0 THEN 'High risk services identified: ' || high_risk_services
+       WHEN medium_risk_services > 0 THEN 'Medium risk services require careful monitoring: ' || medium_risk_services END AS reasoning
 FROM g
 """)
 def q_license_change_decisions(spark, sf_dir):
     latest = ST.latest_after_events(fx.initial_state(spark, sf_dir), fx.status_events(spark, sf_dir))
     d = I.license_change_decisions(fx.license_changes(spark, sf_dir), latest)
     return d.select("change_id", "high_risk_services", "medium_risk_services", "low_risk_services", "overall_risk",
-                    "approved", "approval_level")
+                    "approved", "approval_level", F.array_join("conditions", "; ").alias("conditions"), "reasoning",
+                    F.array_join("risk_factors", "; ").alias("risk_factors"))
