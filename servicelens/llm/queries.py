@@ -107,3 +107,31 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document through a ledger that starts empty."""
     return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.scratch_ledger(spark)))
+
+
+def _kind_sql(rank: int, rule: secrets.Rule) -> str:
+    """Spans of one rule, from the pieces between its matches."""
+    q = "'" + rule.pattern.replace("'", "''") + "'"
+    long = f"length(part[i]) >= {rule.least}"
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(found) + 1), lambda i: {{
+      'ok': {long}, 'start': list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0),
+      'size': length(found[i])}}), lambda m: m.ok)) AS m
+  FROM (SELECT doc_id, string_split_regex(t, {q}) AS pieces, regexp_extract_all(t, {q}, 0) AS found, regexp_extract_all(t, {q}, {rule.group}) AS part FROM d)"""
+
+
+ORACLE["op10_secret_scans"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_kind_sql(i, r) for i, r in enumerate(secrets.RULES))}
+),
+s AS (SELECT doc_id, rank, kind, CAST(m.start AS BIGINT) AS start, kind || ':' || CAST(m.start AS BIGINT) || ':' || CAST(m.start + m.size AS BIGINT) AS span FROM m),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(secrets.BASE_RULES)}) AS base,
+    string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
