@@ -166,11 +166,15 @@ def heartbeat_status(beats: DataFrame, as_of: str = DEFAULT_AS_OF, device: str =
                         .when(F.col("age_minutes") > warn_after, F.lit("WARN")).otherwise(F.lit("OK"))))
 
 
+def heartbeat_ticket_columns(status: DataFrame, as_of: str = DEFAULT_AS_OF, device: str = "device_id") -> DataFrame:
+    """Every device with the fields of its 'Infra' P2 ticket, due four hours after ``as_of``; null unless it is DOWN."""
+    down = F.col("health") == "DOWN"
+    due = ts_literal(as_of) + F.make_dt_interval(F.lit(0), F.lit(4))
+    fields = {"ticket_id": F.concat(F.lit("INFRA-"), F.col(device).cast("string")), "department": F.lit("Infra"),
+              "priority": F.lit("P2"), "sla_deadline": due}
+    return status.withColumns({k: F.when(down, v) for k, v in fields.items()})
+
+
 def heartbeat_tickets(status: DataFrame, as_of: str = DEFAULT_AS_OF, device: str = "device_id") -> DataFrame:
-    """DOWN devices become 'Infra' P2 tickets due four hours after ``as_of``."""
-    now = ts_literal(as_of)
-    return (status.filter(F.col("health") == "DOWN")
-            .withColumn("ticket_id", F.concat(F.lit("INFRA-"), F.col(device).cast("string")))
-            .withColumn("department", F.lit("Infra"))
-            .withColumn("priority", F.lit("P2"))
-            .withColumn("sla_deadline", now + F.make_dt_interval(F.lit(0), F.lit(4))))
+    """The tickets of the DOWN devices."""
+    return heartbeat_ticket_columns(status, as_of, device).filter(F.col("health") == "DOWN")

@@ -95,10 +95,8 @@ FROM h
 """)
 def q_heartbeat(spark, sf_dir):
     beats = read_table(spark, sf_dir, "events", ["user_id", "ts"]).withColumnRenamed("user_id", "device_id")
-    st = A.heartbeat_status(beats, as_of=_HB_AS_OF)
-    tk = A.heartbeat_tickets(st, as_of=_HB_AS_OF).select("device_id", "ticket_id",
-                                                         fmt_ts("sla_deadline").alias("sla_deadline"))
-    return st.join(tk, "device_id", "left").select("device_id", "age_minutes", "health", "ticket_id", "sla_deadline")
+    st = A.heartbeat_ticket_columns(A.heartbeat_status(beats, as_of=_HB_AS_OF), as_of=_HB_AS_OF)
+    return st.select("device_id", "age_minutes", "health", "ticket_id", fmt_ts("sla_deadline").alias("sla_deadline"))
 
 
 @query("daily_report", oracle=f"""
