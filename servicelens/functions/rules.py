@@ -358,6 +358,31 @@ INTAKE_CLASSIFIERS = {
     },
 }
 
+# FIXED VALUES — tickets of four of these intakes: base probability and revenue by priority, multipliers by service, hours to
+# the deadline, customer tier by priority, confidence, status; departments by service where the classifier names none
+MAJOR_CITIES = ["mumbai", "delhi", "bangalore", "hyderabad", "chennai"]
+_BY_P = {"probability": {"P1": 0.85, "P2": 0.65, "P3": 0.45, "P4": 0.25}, "revenue": {"P1": 200000, "P2": 100000, "P3": 50000, "P4": 20000},
+         "hours": {"P1": 2, "P2": 8, "P3": 24, "P4": 72},
+         "tier": {"P1": "Enterprise", "P2": "Platinum", "P3": "Gold", "P4": "Silver"}, "status": "Open", "city": 1.0}
+_SERVICE_RISK = {"aadhaar-auth": 1.3, "payment-gateway": 1.2, "citizen-portal": 1.1, "mobile-app": 1.0, "certificate-services": 1.1, "other": 1.0}
+INTAKE_TICKETS = {
+    "chatbot": _BY_P | {"source": "chatbot", "confidence": 0.90, "service_probability": _SERVICE_RISK, "service_revenue": _SERVICE_RISK},
+    "live_email": _BY_P | {"source": "email", "confidence": 0.85, "service_probability": _SERVICE_RISK,
+                           "service_revenue": {"aadhaar-auth": 2.0, "payment-gateway": 1.8, "citizen-portal": 1.2, "mobile-app": 1.1,
+                                               "certificate-services": 1.3, "other": 1.0}},
+    "simple_reader": _BY_P | {"source": "email", "confidence": 0.85, "service_probability": {}, "service_revenue": {}},
+    "plain_email": {
+        "source": "email", "confidence": None, "status": "new", "city": 1.2,
+        "probability": {"critical": 0.8, "high": 0.6, "medium": 0.4, "low": 0.2},
+        "revenue": {"critical": 200000, "high": 100000, "medium": 50000, "low": 10000},
+        "hours": {"critical": 2, "high": 8, "medium": 24, "low": 72},
+        "tier": {"critical": "Enterprise", "high": "Platinum", "medium": "Gold", "low": "Silver"},
+        "service_probability": {"aadhaar": 1.3, "payment": 1.2, "portal": 1.1, "mobile": 1.0, "network": 1.1, "general": 1.0},
+        "service_revenue": {"aadhaar": 2.0, "payment": 1.8, "portal": 1.2, "mobile": 1.1, "network": 1.3, "general": 1.0},
+        "department": {"aadhaar": "Identity Services", "payment": "Financial Services", "portal": "IT Support", "mobile": "Mobile Support",
+                       "network": "Infrastructure", "general": "General Support"}},
+}
+
 RESPONSE_TEMPLATES = {
     "P1": "Thank you for reporting this critical issue. We have escalated this to our emergency response team "
           "and will provide updates every hour.",

@@ -147,7 +147,30 @@ def classify_intakes(df: DataFrame, key: str = "id", text: str = "text") -> Data
 
     rows = F.array(*[F.struct(F.lit(name).alias("intake"), *[as_col(value(fields[c])).alias(c) for c in ("priority", "department", "service_type")])
                      for name, fields in R.INTAKE_CLASSIFIERS.items()])
-    return d.select(key, F.inline(rows))
+    city = F.coalesce(*[F.when(lt.contains(c), F.lit(True)) for c in R.MAJOR_CITIES], F.lit(False))
+    return d.select(key, city.alias("major_city"), F.inline(rows))
+
+
+def build_intake_tickets(classified: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """H8: the tickets of ``rules.INTAKE_TICKETS`` from ``classify_intakes`` rows: probability (capped, a major city
+    counts where the intake says so), revenue, deadline, tier, status, source, confidence and department."""
+    prio, svc, now = F.col("priority"), F.col("service_type"), ts_literal(as_of)
+
+    def fields(t: dict) -> Column:
+        factor = F.when(F.col("major_city"), F.lit(t["city"])).otherwise(F.lit(1.0))
+        by_service = lambda m: lookup(svc, m, 1.0) if m else F.lit(1.0)
+        p = F.least(F.lit(R.TEXT_PROBABILITY_CAP), lookup(prio, t["probability"], 0.45) * by_service(t["service_probability"]) * factor)
+        return F.struct(
+            (F.round(p, 3) if t["source"] == "email" and t["status"] == "new" else p).alias("breach_probability"),
+            (lookup(prio, t["revenue"], 50000) * by_service(t["service_revenue"])).cast("bigint").alias("revenue_impact"),
+            (now + F.make_dt_interval(F.lit(0), lookup(prio, t["hours"], 24).cast("int"))).alias("sla_deadline"),
+            lookup(prio, t["tier"], "Silver").alias("customer_tier"), F.lit(t["status"]).alias("status"), F.lit(t["source"]).alias("source"),
+            F.lit(t["confidence"]).cast("double").alias("confidence_score"),
+            (lookup(svc, t["department"], "General Support") if "department" in t else F.col("department")).alias("ticket_department"))
+
+    ticket = F.coalesce(*[F.when(F.col("intake") == n, fields(t)) for n, t in R.INTAKE_TICKETS.items()])
+    rows = classified.filter(F.col("intake").isin(*R.INTAKE_TICKETS))
+    return computed_once(rows, _t=ticket).select(*rows.columns, "_t.*")
 
 
 def build_chat_ticket(analysed: DataFrame, key: str = "id", as_of: str = DEFAULT_AS_OF) -> DataFrame:

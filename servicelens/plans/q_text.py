@@ -264,7 +264,31 @@ def _intake_sql(name: str) -> str:
 @query("intake_classifications", oracle=f"WITH {S.TEXT_TICKETS}\n" + "\nUNION ALL ".join(_intake_sql(n) for n in R.INTAKE_CLASSIFIERS))
 def q_intake_classifications(spark, sf_dir):
     """H1: every text ticket as each of the other eight intakes classifies it."""
-    return T.classify_intakes(fx.text_tickets(spark, sf_dir))
+    return T.classify_intakes(fx.text_tickets(spark, sf_dir)).drop("major_city")
+
+
+def _intake_ticket_sql(name: str) -> str:
+    t = R.INTAKE_TICKETS[name]
+    look = lambda key, m, default: S.lookup(key, m, default) if m else str(default)
+    cap = f"least(0.95::DOUBLE, {look('priority', t['probability'], 0.45)} * {look('service_type', t['service_probability'], '1.0::DOUBLE')}" \
+          f" * CASE WHEN city THEN {t['city']}::DOUBLE ELSE 1.0::DOUBLE END)"
+    dept = S.lookup("service_type", t["department"], "General Support") if "department" in t else "department"
+    conf = "NULL::DOUBLE" if t["confidence"] is None else f"{t['confidence']}::DOUBLE"
+    return f"""SELECT id, intake, priority, service_type, {f"round({cap}, 3)" if t["status"] == "new" else cap} AS breach_probability,
+  CAST(trunc({look('priority', t['revenue'], 50000)} * {look('service_type', t['service_revenue'], '1.0::DOUBLE')}) AS BIGINT) AS revenue_impact,
+  {S.ts(S.AS_OF + " + to_hours(" + S.lookup("priority", t["hours"], 24) + ")")} AS sla_deadline,
+  {S.lookup("priority", t["tier"], "Silver")} AS customer_tier, '{t["status"]}' AS status, '{t["source"]}' AS source, {conf} AS confidence_score,
+  {dept} AS ticket_department
+FROM c JOIN city USING (id) WHERE intake = '{name}'"""
+
+
+@query("intake_tickets", oracle=f"WITH {S.TEXT_TICKETS},\nc AS (" + "\nUNION ALL ".join(_intake_sql(n) for n in R.INTAKE_TICKETS)
+       + f"),\ncity AS (SELECT id, {S.contains_any('lt', R.MAJOR_CITIES)} AS city FROM tl)\n"
+       + "\nUNION ALL ".join(_intake_ticket_sql(n) for n in R.INTAKE_TICKETS))
+def q_intake_tickets(spark, sf_dir):
+    """H8: the tickets of four more intakes."""
+    t = T.build_intake_tickets(T.classify_intakes(fx.text_tickets(spark, sf_dir)))
+    return t.withColumn("sla_deadline", fmt_ts("sla_deadline")).drop("major_city", "department")
 
 
 # ---------------------------------------------------------------------------
