@@ -37,7 +37,8 @@ NOISE_RATIO, NOISE_SHARED = 16, 64
 RATE = 0.07
 #: The end token: no word has a space.
 END = b" "
-_MINIMUM_VISIT = 4096
+#: Tokens that are worked on at once (a longer text is worked on alone).
+CHUNK = 1 << 20
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -196,14 +197,33 @@ def contexts(ids: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray,
     return last, before, target
 
 
+def chunks(values: list[bytes]):
+    """Encoded texts in runs of about CHUNK tokens."""
+    run, size = [], 0
+    for v in values:
+        ids = np.frombuffer(v, "<u2")
+        if run and size + len(ids) > CHUNK:
+            yield run
+            run, size = [], 0
+        run.append(ids)
+        size += len(ids)
+    if run:
+        yield run
+
+
 def _scatter(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Sum of ``rows`` by ``at``, as n rows."""
-    order = np.argsort(at, kind="stable")
-    keys = at[order]
-    begin = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[keys[begin]] = np.add.reduceat(rows[order], begin, axis=0)
-    return out
+    width = rows.shape[1]
+    cells = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
+
+
+def _falling(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + e^x), in place."""
+    np.minimum(x, 80, out=x)  # the largest that a 32-bit float can take
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -218,28 +238,33 @@ class Trainer:
 
     def step(self, last: np.ndarray, before: np.ndarray, target: np.ndarray) -> None:
         r1, r2, q, b = self.m.params
-        p = r1[last] + r2[before]
-        qt = q[target]
-        data = 1 / (1 + np.exp(np.clip((p * qt).sum(axis=1) + b[target] - self.log_noise[target], -30, 30)))
+        p = r1.take(last, axis=0)
+        p += r2.take(before, axis=0)
+        qt = q.take(target, axis=0)
+        data = _falling((p * qt).sum(axis=1) + b[target] - self.log_noise[target])
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE_SHARED)), len(b) - 1)
-        qn = q[noise]
-        other = (NOISE_RATIO / NOISE_SHARED) / (1 + np.exp(np.clip(self.log_noise[noise] - p @ qn.T - b[noise], -30, 30)))
-        dp = data[:, None] * qt - other @ qn
-        dq, db = _scatter(data[:, None] * p, target, len(q)), np.bincount(target, data, len(b)).astype(np.float32)
-        np.subtract.at(dq, noise, other.T @ p)
-        np.subtract.at(db, noise, other.sum(axis=0))
+        qn = q.take(noise, axis=0)
+        other = _falling((self.log_noise[noise] - b[noise]) - p @ qn.T)
+        other *= np.float32(NOISE_RATIO / NOISE_SHARED)
+        qt *= data[:, None]
+        qt -= other @ qn  # gradient of the predicted vectors
+        both = np.concatenate([target, noise])
+        dq = _scatter(np.concatenate([data[:, None] * p, -(other.T @ p)]), both, len(q))
+        db = np.bincount(both, np.concatenate([data, -other.sum(axis=0)]), len(b)).astype(np.float32)
         for param, square, grad in zip(self.m.params, self.squares, (
-                _scatter(dp, last, len(r1)), _scatter(dp, before, len(r2)), dq, db)):
+                _scatter(qt, last, len(r1)), _scatter(qt, before, len(r2)), dq, db)):
             square += grad * grad
-            param += RATE * grad / np.sqrt(square)
+            grad *= np.float32(RATE)
+            grad /= np.sqrt(square)
+            param += grad
         self.seen += len(target)
 
     def learn(self, ids: list[np.ndarray], start: int) -> None:
-        last, before, target = contexts(ids, start)
-        order = self.rng.permutation(len(target))
+        texts = contexts(ids, start)
+        order = self.rng.permutation(len(texts[0]))
+        last, before, target = (x[order].astype(np.intp) for x in texts)
         for i in range(0, len(order), BATCH):
-            at = order[i:i + BATCH]
-            self.step(last[at], before[at], target[at])
+            self.step(last[i:i + BATCH], before[i:i + BATCH], target[i:i + BATCH])
 
 
 def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
@@ -260,9 +285,8 @@ def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
             own = Model(given.shapes[2][0], given.noise).with_flat(given.flat())
             trainer = Trainer(own, seed=1000 * r + TaskContext.get().partitionId())
             for batch in batches:
-                ids = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
-                for i in range(0, len(ids), 1024):
-                    trainer.learn(ids[i:i + 1024], start)
+                for ids in chunks(batch.column(0).to_pylist()):
+                    trainer.learn(ids, start)
             if trainer.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([own.flat()], pa.list_(pa.float32()))],
                                                  schema=schema)
@@ -283,24 +307,25 @@ def neural_scores(encoded: DataFrame, model: Model, start: int) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for whole in batches:
-            for begin in range(0, whole.num_rows, _MINIMUM_VISIT):
-                batch = whole.slice(begin, _MINIMUM_VISIT)
-                ids = [np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()]
+        for batch in batches:
+            out = []
+            for ids in chunks(batch.column(1).to_pylist()):
                 last, before, target = contexts(ids, start)
-                codes, inverse = np.unique(last.astype(np.uint32) << 16 | before, return_inverse=True)
+                code = last.astype(np.uint32) << 16 | before
+                order = np.argsort(code)
+                code = code[order]
+                begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                size = np.diff(np.append(begin, len(code)))
                 score = np.empty(len(target))
-                order = np.argsort(inverse, kind="stable")
-                ends = np.cumsum(np.bincount(inverse, minlength=len(codes)))
-                for i in range(0, len(codes), 4096):
-                    part = codes[i:i + 4096]
-                    table = m.log_probabilities(part >> 16, part & 0xFFFF)
-                    at = order[(ends[i - 1] if i else 0):ends[min(i + 4096, len(codes)) - 1]]
-                    score[at] = table[inverse[at] - i, target[at]]
-                sizes = [len(x) for x in ids]
-                begins = np.cumsum([0, *sizes[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.add.reduceat(score, begins) / np.log(10))], schema=schema)
+                for i in range(0, len(begin), 4096):
+                    some = code[begin[i:i + 4096]]
+                    table = m.log_probabilities(some >> 16, some & 0xFFFF)
+                    n = size[i:i + 4096]
+                    at = order[begin[i]:begin[i] + n.sum()]
+                    score[at] = table[np.repeat(np.arange(len(n)), n), target[at]]
+                out.append(np.add.reduceat(score, np.cumsum([0, *(len(x) for x in ids[:-1])])) / np.log(10))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], schema=schema)
 
     return encoded.select("row", "ids").mapInArrow(run, "row long, neural double")
 
