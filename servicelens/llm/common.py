@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import weakref
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 
 #: A word is a run of characters other than the ASCII white space of this pattern.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -49,9 +49,24 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     The folder is the one ``spark.checkpoint.dir`` names, so the rows survive the loss of
     any executor and the plan above starts from a scan."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_folder(spark, f"llm-{name}")
+    df.write.option("compression", "zstd").parquet(path)
+    # nothing reads the shuffle files of the finished job again; Spark removes them when the driver's JVM
+    # has collected what referred to them, which on its own it does twice an hour
+    spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more: all made from them has been written since."""
+    for t in tables:
+        where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(t))
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

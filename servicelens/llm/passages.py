@@ -133,13 +133,13 @@ def _tail(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def compare_sorted(rows: DataFrame, schema: pa.Schema, sql: str, order: list[str], compare: Callable,
-                   out_schema: pa.Schema, out_sql: str, name: str) -> DataFrame:
+                   out_schema: pa.Schema, out_sql: str, name: str) -> tuple[DataFrame, DataFrame]:
     """``compare(batch, known)`` over all rows in one global order, whose first column is the group and whose second the
     document; it returns a batch of ``out_schema`` (or None) for the rows after the first ``known`` ones.
 
     Rows are sorted by ranges of the whole order, so a hot group is spread over partitions.  Partitions are compared
     inside; then the last rows of each and the first ones of the next, a few per partition, in one small
-    task.  The result is written."""
+    task.  Returns the result and the scratch table that it reads."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wide = pa.schema([*out_schema, ("edge", pa.int32()), *(pa.field(f"s_{f.name}", f.type) for f in schema)])
 
@@ -199,7 +199,7 @@ def compare_sorted(rows: DataFrame, schema: pa.Schema, sql: str, order: list[str
                     yield out
 
     edges = done.filter("edge IS NOT NULL").select("edge", *("s_" + c for c in names)).coalesce(1)
-    return done.filter("edge IS NULL").select(*out_schema.names).unionByName(edges.mapInArrow(join, out_sql))
+    return done.filter("edge IS NULL").select(*out_schema.names).unionByName(edges.mapInArrow(join, out_sql)), done
 
 
 def at_rows(docs: DataFrame, requests: DataFrame, run: Callable, schema: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 from .common import fresh, let, own, scratch_table
 
 
@@ -138,7 +138,7 @@ class BlobLedger:
 
 def scratch_ledger(spark: SparkSession) -> BlobLedger:
     """An empty ledger in the shared checkpoint folder."""
-    return BlobLedger(spark, f"{ensure_checkpoint_dir(spark)}/llm-ledger-{uuid.uuid4().hex}")
+    return BlobLedger(spark, scratch_folder(spark, "llm-ledger"))
 
 
 def find_secrets(docs: DataFrame, ledger: BlobLedger, rules: list[Rule] = RULES) -> DataFrame:

@@ -5,7 +5,7 @@ Only suffixes that begin at content-selected minimiser positions are kept: the s
 ``min_words`` words or more that two documents share holds a kept suffix within its first ``WINDOW`` positions,
 and from there the two agree for ``min_words - WINDOW + 1`` words at least (the seed).
 
-1. Seeds are hashed; seeds that one document alone has are dropped.
+1. Seeds are hashed; seeds that are there once are dropped.
 2. Of the rest, the words around the seed are read once more, as far as the threshold needs (as 32-bit hashes; the
    seed itself is compared by a 64-bit one).
 3. These suffixes are sorted over all partitions, by seed, then by the words after and before it; every one is
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_table
+from .common import forget, scratch_table
 from .passages import at_rows, compare_sorted, keyed, long_runs, merge_spans, nearest_other, runs, window_minima, word_hashes
 
 MIN_WORDS, WINDOW, GRAM = 50, 16, 5
@@ -140,8 +140,8 @@ def _compare(batch: pa.RecordBatch, known: int, length: int, min_words: int) ->
          pa.array((pos[b] - left).astype(np.int32))], schema=_SPANS)
 
 
-def neighbour_spans(around: DataFrame, order: list[str], min_words: int) -> DataFrame:
-    """Matches of neighbours of a global sort."""
+def neighbour_spans(around: DataFrame, order: list[str], min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Matches of neighbours of a global sort, and the scratch table behind them."""
     length = min_words - WINDOW + 1
     return compare_sorted(around, _AROUND, _AROUND_SQL, order, lambda batch, known: _compare(batch, known, length, min_words),
                           _SPANS, _SPAN_SQL, "neighbours")
@@ -158,11 +158,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"min_words must be at least {WINDOW + GRAM}")
     docs = docs.select("doc_id", "text")
     kept = scratch_table(seeds(docs, min_words), "seeds")
-    shared = kept.groupBy("seed").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low <> high").select("seed")
-    wanted = kept.join(scratch_table(shared, "shared"), "seed")
-    around = scratch_table(surroundings(docs, wanted, min_words), "around")
-    forward = neighbour_spans(around, ["seed", "after", "before", "row", "pos"], min_words)
-    backward = neighbour_spans(around, ["seed", "before", "after", "row", "pos"], min_words)
+    # a seed that one document repeats gets through here too; it finds no other document later
+    shared = kept.groupBy("seed").count().filter("count > 1").select("seed")
+    shared = scratch_table(shared, "shared")
+    around = scratch_table(surroundings(docs, kept.join(shared, "seed"), min_words), "around")
+    forget(kept, shared)
+    forward, _ = neighbour_spans(around, ["seed", "after", "before", "row", "pos"], min_words)
+    backward, _ = neighbour_spans(around, ["seed", "before", "after", "row", "pos"], min_words)
+    forget(around)
     merged = merge_spans(forward.unionByName(backward).distinct(), "match_doc_id",
                          [F.min(F.struct("match_doc_id", "match_start")).alias("m")])
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
