@@ -182,10 +182,10 @@ def compare_sorted(rows: DataFrame, schema: pa.Schema, sql: str, order: list[str
     done = scratch_table(ordered.mapInArrow(run, wide_sql), name)
 
     def join(batches):
-        given = pa.Table.from_batches(list(batches))
-        if not given.num_rows:
+        given = [b for b in batches if b.num_rows]
+        if not given:
             return
-        edges = given.sort_by("edge").combine_chunks().to_batches()[0]
+        edges = pa.Table.from_batches(given).sort_by("edge").combine_chunks().to_batches()[0]
         number = edges.column(0).to_numpy()
         rows = pa.RecordBatch.from_arrays(edges.columns[1:], schema=schema)
         before = None
@@ -209,13 +209,19 @@ def at_rows(docs: DataFrame, requests: DataFrame, run: Callable, schema: str) ->
     return texts.join(requests, "row").mapInArrow(run, schema)
 
 
-def merge_spans(spans: DataFrame, partner: str, best: list[Column]) -> DataFrame:
-    """Unions of overlapping spans of a row: ``row``, ``doc_id``, ``start_word``, ``end_word`` and ``best`` (aggregates).
+def merge_spans(spans: DataFrame, largest: list[str] = []) -> DataFrame:  # noqa: B006
+    """Unions of overlapping spans of a row: ``row``, ``doc_id``, ``start_word``, ``end_word``, ``m`` (the smallest
+    ``match_doc_id`` with its ``match_start``) and the greatest value of every column of ``largest``.
 
-    ``spans``: ``row``, ``doc_id``, ``start_word``, ``end_word`` and what ``best`` needs.  A row has no more spans than words."""
-    order = Window.partitionBy("row").orderBy("start_word", "end_word", partner)
+    Equal spans are merged map-side first, so a document that many others match has no more rows than
+    distinct spans."""
+    values = [F.max(c).alias(c) for c in largest]
+    unique = spans.groupBy("row", "doc_id", "start_word", "end_word").agg(
+        F.min(F.struct("match_doc_id", "match_start")).alias("m"), *values)
+    order = Window.partitionBy("row").orderBy("start_word", "end_word", "doc_id")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begun = spans.withColumn("begins", F.coalesce((F.col("start_word") > reach).cast("int"), F.lit(1)))
+    begun = unique.withColumn("begins", F.coalesce((F.col("start_word") > reach).cast("int"), F.lit(1)))
     island = begun.withColumn("island", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy("row", "island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), *best)
+        F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"),
+        F.min("m").alias("m"), *values)

@@ -166,7 +166,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     forward, _ = neighbour_spans(around, ["seed", "after", "before", "row", "pos"], min_words)
     backward, _ = neighbour_spans(around, ["seed", "before", "after", "row", "pos"], min_words)
     forget(around)
-    merged = merge_spans(forward.unionByName(backward).distinct(), "match_doc_id",
-                         [F.min(F.struct("match_doc_id", "match_start")).alias("m")])
+    merged = merge_spans(forward.unionByName(backward))
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
                          F.col("m.match_doc_id").alias("match_doc_id"), F.col("m.match_start").alias("match_start"))
