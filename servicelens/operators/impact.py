@@ -26,17 +26,22 @@ def asset_sla_status(scored_tickets: DataFrame, assets: DataFrame, p: str = "bre
     meaning is the same for any ids (the empty id is in every text).  A ticket counts once per asset."""
     ids = assets.select("asset_id").dropna().distinct()
     shape = ids.agg(F.coalesce(F.collect_set(F.length("asset_id")), F.array().cast("array<int>")).alias("_lengths"),
+                    F.coalesce(F.collect_set(F.substring("asset_id", 1, 1)), F.array().cast("array<string>")).alias("_starts"),
                     F.coalesce(F.bool_or(F.col("asset_id").rlike(r"\s")), F.lit(False)).alias("_spaced"))
     fields = F.array(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
     t = with_scalars(scored_tickets.select(fields.alias("_fields"), F.col(p).alias("_p")), shape)
     words = F.flatten(F.transform("_fields", lambda x: F.split(x, r"\s+")))
 
-    def cuts(x: Column, n: Column) -> Column:
-        return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, n))) \
-            .otherwise(F.array().cast("array<string>"))
+    def cuts(x: Column) -> Column:
+        # only where some id's first character stands
+        spots = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
+                         lambda i: F.array_contains("_starts", F.substring(x, i, F.lit(1))))
+        return F.flatten(F.transform(spots, lambda i: F.transform(
+            F.filter("_lengths", lambda n: i + n <= F.length(x) + 1), lambda n: F.substring(x, i, n))))
 
     pieces = F.array_distinct(F.when(F.col("_spaced"), F.col("_fields")).otherwise(words))
-    found = F.array_distinct(F.flatten(F.transform(pieces, lambda x: F.flatten(F.transform("_lengths", lambda n: cuts(x, n))))))
+    empty_id = F.when(F.array_contains("_lengths", 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    found = F.array_distinct(F.concat(empty_id, F.flatten(F.transform(pieces, cuts))))
     # explode_outer + null filter: a plain explode would push an inferred size filter
     # below the scan and cut the texts twice
     m = (t.select(F.explode_outer(found).alias("asset_id"), "_p").filter(F.col("asset_id").isNotNull()).join(ids, "asset_id"))
