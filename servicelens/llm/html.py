@@ -37,12 +37,24 @@ cookie cookies consent gdpr notice notices alert popup modal overlay newsletter
 widgets menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond
 discussion related recommended recommendations teaser teasers share sharing social toolbar pagination pager login search
 copyright legal disclaimer contentinfo complementary masthead topbar""".split())
+#: Whole names of classes that part adverts, notices and comments off inside a marked article, and roles that do.
+ADVERTS = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense adslot adsbygoogle sponsored
+cookies commentlist""".split())
+ROLES = frozenset("navigation search complementary contentinfo dialog alertdialog menu menubar toolbar".split())
+#: Words that say on their own that a compound class name, all of whose words are in ``BESIDE``, is not the article's.
+_OWNERS = frozenset("ad ads advert cookie cookies gdpr newsletter comment comments".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose end tag may be left out: what holds them, and the tags of which one that opens ends them.
+_ROWS = frozenset("tr thead tbody tfoot".split())
+_IMPLIED = {"li": (frozenset(("ul", "ol", "menu")), frozenset(("li",))), "dt": (frozenset(("dl",)), frozenset(("dt", "dd"))),
+            "dd": (frozenset(("dl",)), frozenset(("dt", "dd"))), "td": (frozenset(("table",)), _ROWS | {"td", "th"}),
+            "th": (frozenset(("table",)), _ROWS | {"td", "th"}), "tr": (frozenset(("table",)), _ROWS)}
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg"
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"""
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>"""
     r"""|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>""", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""\b(?P<name>class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 
@@ -55,8 +67,28 @@ def _beside(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    names = {w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(names & BESIDE) or ("header" in names and not in_article)
+    named = [(m["name"].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _NAMES.finditer(attrs)]
+    if in_article:
+        return any(value.strip() in ROLES if name == "role" else name == "class" and any(map(_advert, value.split()))
+                   for name, value in named)
+    # the id of a heading is what links to it name
+    names = {w for name, value in named if name != "id" or tag not in HEADINGS for w in re.split(r"[^a-z0-9]+", value)}
+    return bool(names & BESIDE) or "header" in names
+
+
+def _advert(name: str) -> bool:
+    """Whether a whole class name is one of an advert, a notice or comments."""
+    words = re.split(r"[-_]+", name)
+    return name in ADVERTS or (len(words) > 1 and (words[0] in ("ad", "ads", "advert") or (
+        BESIDE.issuperset(words) and not _OWNERS.isdisjoint(words))))
+
+
+def _implied_end(skip: str, tag: str, closing: bool, held: int) -> bool:
+    """Whether a tag ends the element ``skip`` that has no end tag; ``held``: lists or tables open inside it."""
+    if skip == "p":
+        return tag != "p" and tag in BLOCKS if closing else tag in BLOCKS or tag in ("nav", "aside", "footer", "form", "menu", "fieldset")
+    holders, siblings = _IMPLIED[skip]
+    return held == 0 and (tag in holders or (skip[0] == "t" and skip != tag and tag in _ROWS) if closing else tag in siblings)
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -65,7 +97,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = link_depth = article = 0
-    skip, depth = "", 0  # the element being skipped, and how often it is nested
+    mains: list[list] = []  # tags that carry the role of the main part, and how often each is nested
+    skip, depth, held = "", 0, 0  # the element being skipped, how often it is nested, and the lists or tables in it
 
     def end() -> None:
         nonlocal linked
@@ -95,10 +128,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         closing = bool(m["close"] or m["close2"])
         marked = tag in ("article", "main") or bool(m["attrs"] and _MAIN.search(m["attrs"]))
         if skip:
-            if tag == skip:
+            implied = (skip == "p" or skip in _IMPLIED) and _implied_end(skip, tag, closing, held)
+            if not implied and skip in _IMPLIED and tag in _IMPLIED[skip][0]:
+                held += -1 if closing else 1
+            elif not implied and tag == skip and not (held and skip in _IMPLIED):
                 depth += -1 if closing else 0 if (m["attrs"] or "").endswith("/") else 1
             # an unclosed part ends where the article begins or what holds it ends
-            if depth and not ((marked and not closing) or (closing and tag in ("article", "main", "body", "html"))):
+            if depth and not implied and not ((marked and not closing) or (closing and tag in ("article", "main", "body", "html"))):
                 continue
             ended, skip, depth = depth == 0, "", 0
             lines.append(("", 0, article > 0))
@@ -107,7 +143,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not closing and tag not in VOID and _beside(tag, m["attrs"] or "", article > 0):
             end()
             if not (m["attrs"] or "").endswith("/"):
-                skip, depth = tag, 1
+                skip, depth, held = tag, 1, 0
             continue
         if tag in BLOCKS:
             end()
@@ -115,8 +151,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if tag == "a":
             link_depth = 0 if closing else 1
-        if marked:
+        if mains and tag == mains[-1][0]:
+            mains[-1][1] += -1 if closing else 1
+            if not mains[-1][1]:
+                mains.pop()
+                article = max(0, article - 1)
+        elif marked:
             article = max(0, article - 1) if closing else article + 1
+            if tag not in ("article", "main"):
+                mains.append([tag, 1])
     if not skip:
         text(page[at:])
     end()

@@ -48,3 +48,15 @@ def test_edges(spark):
     got = data.collected(H.extract_main_text(pages))
     assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == sorted([("1", 0), ("None", 1), ("2", 0), ("2", 0), ("3", len(data.LONG))])
     assert H.extract_main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [
+    "<section id='discussion'><p>kept</p></section>", "<h2 id='search'>kept</h2>", "<div class='legal-analysis'>kept</div>",
+    "<p><span class='share'>kept</span></p>", "<p id='related-work'>kept</p>", "<div class='Notice'>kept</div>",
+    "<p class=ad>Buy<p>kept</p>", "<p class='ad'>Buy<h2>kept</h2>", "<div><p class=ad>Buy</div>kept",
+    "<ul><li class=ad>Buy<ul><li>Buy<li>Buy</ul><li>kept</ul>", "<ul><li class=ad>Buy</ul><p>kept</p>",
+    "<table><tr><td class=ad>Buy<table><tr><td>Buy</td></tr></table><td>kept</table>", "<table><tr class=ad><td>Buy<td>Buy<tr><td>kept</table>",
+    "<dl><dt class=ad>Buy<dd>kept</dl>", "kept<div class='cookie-notice'>We</div>", "kept<div class='comment-list comments ad-box'>We</div>",
+    "kept<div role=navigation>We</div>", "kept<p class=ad>Buy <b>now</b></p>"])
+def test_names_and_implied_ends_inside_an_article(part):
+    assert H.main_text("<article><p>one</p>" + part + "<p>two</p><p>three</p></article><p>out</p>").split() == ["one", "kept", "two", "three"]
