@@ -2,6 +2,7 @@ import re
 from collections import Counter
 from math import log
 
+import numpy as np
 import pytest
 
 from servicelens.llm import quality as Q
@@ -91,3 +92,23 @@ def test_edges(spark, small):
     assert Q.keep_quality(docs, none).columns == docs.columns  # no target: it is as the corpus, all ratios zero
     assert Q.keep_quality(docs, none).count() == sum(not plain_failed(plain_measures(t)) for _, t in data.ROWS)
     assert Q.keep_quality(data.empty(spark), small[1]).count() == 0
+
+
+@pytest.mark.parametrize("sf, thin", [("sf0.001", 1), ("sf0.01", 1), ("sf0.01", 4)])
+def test_verdicts_at_every_size_and_with_few_labels(spark, sf, thin):
+    docs, labels = (table(spark, f"/root/testdata/{sf}", t) for t in ("documents", "labels"))
+    given = labels.filter(f"doc_id % {thin} = 0")
+    judged = {r["doc_id"]: r for r in data.collected(Q.quality_verdicts(docs, Q.learn(docs, given)))}
+    known = [(judged[r["doc_id"]], r["quality"], r["doc_id"] % thin > 0) for r in data.collected(labels)]
+    bad = [r["kept"] for r, q, _ in known if q == 0 and not r["base_failed"]]
+    assert sum(bad) <= 0.25 * len(bad)
+    for unseen in {u for _, _, u in known}:
+        good = [r["kept"] for r, q, u in known if q == 1 and u == unseen and not r["base_failed"]]
+        assert sum(good) >= 0.85 * len(good)
+
+
+def test_best_threshold():
+    low, high = np.array([-3.0, -2.0]), np.array([-1.0, 1.0])
+    assert Q.best_threshold(high, low) == -1.5 and Q.best_threshold(high, low[:0]) == -1.0
+    assert Q.best_threshold(high[:0], low) == Q.best_threshold(low, high) == float("-inf")
+    assert Q.best_threshold(np.array([-1.0, 1.0, 1.0, 1.0]), np.array([-3.0, -2.0, 0.0])) == 0.5
