@@ -4,7 +4,8 @@ Markup is stripped into lines (one per block element).  Lines of menus, adverts,
 text; over the rest the text lengths of sliding windows of ``WINDOW`` lines are summed.  The text
 surges where that sum rises from nothing and dives where it falls back to nothing; what lies
 between a surge and its dive is kept.  A page that marks its article is cut to it first; on
-any other page a stretch has to reach ``SURGE`` characters and a share of the longest stretch.
+any other page a stretch has to reach ``SURGE`` characters and a share of the longest stretch, unless it
+stands in the same container: of such a stretch the lines in the container are kept whatever their size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ textarea label fieldset iframe svg canvas object embed video audio map dialog me
 #: Elements that end a line.
 BLOCKS = frozenset("""html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody
 tfoot tr blockquote pre figure figcaption address hr details summary center header hgroup""".split())
+#: Elements that hold a part of a page of their own; sections and the like divide one text.
+CONTAINERS = frozenset("body div td th center".split())
 SPACES = frozenset("br td th wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Words of a class, id or role that name a part beside the article.
@@ -91,10 +94,12 @@ def _implied_end(skip: str, tag: str, closing: bool, held: int) -> bool:
     return held == 0 and (tag in holders or (skip[0] == "t" and skip != tag and tag in _ROWS) if closing else tag in siblings)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, inside a marked article) of every line; skipped parts give
-    empty lines."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters inside links, inside a marked article, number of the container) of every line; skipped parts
+    give empty lines."""
+    lines: list[tuple[str, int, bool, int]] = []
+    holders: list[tuple[str, int]] = [("", 0)]  # the open containers and their numbers
+    n_holders = 0
     parts: list[str] = []
     linked = link_depth = article = 0
     mains: list[list] = []  # tags that carry the role of the main part, and how often each is nested
@@ -104,7 +109,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, linked, article > 0))
+            lines.append((text, linked, article > 0, holders[-1][1]))
         parts.clear()
         linked = 0
 
@@ -137,7 +142,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if depth and not implied and not ((marked and not closing) or (closing and tag in ("article", "main", "body", "html"))):
                 continue
             ended, skip, depth = depth == 0, "", 0
-            lines.append(("", 0, article > 0))
+            lines.append(("", 0, article > 0, holders[-1][1]))
             if ended:
                 continue
         if not closing and tag not in VOID and _beside(tag, m["attrs"] or "", article > 0):
@@ -151,6 +156,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if tag == "a":
             link_depth = 0 if closing else 1
+        if tag in CONTAINERS and not closing:
+            n_holders += 1
+            holders.append((tag, n_holders))
+        elif tag in CONTAINERS:
+            at_tag = next((k for k in range(len(holders) - 1, 0, -1) if holders[k][0] == tag), 0)
+            if at_tag:
+                del holders[at_tag:]
         if mains and tag == mains[-1][0]:
             mains[-1][1] += -1 if closing else 1
             if not mains[-1][1]:
@@ -169,10 +181,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by two line feeds; empty if there are none."""
     lines = lines_of(page or "")
-    marked = any(inside and text for text, _, inside in lines)
+    marked = any(inside and text for text, _, inside, _ in lines)
     # weight of a line: its text, without entries of menus and without what lies outside the article
     weight = [len(text) if (inside if marked else linked < LINK_SHARE * len(text.replace(" ", ""))) else 0
-              for text, linked, inside in lines]
+              for text, linked, inside, _ in lines]
     total = [sum(weight[max(0, i - WINDOW + 1):i + 1]) for i in range(len(weight))]
     stretches, begin = [], None
     for i, w in enumerate([*weight, 0]):
@@ -183,12 +195,19 @@ def main_text(page: str | None) -> str:
             last = max(k for k in range(begin, i) if weight[k])
             stretches.append((begin, last + 1, sum(weight[begin:i]), max(total[begin:i])))
             begin = None
+    kept: list[tuple[int, int, int | None]] = [(a, b, None) for a, b, _, _ in stretches]  # of which container (None: any)
     if not marked and stretches:
         longest = max(s[2] for s in stretches)
         loud = [s for s in stretches if s[3] >= SURGE and s[2] >= LEAST_SHARE * longest]
-        stretches = loud or [s for s in stretches if s[2] == longest][:1]
-    return "\n\n".join(lines[k][0] for a, b, _, _ in stretches for k in range(a, b)
-                       if lines[k][0] and (not marked or lines[k][2]))
+        loud = loud or [s for s in stretches if s[2] == longest][:1]
+        first, last = next(s[:2] for s in stretches if s[2] == longest)
+        held: dict[int, int] = {}
+        for k in range(first, last):
+            held[lines[k][3]] = held.get(lines[k][3], 0) + weight[k]
+        most = max(held, key=lambda c: held[c])
+        kept = [(s[0], s[1], None if s in loud else most) for s in stretches]
+    return "\n\n".join(lines[k][0] for a, b, within in kept for k in range(a, b) if lines[k][0] and (not marked or lines[k][2])
+                       and (within is None or (lines[k][3] == within and weight[k])))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

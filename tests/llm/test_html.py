@@ -60,3 +60,13 @@ def test_edges(spark):
     "kept<div role=navigation>We</div>", "kept<p class=ad>Buy <b>now</b></p>"])
 def test_names_and_implied_ends_inside_an_article(part):
     assert H.main_text("<article><p>one</p>" + part + "<p>two</p><p>three</p></article><p>out</p>").split() == ["one", "kept", "two", "three"]
+
+
+@pytest.mark.parametrize("gap", ["<div class='ad'><p>Buy this now</p></div>" * 3, "<p><a href=/>More of the same</a></p>" * 3])
+@pytest.mark.parametrize("open_, close", [("<div class=content>", "</div>"), ("<div>", "</div>"), ("<div><section>", "</section></div>"), ("", "")])
+def test_the_end_of_an_unmarked_article_after_a_silent_gap(open_, close, gap):
+    beside = "<div><p>Short words of another part</p></div>"
+    page = AROUND[0] + open_ + BODY + gap + "<p>The last words.</p>" + gap + "<section><h2>Later</h2><p>A note.</p></section>" + close + AROUND[1]
+    assert H.main_text(page) == TEXT + "\n\nThe last words.\n\nLater\n\nA note."
+    if open_:
+        assert H.main_text(page.replace("</body>", beside + "</body>")) == TEXT + "\n\nThe last words.\n\nLater\n\nA note."
