@@ -85,6 +85,20 @@ def test_exact_edges(spark):
         S.repeated_passages(data.empty(spark), 20)
 
 
+def test_exact_repeats_inside_a_document_and_split_matches(spark):
+    passages = [data.words(60, 20_000 + i) for i in range(12)]
+    rows = [(i, p + " " + data.words(9, 21_000 + i) + " " + p + " " + data.words(7, 22_000 + i) + " " + p) for i, p in enumerate(passages)]
+    rows += [(100 + i, data.words(5, 23_000 + i) + " " + p) for i, p in enumerate(passages)]
+    # one seed with surroundings that agree in part on either side with many others, and in enough words with few
+    rng, core = random.Random(4), data.words(40, 24_000)
+    for i in range(300):
+        parts = [" ".join(rng.choice(("left", "right")) for _ in range(9)) for _ in range(2)]
+        rows.append((1000 + i, f"x{i} y{i} {parts[0]} {core} {parts[1]} z{i} " + data.words(20, 25_000 + i)))
+    got = data.collected(S.repeated_passages(data.docs(spark, rows)))
+    assert cover(got) == plain_cover(rows, 50)
+    assert {(r["doc_id"], r["match_doc_id"]) for r in got if r["doc_id"] < 1000} == {p for i in range(12) for p in ((i, 100 + i), (100 + i, i))}
+
+
 def test_a_hot_passage_finds_all(spark):
     rows = [(i, data.words(15, i) + " " + data.PASSAGE + " " + data.words(15, 10_000 + i)) for i in range(400)]
     for got in (S.repeated_passages(data.docs(spark, rows)), C.near_duplicate_passages(data.docs(spark, rows))):
