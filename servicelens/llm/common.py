@@ -34,6 +34,11 @@ def own(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns of these names (compared without case), to make room for new ones."""
+    return df.select(*[c for c, name in zip(own(df), df.columns) if name.lower() not in names])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

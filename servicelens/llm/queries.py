@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, compact, decontaminate, html, lm, quality, secrets, simhash, suffixes
+from . import (alignment, bpe, chat, compact, decontaminate, html, lm, packing, quality, resampling, secrets, simhash,
+               suffixes)
 from .common import table
+from .subwords import BARE_CHUNKS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +137,62 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark texts, and the ranks of the tenth that is drawn."""
+    resampled = resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10)
+    return resampling.resampling_digests(resampled)
+
+
+#: CRC-32 goes byte by byte through its 256-entry table, once for every distinct word.
+ORACLE["op11_importance_resampling"] = """
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), steps AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), held AS (SELECT doc_id, unnest(w) AS w FROM cut),
+known AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM held UNION SELECT w FROM wanted)),
+crc(w, h, pos, c) AS (
+  SELECT w, h, 1, CAST(4294967295 AS BIGINT) FROM known
+  UNION ALL
+  SELECT w, h, pos + 2, xor(c >> 8, tab[CAST(xor(c & 255, CAST('0x' || substr(h, pos, 2) AS BIGINT)) AS INT) + 1]) FROM crc, steps WHERE pos < length(h)
+), place AS (SELECT w, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE pos > length(h)),
+s AS (SELECT bucket, count(*) AS n FROM held JOIN place USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM wanted JOIN place USING (w) GROUP BY bucket),
+gain AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000.0::DOUBLE)
+      / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000.0::DOUBLE)))) AS BIGINT) AS g
+  FROM (SELECT DISTINCT bucket FROM place) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), sums AS (SELECT doc_id, sum(g) AS weight FROM held JOIN place USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM cut LEFT JOIN sums USING (doc_id)
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CAST(r AS BIGINT) AS rank
+FROM scored LEFT JOIN (SELECT * FROM drawn WHERE r <= 10 * n // 100) USING (doc_id)
+"""
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two public vocabularies over every document."""
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2,048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end=0,
+                                  chunks=BARE_CHUNKS)
