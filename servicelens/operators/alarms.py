@@ -112,6 +112,21 @@ def evaluate_windows(windows: DataFrame, alarms=ALARMS) -> DataFrame:
                     F.when(F.col("_votes") == F.col("_n"), F.lit("ALARM")).otherwise(F.lit("OK")).alias("alarm_state")))
 
 
+def alarm_transitions(windows: DataFrame, alarms=ALARMS) -> DataFrame:
+    """Where the state of an alarm changes: ``alarm_name``, ``window_start`` (first period of the new state),
+    ``alarm_state``.  An alarm begins in OK; a period without data is OK.
+
+    A period in ALARM says so for itself and asks for OK at the next one; where both meet nothing changes.  One more
+    equi-aggregation, no ordered frame."""
+    defs = F.broadcast(windows.sparkSession.createDataFrame([(a[0], a[2]) for a in alarms], "alarm_name string, _period int"))
+    on = evaluate_windows(windows, alarms).filter("alarm_state = 'ALARM'").join(defs, "alarm_name")
+    after = F.col("window_start") + F.make_dt_interval(secs=F.col("_period").cast("decimal(18,6)"))
+    sent = on.select("alarm_name", F.explode(F.array(
+        F.struct(F.col("window_start").alias("at"), F.lit(1).alias("on")), F.struct(after.alias("at"), F.lit(0).alias("on")))).alias("_t"))
+    return (sent.groupBy("alarm_name", F.col("_t.at").alias("window_start")).agg(F.min("_t.on").alias("lo"), F.max("_t.on").alias("hi"))
+            .filter("lo = hi").select("alarm_name", "window_start", F.when(F.col("hi") == 1, "ALARM").otherwise("OK").alias("alarm_state")))
+
+
 # ---------------------------------------------------------------------------
 # Event rules (B26) and routing
 # ---------------------------------------------------------------------------

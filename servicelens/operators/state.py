@@ -277,5 +277,13 @@ def versioned(scored: DataFrame, as_of: str = DEFAULT_AS_OF, days: int = 90) ->
 def expire_state(versions: DataFrame, as_of: str = DEFAULT_AS_OF, ts: str = "version_ts",
                  ttl_days: int = R.STATE_TTL_DAYS) -> DataFrame:
     """expiry = version time + 90 days; keep versions not yet expired."""
-    exp = F.col(ts) + F.make_interval(days=F.lit(ttl_days))
-    return versions.withColumn("expire_at", exp).filter(F.col("expire_at") > ts_literal(as_of))
+    return versions.withColumn("expire_at", expires_at(ts, ttl_days)).filter(F.col("expire_at") > ts_literal(as_of))
+
+
+def expires_at(ts: str = "version_ts", ttl_days: int = R.STATE_TTL_DAYS) -> Column:
+    return F.col(ts) + F.make_interval(days=F.lit(ttl_days))
+
+
+def not_expired(as_of: str = DEFAULT_AS_OF, ts: str = "version_ts", ttl_days: int = R.STATE_TTL_DAYS) -> Column:
+    """The filter of ``expire_state``, for a compaction."""
+    return expires_at(ts, ttl_days) > ts_literal(as_of)

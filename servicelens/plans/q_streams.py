@@ -12,10 +12,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import fmt_ts
+from ..operators import alarms as A
+from ..operators import state as ST
 from ..sources import fixtures as fx
 from ..sources import ingest as IN
 from ..sources import rawfeeds as RF
-from ..streaming import jobs
+from ..sources.tables import read_table
+from ..streaming import eventtime, jobs
+from ..streaming.commits import BatchCommits
 from . import sqlfix as S
 from .registry import ORACLE, load_all, query
 
@@ -179,3 +183,154 @@ def q_predict_stream(spark, sf_dir):
     RF.change_records(spark, sf_dir).select("value").write.text(src)
     _finish(jobs.predict_stream(spark, src, sink, checkpoint=IN.scratch_path(spark, "pred-ckpt")))
     return spark.read.parquet(f"{sink}/predictions").drop("batch_id")
+
+
+# ---------------------------------------------------------------------------
+# Event time: files that arrive out of order, late events, a last event that moves the watermark past all others
+# ---------------------------------------------------------------------------
+
+_SLOTS = 8
+
+
+def _arrivals(spark, sf_dir, rows, ts: str, key: str, late=None):
+    """``rows`` written as one file per arrival slot, in order: a row arrives up to an eighth of the time range after its
+    own time (by a hash of ``key``), so every file holds rows that are older than some of the file before it.  ``late``
+    rows come last.  Returns the folder and the delay in seconds behind which nothing but ``late`` arrives."""
+    src = IN.scratch_path(spark, "arrivals")
+    bounds = read_table(spark, sf_dir, "events", ["ts"]).agg(F.unix_seconds(F.min(F.col("ts").cast("timestamp"))).alias("a"),
+                                                            F.unix_seconds(F.max(F.col("ts").cast("timestamp"))).alias("b")).first()
+    slot = max(1, -(-(bounds["b"] + 1 - bounds["a"]) // _SLOTS))
+    arrives = F.unix_seconds(F.col(ts).cast("timestamp")) - bounds["a"] + F.pmod(F.xxhash64(key), F.lit(slot))
+    staged = IN.scratch_path(spark, "staged")
+    rows.withColumn("_slot", F.floor(arrives / slot).cast("int")).write.partitionBy("_slot").parquet(staged)
+    held = spark.read.parquet(staged)
+    for i in range(_SLOTS + 1):
+        held.filter(F.col("_slot") == i).select(*rows.columns).coalesce(1).write.mode("append").parquet(src)
+    for more in [late] if late is not None else []:
+        more.select(*rows.columns).coalesce(1).write.mode("append").parquet(src)
+    return src, 2 * slot + 60
+
+
+def _closing(rows, ts: str, **values):
+    """One row a year after the events; it moves the watermark past all of them."""
+    columns = [F.lit("2025-01-31 00:00:00").cast("timestamp_ntz") if f.name == ts else F.lit(values.get(f.name)).cast(f.dataType) for f in rows.schema]
+    return rows.sparkSession.range(1).select(*[c.alias(f.name) for c, f in zip(columns, rows.schema)])
+
+
+def _late_copies(spark, sf_dir, events):
+    """Second reports, under negative ids, of some events of the first quarter; they come after everything else."""
+    first = read_table(spark, sf_dir, "events", ["ts"]).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    early = F.unix_micros(F.col("event_ts").cast("timestamp")) * 4 < \
+        F.unix_micros(F.col("a").cast("timestamp")) * 3 + F.unix_micros(F.col("b").cast("timestamp"))
+    return (events.filter("event_id % 97 = 5").join(F.broadcast(first)).filter(early).drop("a", "b")
+            .withColumn("event_id", -F.col("event_id")))
+
+
+def _event_fold_run(spark, sf_dir, ttl_days: float = 90) -> BatchCommits:
+    ev = fx.status_events(spark, sf_dir)
+    src, delay = _arrivals(spark, sf_dir, ev, "event_ts", "event_id", _late_copies(spark, sf_dir, ev))
+    _closing(ev, "event_ts", detail_type="Unknown", event_id=0, service_id=0).coalesce(1).write.mode("append").parquet(src)
+    sink = IN.scratch_path(spark, "event-fold-sink")
+    _finish(eventtime.event_time_fold_stream(
+        spark, src, fx.initial_state(spark, sf_dir), sink, ev.schema, delay=f"{delay} seconds", ttl_days=ttl_days,
+        checkpoint=IN.scratch_path(spark, "event-fold-ckpt"), max_files_per_trigger=2))
+    return BatchCommits(spark, sink)
+
+
+@query("event_time_fold_stream", oracle=_oracle("status_event_fold"))
+def q_event_time_fold(spark, sf_dir):
+    """S4 in event time: files out of order over several micro-batches, late copies among them; the versions are those of
+    the batch fold."""
+    v = _event_fold_run(spark, sf_dir).read("versions")
+    return v.select("service_id", "event_id", "detail_type", fmt_ts("version_ts").alias("version_ts"), "update_seq",
+                    "breach_probability", "breach_bucket", "sla_status", "response_remaining", "resolution_remaining")
+
+
+@query("event_time_fold_rejects", oracle=f"""
+WITH {S.STATUS_FOLD}, b AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS z FROM events)
+SELECT 'late' AS kind, service_id, -event_id AS event_id, detail_type FROM sev, b
+WHERE event_id % 97 = 5 AND epoch_us(event_ts) * 4 < a * 3 + z
+UNION ALL SELECT 'missing', service_id, event_id, detail_type FROM sev WHERE service_id NOT IN (SELECT service_id FROM sst)
+""")
+def q_event_time_rejects(spark, sf_dir):
+    """S4/C7 in event time: events behind the watermark, and events of services without a state."""
+    run = _event_fold_run(spark, sf_dir)
+    rows = [run.read(k).select(F.lit(k).alias("kind"), "service_id", "event_id", "detail_type") for k in ("late", "missing")]
+    return rows[0].unionByName(rows[1])
+
+
+_TTL_DAYS = 2
+
+_EXPIRY_SQL = f"""
+WITH {S.STATUS_FOLD},
+gaps AS (
+  SELECT e.service_id, e.event_id, e.event_ts,
+    lag(e.event_ts, 1, TIMESTAMP '2023-12-31 00:00:00') OVER (PARTITION BY e.service_id ORDER BY e.event_ts, e.event_id) AS prev
+  FROM sev e JOIN sst USING (service_id)
+),
+alive AS (
+  SELECT *, max(CASE WHEN event_ts >= prev + INTERVAL {int(_TTL_DAYS * 24)} HOUR THEN 1 ELSE 0 END)
+    OVER (PARTITION BY service_id ORDER BY event_ts, event_id ROWS UNBOUNDED PRECEDING) = 0 AS ok
+  FROM gaps
+),
+ended AS (
+  SELECT s.service_id, coalesce(max(event_ts) FILTER (WHERE ok), TIMESTAMP '2023-12-31 00:00:00') AS last_ts,
+    count(*) FILTER (WHERE ok) AS applied, count(*) FILTER (WHERE NOT ok) AS dropped
+  FROM sst s LEFT JOIN alive USING (service_id) GROUP BY s.service_id
+)"""
+
+
+@query("state_expiry_stream", oracle=f"""{_EXPIRY_SQL}
+SELECT e.service_id, e.applied, e.dropped, {S.ts(f"last_ts + INTERVAL {int(_TTL_DAYS * 24)} HOUR")} AS expired_at, v.breach_probability
+FROM ended e LEFT JOIN sv v ON v.service_id = e.service_id AND v.update_seq = e.applied
+""")
+def q_state_expiry(spark, sf_dir):
+    """S9 in the state store: a service whose last version is older than the TTL is forgotten by an event-time timer; later
+    events find no state.  Per service: events applied and dropped, when it expired, the last probability."""
+    run = _event_fold_run(spark, sf_dir, _TTL_DAYS)
+    applied = run.read("versions").groupBy("service_id").agg(F.count(F.lit(1)).alias("applied"),
+                                                             F.max_by("breach_probability", "update_seq").alias("breach_probability"))
+    dropped = run.read("missing").groupBy("service_id").agg(F.count(F.lit(1)).alias("dropped"))
+    out = run.read("expired").join(applied, "service_id", "left").join(dropped, "service_id", "left")
+    return out.select("service_id", F.coalesce("applied", F.lit(0)).alias("applied"), F.coalesce("dropped", F.lit(0)).alias("dropped"),
+                      fmt_ts("expired_at").alias("expired_at"), "breach_probability")
+
+
+@query("compacted_state_versions", oracle=_oracle("live_state_versions"))
+def q_compacted_versions(spark, sf_dir):
+    """S9 at rest: the streamed versions compacted into one base without the expired ones; what is read afterwards."""
+    run = _event_fold_run(spark, sf_dir)
+    run.compact("versions", ST.not_expired("2024-04-15 00:00:00"))
+    run.vacuum("versions")
+    live = run.read("versions").withColumn("expire_at", ST.expires_at("version_ts"))
+    return live.groupBy("service_id").agg(F.count(F.lit(1)).alias("live_versions"), fmt_ts(F.min("expire_at")).alias("next_expiry"))
+
+
+_TRANSITIONS_SQL = f"""
+WITH st AS (SELECT alarm_name, CAST(window_start AS TIMESTAMP) AS ws FROM ({_oracle("alarm_states")}) WHERE alarm_state = 'ALARM'),
+p AS (SELECT *, CASE WHEN alarm_name = 'prediction-accuracy' THEN INTERVAL 1 HOUR ELSE INTERVAL 5 MINUTE END AS step FROM st)
+SELECT alarm_name, {S.ts('ws')} AS window_start, 'ALARM' AS alarm_state FROM p a
+WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.alarm_name = a.alarm_name AND b.ws = a.ws - a.step)
+UNION ALL SELECT alarm_name, {S.ts('ws + step')}, 'OK' FROM p a
+WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.alarm_name = a.alarm_name AND b.ws = a.ws + a.step)
+"""
+
+
+@query("alarm_transitions", oracle=_TRANSITIONS_SQL)
+def q_alarm_transitions(spark, sf_dir):
+    """E5: where each alarm goes on and off, in batch."""
+    points = fx.metric_points(spark, sf_dir)
+    windows = A.multi_period_windows(points, sorted({a[2] for a in A.ALARMS}), sorted({a[1] for a in A.ALARMS}))
+    return A.alarm_transitions(windows).withColumn("window_start", fmt_ts("window_start"))
+
+
+@query("alarm_transition_stream", oracle=_TRANSITIONS_SQL)
+def q_alarm_transition_stream(spark, sf_dir):
+    """The same transitions, all five alarms, emitted once each while the stream runs over files out of order."""
+    points = fx.metric_points(spark, sf_dir)
+    src, delay = _arrivals(spark, sf_dir, points, "ts", "ts")
+    _closing(points, "ts", metric="Heartbeat", value=0.0, namespace="ServiceOps").coalesce(1).write.mode("append").parquet(src)
+    sink = IN.scratch_path(spark, "transitions-sink")
+    _finish(eventtime.alarm_transition_stream(spark, src, sink, points.schema, delay=f"{delay} seconds",
+                                              checkpoint=IN.scratch_path(spark, "transitions-ckpt"), max_files_per_trigger=2))
+    return BatchCommits(spark, sink).read("transitions").withColumn("window_start", fmt_ts("window_start"))
