@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.columns import present
+from .asof import as_of_join
 from .util import computed_once, with_scalars
 
+
 def asset_sla_status(scored_tickets: DataFrame, assets: DataFrame, p: str = "breach_probability") -> DataFrame:
     """C4 + D2: SLA roll-up of the tickets whose title or description *contains* each asset id.
 
@@ -167,15 +169,34 @@ def service_change_risk(change_type: Column, p: Column) -> Column:
                     present([(f0.isNotNull(), f0), (f1.isNotNull(), f1)]).alias("factors"))
 
 
-def license_change_decisions(changes: DataFrame, service_state: DataFrame) -> DataFrame:
-    """C5 + V4 + V5: services of each change joined to their latest state (defaults
-    .2 / HEALTHY / 60 / 240 when none), per-service risk, per-change decision."""
-    d = R.SERVICE_DEFAULT_STATE
-    st = service_state.select("service_id", F.col("breach_probability").alias("_p"))
-    per = (changes.select("change_id", "change_type", F.posexplode("affected_services").alias("pos", "service_id"))
-           .join(st, "service_id", "left")
-           .withColumn("_p", F.coalesce(F.col("_p"), F.lit(d[0])))
-           .withColumn("risk", service_change_risk(F.col("change_type"), F.col("_p"))))
+def service_states(services: DataFrame, service_state: DataFrame, at: str | None = None, tie: str | None = None) -> DataFrame:
+    """``services`` (``service_id``) with ``breach_probability``, ``sla_status``, ``response_remaining`` and
+    ``resolution_remaining`` of their state, or the defaults .2 / HEALTHY / 60 / 240.
+
+    Without ``at``, ``service_state`` has the one state per service that counts.  With ``at``, a time column of ``services``, it
+    has versions (``version_ts``; of equal times the one with the highest ``tie``), and each row sees the one valid at its time."""
+    names = ["breach_probability", "sla_status", "response_remaining", "resolution_remaining"]
+    if at is None:
+        found = services.join(service_state.select("service_id", F.struct(*names).alias("_state")), "service_id", "left")
+    else:
+        versions = service_state.select("service_id", "version_ts", *([tie] if tie else []), *names)
+        found = as_of_join(services, versions, "service_id", at, "version_ts", tie, out="_state")
+    return found.withColumns({n: F.coalesce(F.col(f"_state.{n}"), F.lit(v)) for n, v in zip(names, R.SERVICE_DEFAULT_STATE)}).drop("_state")
+
+
+def license_change_decisions(changes: DataFrame, service_state: DataFrame, at: str | None = None, tie: str | None = None) -> DataFrame:
+    """C5 + V4 + V5: services of each change joined to their state (``service_states``; with ``at``, a time column of
+    ``changes``, the state valid then), per-service risk, per-change decision."""
+    if at is None:
+        d = R.SERVICE_DEFAULT_STATE
+        st = service_state.select("service_id", F.col("breach_probability").alias("_p"))
+        per = (changes.select("change_id", "change_type", F.posexplode("affected_services").alias("pos", "service_id"))
+               .join(st, "service_id", "left").withColumn("_p", F.coalesce(F.col("_p"), F.lit(d[0]))))
+    else:
+        per = service_states(changes.select("change_id", "change_type", F.col(at).alias("_at"),
+                                            F.posexplode("affected_services").alias("pos", "service_id")), service_state, "_at", tie) \
+            .withColumnRenamed("breach_probability", "_p")
+    per = per.withColumn("risk", service_change_risk(F.col("change_type"), F.col("_p")))
     lv = F.col("risk.risk_level")
     g = per.groupBy("change_id").agg(
         F.sum((lv == "high").cast("long")).alias("high_risk_services"),

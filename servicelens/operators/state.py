@@ -30,8 +30,11 @@ PROB_DECIMALS = 9  # probabilities are reported (and bucketed) at 1e-9 resolutio
 
 
 def latest_state(state: DataFrame, key: str = "service_id", ts: str = "version_ts",
-                 tie: str | None = None) -> DataFrame:
-    """Newest version per key as a ``max_by`` aggregate (partial aggregation, no sort)."""
+                 tie: str | None = None, as_of: str | None = None) -> DataFrame:
+    """Newest version per key as a ``max_by`` aggregate (partial aggregation, no sort); with ``as_of`` the newest that
+    is not later.  (Rows with times of their own: ``asof.as_of_join``.)"""
+    if as_of is not None:
+        state = state.filter(F.col(ts) <= ts_literal(as_of))
     order = F.struct(F.col(ts), F.col(tie)) if tie else F.col(ts)
     cols = [c for c in state.columns if c != key]
     return (state.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_s"))

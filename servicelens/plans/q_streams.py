@@ -47,11 +47,11 @@ dec AS (
 )"""
 
 
-def _score_run(spark, sf_dir) -> str:
+def _score_run(spark, sf_dir) -> BatchCommits:
     src, sink = IN.scratch_path(spark, "score-src"), IN.scratch_path(spark, "score-sink")
     RF.change_records(spark, sf_dir).select("value").write.text(src)
     _finish(jobs.score_stream(spark, src, sink, checkpoint=IN.scratch_path(spark, "score-ckpt")))
-    return sink
+    return BatchCommits(spark, sink)
 
 
 _STREAM_SCORED = f"WITH {S.TICKETS}, {_DECODED}, {S.SCORED.replace('FROM tickets', 'FROM dec')}"
@@ -67,7 +67,7 @@ FROM scored
 """)
 def q_score_stream(spark, sf_dir):
     """S1 + S9: change records (text files) -> decode -> score -> versioned state rows, streamed."""
-    out = spark.read.parquet(f"{_score_run(spark, sf_dir)}/states").drop("batch_id")
+    out = _score_run(spark, sf_dir).read("states")
     return out.withColumns({c: fmt_ts(c) for c in ("version_ts", "expire_at")})
 
 
@@ -78,7 +78,7 @@ FROM scored
 """)
 def q_score_stream_events(spark, sf_dir):
     """S1 + A10: one metric event per state row, read back from the events sink."""
-    ev = spark.read.parquet(f"{_score_run(spark, sf_dir)}/events")
+    ev = _score_run(spark, sf_dir).read("events")
     return ev.select("source", "detail_type", F.get_json_object("detail", "$.ticket_id").alias("ticket_id"),
                      F.get_json_object("detail", "$.sla_status").alias("sla_status"))
 
@@ -89,7 +89,7 @@ SELECT ticket_id FROM tickets WHERE order_key % 3 = 2
 """)
 def q_score_stream_rejects(spark, sf_dir):
     """The records that are no ticket changes land in the rejects sink."""
-    rej = spark.read.parquet(f"{_score_run(spark, sf_dir)}/rejects")
+    rej = _score_run(spark, sf_dir).read("rejects")
     return rej.select(F.get_json_object("value", "$.dynamodb.NewImage.ticket_id.S").alias("ticket_id"))
 
 
@@ -182,7 +182,7 @@ def q_predict_stream(spark, sf_dir):
     src, sink = IN.scratch_path(spark, "pred-src"), IN.scratch_path(spark, "pred-sink")
     RF.change_records(spark, sf_dir).select("value").write.text(src)
     _finish(jobs.predict_stream(spark, src, sink, checkpoint=IN.scratch_path(spark, "pred-ckpt")))
-    return spark.read.parquet(f"{sink}/predictions").drop("batch_id")
+    return BatchCommits(spark, sink).read("predictions")
 
 
 # ---------------------------------------------------------------------------

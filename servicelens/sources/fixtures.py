@@ -260,10 +260,11 @@ LICENSE_CHANGE_TYPES = ["license_downgrade", "license_removal", "license_upgrade
 def license_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence change requests: every signup event changes the licences of its service
     and of up to four that follow; the change type follows the event value."""
-    e = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
+    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
     types = F.array(*[F.lit(t) for t in LICENSE_CHANGE_TYPES])
     return e.filter(F.col("event_type") == "signup").select(
         F.col("event_id").alias("change_id"),
+        F.col("ts").alias("changed_at"),
         F.element_at(types, (F.pmod(F.floor("value"), F.lit(3)) + 1).cast("int")).alias("change_type"),
         F.transform(F.sequence(F.lit(0), F.pmod("event_id", F.lit(5)).cast("int")), lambda i: F.col("user_id") + i)
         .alias("affected_services"),

@@ -23,6 +23,7 @@ from ..functions.columns import breach_bucket, sla_status
 from ..operators import alarms, scoring, state, text
 from ..session import ensure_checkpoint_dir
 from ..sources import ingest
+from .commits import BatchCommits
 
 
 def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
@@ -63,20 +64,16 @@ def score_stream(spark: SparkSession, source: str, sink: str, as_of: str = DEFAU
                  interval: str = "5 seconds", max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Change records -> decode (A1) -> B1/B2.  Per micro-batch: ``states`` (versioned state rows that
     expire after 90 days, A9 / S9), ``events`` (one metric event per state, A10) and ``rejects`` (the records
-    that are no ticket changes)."""
+    that are no ticket changes).  The three become visible together (``BatchCommits.read``)."""
     def write(df: DataFrame, batch_id: int) -> None:
-        def put(rows: DataFrame, name: str) -> None:
-            rows.write.mode("overwrite").parquet(os.path.join(sink, name, f"batch_id={batch_id}"))
-
         df = df.persist()
         tickets, rejects = ingest.decode_change_feed(df)
         states = state.versioned(scoring.sla_metrics(tickets, as_of), as_of).select(
             "ticket_id", "priority", "status", "category", "breach_probability", "breach_bucket", "sla_status",
             "response_remaining", "resolution_remaining", "version_ts", "expire_at")
-        put(states, "states")
-        put(ingest.emit_events(states, "Metric Update", "sla-monitor",
-                               ["ticket_id", "breach_probability", "breach_bucket", "sla_status"]), "events")
-        put(rejects, "rejects")
+        events = ingest.emit_events(states, "Metric Update", "sla-monitor",
+                                    ["ticket_id", "breach_probability", "breach_bucket", "sla_status"])
+        BatchCommits(df.sparkSession, sink).write(batch_id, {"states": states, "events": events, "rejects": rejects})
         df.unpersist()
 
     w = _records(spark, source, max_files_per_trigger).writeStream.foreachBatch(write).option(
@@ -93,22 +90,18 @@ def predict_stream(spark: SparkSession, source: str, sink: str, as_of: str = DEF
                    interval: str = "5 seconds", max_files_per_trigger: int | None = None) -> StreamingQuery:
     """S3: decoded tickets -> score -> heuristic model -> combine; triggered actions are
     exploded into typed events in the same micro-batch.  Records that are no ticket changes go to
-    ``record_rejects``, actions without a rule to ``rejects``."""
+    ``record_rejects``, actions without a rule to ``rejects``; the four tables become visible together."""
     from ..operators import actions
 
     def write(df: DataFrame, batch_id: int) -> None:
-        def put(rows: DataFrame, name: str) -> None:
-            rows.write.mode("overwrite").parquet(os.path.join(sink, name, f"batch_id={batch_id}"))
-
         df = df.persist()
         tickets, unread = ingest.decode_change_feed(df)
         pred = scoring.predict(tickets, as_of).persist()
-        put(pred.select("ticket_id", "final_breach_probability", "priority_boost", "new_priority", "time_to_breach"),
-            "predictions")
         ev, rej = actions.action_events(pred)
-        put(ev.select("ticket_id", "action", "urgency", "followup_minutes", "detail"), "actions")
-        put(rej.select("ticket_id", "action"), "rejects")
-        put(unread, "record_rejects")
+        BatchCommits(df.sparkSession, sink).write(batch_id, {
+            "predictions": pred.select("ticket_id", "final_breach_probability", "priority_boost", "new_priority", "time_to_breach"),
+            "actions": ev.select("ticket_id", "action", "urgency", "followup_minutes", "detail"),
+            "rejects": rej.select("ticket_id", "action"), "record_rejects": unread})
         pred.unpersist()
         df.unpersist()
 
