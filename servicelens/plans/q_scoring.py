@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.columns import fmt_ts, r6
-from ..operators import kpi, scoring
+from ..operators import kpi, rescoring, scoring
 from ..operators.util import with_scalars
 from ..sources import fixtures as fx
+from ..sources import ingest as IN
 from . import sqlfix as S
 from .registry import query
 
@@ -557,3 +558,59 @@ def q_prediction_event_tickets(spark, sf_dir):
     g = ok.groupBy("category").agg(F.count(F.lit(1)).alias("events"),
                                    r6(F.avg("breach_probability")).alias("avg_breach_probability"))
     return with_scalars(g, rej.agg(F.count(F.lit(1)).alias("rejected")))
+
+
+# ---------------------------------------------------------------------------
+# S2 — re-scoring by the index of next changes
+# ---------------------------------------------------------------------------
+
+_TICKS = [f"2024-02-01 00:{5 * k:02d}:00" for k in range(7)]
+_RESOLVED_AT = 3  # before this tick every fiftieth ticket is resolved
+
+
+def _rescore_run(spark, sf_dir):
+    """Six ticks, five minutes apart, after a full scoring; returns the index and what each tick touched."""
+    tickets = fx.tickets(spark, sf_dir)
+    index = rescoring.RescoreIndex(spark, IN.scratch_path(spark, "rescore"))
+    index.start(tickets, _TICKS[0])
+    touched, run = [], 0
+    for k, (before, now) in enumerate(zip(_TICKS, _TICKS[1:]), 1):
+        if k == _RESOLVED_AT:
+            run += 1
+            index.update(run, tickets.filter("order_key % 50 = 7").withColumn("status", F.lit("resolved")), before)
+        run += 1
+        touched.append(index.tick(run, before, now).withColumn("tick", F.lit(k)))
+    return index, touched
+
+
+_TICKED_SQL = f"""
+WITH {S.TICKETS}, tick AS (SELECT unnest(range(0, {len(_TICKS)})) AS k),
+ticked AS (
+  SELECT * REPLACE (CASE WHEN order_key % 50 = 7 AND k >= {_RESOLVED_AT} THEN 'resolved' ELSE status END AS status),
+    {S.AS_OF} + to_minutes(CAST(5 * k AS BIGINT)) AS now FROM tickets, tick
+),
+{S.SCORED.replace("FROM tickets", "FROM ticked").replace(f"epoch_us({S.AS_OF})", "epoch_us(now)")},
+shown AS (SELECT ticket_id, order_key, k, status, {S.bucket('breach_probability')} AS b, {S.status('breach_probability')} AS s FROM scored)"""
+
+
+@query("rescore_changes", oracle=f"""{_TICKED_SQL}
+SELECT n.k AS tick, n.ticket_id, o.b AS old_bucket, n.b AS breach_bucket, o.s AS old_status, n.s AS sla_status
+FROM shown n JOIN shown o ON o.ticket_id = n.ticket_id AND o.k = n.k - 1
+WHERE (n.b <> o.b OR n.s <> o.s) AND n.status <> 'resolved'
+""")
+def q_rescore_changes(spark, sf_dir):
+    """What six ticks find by touching only the tickets that are due; equals scoring all tickets at every tick."""
+    found = [rescoring.changes(t).select("tick", "ticket_id", "old_bucket", "breach_bucket", "old_status", "sla_status")
+             for t in _rescore_run(spark, sf_dir)[1]]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("rescored_tickets", oracle=f"""{_TICKED_SQL}
+SELECT ticket_id, status, b AS breach_bucket, s AS sla_status FROM shown WHERE k = {len(_TICKS) - 1}
+""")
+def q_rescored_tickets(spark, sf_dir):
+    """Bucket and status of all tickets after the last tick, resolved ones included."""
+    return _rescore_run(spark, sf_dir)[0].current()
