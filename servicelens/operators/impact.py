@@ -14,39 +14,89 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.columns import present
+from ..session import cut_lineage
 from .asof import as_of_join
-from .util import computed_once, with_scalars
+from .util import computed_once
+
+
+#: Characters of an anchor, slots of the histogram that says how common an anchor is, most bits of the anchors' Bloom filter.
+_GRAM, _SLOTS, _MOST_BITS = 5, 1 << 12, 1 << 20
+
+
+def _longs(values: list[int]) -> Column:
+    """A constant array."""
+    return F.expr("array(" + ", ".join(f"{v}L" if v > -(1 << 63) else "bigint('-9223372036854775808')" for v in values) + ")")
+
+
+def _hashed(chars: Column, at: Column, size: Column) -> Column:
+    """Hash of ``size`` characters from ``at`` on; ``chars`` are the characters of a text, so no position costs a walk to it."""
+    return F.xxhash64(F.slice(chars, at, size))
+
+
+class AnchorIndex:
+    """Every id by one of its q-grams, the one that is rarest among the ids (by a histogram of hashes), so that few ids
+    share an anchor and few texts hold it; an id shorter than q is its own anchor.  The anchors' Bloom filter is a constant of
+    at most 128 kB, whatever the number of ids; beyond it lets more positions through, which ``contains`` turns away."""
+
+    def __init__(self, ids: DataFrame, column: str, gram: int = _GRAM):
+        chars, size = F.split(F.col(column), ""), F.least(F.length(column), F.lit(gram))
+        grams = ids.filter(F.length(column) > 0).select(column, size.alias("_n"), F.explode_outer(F.transform(
+            F.sequence(F.lit(1), F.length(column) - size + 1), lambda k: _hashed(chars, k, size))).alias("_h"))
+        seen = {r["slot"]: r["n"] for r in grams.groupBy(F.pmod("_h", F.lit(_SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        common = F.get(_longs([seen.get(i, 0) for i in range(_SLOTS)]), F.pmod("_h", F.lit(_SLOTS)).cast("int"))
+        #: column, _n (its length), _h
+        self.anchors = grams.groupBy(column, "_n").agg(F.min_by("_h", F.struct(common, F.col("_h"))).alias("_h"))
+        shape = ids.agg(F.count_if(F.length(column) > 0).alias("n"), F.max(F.length(column)).alias("longest"),
+                        F.collect_set(size).alias("sizes"), F.count_if(F.length(column) == 0).alias("empty")).first()
+        self.longest, self.sizes, self.empty = shape["longest"] or 0, sorted(x for x in shape["sizes"] if x), bool(shape["empty"])
+        self.bits = min(_MOST_BITS, max(64, 1 << (64 * max(1, shape["n"]) - 1).bit_length()))
+        place = F.pmod("_h", F.lit(self.bits))
+        words = {r["w"]: r["b"] for r in self.anchors.groupBy(F.floor(place / 64).cast("int").alias("w")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))).alias("b")).collect()}
+        self._words = _longs([words.get(i, 0) for i in range(self.bits // 64)])
+
+    def _known(self, h: Column) -> Column:
+        place = F.pmod(h, F.lit(self.bits))
+        return F.getbit(F.get(self._words, F.floor(place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
+
+    def found(self, text: Column) -> Column:
+        """The anchors that may be in ``text``: array of (``h``, ``around``), with the characters in reach of an id."""
+        chars = F.split(text, "")
+
+        def of_size(x: Column, n: int) -> Column:
+            reach = self.longest - n
+            at = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))),
+                                      lambda i: F.struct(i.alias("i"), _hashed(x, i, F.lit(n)).alias("h"))), lambda s: self._known(s["h"]))
+            return F.transform(at, lambda s: F.struct(s["h"].alias("h"), F.array_join(F.slice(
+                x, F.greatest(s["i"] - reach, F.lit(1)), F.lit(self.longest + reach)), "").alias("around")))
+
+        none = F.array().cast("array<struct<h:bigint,around:string>>")
+        return F.concat(none, *[of_size(chars, n) for n in self.sizes])
+
+
+def containing(texts: DataFrame, fields: list[str], ids: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """Pairs of a row of ``texts`` and a distinct id of ``ids`` that one of its ``fields`` contains, each pair once: ``column`` and the
+    columns ``keep`` of the row.
+
+    A row travels only with the anchors that the Bloom filter lets through and the characters around them; ``contains``
+    on these decides.  Null fields contain nothing, the empty id is in every row."""
+    # written once: the index reads the ids several times
+    index = AnchorIndex(cut_lineage(ids.select(column).dropna().distinct()), column)
+    found = F.array_distinct(F.concat(*[index.found(F.coalesce(F.col(f), F.lit(""))) for f in fields]))
+    rows = computed_once(texts.select(*keep, found.alias("_f")), _found=F.col("_f")).drop("_f")
+    by_anchor = F.transform(F.array_distinct(F.transform("_found", lambda x: x["h"])), lambda h: F.struct(
+        h.alias("_h"), F.transform(F.filter("_found", lambda x: x["h"] == h), lambda x: x["around"]).alias("_around")))
+    spread = rows.select(*keep, F.explode_outer(by_anchor).alias("_a")).filter("_a IS NOT NULL").select(*keep, "_a._h", "_a._around")
+    pairs = spread.join(index.anchors.drop("_n"), "_h").filter(F.exists("_around", lambda x: F.contains(x, F.col(column)))).select(column, *keep)
+    if index.empty:
+        pairs = pairs.unionByName(texts.select(F.lit("").alias(column), *keep))
+    return pairs
 
 
 def asset_sla_status(scored_tickets: DataFrame, assets: DataFrame, p: str = "breach_probability") -> DataFrame:
-    """C4 + D2: SLA roll-up of the tickets whose title or description *contains* each asset id.
-
-    ``assets`` names the ids (``asset_id``, any shape, any number).  A contains-join would compare every
-    ticket with every asset; here a ticket yields the substrings of its words that are as long as
-    some id (lengths come from the ids), and those meet the distinct ids in an equi-join, grouped by id
-    with partial aggregation.  Where an id has white space the whole fields take the place of the words, so the
-    meaning is the same for any ids (the empty id is in every text).  A ticket counts once per asset."""
-    ids = assets.select("asset_id").dropna().distinct()
-    shape = ids.agg(F.coalesce(F.collect_set(F.length("asset_id")), F.array().cast("array<int>")).alias("_lengths"),
-                    F.coalesce(F.collect_set(F.substring("asset_id", 1, 1)), F.array().cast("array<string>")).alias("_starts"),
-                    F.coalesce(F.bool_or(F.col("asset_id").rlike(r"\s")), F.lit(False)).alias("_spaced"))
-    fields = F.array(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    t = with_scalars(scored_tickets.select(fields.alias("_fields"), F.col(p).alias("_p")), shape)
-    words = F.flatten(F.transform("_fields", lambda x: F.split(x, r"\s+")))
-
-    def cuts(x: Column) -> Column:
-        # only where some id's first character stands
-        spots = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
-                         lambda i: F.array_contains("_starts", F.substring(x, i, F.lit(1))))
-        return F.flatten(F.transform(spots, lambda i: F.transform(
-            F.filter("_lengths", lambda n: i + n <= F.length(x) + 1), lambda n: F.substring(x, i, n))))
-
-    pieces = F.array_distinct(F.when(F.col("_spaced"), F.col("_fields")).otherwise(words))
-    empty_id = F.when(F.array_contains("_lengths", 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    found = F.array_distinct(F.concat(empty_id, F.flatten(F.transform(pieces, cuts))))
-    # explode_outer + null filter: a plain explode would push an inferred size filter
-    # below the scan and cut the texts twice
-    m = (t.select(F.explode_outer(found).alias("asset_id"), "_p").filter(F.col("asset_id").isNotNull()).join(ids, "asset_id"))
+    """C4 + D2: SLA roll-up of the tickets whose title or description *contains* each asset id (``asset_id``, any shape, any
+    number); see ``containing``.  A ticket counts once per asset."""
+    m = containing(scored_tickets.select("title", "description", F.col(p).alias("_p")), ["title", "description"], assets, "asset_id", ["_p"])
     return (m.groupBy("asset_id")
             .agg(F.avg("_p").alias("avg_breach_probability"),
                  F.sum((F.col("_p") >= 0.7).cast("long")).alias("at_risk_services"),

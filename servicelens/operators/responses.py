@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import DEFAULT_AS_OF
 from ..functions import rules as R
+from ..functions.columns import ts_literal
+from .util import computed_once
 
 STAGES = ["strict", "extracted", "repaired", "scraped"]
 
@@ -143,6 +146,23 @@ def parse_responses(df: DataFrame, key: str = "id", raw: str = "raw") -> DataFra
     return parsed.withColumn("analysis", F.from_json("json_text", ANALYSIS_SCHEMA))
 
 
+def with_sections(parsed: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """``json_text`` and ``analysis`` with every required section, an empty object where the reply leaves it out, and
+    ``missing_sections`` (which those are), ``parsed_successfully``, ``analysis_timestamp``.
+
+    A reply without an object is scraped for values (``analysis_fields``); it has no sections and misses none."""
+    keys = F.coalesce(F.json_object_keys("json_text"), F.array().cast("array<string>"))
+    wanted = F.array(*[F.lit(x) for x in REQUIRED_SECTIONS])
+    missing = F.when(F.col("json_text").isNotNull(), F.array_except(wanted, keys)).otherwise(F.array().cast("array<string>"))
+    d = computed_once(parsed, missing_sections=missing, _empty=F.size(keys) == 0)
+    # json_text is an object as json.dumps writes it
+    added = F.array_join(F.transform("missing_sections", lambda x: F.concat(F.lit('"'), x, F.lit('": {}'))), ", ")
+    comma = F.when(F.col("_empty") | (F.size("missing_sections") == 0), "").otherwise(", ")
+    whole = F.concat(F.expr("substring(json_text, 1, length(json_text) - 1)"), comma, added, F.lit("}"))
+    return d.withColumn("json_text", whole).drop("_empty").withColumns({
+        "analysis": F.from_json("json_text", ANALYSIS_SCHEMA), "parsed_successfully": F.lit(True), "analysis_timestamp": ts_literal(as_of)})
+
+
 # FIXED VALUES — scrape fallback (department names in mention order, keyword lists,
 # category names, urgency by priority)
 SCRAPE_DEPARTMENTS = ["UIDAI", "MeitY", "DigitalMP", "eDistrict", "MPOnline"]

@@ -95,22 +95,20 @@ FROM e WHERE k < 9
 """)
 def q_bus_event_details(spark, sf_dir):
     """A3: the envelopes of all nine detail types, decoded with their defaults."""
-    raw = RF.bus_detail_envelopes(spark, sf_dir)
+    d = IN.typed_details(RF.bus_detail_envelopes(spark, sf_dir))
 
-    def shown(df, name):
-        if name == "license_details":
-            return F.coalesce(F.col(name)["seats"], F.lit("-"))
-        if isinstance(df.schema[name].dataType, T.ArrayType):
-            return F.coalesce(F.array_join(name, ","), F.lit("-"))
-        return F.coalesce(F.col(name).cast("string"), F.lit("-"))
+    def shown(kind, field):
+        c = F.col("details")[kind][field.name]
+        if field.name == "license_details":
+            return F.coalesce(c["seats"], F.lit("-"))
+        if isinstance(field.dataType, T.ArrayType):
+            return F.coalesce(F.array_join(c, ","), F.lit("-"))
+        return F.coalesce(c.cast("string"), F.lit("-"))
 
-    out = None
+    fields = F.when(F.lit(False), "")
     for kind in IN.BUS_DETAILS:
-        d = IN.decode_bus_event(raw, kind, keep=["event_id"])
-        fields = F.concat_ws("|", *[shown(d, c) for c in d.columns if c not in ("event_id", "source")])
-        part = d.select("event_id", F.lit(kind).alias("detail_type"), fields.alias("fields"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        fields = fields.when(F.col("detail_type") == kind, F.concat_ws("|", *[shown(kind, f) for f in d.schema["details"].dataType[kind].dataType]))
+    return d.select("event_id", "detail_type", fields.alias("fields"))
 
 
 @query("bus_event_rejects", oracle="""
@@ -218,3 +216,23 @@ def q_prediction_responses(spark, sf_dir):
                     .alias("breach_probability"),
                     F.when(js, F.col("prediction_confidence")).otherwise(s["confidence"]).alias("confidence"),
                     F.when(js, F.col("estimated_hours")).otherwise(s["estimated_hours"]).alias("estimated_hours"))
+
+
+_SECTION_SQL = f"""
+s AS (SELECT doc_id AS id, unnest({RS.REQUIRED_SECTIONS}) AS section, unnest(range(0, {len(RS.REQUIRED_SECTIONS)})) AS k FROM documents)"""
+
+
+@query("ai_response_sections", oracle=f"""
+WITH {_SECTION_SQL}
+SELECT id, CASE WHEN id % 13 = 12 THEN 'scraped' WHEN id % 2 = 0 THEN 'strict' ELSE 'extracted' END AS parse_stage,
+  coalesce(string_agg(section, ',' ORDER BY k) FILTER (WHERE id % 13 <> 12 AND (id % 11 = 0 OR (id + k) % 3 = 0)), '') AS missing_sections,
+  count(*) FILTER (WHERE id % 13 <> 12) AS sections, true AS parsed_successfully, '2024-02-01 00:00:00' AS analysis_timestamp
+FROM s GROUP BY id
+""")
+def q_ai_response_sections(spark, sf_dir):
+    """Sections that a reply leaves out are reported and there all the same, empty."""
+    p = RS.with_sections(RS.parse_responses(RF.sectioned_responses(spark, sf_dir)))
+    there = F.size(F.array_intersect(F.coalesce(F.json_object_keys("json_text"), F.array().cast("array<string>")),
+                                     F.array(*[F.lit(x) for x in RS.REQUIRED_SECTIONS]))).cast("bigint")
+    return p.select("id", "parse_stage", F.array_join("missing_sections", ",").alias("missing_sections"), there.alias("sections"),
+                    "parsed_successfully", fmt_ts("analysis_timestamp").alias("analysis_timestamp"))

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions.columns import fmt_ts
 from ..operators import text as T
-from ..operators.util import with_scalars
 from ..sources import fixtures as fx
 from ..sources import rawfeeds as RF
 from . import sqlfix as S
@@ -349,18 +348,13 @@ FROM el
 """)
 def q_email_intake_stats(spark, sf_dir):
     """D19 + H7 variants: received, unique (C12), and support counts for three keyword lists."""
-    em = fx.emails(spark, sf_dir)
-    received = em.agg(F.count(F.lit(1)).alias("received"))
-    # subject + body lower-cased and keyword-indexed once (T.with_lower)
-    u = T.with_lower(em.dropDuplicates(["message_id"]).withColumn("_s", F.lower("subject")),
-                     F.concat_ws(" ", "subject", "body"))
-    s, b = F.col("_s"), F.col(T.LT)
-    cnt = lambda kw: F.sum(T.is_support_request(s, b, kw).cast("long"))
-    stats = u.agg(F.count(F.lit(1)).alias("unique_messages"),
-                  cnt(_EMAIL_KW).alias("tickets_created"),
-                  cnt(R.SUPPORT_KEYWORDS_BASE).alias("base_support"),
-                  cnt(R.SUPPORT_KEYWORDS_LIVE).alias("live_support"))
-    return with_scalars(stats, received)
+    # keywords are looked for where the e-mail is read; what is grouped by message has three flags, not the text
+    lowered = T.with_lower(fx.emails(spark, sf_dir).withColumn("_s", F.lower("subject")), F.concat_ws(" ", "subject", "body"))
+    lists = {"tickets_created": _EMAIL_KW, "base_support": R.SUPPORT_KEYWORDS_BASE, "live_support": R.SUPPORT_KEYWORDS_LIVE}
+    flags = lowered.select("message_id", *[T.is_support_request(F.col("_s"), F.col(T.LT), kw).alias(n) for n, kw in lists.items()])
+    messages = flags.groupBy("message_id").agg(F.count(F.lit(1)).alias("copies"), *[F.bool_or(n).alias(n) for n in lists])
+    return messages.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("received"), F.count(F.lit(1)).alias("unique_messages"),
+                        *[F.count_if(n).alias(n) for n in lists])
 
 
 # ---------------------------------------------------------------------------

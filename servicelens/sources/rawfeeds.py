@@ -148,6 +148,20 @@ def ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", raw.alias("raw"))
 
 
+def sectioned_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that leave sections out: of the required ones, section k stands in reply i unless 3 divides i + k; every
+    11th object is empty, odd replies have words behind it, every 13th has no object."""
+    from ..operators.responses import REQUIRED_SECTIONS
+    d = read_table(spark, sf_dir, "documents", ["doc_id"])
+    i = F.col("doc_id")
+    there = [F.when((F.pmod(i + k, F.lit(3)) != 0) & (F.pmod(i, F.lit(11)) != 0), F.lit(f'"{name}": {{"seen": {k}}}'))
+             for k, name in enumerate(REQUIRED_SECTIONS)]
+    js = F.concat(F.lit("{"), F.concat_ws(", ", *there), F.lit("}"))
+    raw = (F.when(F.pmod(i, F.lit(13)) == 12, F.lit("Department: UIDAI, no more to say"))
+           .when(F.pmod(i, F.lit(2)) == 0, js).otherwise(F.concat(js, F.lit(" That is all."))))
+    return d.select(i.alias("id"), raw.alias("raw"))
+
+
 def recommendation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AI recommendation replies, one per under-used asset: free text around an object with
     ``recommendations`` - a reduction (no title, no priority, months 4) and a renewal review (only title,

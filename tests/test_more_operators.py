@@ -110,3 +110,19 @@ def test_substring_asset_lookup_equals_contains(spark, tickets, asset_ids):
         if hits:
             want[a] = (len(hits), sum(p >= 0.7 for p in hits))
     assert got == want
+
+
+def test_few_anchors_leave_a_long_text(spark):
+    """Texts of 10 kB and ids of 1 to 12 characters: what a row sends is a small part of its substrings."""
+    import random
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(n))
+    ids = [word(n) for n in range(4, 13) for _ in range(60)] + ["é", "ab ab ab"]
+    texts = [" ".join(word(rng.randint(2, 12)) for _ in range(1400)) + f" {rng.choice(ids)}é ab ab ab" for _ in range(20)]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "n int, title string, description string")
+    known = spark.createDataFrame([(i,) for i in ids], "asset_id string")
+    index = impact.AnchorIndex(known, "asset_id")
+    sent = df.select(F.size(index.found(F.col("title"))).alias("sent")).agg(F.sum("sent")).first()[0]
+    assert sent < 0.15 * sum(map(len, texts))  # one character ids stand at every "é" only
+    got = sorted(map(tuple, impact.containing(df, ["title", "description"], known, "asset_id", ["n"]).select("n", "asset_id").collect()))
+    assert got == sorted((n, i) for n, t in enumerate(texts) for i in ids if i in t)
