@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import fmt_ts
 from ..operators import alarms as A
 from ..operators import state as ST
+from ..operators import text as TX
 from ..sources import fixtures as fx
 from ..sources import ingest as IN
+from ..sources import mail as MAIL
 from ..sources import rawfeeds as RF
 from ..sources.tables import read_table
 from ..streaming import eventtime, jobs
@@ -150,6 +152,34 @@ def q_email_ticket_stream(spark, sf_dir):
     return spark.read.parquet(sink).drop("batch_id")
 
 
+def _mailbox(spark, sf_dir) -> str:
+    path = IN.scratch_path(spark, "mailbox")
+    MAIL.write_mbox(fx.emails(spark, sf_dir).withColumn("received_at", F.lit("2024-01-31 10:00:00").cast("timestamp")), path)
+    return path
+
+
+def _numbered(mails):
+    return mails.withColumn("message_id", F.regexp_extract("message_id", r"^<(\d+)@", 1).cast("bigint"))
+
+
+@query("mbox_email_tickets", oracle=_oracle("email_tickets"))
+def q_mbox_email_tickets(spark, sf_dir):
+    """A5 + C12: the e-mails as mbox files, read back message by message, give the same tickets."""
+    em = _numbered(MAIL.read_mbox(spark, _mailbox(spark, sf_dir))).dropDuplicates(["message_id"])
+    t = TX.build_email_ticket(TX.analyze_email(em).filter("is_support"))
+    return t.select("message_id", "priority", "department", "service_type", "location", "ticket_id", "breach_probability",
+                    "revenue_impact", "customer_tier", "reporter_name", "contact")
+
+
+@query("mbox_ticket_stream_sink", oracle=_oracle("email_tickets"))
+def q_mbox_ticket_stream(spark, sf_dir):
+    """S8 over a mailbox: mbox files as a stream of messages."""
+    src, sink = _mailbox(spark, sf_dir), IN.scratch_path(spark, "mbox-sink")
+    _finish(jobs.email_ticket_stream(spark, src, sink, checkpoint=IN.scratch_path(spark, "mbox-ckpt"),
+                                     mails=_numbered(MAIL.read_mbox(spark, src, stream=True))))
+    return spark.read.parquet(sink).drop("batch_id")
+
+
 @query("route_stream_counts", oracle=_oracle("event_routes"))
 def q_route_stream(spark, sf_dir):
     """Bus events (JSON files) routed once per micro-batch into one folder per

@@ -225,10 +225,10 @@ EMAIL_JSON_SCHEMA = T.StructType([
 
 def email_ticket_stream(spark: SparkSession, source: str, sink: str, watermark: str = "1 day",
                         checkpoint: str | None = None, available_now: bool = True,
-                        interval: str = "30 seconds") -> StreamingQuery:
-    """S8 + C12: JSON e-mails -> drop re-deliveries within the watermark -> support
-    filter -> classify -> ticket."""
-    em = (spark.readStream.schema(EMAIL_JSON_SCHEMA).json(source)
+                        interval: str = "30 seconds", mails: DataFrame | None = None) -> StreamingQuery:
+    """S8 + C12: e-mails (JSON files of ``source``, or the stream ``mails``, say of ``mail.read_mbox``) -> drop re-deliveries
+    within the watermark -> support filter -> classify -> ticket."""
+    em = ((mails if mails is not None else spark.readStream.schema(EMAIL_JSON_SCHEMA).json(source))
           .withWatermark("received_at", watermark)
           .dropDuplicatesWithinWatermark(["message_id"]))
     t = text.build_email_ticket(text.analyze_email(em).filter(F.col("is_support")))
