@@ -63,6 +63,13 @@ def score_breach_model(feats: DataFrame, model: PipelineModel | None) -> DataFra
             .drop("features", "rawPrediction", "probability"))
 
 
+def drift_flags(per_day: DataFrame, min_accuracy: float = 0.8, every_days: int = 7, trained_at: str = DEFAULT_AS_OF) -> DataFrame:
+    """M3: ``drift`` and ``retrain`` of days with their ``accuracy``; a day without outcomes has no accuracy and no drift."""
+    age_days = minutes_between(ts_literal(trained_at), F.col("day").cast("timestamp_ntz")) / (60 * 24)
+    return (per_day.withColumn("drift", F.coalesce(F.col("accuracy") < min_accuracy, F.lit(False)))
+            .withColumn("retrain", F.col("drift") | (age_days >= every_days)))
+
+
 def retrain_trigger(scored: DataFrame, label: str = "breached", ts: str = "created_at",
                     min_accuracy: float = 0.8, every_days: int = 7, trained_at: str = DEFAULT_AS_OF) -> DataFrame:
     """M3: accuracy of the model per day (prediction = probability >= .5) and the
@@ -70,6 +77,4 @@ def retrain_trigger(scored: DataFrame, label: str = "breached", ts: str = "creat
     correct = ((F.col("model_probability") >= 0.5) == F.col(label)).cast("double")
     per_day = scored.groupBy(F.to_date(ts).alias("day")).agg(F.avg(correct).alias("accuracy"),
                                                              F.count(F.lit(1)).alias("scored"))
-    age_days = minutes_between(ts_literal(trained_at), F.col("day").cast("timestamp_ntz")) / (60 * 24)
-    return (per_day.withColumn("drift", F.col("accuracy") < min_accuracy)
-            .withColumn("retrain", F.col("drift") | (age_days >= every_days)))
+    return drift_flags(per_day, min_accuracy, every_days, trained_at)

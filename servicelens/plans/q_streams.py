@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fmt_ts
 from ..operators import alarms as A
+from ..operators import scoring
 from ..operators import state as ST
 from ..operators import text as TX
 from ..sources import fixtures as fx
@@ -364,3 +365,44 @@ def q_alarm_transition_stream(spark, sf_dir):
     _finish(eventtime.alarm_transition_stream(spark, src, sink, points.schema, delay=f"{delay} seconds",
                                               checkpoint=IN.scratch_path(spark, "transitions-ckpt"), max_files_per_trigger=2))
     return BatchCommits(spark, sink).read("transitions").withColumn("window_start", fmt_ts("window_start"))
+
+
+_DRIFT_SQL = f"""
+WITH {S.TICKETS}, {S.SCORED},
+outcome AS (
+  SELECT ticket_id, created_at + to_hours(CAST(CASE WHEN order_key % 10 = 3 THEN 60 ELSE order_key * 7 % 47 END AS BIGINT)) AS known_at,
+    order_key % 4 < 2 AS breached
+  FROM tickets WHERE order_key % 9 <> 0
+),
+j AS (SELECT CAST(s.created_at AS DATE) AS day, s.breach_probability >= 0.5 AS p, o.breached
+      FROM scored s LEFT JOIN outcome o ON s.ticket_id = o.ticket_id AND known_at <= s.created_at + INTERVAL 48 HOUR)"""
+
+
+@query("drift_stream_days", oracle=f"""{_DRIFT_SQL}
+SELECT strftime(day, '%Y-%m-%d') AS day, round(coalesce(avg(CASE WHEN p = breached THEN 1.0 ELSE 0.0 END) FILTER (breached IS NOT NULL), -1), 6) AS accuracy,
+  count(breached) AS scored, count(*) - count(breached) AS open,
+  coalesce(avg(CASE WHEN p = breached THEN 1.0 ELSE 0.0 END) FILTER (breached IS NOT NULL) < 0.55, false) AS drift,
+  coalesce(avg(CASE WHEN p = breached THEN 1.0 ELSE 0.0 END) FILTER (breached IS NOT NULL) < 0.55, false)
+    OR date_diff('day', TIMESTAMP '2024-01-24 00:00:00', CAST(day AS TIMESTAMP)) >= 7 AS retrain
+FROM j GROUP BY day
+""")
+def q_drift_stream(spark, sf_dir):
+    """M3: predictions and later outcomes as two streams; accuracy of each day, with what never got an outcome in time."""
+    t = fx.tickets(spark, sf_dir)
+    p = scoring.sla_metrics(t).select("ticket_id", "created_at", F.col("breach_probability").alias("model_probability"))
+    hours = F.when(F.pmod("order_key", F.lit(10)) == 3, 60).otherwise(F.pmod(F.col("order_key") * 7, F.lit(47)))
+    o = t.filter("order_key % 9 <> 0").select(
+        "ticket_id", (F.col("created_at") + F.make_dt_interval(hours=hours.cast("int"))).alias("known_at"),
+        (F.pmod("order_key", F.lit(4)) < 2).alias("breached"))
+    paths = []
+    for rows, ts in ((p, "created_at"), (o, "known_at")):
+        path = IN.scratch_path(spark, f"drift-{ts}")
+        rows.write.parquet(path)
+        _closing(rows, ts, ticket_id="none", model_probability=0.0, breached=False).coalesce(1).write.mode("append").parquet(path)
+        paths.append(path)
+    sink = IN.scratch_path(spark, "drift-sink")
+    _finish(eventtime.drift_stream(spark, *paths, sink, p.schema, o.schema, min_accuracy=0.55, trained_at="2024-01-24 00:00:00",
+                                   checkpoint=IN.scratch_path(spark, "drift-ckpt")))
+    days = BatchCommits(spark, sink).read("days")
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.coalesce("accuracy", F.lit(-1.0)), 6).alias("accuracy"),
+                       "scored", "open", "drift", "retrain")

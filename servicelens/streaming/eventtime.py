@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from .. import DEFAULT_AS_OF
 from ..functions.columns import breach_bucket, sla_status
 from ..functions.rules import STATE_TTL_DAYS
-from ..operators import alarms, state
+from ..operators import alarms, ml, state
 from ..operators.util import filter_computed
 from .commits import BatchCommits
 from .jobs import _checkpoint, _trigger
@@ -307,3 +308,40 @@ def alarm_transition_stream(spark: SparkSession, source: str, sink: str, schema:
 
     q = found.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", _checkpoint(spark, "alarms", checkpoint))
     return _start(spark, q, available_now, interval)
+
+
+# ---------------------------------------------------------------------------
+# M3: accuracy of predictions against outcomes that come later
+# ---------------------------------------------------------------------------
+
+def drift_stream(spark: SparkSession, predictions: str, outcomes: str, sink: str, prediction_schema: T.StructType,
+                 outcome_schema: T.StructType, horizon_hours: int = 48, delay: str = "1 hour", min_accuracy: float = 0.8,
+                 every_days: int = 7, trained_at: str = DEFAULT_AS_OF, checkpoint: str | None = None, available_now: bool = True,
+                 interval: str = "30 seconds", max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """M3 while the stream runs: predictions (``ticket_id``, ``created_at``, ``model_probability``) joined to the outcomes
+    (``ticket_id``, ``known_at``, ``breached``) that become known within ``horizon_hours``, both under a watermark; then the
+    accuracy of each day of predictions, and whether to retrain.
+
+    The join is outer: a prediction whose outcome does not come in time counts as ``open`` once the watermark has passed
+    its horizon, and a day is emitted once, when none of its predictions can get an outcome any more.  Table ``days``
+    of ``sink``: ``day``, ``accuracy`` (null without outcomes), ``scored``, ``open``, ``drift``, ``retrain``."""
+    def stream(path: str, schema: T.StructType, ts: str) -> DataFrame:
+        reader = spark.readStream.schema(schema)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+    p = stream(predictions, prediction_schema, "created_at").alias("p")
+    o = stream(outcomes, outcome_schema, "known_at").alias("o")
+    in_time = F.expr(f"p.ticket_id = o.ticket_id AND known_at >= created_at AND known_at <= created_at + INTERVAL {horizon_hours} HOURS")
+    joined = p.join(o, in_time, "left_outer")
+    right = F.when(F.col("breached").isNotNull(), ((F.col("model_probability") >= 0.5) == F.col("breached")).cast("double"))
+    days = joined.groupBy(F.window("created_at", "1 day").alias("w")).agg(
+        F.avg(right).alias("accuracy"), F.count("breached").alias("scored"), F.count_if(F.col("breached").isNull()).alias("open"))
+    shown = days.select(F.to_date("w.start").alias("day"), "accuracy", "scored", "open")
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        BatchCommits(df.sparkSession, sink).write(batch_id, {"days": ml.drift_flags(df, min_accuracy, every_days, trained_at)})
+
+    w = shown.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", _checkpoint(spark, "drift", checkpoint))
+    return _start(spark, w, available_now, interval)

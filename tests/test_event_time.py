@@ -160,3 +160,51 @@ def test_compaction_swaps_the_base(spark, tmp_dir):
     assert log.vacuum("a") == 2 and sorted({r[0] for r in log.read("a").select("batch").collect()}) == [2, 3]
     log.compact("a", F.lit(False))  # no new batch, but rows have expired
     assert log.read("a").count() == 0
+
+
+def test_drift_days_over_several_batches(spark, tmp_dir):
+    """Outcomes before, after and beyond the horizon, in files that come in turns; a day is emitted once."""
+    at = lambda h: START + dt.timedelta(hours=h)
+    rng = random.Random(8)
+    preds = [(str(i), at(rng.randint(0, 90)), rng.random()) for i in range(120)]
+    outs = [(t, ts + dt.timedelta(hours=rng.choice([0, 5, 47, 48, 49, 70])), rng.random() < 0.5) for t, ts, _ in preds if int(t) % 7]
+    days = {}
+    for t, ts, p in preds:
+        o = next((b for n, k, b in outs if n == t and k <= ts + dt.timedelta(hours=48)), None)
+        days.setdefault(ts.date(), []).append(None if o is None else float((p >= 0.5) == o))
+    src = [os.path.join(tmp_dir, n) for n in ("p", "o")]
+    schemas = ("ticket_id string, created_at timestamp_ntz, model_probability double", "ticket_id string, known_at timestamp_ntz, breached boolean")
+    for rows, schema, path, last in ((preds, schemas[0], src[0], ("x", at(9000), 0.0)), (outs, schemas[1], src[1], ("x", at(9000), False))):
+        rows = sorted(rows, key=lambda r: r[1])
+        for part in (rows[:40], rows[40:], [last]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    q = eventtime.drift_stream(spark, *src, os.path.join(tmp_dir, "sink"), *(spark.createDataFrame([], s).schema for s in schemas), delay="200 hours",
+                               checkpoint=os.path.join(tmp_dir, "ck"), max_files_per_trigger=1, trained_at="2024-01-01 00:00:00")
+    q.awaitTermination(600)
+    got = BatchCommits(spark, os.path.join(tmp_dir, "sink")).read("days").collect()
+    assert len(got) == len(days)
+    for r in got:
+        known = [x for x in days[r["day"]] if x is not None]
+        assert (r["scored"], r["open"]) == (len(known), len(days[r["day"]]) - len(known))
+        assert abs(r["accuracy"] - sum(known) / len(known)) < 1e-9 and r["drift"] == (r["accuracy"] < 0.8)
+
+
+def test_a_fault_between_two_tables_leaves_no_half_batch(spark, tmp_dir, monkeypatch):
+    """The score stream loses its second table once; a reader sees nothing of the batch until the retry commits it."""
+    from servicelens.sources import ingest, rawfeeds
+    from servicelens.streaming import jobs
+
+    from .conftest import SF_SMALL
+    src, sink, ck = (os.path.join(tmp_dir, n) for n in ("src", "sink", "ck"))
+    rawfeeds.change_records(spark, SF_SMALL).select("value").write.text(src)
+    emit = ingest.emit_events
+    monkeypatch.setattr(ingest, "emit_events", lambda df, *a: emit(df, *a).withColumn(
+        "x", F.raise_error(F.concat(F.lit("lost "), F.col("detail"))).cast("int")))
+    q = jobs.score_stream(spark, src, sink, checkpoint=ck)
+    with pytest.raises(Exception, match="lost"):
+        q.awaitTermination(300)
+    log = BatchCommits(spark, sink)
+    assert os.path.exists(f"{sink}/states/batch_id=0") and log.batches() == []
+    monkeypatch.undo()
+    jobs.score_stream(spark, src, sink, checkpoint=ck).awaitTermination(300)
+    assert log.batches() == [0] and log.read("events").count() == log.read("states").count() > 0
