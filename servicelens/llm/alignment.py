@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Decoder
-from .common import forget, fresh, scratch_table, without
-from .subwords import ODD_SPACE, SPACED_CHUNKS, Subwords, broadcast_file, in_worker, portions
+from .common import forget, fresh, mix64, scratch_table, without
+from .subwords import ODD_SPACE, SPACED_CHUNKS, Chunked, Store, Subwords, broadcast_file, in_worker, portions, ranges
 
-#: Windows that the memo holds before it is begun anew, and tokens of a window that is still kept.
-MEMO_WINDOWS, MEMO_TOKENS = 200_000, 24
+#: Windows that the memo holds before it is begun anew.
+MEMO_WINDOWS = 200_000
 #: Id pairs whose counts are broadcast (17 bytes each).
 FREQUENT_PAIRS = 1 << 18
+#: Ids a side of a window that is packed.
+_PACKED = 8
 #: Entries of per-document counts that a task sums at once.
 _SUM = 1 << 21
 
@@ -42,113 +44,179 @@ def byte_level_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Tokenizer A: a byte-level vocabulary of the ``tokenizers`` library; the text gets a space in front."""
+    """Tokenizer A: a byte-level vocabulary of the ``tokenizers`` library."""
 
     def __init__(self, definition: bytes):
-        self.subwords = Subwords(definition.decode(), plain_special=True, chunks=SPACED_CHUNKS, whole=ODD_SPACE)
-        alphabet = byte_level_alphabet()
+        subwords, alphabet = Subwords(definition.decode(), plain_special=True), byte_level_alphabet()
         added = {t["id"] for t in json.loads(definition)["added_tokens"]}
+        self.encode = subwords.encode
         self.bytes_of = {i: t.encode() if i in added else bytes(map(alphabet.__getitem__, t))
-                         for t, i in self.subwords.tokenizer.get_vocab(with_added_tokens=True).items()}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self.subwords.ids(" " + t), "<u4").astype(np.int64) for t in texts]
+                         for t, i in subwords.tokenizer.get_vocab(with_added_tokens=True).items()}
 
 
 class Pieces:
-    """Tokenizer B: a ``sentencepiece`` model, which itself puts a space in front of the text."""
+    """Tokenizer B: a ``sentencepiece`` model, which itself puts a space in front of a text."""
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
         self.model = SentencePieceProcessor(model_proto=model)
-        self.bytes_of = {i: bytes([int(self.model.id_to_piece(i)[1:-1], 16)]) if self.model.is_byte(i)
-                         else self.model.id_to_piece(i).replace("▁", " ").encode() for i in range(self.model.vocab_size())}
+        names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        self.bytes_of = {i: bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(names)}
+        #: no piece goes on with a space mark behind another character, so nothing is merged across the start of a run of spaces
+        self.apart = all("\u2581" not in p.lstrip("\u2581") for p in names)
+        self.space = [self.model.piece_to_id("\u2581")]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Of texts that begin with a space, which is the one that the model puts there; alone it leaves it out."""
+        return [ids if len(t) > 1 else self.space for t, ids in zip(texts, self.model.encode([t[1:] for t in texts], num_threads=1))]
 
 
 class Side:
-    """Encoder of one side with the bytes of its tokens."""
+    """Bytes of the tokens of one side."""
 
-    def __init__(self, tokenizer):
-        self.encode = tokenizer.encode
-        self.decoder = Decoder(tokenizer.bytes_of)
+    def __init__(self, bytes_of: dict[int, bytes]):
+        self.decoder = Decoder(bytes_of)
         self.size = self.decoder.size
-        self.spaced = np.array([tokenizer.bytes_of.get(i, b"")[:1] == b" " for i in range(len(self.size))])
+        self.spaced = np.array([bytes_of.get(i, b"")[:1] == b" " for i in range(len(self.size))])
 
     def covers(self, ids: np.ndarray, data: bytes) -> bool:
-        return int(self.size[ids].sum()) == len(data) and bool((self.size[ids] > 0).all()) and self.decoder.decode(ids) == data
+        size = self.size[ids]
+        return int(size.sum()) == len(data) and bool((size > 0).all()) and self.decoder.decode(ids) == data
 
 
-class Aligner:
-    """Groups and links of whole documents through a memo of windows."""
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between neighbouring ``ends``."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends]).astype(np.int64)])
+
 
-    def __init__(self, a: Side, b: Side):
-        self.a, self.b = a, b
+class Aligner:
+    """Groups and links of whole documents through a memo of windows, keyed by the id tuples of both sides.
+
+    The memo holds places in two stores: the ids of a window in the order they are shown, with what stands behind each, and
+    its linked pairs.  Tuples of up to _PACKED ids a side, nearly all, are kept as 16-bit numbers, so that equal ones of a
+    portion of texts are found by arrays."""
+
+    def __init__(self, a, b):
+        self.a, self.b = Side(a.bytes_of), Side(b.bytes_of)
+        n_a, n_b = len(self.a.size), len(self.b.size)
+        #: codes: an id of A inside a group, at its end; an id of B inside, at its end
+        self.shown = [f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
+        self.group_end = 2 * n_a + n_b
+        self.packs = max(n_a, n_b) < 1 << 16
+        self.chunked = Chunked(SPACED_CHUNKS if b.apart else None, [a.encode, b.encode], whole=ODD_SPACE)
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[tuple, int] = {}
-        self.shown: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[list[int]] = []
-
-    def window(self, a: tuple, b: tuple) -> int:
-        """Place of a window's answer."""
-        size_a, size_b = self.a.size, self.b.size
-        i = j = first_a = first_b = 0
-        end_a, end_b = int(size_a[a[0]]), int(size_b[b[0]])
-        shown, links = [], []
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                shown.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                end_a, end_b = end_a + int(size_a[a[i]]), end_b + int(size_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += int(size_a[a[i]])
-            else:
-                j += 1
-                end_b += int(size_b[b[j]])
-        self.shown.append(";".join(shown))
-        self.groups.append(len(shown))
-        self.links.append(links)
-        at = len(self.shown) - 1
-        if len(a) + len(b) <= MEMO_TOKENS:
-            self.memo[a, b] = at
-        return at
-
-    def run(self, text: str, a: np.ndarray, b: np.ndarray):
-        """Number of groups and links, the groups as text, and the linked id pairs with how often each is linked;
-        None if one side does not give the text's bytes."""
-        data = (" " + text).encode()
-        if not text or not self.a.covers(a, data) or not self.b.covers(b, data):
-            return None
+        self.memo: dict = {}
+        self.codes, self.links = Store(), Store()
+
+    def work_out(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        """Store new windows, given by their ids one after another.
+
+        A window's sides end together, so over all windows the ends of either side are offsets of one byte string.  Every
+        distinct end closes the stretch of bytes that one pair of tokens shares: a link; a common end closes a group."""
         end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
         at_b = np.searchsorted(end_b, end_a)
-        i = np.nonzero(end_b[at_b] == end_a)[0]
+        close_a = end_b[at_b] == end_a
+        close_b = np.zeros(len(b), bool)
+        close_b[at_b[close_a]] = True
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.diff(ends, prepend=0) > 0]
+        link = a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
+        # of each group the ids of A, then those of B
+        group_a, group_b = (np.cumsum(c) - c for c in (close_a, close_b))
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + close_a * len(self.a.size)
+        code[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * len(self.a.size) + b + close_b * len(self.b.size)
+        self.codes.add(code, n_a + n_b)
+        self.links.add(link, np.diff(np.searchsorted(ends, end_a[np.cumsum(n_a) - 1], "right"), prepend=0))
+
+    def places(self, a: np.ndarray, start_a: np.ndarray, n_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Places in the stores of the windows that begin at ``start`` and have ``n`` ids on either side."""
+        index = np.empty(len(start_a), np.int64)
+        small = (n_a <= _PACKED) & (n_b <= _PACKED) & self.packs
+        at = np.flatnonzero(small)
+        rows = np.zeros((len(at), 2 * _PACKED), np.uint16)
+        for side, (ids, start, n) in enumerate(((a, start_a[at], n_a[at]), (b, start_b[at], n_b[at]))):
+            for k in range(_PACKED):
+                has = np.flatnonzero(n > k)
+                rows[has, side * _PACKED + k] = ids[start[has] + k] + 1
+        # equal tuples have equal hashes; that equal hashes are equal tuples is looked at
+        parts = rows.view(np.uint64)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(parts.shape[1]):
+            key = mix64(key + parts[:, k])
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        names, examples, known = [], [], {}
+        if (parts == parts[first[inverse]]).all():
+            names = rows[first].view(f"V{4 * _PACKED}").ravel().tolist()
+            examples = at[first].tolist()
+            index[at] = inverse
+            rest = np.flatnonzero(~small)
+        else:
+            rest = np.arange(len(index))
+        for w, f, n, g, m in zip(rest.tolist(), *(x[rest].tolist() for x in (start_a, n_a, start_b, n_b))):
+            name = tuple(a[f:f + n].tolist()), tuple(b[g:g + m].tolist())
+            k = known.get(name)
+            if k is None:
+                k = known[name] = len(names)
+                names.append(name)
+                examples.append(w)
+            index[w] = k
+        new = [k for k, name in enumerate(names) if name not in self.memo]
+        if new:
+            w = np.array(examples, np.int64)[new]
+            base = len(self.codes.first)
+            self.work_out(a[ranges(start_a[w], n_a[w])], n_a[w], b[ranges(start_b[w], n_b[w])], n_b[w])
+            self.memo.update((names[k], base + i) for i, k in enumerate(new))
+        return np.fromiter(map(self.memo.__getitem__, names), np.int64, len(names))[index]
+
+    def run(self, texts: list[str]) -> list[tuple]:
+        """Of every text the numbers of tokens, groups and links, the groups as text, the distinct linked pairs and how
+        often each is linked.  All are zero or empty for a text that one side does not give back."""
+        if len(self.memo) > MEMO_WINDOWS:
+            self.clear()
+        (a, count_a), (b, count_b) = self.chunked.ids([" " + t if t else "" for t in texts])
+        data = [(" " + t).encode() if t else b"" for t in texts]
+        whole, size = b"".join(data), np.array([len(d) for d in data], np.int64)
+        fits = [side.covers(ids, whole) and bool((_sums(side.size[ids], np.cumsum(count)) == size).all())
+                for side, ids, count in ((self.a, a, count_a), (self.b, b, count_b))]
+        none = np.zeros(0, np.int64)
+        out: list = [(0, 0, 0, 0, "", none, none)] * len(texts)
+        if not all(fits):
+            # which of the texts do not fit is seen one by one; the others go on
+            ids_a, ids_b = np.split(a, np.cumsum(count_a)[:-1]), np.split(b, np.cumsum(count_b)[:-1])
+            good = [i for i, d in enumerate(data) if d and self.a.covers(ids_a[i], d) and self.b.covers(ids_b[i], d)]
+            a, b = (np.concatenate([none, *(ids[i] for i in good)]) for ids in (ids_a, ids_b))
+            count_a, count_b = count_a[good], count_b[good]
+        else:
+            good = [i for i, d in enumerate(data) if d]
+            count_a, count_b = count_a[good], count_b[good]
+        if not good:
+            return out
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        at_b = np.searchsorted(end_b, end_a)
+        i = np.flatnonzero(end_b[at_b] == end_a)
         j = at_b[i]
-        # a common end is an anchor where both sides go on with a token that begins with a space
+        # a common end is an anchor where both sides go on with a token that begins with a space, as every text does
         marked = self.a.spaced[a[i[:-1] + 1]] & self.b.spaced[b[j[:-1] + 1]]
-        cut = np.append(np.nonzero(marked)[0], len(i) - 1)
-        ends_a, ends_b = (i[cut] + 1).tolist(), (j[cut] + 1).tolist()
-        if len(self.shown) > MEMO_WINDOWS:
-            self.clear()
-        ids_a, ids_b, memo, seen = a.tolist(), b.tolist(), self.memo, []
-        from_a = from_b = 0
-        for to_a, to_b in zip(ends_a, ends_b):
-            key = tuple(ids_a[from_a:to_a]), tuple(ids_b[from_b:to_b])
-            at = memo.get(key)
-            seen.append(self.window(*key) if at is None else at)
-            from_a, from_b = to_a, to_b
-        links = np.fromiter((pair for w in seen for pair in self.links[w]), np.int64)
-        pairs, counts = np.unique(links, return_counts=True)
-        return sum(map(self.groups.__getitem__, seen)), len(links), ";".join(map(self.shown.__getitem__, seen)), pairs, counts
+        cut = np.append(np.flatnonzero(marked), len(i) - 1)
+        to_a, to_b = i[cut] + 1, j[cut] + 1
+        start_a, start_b = (np.concatenate([[0], to[:-1]]) for to in (to_a, to_b))
+        places = self.places(a, start_a, to_a - start_a, b, start_b, to_b - start_b)
+        codes, _ = self.codes.take(places)
+        links, n_links = self.links.take(places)
+        windows = np.searchsorted(to_a, np.cumsum(count_a)) + 1  # up to the end of every text
+        of_links = np.cumsum(_sums(n_links, windows)).tolist()
+        tokens = count_a + count_b
+        groups = _sums(codes >= self.group_end, np.cumsum(tokens)).tolist()
+        shown = list(map(self.shown.__getitem__, codes.tolist()))
+        ends = np.cumsum(tokens).tolist()
+        for k, t in enumerate(good):
+            linked = links[of_links[k - 1] if k else 0:of_links[k]]
+            text = "".join(shown[ends[k - 1] if k else 0:ends[k]])[:-1]
+            out[t] = (int(count_a[k]), int(count_b[k]), groups[k], len(linked), text, *np.unique(linked, return_counts=True))
+        return out
 
 
 _MADE = [("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()), ("n_links", T.LongType()),
@@ -171,18 +239,10 @@ def align(docs: DataFrame, byte_level: str, pieces: str, text: str = "text") ->
     key = ("align", byte_level, pieces)
 
     def run(batches):
-        aligner = in_worker(key, lambda: Aligner(Side(ByteLevel(files[0].value)), Side(Pieces(files[1].value))))
+        aligner = in_worker(key, lambda: Aligner(ByteLevel(files[0].value), Pieces(files[1].value)))
         for whole in batches:
             for batch in portions(whole, at):
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                out = [[] for _ in _MADE]
-                for t, a, b in zip(texts, aligner.a.encode(texts), aligner.b.encode(texts)):
-                    found = aligner.run(t, a, b)
-                    none = np.zeros(0, np.int64)
-                    n_groups, n_links, groups, pairs, counts = found or (0, 0, "", none, none)
-                    row = (len(a) if found else 0, len(b) if found else 0, n_groups, n_links, groups, pairs, counts)
-                    for column, value in zip(out, row):
-                        column.append(value)
+                out = list(zip(*aligner.run([t or "" for t in batch.column(at).to_pylist()])))
                 made = [pa.array(x, pa.int64()) for x in out[:4]] + [pa.array(out[4], pa.string())]
                 ends = np.cumsum([0, *map(len, out[5])]).astype(np.int32)
                 made += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in out[5:]]

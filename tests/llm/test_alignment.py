@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from servicelens.llm import alignment, queries
-from servicelens.llm.subwords import ODD_SPACE, SPACED_CHUNKS, Subwords
+from servicelens.llm.alignment import Aligner, ByteLevel, Pieces
 from .data import LONG, ROWS, collected, docs, empty
 
 A_FILE, B_FILE = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -92,11 +93,28 @@ def test_empty_table_and_taken_names(spark):
 
 
 def test_chunks_equal_whole_texts(spark, both):
-    with open(A_FILE) as f:
-        by_chunk = Subwords(f.read(), plain_special=True, chunks=SPACED_CHUNKS, whole=ODD_SPACE)
-    texts = ODD + [t for _, t in ROWS if t] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
-    for t in texts:
-        assert by_chunk.ids(t) == b"".join(i.to_bytes(4, "little") for i in both[0].encode(t, add_special_tokens=False).ids)
+    with open(A_FILE, "rb") as f, open(B_FILE, "rb") as g:
+        aligner = Aligner(ByteLevel(f.read()), Pieces(g.read()))
+    texts = ["", *ODD, *(t for _, t in ROWS if t), *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text)]
+    aligner.chunked.limit = 2_000  # begun anew again and again
+    for i in range(0, len(texts), 20):
+        part = texts[i:i + 20]
+        (a, n_a), (b, n_b) = aligner.chunked.ids([" " + t if t else "" for t in part])
+        want = [both[0].encode(" " + t, add_special_tokens=False).ids if t else [] for t in part]
+        assert a.tolist() == sum(want, []) and n_a.tolist() == list(map(len, want))
+        plain = [k for k, t in enumerate(part) if "\u2581" not in t]  # the others have no tokens in any case
+        got = np.split(b, np.cumsum(n_b)[:-1])
+        assert [got[k].tolist() for k in plain] == [both[1].encode(part[k]) for k in plain]
+
+
+def test_windows_alike_by_hash_only(spark, both, monkeypatch):
+    """Should the hashes of two windows be the same, the tuples themselves are compared."""
+    monkeypatch.setattr(alignment, "mix64", lambda x: x & np.uint64(1))
+    with open(A_FILE, "rb") as f, open(B_FILE, "rb") as g:
+        aligner = Aligner(ByteLevel(f.read()), Pieces(g.read()))
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    got = [r[:5] for r in aligner.run([t for _, t in rows])]
+    assert sorted(got) == sorted(r[1:6] for r in brute(rows, both))
 
 
 def test_query_equals_brute_force(spark, both):
