@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, fresh, own, scratch_table, without
-from .subwords import Subwords, broadcast_file, in_worker, portions
+from .subwords import Subwords, Words, broadcast_file, in_worker, portions
 
 #: Bins that a task may hold open, and pieces that it is given on average.
 OPEN_BINS, TASK_PIECES = 1 << 14, 1 << 14
@@ -26,14 +26,14 @@ OPEN_BINS, TASK_PIECES = 1 << 14, 1 << 14
 SPARE = 1 / 64
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, chunks: str | None = None,
+def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, by_words: bool = False,
            text: str = "text") -> DataFrame:
     """One row per piece: ``docs`` with ``piece`` (from 0), ``start``, ``length`` and ``ids`` (binary, little-endian unsigned
     32-bit) in place of ``text``.
 
     A document is the ids of its whole text, then ``end``; only what is longer than ``size`` is cut, into pieces of that
-    size and a last one that may be shorter.  A null or empty text is the end alone.  ``chunks``: see ``Subwords``.  Other
-    columns are passed on, but for one that is named like a new one, which gives way."""
+    size and a last one that may be shorter.  A null or empty text is the end alone.  ``by_words``: the tokenizer is
+    of the kind that ``Words`` serves.  Other columns are passed on, but for one that is named like a new one, which gives way."""
     if not size >= 1:
         raise ValueError("size must be 1 or more")
     made = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -41,15 +41,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, chun
     docs = without(docs, *(f.name for f in made))
     file, at = broadcast_file(docs.sparkSession, tokenizer), docs.columns.index(text)
     rest = [f for f in docs.schema.fields if f.name != text]
-    last, key = np.array([end], "<u4").tobytes(), ("pieces", tokenizer, chunks)
+    last, key = np.array([end], "<u4").tobytes(), ("pieces", tokenizer, by_words)
 
     def run(batches):
-        subwords = in_worker(key, lambda: Subwords(file.value.decode(), plain_special=False, chunks=chunks))
+        subwords, words = in_worker(key, lambda: with_words(Subwords(file.value.decode(), plain_special=False)))
         for whole in batches:
             for batch in portions(whole, at):
                 rows, out = [], [[] for _ in made]
-                for i, t in enumerate(batch.column(at).to_pylist()):
-                    ids = (subwords.ids(t) if t else b"") + last
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                for i, ids in enumerate(map(words.ids, texts) if by_words else subwords.packed(texts)):
+                    ids += last
                     for k, begin in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[begin:begin + 4 * size]
                         rows.append(i)
@@ -62,6 +63,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, chun
     return docs.mapInArrow(run, T.StructType(rest + made))
 
 
+def with_words(subwords: Subwords) -> tuple[Subwords, Words]:
+    return subwords, Words(subwords)
+
+
 class Bins:
     """Open bins by free space; bit ``f`` of ``room`` is set while a bin with ``f`` free places is open."""
 
@@ -172,9 +177,9 @@ def assemble(packed: DataFrame) -> DataFrame:
         "sequence_id", "n_pieces", F.aggregate("p.ids", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, chunks: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, by_words: bool = False) -> DataFrame:
     """Pieces of all documents with their place and the CRC-32 of their ids: ``doc_id``, ``piece``, ``start``, ``length``,
     ``ids_crc32``, ``sequence_id``, ``offset``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = pieces(texts, tokenizer, size, end, chunks)
+    cut = pieces(texts, tokenizer, size, end, by_words)
     return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), size)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (alignment, bpe, chat, compact, decontaminate, html, lm, packing, quality, resampling, secrets, simhash,
                suffixes)
 from .common import table
-from .subwords import BARE_CHUNKS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -195,4 +194,4 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of at most 2,048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end=0,
-                                  chunks=BARE_CHUNKS)
+                                  by_words=True)

@@ -11,11 +11,11 @@ from tokenizers import Tokenizer
 
 from servicelens.llm import packing, queries
 from servicelens.llm.packing import Bins
-from servicelens.llm.subwords import BARE_CHUNKS, Subwords
+from servicelens.llm.subwords import Subwords, Words
 from .data import ROWS, collected, docs, empty
 
 FILE = P.path("word_bpe_49k.json")
-ODD = ["<|endoftext|>x<|startoftext|> end", "É á   b　c\x1cd", "ΟΔΟΣ Σ İ", "it's 123 --- 'S", "\n\t ", "y" * 500]
+ODD = ["<|endoftext|>x<|startoftext|> end", "<|ENDOFTEXT|> a<|endoftext|>. Upper,lower. It's they'll. ... ?!x I.D. 3.14, A1? e\u0301. E\u0301! x\u0301,", "É á   b　c\x1cd", "ΟΔΟΣ Σ İ", "it's 123 --- 'S", "\n\t ", "y" * 500]
 
 
 @pytest.fixture(scope="module")
@@ -47,22 +47,25 @@ def check(packed, size):
 
 def test_pieces_and_places(spark, tokenizer):
     rows = ROWS + [(100 + i, t) for i, t in enumerate(ODD)]
-    got = collected(packing.pack_documents(docs(spark, rows), FILE, size=64, chunks=BARE_CHUNKS))
+    got = collected(packing.pack_documents(docs(spark, rows), FILE, size=64, by_words=True))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted((tuple(r[c] for c in columns) for r in got), key=repr) == expected_pieces(rows, tokenizer, 64)
     made, least = check(got, 64)
     assert made <= least + 1
 
 
-def test_chunks_equal_whole_texts(spark, tokenizer):
+def test_words_equal_whole_texts(spark, tokenizer):
     with open(FILE) as f:
-        by_chunk = Subwords(f.read(), plain_special=False, chunks=BARE_CHUNKS)
-    for t in ODD + [t for _, t in ROWS if t] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]:
-        assert by_chunk.ids(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        subwords = Subwords(f.read(), plain_special=False)
+    words = Words(subwords, limit=2_000)  # generations come and go
+    texts = ["", *ODD, *(t for _, t in ROWS if t), *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text)]
+    for t in texts:
+        assert np.frombuffer(words.ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert list(map(words.ids, texts)) == subwords.packed(texts)
 
 
 def test_assembled_sequences_are_the_documents(spark, tokenizer):
-    cut = packing.pieces(docs(spark), FILE, size=50, chunks=BARE_CHUNKS)
+    cut = packing.pieces(docs(spark), FILE, size=50, by_words=True)
     packed = packing.pack(cut, size=50)
     assert set(packed.columns) >= {"row", "__key", "label", "ids"}
     whole = {r["sequence_id"]: bytes(r["ids"]) for r in collected(packing.assemble(packed))}
