@@ -6,6 +6,9 @@ surges where that sum rises from nothing and dives where it falls back to nothin
 between a surge and its dive is kept.  A page that marks its article is cut to it first; on
 any other page a stretch has to reach ``SURGE`` characters and a share of the longest stretch, unless it
 stands in the same container: of such a stretch the lines in the container are kept whatever their size.
+
+What an element is called parts it off only where the whole class or id is the name of a menu, an advert, comments and so on.
+A word of that kind inside a longer name raises a suspicion, which the lines decide: links and lines without a surge go.
 """
 
 from __future__ import annotations
@@ -26,26 +29,29 @@ LINK_SHARE = 0.7
 
 #: Elements that never hold article text.
 SKIPPED = frozenset("""head title script style noscript template nav footer aside form button select option optgroup
-textarea label fieldset iframe svg canvas object embed video audio map dialog menu datalist""".split())
+textarea fieldset iframe svg canvas object embed video audio map dialog menu datalist""".split())
 #: Elements that end a line.
 BLOCKS = frozenset("""html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody
 tfoot tr blockquote pre figure figcaption address hr details summary center header hgroup""".split())
 #: Elements that hold a part of a page of their own; sections and the like divide one text.
 CONTAINERS = frozenset("body div td th center".split())
+#: Elements whose name may raise a suspicion about all they hold.
+HOLDING = frozenset("div section ul ol dl table td th center details aside".split())
 SPACES = frozenset("br td th wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of a class, id or role that name a part beside the article.
-BESIDE = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion
-cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar widget
-widgets menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond
-discussion related recommended recommendations teaser teasers share sharing social toolbar pagination pager login search
-copyright legal disclaimer contentinfo complementary masthead topbar""".split())
-#: Whole names of classes that part adverts, notices and comments off inside a marked article, and roles that do.
-ADVERTS = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense adslot adsbygoogle sponsored
-cookies commentlist""".split())
+#: Words that, as a whole class or id, name a part beside the article.
+OWNERS = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense adslot adsbygoogle banner sponsor
+sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup
+sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus
+pagination pager toolbar login masthead topbar""".split())
+#: Words that raise a suspicion, which the lines of the part decide.
+SUSPECTS = OWNERS | frozenset("""alert reply replies respond discussion related recommended recommendations teaser teasers share
+sharing social search copyright legal disclaimer contentinfo complementary header""".split())
+#: Words that only say which piece of a part it is, and ones that name what holds the article.
+PIECES = frozenset("""box section list wrapper wrap container area block inner content left right top bottom main item slot unit bar
+form header body text title links site page post article entry primary secondary global sticky fixed mobile desktop""".split())
+HOLDERS = frozenset("content post article entry story main text page container wrapper layout body".split())
 ROLES = frozenset("navigation search complementary contentinfo dialog alertdialog menu menubar toolbar".split())
-#: Words that say on their own that a compound class name, all of whose words are in ``BESIDE``, is not the article's.
-_OWNERS = frozenset("ad ads advert cookie cookies gdpr newsletter comment comments".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose end tag may be left out: what holds them, and the tags of which one that opens ends them.
 _ROWS = frozenset("tr thead tbody tfoot".split())
@@ -59,31 +65,38 @@ _TOKEN = re.compile(
     r"""|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>""", re.S | re.I)
 _NAMES = re.compile(r"""\b(?P<name>class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_TALK = re.compile(r"comment|repl(?:y|ies)|disqus|discussion", re.I)
 _MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 
 
-def _beside(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element opens a part that is not the article."""
-    if tag in SKIPPED or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main") or _MAIN.search(attrs):
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    named = [(m["name"].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _NAMES.finditer(attrs)]
-    if in_article:
-        return any(value.strip() in ROLES if name == "role" else name == "class" and any(map(_advert, value.split()))
-                   for name, value in named)
-    # the id of a heading is what links to it name
-    names = {w for name, value in named if name != "id" or tag not in HEADINGS for w in re.split(r"[^a-z0-9]+", value)}
-    return bool(names & BESIDE) or "header" in names
+def _names_part(name: str) -> bool:
+    """Whether a whole class or id names a part beside the article: an owner's word, alone or with words that say which
+    piece of it is meant."""
+    words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+    return not OWNERS.isdisjoint(words) and all(w in SUSPECTS or w in PIECES for w in words)
 
 
-def _advert(name: str) -> bool:
-    """Whether a whole class name is one of an advert, a notice or comments."""
-    words = re.split(r"[-_]+", name)
-    return name in ADVERTS or (len(words) > 1 and (words[0] in ("ad", "ads", "advert") or (
-        BESIDE.issuperset(words) and not _OWNERS.isdisjoint(words))))
+def _beside(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether an element opens a part that is not the article: 2 certainly, 1 perhaps, 0 no."""
+    if tag in SKIPPED or (tag == "header" and not in_article):
+        return 2
+    if not attrs or tag in ("html", "body") or _MAIN.search(attrs):
+        return 0
+    if _HIDDEN.search(attrs):
+        return 2
+    named = [(m["name"].lower(), (m[2] or m[3] or m[4] or "").lower().split()) for m in _NAMES.finditer(attrs)]
+    if any(name == "role" and not ROLES.isdisjoint(values) for name, values in named):
+        return 2
+    # the id of a heading or a phrase is what links to it name
+    tokens = [v for name, values in named for v in values if name == "class" or (name == "id" and tag in BLOCKS and tag not in HEADINGS)]
+    if tag in ("article", "main"):
+        return 2 if any(re.match(r"(comment|reply)s?\b", v) for v in tokens) else 0
+    holds = any(v in HOLDERS for v in tokens)
+    if any(map(_names_part, tokens)):
+        return 1 if holds else 2
+    if not in_article and not holds and any(re.fullmatch(r"(?:(?:site|page|top|main|global)[-_])?header", v) for v in tokens):
+        return 2
+    return int(tag in HOLDING and any(not SUSPECTS.isdisjoint(re.split(r"[^a-z0-9]+", v)) for v in tokens))
 
 
 def _implied_end(skip: str, tag: str, closing: bool, held: int) -> bool:
@@ -94,22 +107,25 @@ def _implied_end(skip: str, tag: str, closing: bool, held: int) -> bool:
     return held == 0 and (tag in holders or (skip[0] == "t" and skip != tag and tag in _ROWS) if closing else tag in siblings)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters inside links, inside a marked article, number of the container) of every line; skipped parts
-    give empty lines."""
-    lines: list[tuple[str, int, bool, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int, int]]:
+    """(text, characters inside links, inside a marked article, number of the container, number of the suspicious part or 0)
+    of every line; skipped parts give empty lines."""
+    lines: list[tuple[str, int, bool, int, int]] = []
+    suspects: list[list] = []  # tags of the open suspicious parts, how often each is nested, the number of the outermost
+    n_suspects = articles = inner = 0  # articles begun; ones open inside the part that is skipped
     holders: list[tuple[str, int]] = [("", 0)]  # the open containers and their numbers
     n_holders = 0
     parts: list[str] = []
     linked = link_depth = article = 0
     mains: list[list] = []  # tags that carry the role of the main part, and how often each is nested
+    talk = False
     skip, depth, held = "", 0, 0  # the element being skipped, how often it is nested, and the lists or tables in it
 
     def end() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, linked, article > 0, holders[-1][1]))
+            lines.append((text, linked, article > 0, holders[-1][1], suspects[-1][2] if suspects else 0))
         parts.clear()
         linked = 0
 
@@ -138,18 +154,37 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 held += -1 if closing else 1
             elif not implied and tag == skip and not (held and skip in _IMPLIED):
                 depth += -1 if closing else 0 if (m["attrs"] or "").endswith("/") else 1
-            # an unclosed part ends where the article begins or what holds it ends
-            if depth and not implied and not ((marked and not closing) or (closing and tag in ("article", "main", "body", "html"))):
+            # an unclosed part ends where the page's article begins or what holds it ends; not at articles of its own
+            begins = marked and not closing and not articles and not talk and not _beside(tag, m["attrs"] or "", False)
+            own = closing and tag == "article" and inner > 0
+            inner += (tag == "article" and not closing and not begins) - own
+            if depth and not implied and not begins and (own or not (closing and tag in ("article", "main", "body", "html"))):
                 continue
             ended, skip, depth = depth == 0, "", 0
-            lines.append(("", 0, article > 0, holders[-1][1]))
+            lines.append(("", 0, article > 0, holders[-1][1], suspects[-1][2] if suspects else 0))
             if ended:
                 continue
-        if not closing and tag not in VOID and _beside(tag, m["attrs"] or "", article > 0):
+        beside = 0 if closing or tag in VOID else _beside(tag, m["attrs"] or "", article > 0)
+        if beside == 2:
             end()
             if not (m["attrs"] or "").endswith("/"):
-                skip, depth, held = tag, 1, 0
+                skip, depth, held, inner = tag, 1, 0, 0
+                talk = bool(_TALK.search(m["attrs"] or ""))  # comments hold articles of their own
             continue
+        if beside and not (m["attrs"] or "").endswith("/"):
+            end()
+            n_suspects += 1
+            suspects.append([tag, 1, suspects[0][2] if suspects else n_suspects])
+        elif suspects and tag == suspects[-1][0]:
+            suspects[-1][1] += -1 if closing else 1
+            if not suspects[-1][1]:
+                end()
+                suspects.pop()
+        if marked and not closing:
+            if not articles:
+                end()
+                suspects.clear()
+            articles += 1
         if tag in BLOCKS:
             end()
         elif tag in SPACES:
@@ -178,13 +213,33 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     return lines
 
 
+def _refused(lines: list[tuple], marked: bool) -> set[int]:
+    """Suspicious parts whose lines are not the article's: mostly links, or, outside a marked article, text that never surges."""
+    parts: dict[int, list[tuple[int, int]]] = {}
+    for text, linked, _, _, part in lines:
+        if part:
+            parts.setdefault(part, []).append((len(text.replace(" ", "")), linked))
+    out = set()
+    for part, sizes in parts.items():
+        free = [n - min(n, k) for n, k in sizes]
+        loudest = max(sum(free[max(0, i - WINDOW + 1):i + 1]) for i in range(len(free)))
+        if sum(free) <= (1 - LINK_SHARE) * sum(n for n, _ in sizes) or (not marked and loudest < SURGE):
+            out.add(part)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by two line feeds; empty if there are none."""
     lines = lines_of(page or "")
-    marked = any(inside and text for text, _, inside, _ in lines)
+    marked = any(inside and text for text, _, inside, _, _ in lines)
+    refused = _refused(lines, marked)
+    whole = [k for k, line in enumerate(lines) if line[4] not in refused]
+    # a part that is all there is cannot be beside the article
+    if refused and not any(lines[k][0] and (lines[k][2] or not marked) for k in whole):
+        refused = set()
     # weight of a line: its text, without entries of menus and without what lies outside the article
-    weight = [len(text) if (inside if marked else linked < LINK_SHARE * len(text.replace(" ", ""))) else 0
-              for text, linked, inside, _ in lines]
+    weight = [0 if part in refused else len(text) if (inside if marked else linked < LINK_SHARE * len(text.replace(" ", ""))) else 0
+              for text, linked, inside, _, part in lines]
     total = [sum(weight[max(0, i - WINDOW + 1):i + 1]) for i in range(len(weight))]
     stretches, begin = [], None
     for i, w in enumerate([*weight, 0]):
@@ -206,7 +261,8 @@ def main_text(page: str | None) -> str:
             held[lines[k][3]] = held.get(lines[k][3], 0) + weight[k]
         most = max(held, key=lambda c: held[c])
         kept = [(s[0], s[1], None if s in loud else most) for s in stretches]
-    return "\n\n".join(lines[k][0] for a, b, within in kept for k in range(a, b) if lines[k][0] and (not marked or lines[k][2])
+    return "\n\n".join(lines[k][0] for a, b, within in kept for k in range(a, b)
+                       if lines[k][0] and lines[k][4] not in refused and (not marked or lines[k][2])
                        and (within is None or (lines[k][3] == within and weight[k])))
 
 

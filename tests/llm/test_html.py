@@ -52,7 +52,7 @@ def test_edges(spark):
 
 @pytest.mark.parametrize("part", [
     "<section id='discussion'><p>kept</p></section>", "<h2 id='search'>kept</h2>", "<div class='legal-analysis'>kept</div>",
-    "<p><span class='share'>kept</span></p>", "<p id='related-work'>kept</p>", "<div class='Notice'>kept</div>",
+    "<p><span class='share'>kept</span></p>", "<p id='related-work'>kept</p>", "kept<div class='Notice'>We</div>",
     "<p class=ad>Buy<p>kept</p>", "<p class='ad'>Buy<h2>kept</h2>", "<div><p class=ad>Buy</div>kept",
     "<ul><li class=ad>Buy<ul><li>Buy<li>Buy</ul><li>kept</ul>", "<ul><li class=ad>Buy</ul><p>kept</p>",
     "<table><tr><td class=ad>Buy<table><tr><td>Buy</td></tr></table><td>kept</table>", "<table><tr class=ad><td>Buy<td>Buy<tr><td>kept</table>",
@@ -70,3 +70,45 @@ def test_the_end_of_an_unmarked_article_after_a_silent_gap(open_, close, gap):
     assert H.main_text(page) == TEXT + "\n\nThe last words.\n\nLater\n\nA note."
     if open_:
         assert H.main_text(page.replace("</body>", beside + "</body>")) == TEXT + "\n\nThe last words.\n\nLater\n\nA note."
+
+
+PROSE = "<p>" + data.words(40, 21) + "</p><p>" + data.words(40, 22) + "</p>"
+SAYS = data.words(40, 21) + "\n\n" + data.words(40, 22)
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='comments'>" + PROSE + "</div>", "<section id='comments'>" + PROSE + "</section>", "<div class='sidebar'>" + PROSE + "</div>",
+    "<div class='menu'>" + PROSE + "</div>", "<div class='footer'>" + PROSE + "</div>", "<div class='notice'>" + PROSE + "</div>",
+    "<div class='newsletter'>" + PROSE + "</div>", "<article class='comment'>" + PROSE + "</article>", "<div class='post-comments'>" + PROSE + "</div>",
+    "<section id='comments'><article>" + PROSE + "</article><article class='comment'>" + PROSE + "</article>" + PROSE + "</section>",
+    "<div class='related-stories'><p><a href=/>" + data.words(20, 3) + "</a></p><ul><li><a href=/>" + data.words(9, 4) + "</a></ul></div>"])
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"),
+                                          ("<div class=content>", "</div>")])
+def test_parts_beside_the_article_inside_its_marks(open_, close, part):
+    for page in (open_ + BODY + part + "<p>The end.</p>" + close, open_ + part + BODY + "<p>The end.</p>" + close):
+        assert H.main_text(AROUND[0] + page + AROUND[1]) == TEXT + "\n\nThe end."
+
+
+def test_comments_behind_the_article():
+    for part in ("<article class='comment'>" + PROSE + "</article>", "<div id='comments'><article>" + PROSE + "</article></div>",
+                 "<main><div class='sidebar'>" + PROSE + "</div></main>"):
+        assert H.main_text("<main><article>" + BODY + "</article></main>" + part + "<footer>x</footer>") == TEXT
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<div class='post share-enabled'>", "</div>"), ("<div class='content widget'>", "</div>"),
+                                          ("<div>", "</div>")])
+@pytest.mark.parametrize("tag, attrs", [("div", "class='ad-hoc-networks'"), ("section", "class='legal'"), ("section", "id='related-work'"),
+                                        ("div", "id='discussion'"), ("div", "class='menu-of-the-day'")])
+def test_one_word_of_a_name_drops_no_article_text(open_, close, tag, attrs):
+    page = AROUND[0] + open_ + BODY + f"<{tag} {attrs}>" + PROSE + f"</{tag}>" + close + AROUND[1]
+    assert H.main_text(page) == TEXT + "\n\n" + SAYS
+
+
+def test_label_inside_a_paragraph_and_a_page_that_is_one_suspect():
+    assert H.main_text("<article><p>one <label>two</label> three</p></article>") == "one two three"
+    assert H.main_text("<div class='search-results-essay'>short</div>") == "short"
+
+
+def test_without_marks_the_line_blocks_give_the_same(spark):
+    for p in data.collected(table(spark, "/root/testdata/sf0.01", "pages")):
+        assert H.main_text(re.sub(r"(</?)article\b", r"\1div", p["html"])) == H.main_text(p["html"])
