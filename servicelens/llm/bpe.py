@@ -257,7 +257,9 @@ def _digests(ids: str, decoded: str) -> list:
 
 
 def token_digests(docs: DataFrame, bpe) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row of ``docs``."""
+    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row of ``docs``, repeated ones too.
+
+    A null or empty text has no tokens and the digests of nothing; a null doc_id stays null; other columns are left out."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return decode(encode(texts, bpe).drop("text"), bpe).select("doc_id", *_digests("ids", "decoded"))
 

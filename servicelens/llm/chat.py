@@ -102,7 +102,8 @@ def parse(formatted: Column) -> Column:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """Digests of rendered conversations, taken from ``formatted`` and ``loss_spans`` alone."""
+    """Digests of rendered conversations, taken from ``formatted`` and ``loss_spans`` alone; a conversation without assistant
+    turns has the digest of nothing.  A row in, a row out; an empty table gives none."""
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     said = F.array_join(F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select("conv_id", F.size(parse(F.col("formatted"))).cast("long").alias("n_turns"),
@@ -113,7 +114,8 @@ def read_back(chats: DataFrame) -> DataFrame:
 def as_events(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
     """Stored rows (``conv_id``, ``turn``, ``role``, ``text``) as the log that streamed them: ``open``, then deltas.
 
-    Every row is a message of its own, also where rows repeat."""
+    Every row is a message of its own, also where rows repeat; a null or empty text is opened and gets no delta.  Null ids
+    make one conversation; other columns are left out."""
     rows = conversations.select("conv_id", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                                 F.monotonically_increasing_id().alias("msg"))
     count = F.ceil(F.length("text") / F.lit(delta_chars)).cast("int")

@@ -157,7 +157,10 @@ def _listed(spans: Column) -> Column:
 
 
 def secret_digests(found: DataFrame) -> DataFrame:
-    """Counts and digests of the base kinds, and all spans, of every row of ``find_secrets``."""
+    """Counts and digests of the base kinds, and all spans, of every row of ``find_secrets``.
+
+    A row without spans (null and empty texts among them) has zeros, the digest of nothing and an empty list; repeated rows
+    come back as often as given."""
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
 
     def of_kind(kind: str) -> Column:
@@ -169,7 +172,8 @@ def secret_digests(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, ledger: BlobLedger, rules: list[Rule] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every stretch of overlapping spans of ``text`` replaced by ``mark``; ``n_chars``, where
-    there is one, counts the new text.  Rows without spans are unchanged."""
+    there is one, counts the new text.  Rows without spans are unchanged, null and empty texts among them; rows come back as
+    often as given, whatever other columns are called."""
     ledger.scan(docs, rules)
     found = scratch_table(ledger.findings(rules), "findings")
     blob, spans = fresh(docs, "__blob"), fresh(docs, "__spans")
