@@ -21,11 +21,13 @@ from .util import computed_once
 
 #: Characters of an anchor, slots of the histogram that says how common an anchor is, most bits of the anchors' Bloom filter.
 _GRAM, _SLOTS, _MOST_BITS = 5, 1 << 12, 1 << 20
+#: First characters of anchors up to which positions are chosen by them.
+_STARTS = 64
 
 
 def _longs(values: list[int]) -> Column:
-    """A constant array."""
-    return F.expr("array(" + ", ".join(f"{v}L" if v > -(1 << 63) else "bigint('-9223372036854775808')" for v in values) + ")")
+    """A constant array.  As one text it is a small tree for the analyzer; the optimizer folds it into a literal once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _hashed(chars: Column, at: Column, size: Column) -> Column:
@@ -41,11 +43,16 @@ class AnchorIndex:
     def __init__(self, ids: DataFrame, column: str, gram: int = _GRAM):
         chars, size = F.split(F.col(column), ""), F.least(F.length(column), F.lit(gram))
         grams = ids.filter(F.length(column) > 0).select(column, size.alias("_n"), F.explode_outer(F.transform(
-            F.sequence(F.lit(1), F.length(column) - size + 1), lambda k: _hashed(chars, k, size))).alias("_h"))
+            F.sequence(F.lit(1), F.length(column) - size + 1),
+            lambda k: F.struct(_hashed(chars, k, size).alias("_h"), F.get(chars, k - 1).alias("_c")))).alias("_g")).select("*", "_g.*")
         seen = {r["slot"]: r["n"] for r in grams.groupBy(F.pmod("_h", F.lit(_SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}
         common = F.get(_longs([seen.get(i, 0) for i in range(_SLOTS)]), F.pmod("_h", F.lit(_SLOTS)).cast("int"))
         #: column, _n (its length), _h
-        self.anchors = grams.groupBy(column, "_n").agg(F.min_by("_h", F.struct(common, F.col("_h"))).alias("_h"))
+        chosen = grams.groupBy(column, "_n").agg(F.min_by(F.struct("_h", "_c"), F.struct(common, F.col("_h"))).alias("_g"))
+        self.anchors = chosen.select(column, "_n", "_g._h")
+        # with few first characters most positions are passed over before anything is hashed
+        starts = [r[0] for r in chosen.select("_g._c").distinct().limit(_STARTS + 1).collect()]
+        self._starts = "".join(starts) if len(starts) <= _STARTS else None
         shape = ids.agg(F.count_if(F.length(column) > 0).alias("n"), F.max(F.length(column)).alias("longest"),
                         F.collect_set(size).alias("sizes"), F.count_if(F.length(column) == 0).alias("empty")).first()
         self.longest, self.sizes, self.empty = shape["longest"] or 0, sorted(x for x in shape["sizes"] if x), bool(shape["empty"])
@@ -65,8 +72,10 @@ class AnchorIndex:
 
         def of_size(x: Column, n: int) -> Column:
             reach = self.longest - n
-            at = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))),
-                                      lambda i: F.struct(i.alias("i"), _hashed(x, i, F.lit(n)).alias("h"))), lambda s: self._known(s["h"]))
+            spots = F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1)))
+            if self._starts is not None:
+                spots = F.filter(spots, lambda i: F.instr(F.lit(self._starts), F.get(x, i - 1)) > 0)
+            at = F.filter(F.transform(spots, lambda i: F.struct(i.alias("i"), _hashed(x, i, F.lit(n)).alias("h"))), lambda s: self._known(s["h"]))
             return F.transform(at, lambda s: F.struct(s["h"].alias("h"), F.array_join(F.slice(
                 x, F.greatest(s["i"] - reach, F.lit(1)), F.lit(self.longest + reach)), "").alias("around")))
 
