@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, own, scratch_table
+from .common import connected_components, fresh, hash_sample, own, scratch_table
 
 #: Most fingerprints that the driver sees to lay out the shards.
 SAMPLE_LIMIT = 32_768
@@ -173,7 +173,8 @@ def simhash_links(distinct: DataFrame, radius: int, sample_limit: int = SAMPLE_L
     n = distinct.count()
     leaves = max(1, min(n // leaf_target, sample_limit // 16))
     # the sampled ones have the smallest hashes, so that the tree is the same in every run
-    sample = [r[0] for r in distinct.orderBy(F.xxhash64("__fp"), "__fp").limit(min(sample_limit, 32 * leaves)).collect()]
+    wanted = hash_sample(distinct.select("__fp"), "__fp", n, min(sample_limit, 32 * leaves)) if leaves > 1 else distinct.limit(0)
+    sample = [r[0] for r in sorted(wanted.select("__fp", F.xxhash64("__fp")).collect(), key=lambda r: (r[1], r[0]))]
     nodes = build_tree(np.array(sample, np.int64).view(np.uint64), leaves, radius) if leaves > 1 else []
 
     def visits(batches):
