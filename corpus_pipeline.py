@@ -15,27 +15,28 @@ from servicelens.llm.queries import public_bpe
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null and wordless texts among them."""
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays (3-word shingles, 2 bits)."""
+    """One document of each SimHash component stays (3-word shingles, 2 bits): the one with the smallest doc_id, of rows that
+    repeat it one; all texts without words are one component."""
     return simhash.drop_near_duplicates(docs, shingle=3, radius=2)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window like a benchmark item go (5-word shingles, similarity 0.8)."""
+    """Documents with a window like a benchmark item go (5-word shingles, similarity 0.8); null and empty texts hold none."""
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"), shingle=5, min_similarity=0.8)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay; their secrets are masked and ``n_chars`` follows."""
+    """Documents stay, as often as given; their secrets are masked and ``n_chars`` follows.  Null and empty texts have none."""
     return secrets.redact(docs, secrets.scratch_ledger(spark))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and digests of ids and decoded bytes instead of the text."""
+    """Token ids and digests of ids and decoded bytes instead of the text; a null or empty one has no ids."""
     return bpe.tokenize(docs, public_bpe(spark))
 
 
