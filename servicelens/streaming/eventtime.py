@@ -2,7 +2,7 @@
 micro-batches they came in.
 
 Both processors hold what has arrived and act on it in order once the watermark has passed it.  State is in the state
-store of the session (RocksDB), keyed by service or by alarm; timers are event-time timers.
+store of the session (RocksDB), keyed by bucket of services or by alarm; timers are event-time timers.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,106 +57,146 @@ FOLD_OUT = T.StructType([
     T.StructField("breach_probability", T.DoubleType()), T.StructField("response_remaining", T.DoubleType()),
     T.StructField("resolution_remaining", T.DoubleType())])
 _NAMES = FOLD_OUT.names
-_EVENT = "event_id bigint, at bigint, delta double, saved double, detail_type string"
+_NOW = ["service_id", "p", "r", "q", "k", "at"]
+_EVENT = ["service_id", "no_service", "event_id", "no_event", "at", "delta", "saved", "detail_type"]
+#: Groups that services are dealt out to, and most rows of one entry of their state.
+BUCKETS, _CHUNK = 64, 10_000
 
 
-def _rows(kind: str, service: int, events: pd.DataFrame, **more) -> pd.DataFrame:
-    out = pd.DataFrame({"kind": kind, "service_id": service, "event_id": events["event_id"].astype("int64"),
-                        "detail_type": events["detail_type"], "at": events["at"].astype("int64")})
+def _rows(kind: str, events: pd.DataFrame, **more) -> pd.DataFrame:
+    out = pd.DataFrame({"kind": kind, "service_id": events["service_id"].astype("Int64").mask(events["no_service"].astype(bool)),
+                        "event_id": events["event_id"].astype("Int64").mask(events["no_event"].astype(bool)),
+                        "detail_type": events["detail_type"], "at": events["at"].astype("Int64")})
     for name in _NAMES[5:]:
         out[name] = more.get(name)
     out["update_seq"] = out["update_seq"].astype("Int64")
     return out[_NAMES]
 
 
+def _hold(held, rows: pd.DataFrame) -> None:
+    """Append ``rows`` to a list state, as Arrow batches of at most ``_CHUNK`` rows each."""
+    for begin in range(0, len(rows), _CHUNK):
+        batch = pa.RecordBatch.from_pandas(rows.iloc[begin:begin + _CHUNK], preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        held.appendValue((sink.getvalue().to_pybytes(),))
+
+
+def _held(held, names: list[str]) -> pd.DataFrame:
+    parts = [pa.ipc.open_stream(bytes(x[0])).read_pandas() for x in held.get()]
+    return pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
+
+
 class ServiceFold(StatefulProcessor):
-    """State of a service: its last version (``now``) and the events that the watermark has not passed (``waiting``).
+    """State of a bucket of services: their last versions (``now``, by service) and the events that the watermark has not
+    passed (``waiting``).
+
+    An event is late if the watermark has passed its time when it arrives, or if it has none.  Waiting events of a service
+    apply in (time, id) order when the watermark passes them.  A version lives for ``ttl_us`` after its time: an event at or
+    after that finds no state, and the store forgets the service once the watermark is there.
 
-    An event is late if the watermark has passed its time when it arrives.  Waiting events apply in (time, id) order when
-    the watermark passes them.  A version lives for ``ttl_us`` after its time: an event at or after that finds no state,
-    and the store forgets the service once the watermark is there."""
+    A call of Python per service costs far more than what it does for a service's few events; so a call sees all
+    services of a bucket, and state goes to the store in Arrow batches.  One timer stands for the first thing due
+    in the bucket (``alarm``)."""
 
     def __init__(self, ttl_us: int):
         self.ttl = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "p double, r double, q double, k bigint, at bigint")
-        self.waiting = handle.getListState("waiting", _EVENT)
+        self.now = handle.getListState("now", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.alarm = handle.getValueState("alarm", "at bigint")
+
+    def _wake(self, us: int) -> None:
+        """The bucket's timer goes off at ``us`` at the latest."""
+        at = _ms_from(us)
+        if self.alarm.exists():
+            before = self.alarm.get()[0]
+            if before <= at:
+                return
+            self.handle.deleteTimer(before)
+        self.alarm.update((at,))
+        self.handle.registerTimer(at)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        s = initialState.iloc[0]
-        self.now.update((float(s["p"]), float(s["r"]), float(s["q"]), 0, int(s["at"])))
-        self.handle.registerTimer(_ms_from(int(s["at"]) + self.ttl))
+        _hold(self.now, initialState.assign(k=0)[_NOW])
+        self._wake(int(initialState["at"].min()) + self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        service, passed = int(key[0]), timerValues.getCurrentWatermarkInMs() * 1000
-        known, first = self.now.exists(), None
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        known, first = _held(self.now, _NOW)["service_id"], None
         for events in rows:
-            late = events["at"] <= passed
+            late = events["at"].isna() | (events["at"] <= passed)
             if late.any():
-                yield _rows("late", service, events[late])
-            events = events[~late]
+                yield _rows("late", events[late])
+            lost = ~late & (events["no_service"] | ~events["service_id"].isin(known))
+            if lost.any():
+                yield _rows("missing", events[lost])
+            events = events[~(late | lost)]
             if events.empty:
                 continue
-            if not known:
-                yield _rows("missing", service, events)
-                continue
-            self.waiting.appendList(list(zip(events["event_id"].tolist(), events["at"].tolist(), events["delta"].tolist(),
-                                             events["saved"].tolist(), events["detail_type"].tolist())))
+            _hold(self.waiting, events[_EVENT].astype({"at": "int64"}))
             earliest = int(events["at"].min())
             first = earliest if first is None else min(first, earliest)
         if first is not None:
-            self.handle.registerTimer(_ms_from(first))
+            self._wake(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        service, passed = int(key[0]), timerValues.getCurrentWatermarkInMs() * 1000
-        if not self.now.exists():
-            return
-        p, r, q, k, last = self.now.get()
-        held = pd.DataFrame(list(self.waiting.get()), columns=["event_id", "at", "delta", "saved", "detail_type"])
-        due = held[held["at"] <= passed].sort_values(["at", "event_id"])
-        rest = held[held["at"] > passed]
-        begin = last
-        if len(due):
-            at = due["at"].to_numpy(np.int64)
-            ended = np.flatnonzero(at >= np.append(last, at[:-1]) + self.ttl)
-            n = int(ended[0]) if len(ended) else len(due)
-            alive, gone = due.iloc[:n], due.iloc[n:]
-            if n:
-                ps = list(accumulate(alive["delta"].tolist(), lambda a, d: min(max(a + d, 0.0), 1.0), initial=p))[1:]
-                saved = np.cumsum(alive["saved"].to_numpy(float))
-                yield _rows("version", service, alive, update_seq=np.arange(k + 1, k + n + 1),
-                            breach_probability=np.round(ps, state.PROB_DECIMALS), response_remaining=r + saved, resolution_remaining=q + saved)
-                p, r, q, k, last = ps[-1], r + float(saved[-1]), q + float(saved[-1]), k + n, int(at[n - 1])
-            if len(gone):
-                yield from self._forget(service, last, begin)
-                yield _rows("missing", service, gone)
-                if len(rest):
-                    yield _rows("missing", service, rest)
-                return
-        if passed >= last + self.ttl:  # what waits is later than the watermark, so later than that
-            yield from self._forget(service, last, begin)
-            if len(rest):
-                yield _rows("missing", service, rest)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.alarm.clear()
+        now = _held(self.now, _NOW).sort_values("service_id", ignore_index=True)
+        if now.empty:
             return
-        if len(due):
-            self.now.update((p, r, q, k, last))
-            self.handle.deleteTimer(_ms_from(begin + self.ttl))
-            self.handle.registerTimer(_ms_from(last + self.ttl))
-            if len(rest):
-                self.waiting.put(list(rest.itertuples(index=False, name=None)))
-            else:
-                self.waiting.clear()
-        if len(rest):
-            self.handle.registerTimer(_ms_from(int(rest["at"].min())))
-
-    def _forget(self, service: int, last: int, begin: int) -> Iterator[pd.DataFrame]:
-        """The version of time ``last`` has expired; ``begin`` was the time that the expiry timer was set from."""
-        self.now.clear()
-        self.waiting.clear()
-        self.handle.deleteTimer(_ms_from(begin + self.ttl))
-        yield _rows("expired", service, pd.DataFrame({"event_id": [0], "detail_type": [None], "at": [last + self.ttl]}))
+        held = _held(self.waiting, _EVENT)
+        ready = (held["at"] <= passed).to_numpy(bool)
+        due = held[ready].sort_values(["service_id", "at", "no_event", "event_id"], ignore_index=True)
+        rest = held[~ready]
+        ids = now["service_id"].to_numpy(np.int64)
+        last = now["at"].to_numpy(np.int64).copy()
+        p, r, q, k = (now[c].to_numpy(t).copy() for c, t in (("p", float), ("r", float), ("q", float), ("k", np.int64)))
+        service, at = due["service_id"].to_numpy(np.int64), due["at"].to_numpy(np.int64)
+        place = np.searchsorted(ids, service)  # every event that waits is of a service in ``now``
+        starts = np.flatnonzero(np.concatenate([[True], service[1:] != service[:-1]])) if len(due) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(due)))
+        before = np.roll(at, 1)
+        before[starts] = last[place[starts]]
+        over = np.cumsum(at >= before + self.ttl)
+        alive = over == np.repeat(over[starts] - (at[starts] >= before[starts] + self.ttl), sizes)
+        delta, saved = due["delta"].to_numpy(float), due["saved"].to_numpy(float)
+        seq, ps, rs, qs = np.zeros(len(due), np.int64), *(np.zeros(len(due)) for _ in range(3))
+        for a, n in zip(starts.tolist(), (np.add.reduceat(alive, starts, dtype=np.int64) if len(due) else starts).tolist()):
+            if not n:
+                continue
+            i, b = place[a], a + n
+            ps[a:b] = list(accumulate(delta[a:b].tolist(), lambda x, d: min(max(x + d, 0.0), 1.0), initial=float(p[i])))[1:]
+            gained = np.cumsum(saved[a:b])
+            rs[a:b], qs[a:b], seq[a:b] = r[i] + gained, q[i] + gained, np.arange(k[i] + 1, k[i] + n + 1)
+            p[i], r[i], q[i], k[i], last[i] = ps[b - 1], rs[b - 1], qs[b - 1], k[i] + n, at[b - 1]
+        # what waits is later than the watermark, so later than the end of what has expired
+        ended = passed >= last + self.ttl
+        ended[place[~alive]] = True
+        stranded = rest["service_id"].isin(ids[ended]).to_numpy(bool)
+        lost = pd.concat([due[~alive], rest[stranded]]) if stranded.any() or not alive.all() else due[:0]
+        rest = rest[~stranded]
+        stay = pd.DataFrame({"service_id": ids, "p": p, "r": r, "q": q, "k": k, "at": last})[~ended]
+        if alive.any() or ended.any():
+            self.now.clear()
+            _hold(self.now, stay)
+        if len(rest) < len(held):
+            self.waiting.clear()
+            _hold(self.waiting, rest)
+        if len(stay):
+            self._wake(min([int(stay["at"].min()) + self.ttl, *rest["at"].astype("int64").nsmallest(1).tolist()]))
+        if alive.any():
+            yield _rows("version", due[alive], update_seq=seq[alive], breach_probability=np.round(ps[alive], state.PROB_DECIMALS),
+                        response_remaining=rs[alive], resolution_remaining=qs[alive])
+        if ended.any():
+            yield _rows("expired", pd.DataFrame({"service_id": ids[ended], "no_service": False, "event_id": 0, "no_event": False,
+                                                 "detail_type": None, "at": last[ended] + self.ttl}))
+        if len(lost):
+            yield _rows("missing", lost)
 
     def close(self) -> None:
         pass
@@ -168,14 +209,15 @@ def _micros(ts) -> F.Column:
 def event_time_fold_stream(spark: SparkSession, source: str, initial_state: DataFrame, sink: str, event_schema: T.StructType,
                            delay: str = "10 minutes", ttl_days: float = STATE_TTL_DAYS, checkpoint: str | None = None,
                            available_now: bool = True, interval: str = "5 seconds",
-                           max_files_per_trigger: int | None = None) -> StreamingQuery:
+                           max_files_per_trigger: int | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """S4 + S9 streaming in event time: parquet status events, in any order within ``delay``, on top of the latest prior
     states.
 
     The tables of ``sink`` (see ``BatchCommits``) are ``versions`` (one per applied event, as the batch fold makes them),
     ``late`` (events behind the watermark), ``missing`` (events of services without a live state) and ``expired``
     (services whose last version has outlived ``ttl_days``, with the time it did).  The last ``delay`` of events waits until
-    something later arrives; unhandled event types move the watermark too."""
+    something later arrives; unhandled event types move the watermark too.  ``buckets`` (groups of services that share a call
+    and an entry of state) stays what it was when the checkpoint was begun."""
     reader = spark.readStream.schema(event_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -183,14 +225,17 @@ def event_time_fold_stream(spark: SparkSession, source: str, initial_state: Data
     # unhandled types move the watermark too, but a plain filter would be pushed below it.  Late events are told apart
     # by the processor, so the column that Spark would drop them by ends here
     deltas = state.event_deltas(events)
+    bucket = F.pmod(F.xxhash64("service_id"), F.lit(buckets)).cast("int")
     steps = filter_computed(deltas, "handled", F.col("handled")).select(
-        "service_id", "event_id", F.unix_micros("_at").alias("at"), F.col("delta_p").alias("delta"),
-        F.col("time_saved").cast("double").alias("saved"), "detail_type")
-    first = state.latest_state(initial_state).select(
-        "service_id", F.col("breach_probability").alias("p"), F.col("response_remaining").alias("r"),
+        # without nulls, which would make pandas read ids as floating point
+        bucket.alias("bucket"), F.coalesce("service_id", F.lit(0)).alias("service_id"), F.col("service_id").isNull().alias("no_service"),
+        F.coalesce("event_id", F.lit(0)).alias("event_id"), F.col("event_id").isNull().alias("no_event"),
+        F.unix_micros("_at").alias("at"), F.col("delta_p").alias("delta"), F.col("time_saved").cast("double").alias("saved"), "detail_type")
+    first = state.latest_state(initial_state).filter("service_id IS NOT NULL").select(
+        bucket.alias("bucket"), "service_id", F.col("breach_probability").alias("p"), F.col("response_remaining").alias("r"),
         F.col("resolution_remaining").alias("q"), _micros("version_ts").alias("at"))
-    folded = steps.groupBy("service_id").transformWithStateInPandas(
-        ServiceFold(int(ttl_days * _DAY_US)), FOLD_OUT, "append", "EventTime", initialState=first.groupBy("service_id"))
+    folded = steps.groupBy("bucket").transformWithStateInPandas(
+        ServiceFold(int(ttl_days * _DAY_US)), FOLD_OUT, "append", "EventTime", initialState=first.groupBy("bucket"))
 
     def write(df: DataFrame, batch_id: int) -> None:
         rows = df.withColumn("event_ts", F.timestamp_micros("at").cast("timestamp_ntz")).persist()

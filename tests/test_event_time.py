@@ -101,6 +101,21 @@ def test_state_stays_flat(spark, tmp_dir):
     assert sizes[-1] < sizes[0] / 10, sizes
 
 
+def test_state_is_kept_by_bucket(spark, tmp_dir):
+    """State entries and calls grow with the buckets, not with the services; events without service, id or time are told apart."""
+    n = 2000
+    initial = [(s, START - dt.timedelta(hours=1), 0.5, 60.0, 240.0) for s in range(n)]
+    odd = [(None, 2 * n, START, *KINDS[0], 10, None), (7, None, START, *KINDS[0], 10, None), (8, 3 * n, None, *KINDS[0], 10, None)]
+    run, q = run_fold(spark, tmp_dir, [[event(s, s, s % 60, 2) for s in range(n)] + odd, [event(-1, 1, 60 * 24 * 365, 5)]], initial, "1 hour")
+    got = run.read("versions").groupBy("service_id").count().collect()
+    assert {r[0]: r[1] for r in got} == {s: 1 + (s == 7) for s in range(n)}
+    assert [tuple(r) for r in run.read("missing").select("service_id", "event_id").collect()] == [(None, 2 * n)]
+    assert [tuple(r) for r in run.read("late").select("service_id", "event_id", "event_ts").collect()] == [(8, 3 * n, None)]
+    assert run.read("expired").count() == n
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(sizes) <= 6 * eventtime.BUCKETS, sizes
+
+
 METRICS = "namespace string, metric string, value double, ts timestamp_ntz"
 
 
