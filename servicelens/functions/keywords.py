@@ -7,7 +7,7 @@ whole rule vocabulary finds every keyword of every rule in a single pass; the re
 is the sorted array of keyword ids present, and each rule test becomes
 ``array_contains(hits, id)`` — the rules themselves stay Catalyst expressions.
 
-The automaton runs inside an Arrow-batched pandas UDF (a small per-row helper; Spark
+The automaton runs inside an Arrow UDF (a small per-row helper; Spark
 partitions the texts) and is built once per Python worker.  Substring semantics are
 exactly those of ``contains``: all occurrences, overlapping and nested, are reported.
 Without the ``ahocorasick`` module the index is off and rules use ``contains``.
@@ -15,7 +15,7 @@ Without the ``ahocorasick`` module the index is off and rules use ``contains``.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,11 +85,17 @@ def hits_of(text: str | None, vocab: tuple[str, ...], automaton=None) -> list[in
     return sorted({i for _, i in automaton.iter(text)})
 
 
+#: Texts that are Python strings at one time; the rest of an Arrow batch stays in Arrow.
+_SLICE = 256
+
+
 def _hits_udf(vocab: tuple[str, ...]):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def keyword_hits(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def keyword_hits(texts: pa.Array) -> pa.Array:
         a = _automaton(vocab)
-        return pd.Series([hits_of(t, vocab, a) for t in texts])
+        parts = [pa.array([hits_of(t, vocab, a) for t in texts.slice(i, _SLICE).to_pylist()], pa.list_(pa.int32()))
+                 for i in range(0, len(texts), _SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
     return keyword_hits
 
 

@@ -14,6 +14,7 @@ import re
 from email.header import decode_header, make_header
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,12 +61,18 @@ def parse_message(text: str) -> tuple | None:
     return (_header(msg, "message-id"), _header(msg, "from"), _header(msg, "to"), _header(msg, "subject"), _received(msg), body)
 
 
+#: Messages that are parsed into one batch; more would hold several copies of every body at one time.
+_SLICE = 256
+_ARROW = pa.schema([("message_id", pa.string()), ("sender", pa.string()), ("to", pa.string()), ("subject", pa.string()),
+                    ("received_at", pa.timestamp("us", "UTC")), ("body", pa.string())])
+
+
 def _parse(batches):
-    for pdf in batches:
-        rows = [r for r in map(parse_message, pdf["value"]) if r is not None]
-        out = pd.DataFrame(rows, columns=MAIL_SCHEMA.names)
-        out["received_at"] = pd.to_datetime(out["received_at"], utc=True)
-        yield out
+    for whole in batches:
+        for begin in range(0, whole.num_rows, _SLICE):
+            rows = [r for r in map(parse_message, whole.column(0).slice(begin, _SLICE).to_pylist()) if r is not None]
+            columns = zip(*rows) if rows else [[]] * len(_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
 def read_mbox(spark: SparkSession, path: str, stream: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -73,7 +80,7 @@ def read_mbox(spark: SparkSession, path: str, stream: bool = False, max_files_pe
     reader = (spark.readStream.schema("value string") if stream else spark.read).option("lineSep", _SEPARATOR)
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.format("text").load(path).select("value").mapInPandas(_parse, MAIL_SCHEMA)
+    return reader.format("text").load(path).select("value").mapInArrow(_parse, MAIL_SCHEMA)
 
 
 def _encoded_word(c: Column) -> Column:

@@ -57,3 +57,21 @@ def test_stream_of_messages(spark, tmp_dir):
     q.awaitTermination(300)
     assert sorted(r["body"] for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == sorted(f"b{i}" for i in range(10))
     assert os.path.exists(f"{tmp_dir}/ck")
+
+
+def test_a_batch_is_parsed_in_slices():
+    """Of a large batch only some messages are Python objects at one time, also in what goes back to Spark."""
+    import tracemalloc
+
+    import pyarrow as pa
+    text = "MAILER 2024-01-31\nMessage-ID: <{}@b>\nDate: Wed, 31 Jan 2024 10:00:00 +0000\n\n" + "body " * 4000
+    whole = pa.RecordBatch.from_pydict({"value": [text.format(i) for i in range(1500)] + ["", "MAILER 2024-01-31\n"]})
+    ids = []
+    tracemalloc.start()
+    for batch in mail._parse(iter([whole])):
+        assert batch.num_rows <= mail._SLICE
+        ids += batch.column(0).to_pylist()
+        assert set(batch.column(5).to_pylist()) <= {"body " * 4000} and set(batch.column(4).cast("int64").to_pylist()) <= {1706695200000000}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == [f"<{i}@b>" for i in range(1500)] and peak < whole.nbytes

@@ -101,3 +101,20 @@ def test_keyword_hits_automaton_equals_substring_search(text):
         return
     assert K.hits_of(text, vocab, a) == K.hits_of(text, vocab, None)
     assert K.hits_of(None, vocab, a) is None
+
+
+def test_keyword_hits_read_a_batch_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+    from servicelens.functions import keywords as K
+    if not K.AVAILABLE:
+        pytest.skip("no automaton")
+    texts = pa.array(["urgent " + "x" * 20_000, None, ""] * 1000)
+    tracemalloc.start()
+    got = K._hits_udf(K.VOCAB).func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [K.hits_of(t, K.VOCAB) for t in texts.slice(0, 3).to_pylist()]
+    assert got.to_pylist() == want * 1000 and peak < texts.nbytes / 2
+    assert K._hits_udf(K.VOCAB).func(pa.array([], pa.string())).to_pylist() == []
