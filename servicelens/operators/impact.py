@@ -19,7 +19,8 @@ from .asof import as_of_join
 from .util import computed_once
 
 
-#: Characters of an anchor, slots of the histogram that says how common an anchor is, most bits of the anchors' Bloom filter.
+#: Characters of an anchor of up to a thousand ids, slots of the histogram that says how common an anchor is, most bits of the
+#: anchors' Bloom filter.
 _GRAM, _SLOTS, _MOST_BITS = 5, 1 << 12, 1 << 20
 #: First characters of anchors up to which positions are chosen by them.
 _STARTS = 64
@@ -38,9 +39,13 @@ def _hashed(chars: Column, at: Column, size: Column) -> Column:
 class AnchorIndex:
     """Every id by one of its q-grams, the one that is rarest among the ids (by a histogram of hashes), so that few ids
     share an anchor and few texts hold it; an id shorter than q is its own anchor.  The anchors' Bloom filter is a constant of
-    at most 128 kB, whatever the number of ids; beyond it lets more positions through, which ``contains`` turns away."""
+    at most 128 kB, whatever the number of ids; beyond it lets more positions through, which ``contains`` turns away.
 
-    def __init__(self, ids: DataFrame, column: str, gram: int = _GRAM):
+    q grows by one character with every ten times as many ids: with a fixed one there are only so many anchors (of digits
+    100,000 of five), so that the ids of one, and with them the pairs of a row and an id, would grow with the ids."""
+
+    def __init__(self, ids: DataFrame, column: str, gram: int | None = None):
+        gram = gram or _GRAM + len(str(max(0, ids.count() - 1) // 1000).lstrip("0"))
         chars, size = F.split(F.col(column), ""), F.least(F.length(column), F.lit(gram))
         grams = ids.filter(F.length(column) > 0).select(column, size.alias("_n"), F.explode_outer(F.transform(
             F.sequence(F.lit(1), F.length(column) - size + 1),
@@ -68,19 +73,23 @@ class AnchorIndex:
 
     def found(self, text: Column) -> Column:
         """The anchors that may be in ``text``: array of (``h``, ``around``), with the characters in reach of an id."""
-        chars = F.split(text, "")
+        if not self.sizes:
+            return F.array().cast("array<struct<h:bigint,around:string>>")
+        longest = F.lit(self.longest)
 
-        def of_size(x: Column, n: int) -> Column:
-            reach = self.longest - n
-            spots = F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1)))
+        def of(chars: Column) -> Column:
+            size = F.size(chars)
+            spots = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
             if self._starts is not None:
-                spots = F.filter(spots, lambda i: F.instr(F.lit(self._starts), F.get(x, i - 1)) > 0)
-            at = F.filter(F.transform(spots, lambda i: F.struct(i.alias("i"), _hashed(x, i, F.lit(n)).alias("h"))), lambda s: self._known(s["h"]))
+                spots = F.filter(spots, lambda i: F.instr(F.lit(self._starts), F.get(chars, i - 1)) > 0)
+            every = F.flatten(F.transform(spots, lambda i: F.transform(F.array(*map(F.lit, self.sizes)), lambda n: F.struct(
+                i.alias("i"), n.alias("n"), _hashed(chars, i, n).alias("h")))))
+            at = F.filter(every, lambda s: self._known(s["h"]) & (s["i"] + s["n"] - 1 <= size))
             return F.transform(at, lambda s: F.struct(s["h"].alias("h"), F.array_join(F.slice(
-                x, F.greatest(s["i"] - reach, F.lit(1)), F.lit(self.longest + reach)), "").alias("around")))
+                chars, F.greatest(s["i"] - longest + s["n"], F.lit(1)), longest + longest - s["n"]), "").alias("around")))
 
-        none = F.array().cast("array<struct<h:bigint,around:string>>")
-        return F.concat(none, *[of_size(chars, n) for n in self.sizes])
+        # as the variable of a lambda the characters are split off once, not at every position
+        return F.flatten(F.transform(F.array(F.split(text, "")), of))
 
 
 def containing(texts: DataFrame, fields: list[str], ids: DataFrame, column: str, keep: list[str]) -> DataFrame:

@@ -126,3 +126,13 @@ def test_few_anchors_leave_a_long_text(spark):
     assert sent < 0.15 * sum(map(len, texts))  # one character ids stand at every "é" only
     got = sorted(map(tuple, impact.containing(df, ["title", "description"], known, "asset_id", ["n"]).select("n", "asset_id").collect()))
     assert got == sorted((n, i) for n, t in enumerate(texts) for i in ids if i in t)
+
+
+def test_anchors_stay_rare_with_many_ids(spark):
+    """40,000 numbered ids: few share an anchor, so the pairs to be compared grow no faster than ids and texts."""
+    ids = spark.range(40_000).select(F.concat(F.lit("ASSET-"), F.lpad(F.col("id").cast("string"), 9, "7")).alias("asset_id"))
+    shared = impact.AnchorIndex(ids, "asset_id").anchors.groupBy("_h").count().agg(F.max("count"), F.avg("count")).first()
+    assert shared[1] < 2, shared
+    texts = spark.range(40).select(F.col("id").alias("n"), F.concat(F.lit("on ASSET-"), F.lpad((F.col("id") * 1500).cast("string"), 9, "7")).alias("title"))
+    got = sorted((r["n"], r["asset_id"]) for r in impact.containing(texts, ["title"], ids, "asset_id", ["n"]).collect())
+    assert got == [(n, f"ASSET-{str(n * 1500).rjust(9, '7')}") for n in range(27)]
