@@ -7,7 +7,7 @@ import pytest
 from servicelens.llm import compact as C
 from servicelens.llm import suffixes as S
 from servicelens.llm.common import table
-from servicelens.llm.passages import long_runs, runs, window_minima
+from servicelens.llm.passages import long_runs, runs, window_minima, word_hashes
 
 from . import data
 
@@ -129,6 +129,42 @@ def test_near_passages(spark):
     assert all(p in found for i, p in enumerate(pairs) if i % 3 == 0)
 
 
+def test_frequent_minima_lose_no_partner(spark):
+    """Pairs share a passage; the words around each of its minima are short lines of many other documents."""
+    rows = []
+    for i in range(6):
+        passage = data.words(60, 70_000 + i)
+        t, w = runs(word_hashes(passage), C.SHINGLE), passage.split()
+        for c in sorted(set(C.compact_windows(t, 46)[1].tolist())):
+            line = " ".join(w[c:c + C.SHINGLE])
+            rows += [(len(rows) + 10_000, data.words(70, 100 * len(rows)) + " " + line + " " + data.words(70, 100 * len(rows) + 1)) for _ in range(40)]
+        rows += [(2 * i, data.words(20, 80_000 + i) + " " + passage), (2 * i + 1, passage + " " + data.words(20, 90_000 + i))]
+    got = cover(data.collected(C.near_duplicate_passages(data.docs(spark, rows))))
+    assert set(got) == set(range(12))
+    assert all(got[d] == set(range(20, 80)) if d % 2 == 0 else got[d] == set(range(60)) for d in got)
+
+
+def test_blocks_of_a_frequent_signature_meet(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 3)
+    every = spark.createDataFrame([(i, [0, 1, 2] if i < 20 else [i * 16]) for i in range(25)], "unit long, signatures array<long>")
+    heads = spark.createDataFrame([(i, i // 2, 100 + i if i == 4 else None) for i in range(25)], "unit long, row long, second long")
+    got = [(r["unit"], r["other"]) for r in C.signature_pairs(every, heads).collect()]
+    want = {(a, b) for a in range(20) for b in range(a + 1, 20) if a // 2 != b // 2} | {(5, 104)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stretches_that_repeat_and_fall_short():
+    rng = np.random.default_rng(5)
+    p, q, r = (rng.integers(0, 2**32, n, dtype=np.uint32) for n in (60, 50, 400))
+    twice = np.concatenate([p, r[:100], p])
+    assert {(x[0], x[1]) for x in C.both_ways(twice, p, 46, 0.8)} == {(0, 60), (160, 220)}
+    assert {(x[2], x[3]) for x in C.both_ways(p, twice, 46, 0.8)} == {(0, 60), (160, 220)}
+    # a longer run whose partner has much in between falls short; the passage beside it is found all the same
+    a = np.concatenate([np.tile(q[:9], 12), r[100:200], p])
+    b = np.concatenate([q[:9], r[200:300], p])
+    assert any((x[0], x[1]) == (208, 268) for x in C.both_ways(a, b, 46, 0.8))
+
+
 def test_near_edges(spark):
     got = data.collected(C.near_duplicate_passages(data.docs(spark)))
     assert {(r["doc_id"], r["match_doc_id"]) for r in got} == {(6, 7), (7, 6), (9, 10), (10, 9)}
