@@ -137,7 +137,8 @@ def test_frequent_minima_lose_no_partner(spark):
         t, w = runs(word_hashes(passage), C.SHINGLE), passage.split()
         for c in sorted(set(C.compact_windows(t, 46)[1].tolist())):
             line = " ".join(w[c:c + C.SHINGLE])
-            rows += [(len(rows) + 10_000, data.words(70, 100 * len(rows)) + " " + line + " " + data.words(70, 100 * len(rows) + 1)) for _ in range(40)]
+            n = 10_000 + len(rows)
+            rows += [(n + k, data.words(70, 100 * (n + k)) + " " + line + " " + data.words(70, 100 * (n + k) + 1)) for k in range(40)]
         rows += [(2 * i, data.words(20, 80_000 + i) + " " + passage), (2 * i + 1, passage + " " + data.words(20, 90_000 + i))]
     got = cover(data.collected(C.near_duplicate_passages(data.docs(spark, rows))))
     assert set(got) == set(range(12))
@@ -159,6 +160,9 @@ def test_stretches_that_repeat_and_fall_short():
     twice = np.concatenate([p, r[:100], p])
     assert {(x[0], x[1]) for x in C.both_ways(twice, p, 46, 0.8)} == {(0, 60), (160, 220)}
     assert {(x[2], x[3]) for x in C.both_ways(p, twice, 46, 0.8)} == {(0, 60), (160, 220)}
+    # pieces with gaps between: as a whole below the similarity, two of them together above
+    x, y = (np.concatenate([np.concatenate([r[21 * i:21 * i + 21], rng.integers(0, 2**32, 5, dtype=np.uint32)]) for i in range(6)]) for _ in range(2))
+    assert C.both_ways(x, y, 46, 0.8)
     # a longer run whose partner has much in between falls short; the passage beside it is found all the same
     a = np.concatenate([np.tile(q[:9], 12), r[100:200], p])
     b = np.concatenate([q[:9], r[200:300], p])
