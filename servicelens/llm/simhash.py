@@ -16,7 +16,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,11 +50,17 @@ def simhash(text: str | None, shingle: int, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprints(texts: pa.Array, shingle: int) -> pa.Array:
+    """Fingerprints as longs; 256 texts at a time are Python objects."""
+    found = [np.array([simhash(t, shingle) for t in texts.slice(i, 256).to_pylist()], np.uint64) for i in range(0, len(texts), 256)]
+    return pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+
+
 def with_fingerprint(docs: DataFrame, shingle: int, text: str = "text", out: str = "__fp") -> DataFrame:
     """Add the fingerprint of ``text`` as a long (the unsigned bits, reinterpreted)."""
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def fingerprint(texts: pa.Array) -> pa.Array:
+        return fingerprints(texts, shingle)
 
     return docs.withColumn(out, fingerprint(F.col(text).cast("string")))
 
@@ -178,18 +184,18 @@ def simhash_links(distinct: DataFrame, radius: int, sample_limit: int = SAMPLE_L
     nodes = build_tree(np.array(sample, np.int64).view(np.uint64), leaves, radius) if leaves > 1 else []
 
     def visits(batches):
-        for pdf in batches:
-            fp = pdf["__fp"].to_numpy()
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
             leaf, row = route(fp.view(np.uint64), nodes, radius)
-            yield pd.DataFrame({"leaf": leaf, "__fp": fp[row]})
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fp[row])], names=["leaf", "__fp"])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = leaf_links(pdf["__fp"].to_numpy().view(np.uint64), radius)
-        return pd.DataFrame({"a": a, "b": b})
+    def search(shard: pa.Table) -> pa.Table:
+        a, b = leaf_links(shard["__fp"].to_numpy().view(np.uint64), radius)
+        return pa.table({"a": a, "b": b})
 
-    visited = distinct.select("__fp").mapInPandas(visits, "leaf int, __fp long")
+    visited = distinct.select("__fp").mapInArrow(visits, "leaf int, __fp long")
     parts = max(leaves, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return visited.repartition(parts, "leaf").groupBy("leaf").applyInPandas(search, "a long, b long")
+    return visited.repartition(parts, "leaf").groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
 def classes(prints: DataFrame, radius: int) -> DataFrame:

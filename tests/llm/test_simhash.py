@@ -113,3 +113,19 @@ def test_components_of_paths_stars_and_cycles(spark):
     for group in (range(0, 61), range(100, 160), range(200, 203)):
         assert {got[names[n]] for n in group if names[n] != min(names[x] for x in group)} == {min(names[n] for n in group)}
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_fingerprints_take_few_texts_at_a_time():
+    class Texts(list):
+        def slice(self, i, n):
+            assert n <= 256
+            return Texts(self[i:i + n])
+
+        def to_pylist(self):
+            assert len(self) <= 256
+            return list(self)
+
+    texts = Texts([None, "", "a b c d"] + [f"text {i} of some words" for i in range(600)])
+    got = S.fingerprints(texts, 3).to_numpy().view("u8").tolist()
+    assert got == [S.simhash(t, 3) for t in texts]
+    assert len(S.fingerprints(Texts(), 3)) == 0
