@@ -7,7 +7,7 @@ import pytest
 from servicelens.llm import compact as C
 from servicelens.llm import suffixes as S
 from servicelens.llm.common import table
-from servicelens.llm.passages import long_runs, runs, window_minima, word_hashes
+from servicelens.llm.passages import hashed_texts, long_runs, runs, window_minima, word_hashes
 
 from . import data
 
@@ -169,6 +169,96 @@ def test_stretches_that_repeat_and_fall_short():
     assert any((x[0], x[1]) == (208, 268) for x in C.both_ways(a, b, 46, 0.8))
 
 
+def plain_best_run(shared, share):
+    total = np.concatenate([[0.0], np.cumsum(np.where(shared, 1 - share, -share))])
+    high = int((total - np.minimum.accumulate(total)).argmax())
+    return int(total[:high + 1].argmin()), high
+
+
+def plain_stretches(a, b, least, min_similarity):
+    """One pair, one range after the other."""
+    out, todo = [], [(0, len(a))]
+    every = np.isin(a, b)
+    total = np.concatenate([[0], np.cumsum(every)])
+    while todo:
+        begin, end = todo.pop()
+        if end - begin < least or total[end] - total[begin] < least * min_similarity:
+            continue
+        shared = every[begin:end]
+        found = first = tried = None
+        for share in (min_similarity, (1 + min_similarity) / 2, (7 + min_similarity) / 8):
+            low, high = plain_best_run(shared, share)
+            low, high = low + begin, high + begin
+            if high - low < least * min_similarity:
+                break
+            tried, part = (low, high), a[low:high]
+            first = first or tried
+            other_low, other_high = plain_best_run(np.isin(b, part), share)
+            if min(high - low, other_high - other_low) < least:
+                continue
+            x, y = np.unique(part), np.unique(b[other_low:other_high])
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            similarity = common / (len(x) + len(y) - common)
+            if similarity >= min_similarity:
+                found = (low, high, other_low, other_high, similarity)
+                break
+        if found:
+            out.append(found)
+        elif first and first[1] - first[0] > 1.25 * least:
+            # enough is shared, but spread: shorter parts of the run, which overlap by ``least``, may hold
+            middle = sum(first) // 2
+            todo += [(first[0], middle + least // 2), (middle - least // 2, first[1])]
+            tried = first
+        if tried:
+            todo += [(begin, tried[0]), (tried[1], end)]
+    return out
+
+
+def plain_both_ways(a, b, least, min_similarity):
+    out = plain_stretches(a, b, least, min_similarity)
+    rest = np.isin(b, a)
+    for _, _, low, high, _ in out:
+        rest[low:high] = False
+    if np.count_nonzero(rest) >= least * min_similarity:
+        out += [(x, y, low, high, s) for low, high, x, y, s in plain_stretches(b, a, least, min_similarity)]
+    return out
+
+
+def test_stretches_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(11)
+
+    def varied(x):
+        for _ in range(rng.integers(0, 8)):
+            i = rng.integers(0, len(x) + 1)
+            x = np.concatenate([x[:i], rng.integers(0, 2**32, rng.integers(0, 30), dtype=np.uint32), x[i + rng.integers(0, 20):]])
+        return np.concatenate([rng.integers(0, 2**32, rng.integers(0, 80), dtype=np.uint32), x, x[:rng.integers(0, 90)]])
+
+    sides = [[], []]
+    for _ in range(400):
+        words = rng.integers(0, 2**32, rng.choice([5, 60, 3000]), dtype=np.uint32)
+        base = words[rng.integers(0, len(words), rng.integers(0, 400))]
+        for side in sides:
+            side.append(varied(base))
+    got = [[] for _ in sides[0]]
+    for x in C.all_ways(*sides, 46, 0.8).tolist():
+        got[int(x[0])].append((*map(int, x[1:5]), x[5]))
+    want = [plain_both_ways(a, b, 46, 0.8) for a, b in zip(*sides)]
+    assert sum(map(len, want)) > 200 and [sorted(x) for x in got] == [sorted(x) for x in want]
+    assert len(C.all_ways([], [], 46, 0.8)) == 0
+
+
+def test_windows_of_texts_after_one_another(spark):
+    texts = [data.words(n, 100 + n) + e for n, e in ((0, ""), (3, " "), (49, ""), (50, "\t"), (51, ""), (0, "\n"), (400, ""), (52, " \u00c4"))]
+    for first, words, bounds in hashed_texts(texts, 500):
+        assert all((words[a:b] == word_hashes(t)).all() for t, a, b in zip(texts[first:], bounds, bounds[1:]))
+    got = data.collected(C.windows(data.docs(spark, list(enumerate(texts))).repartition(1), 50))
+    want = []
+    for t in texts:
+        signature, *place = C.compact_windows(runs(word_hashes(t), C.SHINGLE), 46) or [np.zeros(0, np.uint64)] * 4
+        want += [(int(s.view(np.int64)), int(c) << 16 | int(x) << 8 | int(y)) for s, c, x, y in zip(signature, *place)]
+    assert sorted((r["signature"], r["place"]) for r in got) == sorted(want)
+
+
 def test_near_edges(spark):
     got = data.collected(C.near_duplicate_passages(data.docs(spark)))
     assert {(r["doc_id"], r["match_doc_id"]) for r in got} == {(6, 7), (7, 6), (9, 10), (10, 9)}
