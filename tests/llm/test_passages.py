@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from servicelens.llm import compact as C
@@ -247,6 +248,13 @@ def test_stretches_of_many_pairs_are_those_of_each():
     assert len(C.all_ways([], [], 46, 0.8)) == 0
 
 
+def test_slices_of_pairs_are_bounded_by_their_tokens():
+    sizes = [3, 3, 3, 50, 1, 0, 8, 9, 2]
+    mine, his = pa.array([b"0123" * n for n in sizes], pa.binary()), pa.array([b""] * len(sizes), pa.binary())
+    got = list(C.token_slices(mine, his, 10))
+    assert got == [(0, 3), (3, 4), (4, 7), (7, 8), (8, 9)] and list(C.token_slices(mine[:0], his[:0])) == []
+
+
 def test_windows_of_texts_after_one_another(spark):
     texts = [data.words(n, 100 + n) + e for n, e in ((0, ""), (3, " "), (49, ""), (50, "\t"), (51, ""), (0, "\n"), (400, ""), (52, " \u00c4"))]
     for first, words, bounds in hashed_texts(texts, 500):
