@@ -304,3 +304,43 @@ def test_runs():
     assert len(set(long_runs(np.arange(100, dtype=np.uint64), 35).tolist())) == 66
     # hashes are compared by their high bits
     assert window_minima(np.array([3, 1, 1, 5, 0], np.uint64) << np.uint64(40), 2).tolist() == [1, 2, 4]
+
+
+def cell_of_texts():
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 1 << 32, n).astype("<u4")
+    passage, repeated = fresh(90), np.full(1, 7, "<u4")
+    near = passage.copy()
+    near[[20, 21, 22, 60]] = fresh(4)
+    return [np.concatenate(x) for x in (
+        (fresh(30), passage, fresh(40)), (passage, fresh(5)), (fresh(9), near, fresh(8)), (fresh(64), np.repeat(repeated, 60), fresh(64)),
+        (fresh(20), np.repeat(repeated, 45), fresh(20)), (np.repeat(repeated, 80), fresh(64), passage), (fresh(64), passage[:2], fresh(64)),
+        (passage[:40], fresh(12), passage[40:], near), (fresh(64), repeated, fresh(64)), (passage[:46],), (passage[:45], fresh(9)))]
+
+
+def test_pairs_of_a_cell_give_the_stretches_of_each_pair(monkeypatch):
+    texts, calls = cell_of_texts(), []
+    mine, his = (np.array(x) for x in zip(*[(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j]))
+    want = sorted((k, *x) for k, (i, j) in enumerate(zip(mine, his)) for x in C.both_ways(texts[i], texts[j], 46, 0.8))
+    whole = C.all_ways
+    monkeypatch.setattr(C, "all_ways", lambda a, b, *x: calls.append(len(a)) or whole(a, b, *x))
+    got = np.concatenate(list(C.cell_stretches(texts, mine, his, 46, 0.8)))
+    assert sorted((*map(int, x[:5]), x[5]) for x in got.tolist()) == want
+    # pairs that share two tokens, or one run and nothing else, are not searched
+    assert len(want) > 20 and sum(calls) < len(mine) / 2
+
+
+def test_tokens_come_to_a_cell_once(spark):
+    texts = cell_of_texts()
+    every = spark.createDataFrame([(i, 100 + i, i, 3 * i, bytes(t.tobytes())) for i, t in enumerate(texts)],
+                                  "unit long, row long, doc_id long, low int, tokens binary")
+    for c, empty in (("first", 0), ("last", 0), ("content", 0)):
+        every = every.selectExpr("*", f"{empty} AS {c}")
+    links = [(i, j, (i + j) % 3) for i in range(len(texts)) for j in range(i)]
+    pairs = spark.createDataFrame([(j, i, c) for i, j, c in links], "unit long, other long, cell long")
+    seats = pairs.selectExpr("cell", "explode(array(unit, other)) AS unit").distinct()
+    assert seats.count() < 2 * len(links) * 2 // 3
+    want = sorted(map(repr, C.verify(pairs.select("unit", "other"), every, 50, 0.8).collect()))
+    for tasks in (1, 4):
+        assert sorted(map(repr, C.verify_cells(pairs, every, seats, tasks, 50, 0.8).collect())) == want
+    assert len(want) > 20
