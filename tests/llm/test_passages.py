@@ -344,3 +344,58 @@ def test_tokens_come_to_a_cell_once(spark):
     for tasks in (1, 4):
         assert sorted(map(repr, C.verify_cells(pairs, every, seats, tasks, 50, 0.8).collect())) == want
     assert len(want) > 20
+
+
+def near_copies(n, seed, words=80):
+    passage = data.words(words, seed).split()
+    return [" ".join(passage[:i % words] + [f"other{seed}x{i}"] + passage[i % words + 1:]) for i in range(n)]
+
+
+def test_no_table_grows_with_the_pairs_of_a_group(spark, monkeypatch):
+    sizes, write = {}, C.scratch_table
+
+    def counted(df, name):
+        table = write(df, name)
+        sizes[name] = sizes.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(C, "scratch_table", counted)
+    rows = [(i, data.words(5, 100_000 + i) + " " + t) for i, t in enumerate(near_copies(200, 3))]
+    got = data.collected(C.near_duplicate_passages(data.docs(spark, rows)))
+    # 19,900 pairs
+    assert {r["doc_id"] for r in got} == set(range(200)) and max(sizes.values()) < 8_000, sizes
+
+
+def test_cells_verify_all_pairs_of_signatures(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 3)
+    monkeypatch.setattr(C, "SEATS", 20)
+    line, copies, others = data.words(30, 110_000), near_copies(14, 111_000), near_copies(9, 112_000, 60)
+    rows = [(i, data.words(40, 113_000 + i) + " " + line + " " + data.words(30, 114_000 + i)) for i in range(12)]
+    rows += [(20 + i, data.words(9, 115_000 + i) + " " + t + " " + line) for i, t in enumerate(copies[:11])]
+    rows += [(40 + i, t + " " + data.words(150, 116_000 + i) + " " + others[i % 5]) for i, t in enumerate(copies[8:])]
+    # near copies in one document, of which others have the one or the other word for word
+    rows += [(60, others[5] + " " + data.words(150, 117_000) + " " + others[6]), (61, others[5]), (62, others[6]), (None, others[7])]
+    docs = data.docs(spark, rows)
+    shared = C.shared_windows(C.scratch_table(C.windows(docs, 50), "windows"))
+    parts = [C.scratch_table(C.units(*C.at_part(docs, C.reduce(C.DataFrame.unionByName, shared), k), 50), "units") for k in range(C.PASSES)]
+    every = C.reduce(C.DataFrame.unionByName, parts)
+    heads = C.classes(every).selectExpr("m.unit AS unit", "m.row AS row", "o.unit AS second")
+    heads = C.scratch_table(heads, "heads")
+    pairs = C.signature_pairs(every, heads)
+    merged = lambda x: sorted(map(repr, C.merge_spans(x.drop("unit", "departure"), ["similarity"]).drop("island").collect()))
+    want = merged(C.verify(pairs.select("unit", "other"), every, 50, 0.8))
+    assert len(want) > 15 and merged(C.linked_spans(every, heads, 50, 0.8)) == want
+    none = C.linked_spans(every, heads.filter("unit IS NULL"), 50, 0.8)
+    assert none.count() == 0
+
+
+def test_groups_are_not_cut():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 400):
+        key = np.sort(rng.integers(-40, 40, n) * (rng.integers(0, 3, n) > 0))
+        cuts = np.sort(rng.integers(0, n + 1, 20))
+        whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(n))], names=["key", "at"])
+        got = list(C.whole_groups(whole.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, n])))
+        assert [x for columns, _ in got for x in columns[1].to_pylist()] == list(range(n))
+        groups = [g.tolist() for columns, begin in got for g in np.split(columns[0].to_numpy(), begin[1:])]
+        assert [g[0] for g in groups] == sorted(set(key.tolist())) and all(len(set(g)) == 1 for g in groups)
