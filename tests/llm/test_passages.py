@@ -399,3 +399,23 @@ def test_groups_are_not_cut():
         assert [x for columns, _ in got for x in columns[1].to_pylist()] == list(range(n))
         groups = [g.tolist() for columns, begin in got for g in np.split(columns[0].to_numpy(), begin[1:])]
         assert [g[0] for g in groups] == sorted(set(key.tolist())) and all(len(set(g)) == 1 for g in groups)
+
+
+def test_windows_of_one_document_alone_are_dropped(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(s) * 16, int(r), i) for i, (s, r) in enumerate(zip(rng.integers(-300, 300, 900), rng.integers(0, 3, 900)))]
+    rows += [(16_000, 5, 1000 + i) for i in range(90)] + [(32_000, 5, 2000 + i) for i in range(90)] + [(32_000, 6, 3000)]
+    of = defaultdict(set)
+    for s, r, _ in rows:
+        of[s].add(r)
+    want = sorted(x for x in rows if len(of[x[0]]) > 1)
+    found = spark.createDataFrame(rows, "signature long, row long, place long").repartition(5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        for size, parts in ((1, 2), (7, 1), (10_000, 3)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted(tuple(r) for x in C.shared_windows(found) for r in x.collect()) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
